@@ -43,3 +43,32 @@ def average_ranks(df: DataFrame, columns: Sequence[str], partitions: int | None
             .select("column", "v", "cnt",
                     (F.col("offset") + F.col("run") - F.col("cnt")
                      + (F.col("cnt") + 1) / 2.0).alias("rank")))
+
+
+def positions(df: DataFrame, order: Sequence[str], by: Sequence[str] = (),
+              partitions: int | None = None) -> DataFrame:
+    """1-based row position within ``by`` groups following ``order`` (a unique
+    ordering), without a per-group task: range partitioning on (by, order),
+    local running counts, and per-partition offsets from a table bounded by
+    #partitions x #groups-per-partition-boundary. Returns df + ``pos``."""
+    spark = df.sparkSession
+    p = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    by, order = list(by), list(order)
+    ranged = df.repartitionByRange(p, *by, *order).withColumn("__pid", F.spark_partition_id())
+    w = Window.partitionBy("__pid", *by).orderBy(*order) \
+        .rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    local = ranged.withColumn("__run", F.count(F.lit(1)).over(w))
+    totals = local.groupBy("__pid", *by).agg(F.max("__run").alias("__ptot"))
+    wo = Window.partitionBy(*by).orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1) \
+        if by else Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = totals.withColumn("__off", F.coalesce(F.sum("__ptot").over(wo), F.lit(0))) \
+        .select("__pid", *by, "__off")
+    return (local.join(F.broadcast(offsets), ["__pid", *by])
+            .withColumn("pos", F.col("__off") + F.col("__run"))
+            .drop("__pid", "__run", "__off"))
+
+
+def dense_index(df: DataFrame, column: str) -> DataFrame:
+    """(value, code): 0-based code of each distinct value in sorted order."""
+    distinct = df.select(F.col(column).alias("value")).distinct()
+    return positions(distinct, ["value"]).select("value", (F.col("pos") - 1).alias("code"))

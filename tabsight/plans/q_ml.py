@@ -1 +1,392 @@
-"""(filled in below)"""
+"""ML plans: preparation (M1-M5), estimators (E1-E11), evaluation and runs
+(V1-V12). Evaluation is proven on predictions SQL can reproduce: exact kNN
+(E6) on embeddings and one-feature least squares (E8) on part."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..ml import estimators as est
+from ..ml import evaluate as ev
+from ..ml import prep, runs
+from ..ml.knn import knn_predict
+from ..ml.train import train
+from .data import EVENTS_NULLS_SQL, events_with_nulls, table
+from .registry import query
+
+
+def _split_sql(src: str, key: str, cols: str = "*", frac: float = 0.2, seed: int = 42) -> str:
+    return f"""(SELECT {cols}, h, row_number() OVER (ORDER BY h, {key})
+      <= ceil({frac} * count(*) OVER ()) AS is_test
+    FROM (SELECT *, md5('{seed}:' || CAST({key} AS VARCHAR)) AS h FROM {src}))"""
+
+
+# ---------------------------------------------------------------- M1-M5
+
+@query("label_encode", """
+SELECT o_orderkey,
+  CAST(dense_rank() OVER (ORDER BY coalesce(o_orderstatus, 'nan')) - 1 AS INTEGER) AS o_orderstatus,
+  CAST(dense_rank() OVER (ORDER BY coalesce(o_orderpriority, 'nan')) - 1 AS INTEGER)
+    AS o_orderpriority
+FROM orders""")
+def q_label_encode(spark, sf):
+    """M1: sorted-label codes of the text columns of orders."""
+    o = table(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority")
+    return prep.label_encode(o, ["o_orderstatus", "o_orderpriority"])[0]
+
+
+@query("impute_mean", f"""
+SELECT event_id, round(coalesce(value, avg(value) OVER ()), 6) AS value FROM {EVENTS_NULLS_SQL}""")
+def q_impute_mean(spark, sf):
+    """M2: NULL values replaced by the mean of the whole column."""
+    e = events_with_nulls(spark, sf).select("event_id", "value")
+    return prep.impute_mean(e, ["value"])
+
+
+@query("encode_target", """
+SELECT p_partkey, CAST(dense_rank() OVER (ORDER BY coalesce(p_brand, 'nan')) - 1 AS INTEGER) AS p_brand
+FROM part""")
+def q_encode_target(spark, sf):
+    """M3: a text target as 0-based codes."""
+    p = table(spark, sf, "part").select("p_partkey", "p_brand")
+    enc, mapping = prep.encode_target(p, "p_brand")
+    return enc
+
+
+@query("split", f"SELECT o_orderkey, is_test FROM {_split_sql('orders', 'o_orderkey', 'o_orderkey')}")
+def q_split(spark, sf):
+    """M4: exactly ceil(0.2 n) test rows, smallest md5('42:' || key)."""
+    o = table(spark, sf, "orders").select("o_orderkey")
+    return prep.split(o, "o_orderkey", 0.2, 42)
+
+
+@query("standardize", f"""
+WITH s AS {_split_sql('part', 'p_partkey', 'p_partkey, p_size, p_retailprice')},
+st AS (SELECT avg(p_size) AS m1, stddev_pop(p_size) AS s1, avg(p_retailprice) AS m2,
+         stddev_pop(p_retailprice) AS s2 FROM s WHERE NOT is_test)
+SELECT p_partkey, is_test,
+  round((p_size - m1) / CASE WHEN s1 IS NULL OR s1 = 0 THEN 1 ELSE s1 END, 6) AS p_size,
+  round((p_retailprice - m2) / CASE WHEN s2 IS NULL OR s2 = 0 THEN 1 ELSE s2 END, 6)
+    AS p_retailprice
+FROM s, st""")
+def q_standardize(spark, sf):
+    """M5: z-scores with population std fitted on the training part only."""
+    p = table(spark, sf, "part").select("p_partkey", F.col("p_size").cast("double"),
+                                        "p_retailprice")
+    s = prep.split(p, "p_partkey")
+    tr, te, _ = prep.standardize(s.where(~F.col("is_test")), s.where(F.col("is_test")),
+                                 ["p_size", "p_retailprice"])
+    return tr.unionByName(te)
+
+
+@query("cv_folds", f"""
+SELECT vec_id, label, CAST((row_number() OVER (PARTITION BY label ORDER BY h, vec_id) - 1) % 5
+  AS INTEGER) AS fold
+FROM {_split_sql('embeddings', 'vec_id', 'vec_id, label')} WHERE NOT is_test""")
+def q_cv_folds(spark, sf):
+    """V7 stratified folds (round robin per class in split order) on the train part."""
+    e = prep.split(table(spark, sf, "embeddings").select("vec_id", "label"), "vec_id")
+    tr = e.where(~F.col("is_test")).drop("is_test")
+    return prep.assign_folds(tr, 5, "vec_id", "label")
+
+
+@query("cv_folds_regression", f"""
+WITH t AS (SELECT p_partkey, row_number() OVER (ORDER BY h, p_partkey) - 1 AS z,
+             count(*) OVER () AS n
+           FROM {_split_sql('part', 'p_partkey', 'p_partkey')} WHERE NOT is_test),
+u AS (SELECT *, n // 5 + 1 AS big, n // 5 AS small, n % 5 AS nbig FROM t)
+SELECT p_partkey, CAST(CASE WHEN z < big * nbig THEN z // big
+  ELSE nbig + (z - big * nbig) // small END AS INTEGER) AS fold FROM u""")
+def q_cv_folds_regression(spark, sf):
+    """V7 contiguous folds (first n mod k one row larger) on the train part."""
+    p = prep.split(table(spark, sf, "part").select("p_partkey"), "p_partkey")
+    tr = p.where(~F.col("is_test")).drop("is_test")
+    return prep.assign_folds(tr, 5, "p_partkey")
+
+
+# ---------------------------------------------------------------- E6 kNN + V1-V3
+
+def _knn_sql(k: int = 5) -> str:
+    s = _split_sql("embeddings", "vec_id", "vec_id, label, CAST(embedding AS DOUBLE[]) AS x")
+    return f"""(WITH t AS {s},
+d AS (SELECT a.vec_id AS id, b.vec_id AS nid, b.label AS nlabel,
+        list_distance(a.x, b.x) AS dist FROM t a JOIN t b ON a.is_test AND NOT b.is_test),
+k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY dist, nid) AS rk
+      FROM d) WHERE rk <= {k}),
+v AS (SELECT id, nlabel, count(*) AS c FROM k GROUP BY id, nlabel),
+p AS (SELECT id, nlabel AS prediction FROM (SELECT *, row_number() OVER (PARTITION BY id
+      ORDER BY c DESC, nlabel) AS r FROM v) WHERE r = 1)
+SELECT t.vec_id, CAST(t.label AS DOUBLE) AS label, CAST(p.prediction AS DOUBLE) AS prediction
+FROM t JOIN p ON t.vec_id = p.id)"""
+
+
+def _knn_spark(spark, sf, k=5):
+    e = prep.split(table(spark, sf, "embeddings").select("vec_id", "label", "embedding"), "vec_id")
+    tr = e.where(~F.col("is_test"))
+    te = e.where(F.col("is_test"))
+    pred = knn_predict(tr, te, "vec_id", "embedding", "label", k)
+    return te.select("vec_id", F.col("label").cast("double").alias("label")).join(pred, "vec_id")
+
+
+@query("knn_predict", f"SELECT * FROM {_knn_sql(5)}")
+def q_knn_predict(spark, sf):
+    """Exact 5-NN (Euclidean, ties by key, vote ties by label) on embeddings."""
+    return _knn_spark(spark, sf, 5)
+
+
+def _stats_sql(pred: str) -> str:
+    return f"""c AS (SELECT label AS a, prediction AS p, count(*) AS n FROM {pred} GROUP BY ALL),
+pa AS (SELECT a AS cls, sum(n) AS support, sum(CASE WHEN a = p THEN n ELSE 0 END) AS tp
+       FROM c GROUP BY a),
+pp AS (SELECT p AS cls, sum(n) AS predicted FROM c GROUP BY p),
+s AS (SELECT coalesce(pa.cls, pp.cls) AS cls, CAST(coalesce(support, 0) AS DOUBLE) AS support,
+        CAST(coalesce(tp, 0) AS DOUBLE) AS tp, CAST(coalesce(predicted, 0) AS DOUBLE) AS predicted
+      FROM pa FULL JOIN pp ON pa.cls = pp.cls),
+m AS (SELECT *, CASE WHEN predicted > 0 THEN tp / predicted ELSE 0 END AS prec,
+        CASE WHEN support > 0 THEN tp / support ELSE 0 END AS rec FROM s),
+f AS (SELECT *, CASE WHEN prec + rec > 0 THEN 2 * prec * rec / (prec + rec) ELSE 0 END AS f1
+      FROM m)"""
+
+
+def _clf_metrics_sql(pred: str) -> str:
+    return f"""WITH {_stats_sql(pred)}
+SELECT round(sum(tp) / sum(support), 6) AS accuracy,
+  round(sum(prec * support) / sum(support), 6) AS precision,
+  round(sum(rec * support) / sum(support), 6) AS recall,
+  round(sum(f1 * support) / sum(support), 6) AS f1_score FROM f"""
+
+
+@query("clf_metrics", _clf_metrics_sql(_knn_sql(5)))
+def q_clf_metrics(spark, sf):
+    """V1 on the kNN predictions."""
+    return ev.clf_metrics(_knn_spark(spark, sf, 5))
+
+
+@query("confusion_matrix", f"""
+WITH p AS {_knn_sql(5)},
+l AS (SELECT label AS l FROM p UNION SELECT prediction FROM p),
+g AS (SELECT a.l AS actual, b.l AS predicted FROM l a, l b),
+c AS (SELECT label AS actual, prediction AS predicted, count(*) AS count FROM p GROUP BY ALL)
+SELECT g.actual, g.predicted, coalesce(c.count, 0) AS count FROM g LEFT JOIN c
+  ON g.actual = c.actual AND g.predicted = c.predicted""")
+def q_confusion_matrix(spark, sf):
+    """V2 full grid over the label union."""
+    return ev.confusion_matrix(_knn_spark(spark, sf, 5))
+
+
+@query("classification_report", f"""
+WITH {_stats_sql(_knn_sql(5))}
+SELECT CAST(CAST(cls AS BIGINT) AS VARCHAR) AS class, round(prec, 6) AS precision,
+  round(rec, 6) AS recall, round(f1, 6) AS f1_score, CAST(support AS BIGINT) AS support FROM f
+UNION ALL SELECT 'accuracy', NULL, NULL, round(sum(tp) / sum(support), 6), CAST(sum(support) AS BIGINT) FROM f
+UNION ALL SELECT 'macro avg', round(avg(prec), 6), round(avg(rec), 6), round(avg(f1), 6),
+  CAST(sum(support) AS BIGINT) FROM f
+UNION ALL SELECT 'weighted avg', round(sum(prec * support) / sum(support), 6),
+  round(sum(rec * support) / sum(support), 6), round(sum(f1 * support) / sum(support), 6),
+  CAST(sum(support) AS BIGINT) FROM f""")
+def q_classification_report(spark, sf):
+    """V3 per-class report with accuracy, macro and weighted rows."""
+    return ev.classification_report(_knn_spark(spark, sf, 5))
+
+
+# ---------------------------------------------------------------- E8 + V4-V6
+
+def _part_split_sql():
+    return _split_sql("part", "p_partkey",
+                      "p_partkey, CAST(p_size AS DOUBLE) AS x, p_retailprice AS y")
+
+
+def _lin_sql(x: str = "x") -> str:
+    return f"""(WITH s AS {_part_split_sql()},
+c AS (SELECT regr_slope(y, {x}) AS slope, regr_intercept(y, {x}) AS intercept FROM s
+      WHERE NOT is_test)
+SELECT p_partkey, y AS label, intercept + slope * {x} AS prediction FROM s, c WHERE is_test)"""
+
+
+def _lin_spark(spark, sf):
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.regression import LinearRegression
+    p = table(spark, sf, "part").select("p_partkey", F.col("p_size").cast("double").alias("x"),
+                                        F.col("p_retailprice").alias("label"))
+    s = prep.split(p, "p_partkey")
+    va = VectorAssembler(inputCols=["x"], outputCol="features")
+    tr = va.transform(s.where(~F.col("is_test")))
+    model = LinearRegression(regParam=0.0, solver="normal").fit(tr)
+    pred = model.transform(va.transform(s.where(F.col("is_test"))))
+    return model, pred.select("p_partkey", "label", "prediction")
+
+
+@query("linreg_one_feature", f"""
+WITH s AS {_part_split_sql()}
+SELECT round(regr_slope(y, x), 6) AS slope, round(regr_intercept(y, x), 6) AS intercept,
+  count(*) AS n_train FROM s WHERE NOT is_test""")
+def q_linreg_one_feature(spark, sf):
+    """MLlib least squares equals SQL regr_slope / regr_intercept."""
+    model, _ = _lin_spark(spark, sf)
+    n = prep.split(table(spark, sf, "part").select("p_partkey"), "p_partkey") \
+        .where(~F.col("is_test")).count()
+    return spark.createDataFrame([(float(model.coefficients[0]), float(model.intercept), n)],
+                                 "slope double, intercept double, n_train long")
+
+
+@query("reg_metrics", f"""
+WITH p AS {_lin_sql()}, m AS (SELECT avg(label) AS mu FROM p)
+SELECT round(avg((label - prediction) ^ 2), 6) AS mse,
+  round(sqrt(avg((label - prediction) ^ 2)), 6) AS rmse,
+  round(avg(abs(label - prediction)), 6) AS mae,
+  round(1 - sum((label - prediction) ^ 2) / sum((label - mu) ^ 2), 6) AS r2_score FROM p, m""")
+def q_reg_metrics(spark, sf):
+    """V4 on the least-squares test predictions."""
+    return ev.reg_metrics(_lin_spark(spark, sf)[1])
+
+
+@query("pred_vs_actual", f"""
+SELECT p_partkey, round(label, 6) AS actual, round(prediction, 6) AS predicted FROM {_lin_sql()}
+ORDER BY p_partkey LIMIT 100""")
+def q_pred_vs_actual(spark, sf):
+    """V5 first 100 test rows by key."""
+    return ev.pred_vs_actual(_lin_spark(spark, sf)[1], "p_partkey")
+
+
+@query("residuals", f"""
+SELECT p_partkey, round(label, 6) AS actual, round(prediction, 6) AS predicted,
+  round(label - prediction, 6) AS residual FROM {_lin_sql()}""")
+def q_residuals(spark, sf):
+    """V6 residuals of all test rows."""
+    return ev.residuals(_lin_spark(spark, sf)[1], "p_partkey")
+
+
+def _resid_hist_sql() -> str:
+    from .q_charts import _hist_sql
+    src = f"(SELECT label - prediction AS residual FROM {_lin_sql()})"
+    return _hist_sql(src, "residual", "30")
+
+
+@query("residual_hist", _resid_hist_sql())
+def q_residual_hist(spark, sf):
+    """V6 30-bin residual histogram."""
+    return ev.residual_hist(_lin_spark(spark, sf)[1], "p_partkey")
+
+
+# ---------------------------------------------------------------- V10-V12
+
+def _runs_spark(spark, sf):
+    knn5 = ev.clf_metrics(_knn_spark(spark, sf, 5))
+    knn1 = ev.clf_metrics(_knn_spark(spark, sf, 1))
+    lin = ev.reg_metrics(_lin_spark(spark, sf)[1])
+    rows = [runs.run_row(knn5, "knn", "classification", "label", {"n_neighbors": 5}, "run_knn5"),
+            runs.run_row(knn1, "knn", "classification", "label", {"n_neighbors": 1}, "run_knn1"),
+            runs.run_row(lin, "linear_regression", "regression", "p_retailprice", {}, "run_lin")]
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.unionByName(r)
+    return out
+
+
+def _runs_sql() -> str:
+    def clf(k, rid):
+        return f"""SELECT '{rid}' AS run_id, 'knn' AS model_name, 'classification' AS problem_type,
+          accuracy, precision, recall, f1_score, CAST(NULL AS DOUBLE) AS mse,
+          CAST(NULL AS DOUBLE) AS rmse, CAST(NULL AS DOUBLE) AS mae, CAST(NULL AS DOUBLE) AS r2_score
+          FROM ({_clf_metrics_sql(_knn_sql(k))})"""
+    reg = f"""SELECT 'run_lin' AS run_id, 'linear_regression' AS model_name,
+      'regression' AS problem_type, CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE),
+      CAST(NULL AS DOUBLE), mse, rmse, mae, r2_score FROM (WITH p AS {_lin_sql()},
+      m AS (SELECT avg(label) AS mu FROM p) SELECT round(avg((label - prediction) ^ 2), 6) AS mse,
+      round(sqrt(avg((label - prediction) ^ 2)), 6) AS rmse,
+      round(avg(abs(label - prediction)), 6) AS mae,
+      round(1 - sum((label - prediction) ^ 2) / sum((label - mu) ^ 2), 6) AS r2_score FROM p, m)"""
+    return f"({clf(5, 'run_knn5')} UNION ALL {clf(1, 'run_knn1')} UNION ALL {reg})"
+
+
+_MET = ["accuracy", "precision", "recall", "f1_score", "mse", "rmse", "mae", "r2_score"]
+
+
+@query("model_summary", f"""
+SELECT run_id, model_name, problem_type,
+  CASE WHEN problem_type = 'classification' THEN 'accuracy' ELSE 'r2_score' END AS primary_metric,
+  CASE WHEN problem_type = 'classification' THEN accuracy ELSE r2_score END AS value,
+  CASE WHEN problem_type = 'classification' THEN 'label' ELSE 'p_retailprice' END AS target
+FROM {_runs_sql()}""")
+def q_model_summary(spark, sf):
+    """V11 primary metric per run (kNN k=5, k=1 and least squares)."""
+    return runs.model_summary(_runs_spark(spark, sf))
+
+
+@query("model_comparison", f"""
+WITH r AS {_runs_sql()},
+b AS (SELECT problem_type, {', '.join(f"{'max' if m in runs.HIGHER_IS_BETTER else 'min'}({m}) AS b_{m}" for m in _MET)}
+      FROM r GROUP BY problem_type)
+SELECT run_id, model_name, r.problem_type, {', '.join(_MET)},
+  {', '.join(f"coalesce({m} IS NOT NULL AND {m} = b_{m}, FALSE) AS best_{m}" for m in _MET)}
+FROM r JOIN b ON r.problem_type = b.problem_type""")
+def q_model_comparison(spark, sf):
+    """V12 one row per run; best marked by max (min for error metrics)."""
+    return runs.model_comparison(_runs_spark(spark, sf), _MET)
+
+
+@query("model_runs")
+def q_model_runs(spark, sf):
+    """Record the runs in the registry table and read them back."""
+    from ..sources.ingest import scratch_path
+    path = scratch_path(spark, "runs")
+    runs.clear_runs(spark, path)
+    runs.record_run(spark, _runs_spark(spark, sf), path)
+    return runs.load_runs(spark, path)
+
+
+# ---------------------------------------------------------------- E1-E11 fits (rows checks)
+
+def _emb_features(spark, sf):
+    e = table(spark, sf, "embeddings")
+    return e.select("vec_id", "label", *[F.col("embedding")[i].cast("double").alias(f"f{i}")
+                                         for i in range(64)])
+
+
+def _train_query(model_name, problem_type="classification", binary=False, params="{}",
+                 cv=False, regression_src=False):
+    def fn(spark, sf):
+        if regression_src:
+            df = table(spark, sf, "orders").select(
+                "o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority",
+                F.col("o_totalprice"))
+            res = train(df, "o_totalprice", model_name, params, "regression", key="o_orderkey",
+                        run_cv=cv)
+        else:
+            df = _emb_features(spark, sf)
+            if binary:
+                df = df.withColumn("label", (F.col("label") < 5).cast("int"))
+            res = train(df, "label", model_name, params, problem_type, key="vec_id", run_cv=cv)
+        m = res.metrics
+        return m.select(F.lit(model_name).alias("model_name"), F.lit(res.train_size).alias("train_size"),
+                        F.lit(res.test_size).alias("test_size"), "*")
+    fn.__doc__ = f"E: fit {model_name} ({problem_type}) and score the test part (rows check)."
+    return fn
+
+
+for _name, _kw in {
+    "train_logistic_regression": dict(model_name="logistic_regression", cv=True),
+    "train_decision_tree": dict(model_name="decision_tree"),
+    "train_random_forest": dict(model_name="random_forest", binary=True),
+    "train_gradient_boosting": dict(model_name="gradient_boosting", binary=True),
+    "train_xgboost": dict(model_name="xgboost", binary=True),
+    "train_svm_linear": dict(model_name="svm", binary=True, params='{"kernel": "linear"}'),
+    "train_svm_rbf": dict(model_name="svm", binary=True),
+    "train_knn": dict(model_name="knn"),
+    "train_linear_regression": dict(model_name="linear_regression", regression_src=True),
+    "train_ridge": dict(model_name="ridge", regression_src=True),
+    "train_lasso": dict(model_name="lasso", regression_src=True),
+    "train_random_forest_regressor": dict(model_name="random_forest", regression_src=True),
+    "train_decision_tree_regressor": dict(model_name="decision_tree", regression_src=True),
+    "train_gbt_regressor": dict(model_name="gradient_boosting", regression_src=True),
+    "train_svr": dict(model_name="svr", regression_src=True),
+}.items():
+    query(_name)(_train_query(**_kw))
+
+
+@query("model_catalogue")
+def q_model_catalogue(spark, sf):
+    """M7 catalogue as rows (bounded, from the schema of the problem types)."""
+    rows = [(t, k, v) for t in ("classification", "regression")
+            for k, v in est.available_models(t).items()]
+    return spark.createDataFrame(rows, "problem_type string, model string, label string")
