@@ -15,6 +15,8 @@ Mappings (documented approximations are marked):
 * svr: random Fourier features + linear regression with an epsilon-insensitive
   loss is not in MLlib; approximated by RFF + least squares with L2 = 1/(C n).
 * knn: exact, see ``knn.py`` (not an MLlib estimator).
+* solver tolerances follow the reference library defaults (1e-4 logistic,
+  1e-3 support vector machines).
 """
 
 from __future__ import annotations
@@ -33,6 +35,7 @@ from pyspark.ml.regression import (DecisionTreeRegressor, GBTRegressor, LinearRe
                                    RandomForestRegressor)
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 # The reference's model catalogue and default hyperparameters.
 CLASSIFIERS = {
@@ -139,7 +142,7 @@ class RandomFourierFeatures(Transformer):
         w, b, n = self.w, self.b, self.n
         tmp = df.withColumn("__arr", vector_to_array(F.col(self.input_col)))
         cols = tmp.columns
-        schema = tmp.schema.add("__rff", "array<double>")
+        schema = T.StructType(tmp.schema.fields + [T.StructField("__rff", T.ArrayType(T.DoubleType()))])
 
         def run(batches):
             for pdf in batches:
@@ -176,7 +179,8 @@ def build(model_name: str, problem_type: str, params: dict, n_train: int, n_clas
     if problem_type == "classification":
         if model_name == "logistic_regression":
             return LogisticRegression(regParam=1.0 / (float(p["C"]) * n_train), elasticNetParam=0.0,
-                                      standardization=False, maxIter=int(p["max_iter"]), **common)
+                                      standardization=False, maxIter=int(p["max_iter"]),
+                                      tol=float(p.get("tol", 1e-4)), **common)
         if model_name == "random_forest":
             return RandomForestClassifier(numTrees=int(p["n_estimators"]), maxDepth=depth,
                                           minInstancesPerNode=min_inst, seed=seed,
@@ -189,7 +193,8 @@ def build(model_name: str, problem_type: str, params: dict, n_train: int, n_clas
                                 stepSize=float(p["learning_rate"]), seed=seed, **common)
             return gbt if n_classes <= 2 else OneVsRest(classifier=gbt, **common)
         if model_name == "svm":
-            svc = LinearSVC(regParam=1.0 / (float(p["C"]) * n_train), maxIter=200, **common)
+            svc = LinearSVC(regParam=1.0 / (float(p["C"]) * n_train), maxIter=200,
+                            tol=float(p.get("tol", 1e-3)), **common)
             return svc if n_classes <= 2 else OneVsRest(classifier=svc, **common)
         if model_name == "knn":
             return ("knn", int(p["n_neighbors"]), str(p["weights"]))

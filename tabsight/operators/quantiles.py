@@ -122,8 +122,11 @@ def quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float],
                              below=F.col(f"below_{k}"), only=k, sketch=f"sk_{k}",
                              edge_lo=F.col(f"lo_{k}"), edge_hi=F.col(f"hi_{k}"))
         state = state.drop(*[f"{c}_{k}" for k in range(nk) for c in ("below", "inb", "sk")])
+        previous = state
         state = state.cache()
         state.count()
+        if previous is not state:
+            previous.unpersist()
 
     # final pass: per target k, rows below the bracket collapse into ONE group
     # (w = NULL, sorted first) and rows inside it into distinct values, so the

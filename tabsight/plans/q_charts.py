@@ -217,3 +217,13 @@ def q_missing_bars(spark, sf):
     """C12 bars = missing counts per column (same job as ``missing_columns``)."""
     from .data import events_with_nulls
     return profile.missing_columns(events_with_nulls(spark, sf))
+
+
+@query("numeric_card", """
+SELECT 'o_totalprice' AS "column", round(avg(o_totalprice), 6) AS mean,
+  round(quantile_cont(o_totalprice, 0.5), 6) AS median, round(stddev_samp(o_totalprice), 6) AS std,
+  round(skewness(o_totalprice), 6) AS skewness, round(min(o_totalprice), 6) AS min,
+  round(max(o_totalprice), 6) AS max FROM orders""")
+def q_numeric_card(spark, sf):
+    """Statistics card of one column."""
+    return charts.numeric_card(table(spark, sf, "orders"), "o_totalprice")

@@ -365,7 +365,7 @@ def _train_query(model_name, problem_type="classification", binary=False, params
 
 
 for _name, _kw in {
-    "train_logistic_regression": dict(model_name="logistic_regression", cv=True),
+    "train_logistic_regression": dict(model_name="logistic_regression"),
     "train_decision_tree": dict(model_name="decision_tree"),
     "train_random_forest": dict(model_name="random_forest", binary=True),
     "train_gradient_boosting": dict(model_name="gradient_boosting", binary=True),
@@ -384,6 +384,24 @@ for _name, _kw in {
     query(_name)(_train_query(**_kw))
 
 
+@query("cv_scores")
+def q_cv_scores(spark, sf):
+    """V7: 5-fold accuracy of a decision tree on the training part (rows check)."""
+    res = train(_emb_features(spark, sf), "label", "decision_tree", "{}", "classification",
+                key="vec_id", run_cv=True)
+    return res.cv_scores
+
+
+@query("feature_importance")
+def q_feature_importance(spark, sf):
+    """V8/V9: tree importances, descending (top 15 shown by callers)."""
+    res = train(table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus",
+                                                   "o_orderpriority", "o_totalprice"),
+                "o_totalprice", "decision_tree", "{}", "regression", key="o_orderkey",
+                run_cv=False)
+    return res.feature_importance
+
+
 @query("model_catalogue")
 def q_model_catalogue(spark, sf):
     """M7 catalogue as rows (bounded, from the schema of the problem types)."""

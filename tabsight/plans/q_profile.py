@@ -392,3 +392,20 @@ def q_filter_summary(spark, sf):
 def q_filter_preview(spark, sf):
     """P5 first 10 matches by key."""
     return filters.filter_preview(table(spark, sf, "orders"), _PRED, "o_orderkey")
+
+
+@query("tool_dispatch", f"""
+WITH l AS ({_long_sql('events', ['value'], ['event_type'])})
+SELECT event_type, count(v) AS count, round(avg(v), 6) AS mean,
+  round(quantile_cont(v, 0.5), 6) AS median, round(stddev_samp(v), 6) AS std,
+  round(min(v), 6) AS min, round(max(v), 6) AS max,
+  round((SELECT (sum(n * (m - gm) ^ 2) / (count(*) - 1)) / (sum((n - 1) * s2) / (sum(n) - count(*)))
+   FROM (SELECT count(*) AS n, avg(value) AS m, var_samp(value) AS s2,
+           (SELECT avg(value) FROM events) AS gm FROM events GROUP BY event_type)), 6) AS f_statistic
+FROM l GROUP BY event_type""")
+def q_tool_dispatch(spark, sf):
+    """The compare_groups tool found by name (group stats + ANOVA F)."""
+    from .dispatch import analyze
+    out = analyze(table(spark, sf, "events"), "compare_groups", group_column="event_type",
+                  value_column="value")
+    return out.drop("p_value", "significant")
