@@ -88,21 +88,23 @@ def quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float],
                   F.percentile_approx("v", gp, accuracy).alias("sk")))
     # bounded: one row per (group, column)
     stats = stats.cache()
-    n_state = stats.count() if by else len(columns)
+    n_state = None if by else len(columns)
 
-    # target ranks
-    state = stats
+    # target ranks (one projection: chained withColumn re-analyses the plan each time)
+    ranks = []
     for k, p in enumerate(probs):
         pos = (F.col("n") - 1).cast("double") * F.lit(p)
-        state = (state.withColumn(f"r0_{k}", F.floor(pos))
-                 .withColumn(f"r1_{k}", F.ceil(pos))
-                 .withColumn(f"fr_{k}", pos - F.floor(pos)))
-    state = _bracket(state, nk, grid, slack, base_n=F.col("n"), below=F.lit(0))
+        ranks += [F.floor(pos).alias(f"r0_{k}"), F.ceil(pos).alias(f"r1_{k}"),
+                  (pos - F.floor(pos)).alias(f"fr_{k}")]
+    state = _bracket(stats.select("*", *ranks), nk, grid, slack, base_n=F.col("n"),
+                     below=F.lit(0))
 
     passes = 0
     while True:
-        bound = state.agg(*[F.max(f"bound_{k}") for k in range(nk)]).first()
-        bound = max((b for b in bound if b is not None), default=None)
+        row = state.agg(F.count(F.lit(1)).alias("__n"),
+                        *[F.max(f"bound_{k}") for k in range(nk)]).first()
+        n_state = row["__n"] if n_state is None else n_state
+        bound = max((b for b in list(row)[1:] if b is not None), default=None)
         if bound is None or bound <= gather_limit or passes >= max_passes:
             break
         passes += 1
@@ -133,20 +135,17 @@ def quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float],
     # running count over (group, column, k) gives exact global ranks.
     tcols = [f"{c}_{k}" for k in range(nk) for c in ("lo", "hi", "r0", "r1", "fr")]
     joined = _attach(long, state.select(*keys, *tcols), keys, n_state, limit)
-    lo_arr = F.array(*[F.col(f"lo_{k}") for k in range(nk)])
-    hi_arr = F.array(*[F.col(f"hi_{k}") for k in range(nk)])
     tgt = F.array(*[F.struct(F.lit(k).alias("k"), F.lit(p).alias("p"),
+                             F.col(f"lo_{k}").alias("lo"), F.col(f"hi_{k}").alias("hi"),
                              F.col(f"r0_{k}").alias("r0"), F.col(f"r1_{k}").alias("r1"),
                              F.col(f"fr_{k}").alias("fr"))
                     for k, p in enumerate(probs)])
-    rel = joined.select(*keys, "v", F.explode(F.filter(
-        F.sequence(F.lit(0), F.lit(nk - 1)), lambda k: F.col("v") <= F.get(hi_arr, k)
-    )).alias("k"), lo_arr.alias("__lo"), tgt.alias("__t"))
-    rel = rel.select(*keys, F.get(F.col("__t"), F.col("k")).alias("t"),
-                     F.when(F.col("v") >= F.get(F.col("__lo"), F.col("k")), F.col("v")).alias("w"))
-    tk = ["t.k", "t.p", "t.r0", "t.r1", "t.fr"]
-    grouped = (rel.select(*keys, *[F.col(c).alias(c[2:]) for c in tk], "w")
-               .groupBy(*keys, "k", "p", "r0", "r1", "fr", "w").agg(F.count(F.lit(1)).alias("cnt")))
+    rel = (joined.select(*keys, "v", F.explode(F.filter(tgt, lambda t: F.col("v") <= t["hi"]))
+                         .alias("t"))
+           .select(*keys, "t.k", "t.p", "t.r0", "t.r1", "t.fr",
+                   F.when(F.col("v") >= F.col("t.lo"), F.col("v")).alias("w")))
+    grouped = rel.groupBy(*keys, "k", "p", "r0", "r1", "fr", "w") \
+        .agg(F.count(F.lit(1)).alias("cnt"))
     w = Window.partitionBy(*keys, "k").orderBy(F.asc_nulls_first("w")) \
         .rowsBetween(Window.unboundedPreceding, 0)
     ranked = (grouped.withColumn("end", F.sum("cnt").over(w))
@@ -171,6 +170,7 @@ def _bracket(state: DataFrame, nk: int, grid: int, slack: float, base_n: Column,
              edge_hi: Column | None = None) -> DataFrame:
     """Pick [lo_k, hi_k] from a sketch on ``grid`` steps over ``base_n`` rows."""
     ks = range(nk) if only is None else [only]
+    new = {}
     for k in ks:
         m = base_n.cast("double")
         r0 = F.col(f"r0_{k}") - below
@@ -183,10 +183,11 @@ def _bracket(state: DataFrame, nk: int, grid: int, slack: float, base_n: Column,
         hi = F.when(j_hi >= grid, F.col("vmax") if edge_hi is None else edge_hi) \
             .otherwise(F.get(F.col(sketch), j_hi))
         bound = F.least(m, (j_hi - j_lo).cast("double") * m / grid + 2 * err)
-        state = (state.withColumn(f"lo_{k}", F.when(m > 0, lo))
-                 .withColumn(f"hi_{k}", F.when(m > 0, hi))
-                 .withColumn(f"bound_{k}", F.when(m > 0, bound).otherwise(F.lit(0.0))))
-    return state
+        new[f"lo_{k}"] = F.when(m > 0, lo)
+        new[f"hi_{k}"] = F.when(m > 0, hi)
+        new[f"bound_{k}"] = F.when(m > 0, bound).otherwise(F.lit(0.0))
+    keep = [F.col(c) for c in state.columns if c not in new]
+    return state.select(*keep, *[e.alias(n) for n, e in new.items()])
 
 
 def median(df: DataFrame, columns: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
