@@ -135,7 +135,9 @@ def shapiro(df: DataFrame, columns: Sequence[str] | None = None, order_by: str |
     planned as a partial WindowGroupLimit, so each group ships <= cap rows."""
     by = list(by)
     columns = list(columns) if columns is not None else numeric_columns(df, tuple(by))
-    order = F.col(order_by) if order_by else F.monotonically_increasing_id()
+    # Spark has no file order: without a key the "first" values are taken in a
+    # deterministic content-hash order, stable under task retries
+    order = F.col(order_by) if order_by else F.xxhash64(*[F.col(c) for c in df.columns])
     base = df.select(*by, order.alias("__o"),
                      *[clean_double(c).alias(f"__c{i}") for i, c in enumerate(columns)])
     parts = []

@@ -28,7 +28,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import clean_double
-from ..session import broadcast_row_limit
+from ..session import broadcast_row_limit, checkpoint_dir
 
 
 def long_values(df: DataFrame, columns: Sequence[str], by: Sequence[str] = (),
@@ -124,11 +124,10 @@ def quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float],
                              below=F.col(f"below_{k}"), only=k, sketch=f"sk_{k}",
                              edge_lo=F.col(f"lo_{k}"), edge_hi=F.col(f"hi_{k}"))
         state = state.drop(*[f"{c}_{k}" for k in range(nk) for c in ("below", "inb", "sk")])
-        previous = state
-        state = state.cache()
-        state.count()
-        if previous is not state:
-            previous.unpersist()
+        # the state is one row per (group, column): checkpoint it to the shared
+        # folder so the lineage of the refinement loop stays one pass deep
+        checkpoint_dir(spark)
+        state = state.checkpoint(eager=True)
 
     # final pass: per target k, rows below the bracket collapse into ONE group
     # (w = NULL, sorted first) and rows inside it into distinct values, so the

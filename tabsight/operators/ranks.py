@@ -9,6 +9,10 @@ without an unpartitioned window.
    number of range partitions x columns; a window over it gives each
    partition's starting offset, broadcast back.
 
+The range-partitioned table is checkpointed (shared checkpoint folder) before
+its partition ids are used twice, so both uses see one materialised layout
+and a lost executor cannot re-sample the ranges.
+
 rank = offset + (running count before the value) + (count + 1) / 2.
 """
 
@@ -19,6 +23,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import checkpoint_dir
 from .quantiles import long_values
 
 
@@ -32,7 +37,10 @@ def average_ranks(df: DataFrame, columns: Sequence[str], partitions: int | None
               .withColumn("pid", F.spark_partition_id()))
     w = Window.partitionBy("pid", "column").orderBy("v") \
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    local = ranged.withColumn("run", F.sum("cnt").over(w))
+    # materialise once: the running counts and the partition totals must see
+    # the SAME range partition ids (a re-sampled range would shift them)
+    checkpoint_dir(spark)
+    local = ranged.withColumn("run", F.sum("cnt").over(w)).checkpoint(eager=True)
     totals = local.groupBy("pid", "column").agg(F.max("run").alias("ptot"))
     wo = Window.partitionBy("column").orderBy("pid") \
         .rowsBetween(Window.unboundedPreceding, -1)
@@ -57,7 +65,8 @@ def positions(df: DataFrame, order: Sequence[str], by: Sequence[str] = (),
     ranged = df.repartitionByRange(p, *by, *order).withColumn("__pid", F.spark_partition_id())
     w = Window.partitionBy("__pid", *by).orderBy(*order) \
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    local = ranged.withColumn("__run", F.count(F.lit(1)).over(w))
+    checkpoint_dir(spark)
+    local = ranged.withColumn("__run", F.count(F.lit(1)).over(w)).checkpoint(eager=True)
     totals = local.groupBy("__pid", *by).agg(F.max("__run").alias("__ptot"))
     wo = Window.partitionBy(*by).orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1) \
         if by else Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
