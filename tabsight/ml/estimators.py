@@ -139,6 +139,8 @@ class RandomFourierFeatures(Transformer):
         self.input_col, self.output_col, self.n = input_col, output_col, n_features
 
     def _transform(self, df: DataFrame) -> DataFrame:
+        from ..session import ship_package
+        ship_package(df.sparkSession)
         w, b, n = self.w, self.b, self.n
         tmp = df.withColumn("__arr", vector_to_array(F.col(self.input_col)))
         cols = tmp.columns

@@ -20,6 +20,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.ranks import positions
+from ..session import ship_package
 
 
 def _features(df: DataFrame, features: str | Sequence[str]):
@@ -64,6 +65,7 @@ def knn_predict(train: DataFrame, test: DataFrame, key: str, features: str | Seq
                 label: str, k: int = 5, weights: str = "uniform", task: str = "classification",
                 block: int = 4096) -> DataFrame:
     """Predictions for every test row: (key, prediction)."""
+    ship_package(train.sparkSession)
     tr = train.select(F.col(key).alias("id"), _features(train, features).alias("x"),
                       F.col(label).cast("double").alias("y"))
     te = test.select(F.col(key).alias("test_id"), _features(test, features).alias("x"))

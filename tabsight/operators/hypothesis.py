@@ -13,6 +13,7 @@ from pyspark.sql import types as T
 
 from ..functions.columns import clean_double, numeric_columns
 from ..functions.special import f_sf, norm_ppf, norm_sf
+from ..session import ship_package
 from .profile import numeric_moments, with_scalars
 
 
@@ -28,6 +29,7 @@ def anova_oneway(df: DataFrame, group: str, value: str) -> DataFrame:
 
     Per-group n, mean, variance come from one aggregate (one row per group);
     SSB uses the grand mean in a second step (better than the one-step form)."""
+    ship_package(df.sparkSession)
     v = clean_double(value)
     g = (df.where(F.col(group).isNotNull() & v.isNotNull())
          .groupBy(group).agg(F.count(F.lit(1)).alias("n"), F.avg(v).alias("m"),
@@ -133,6 +135,7 @@ def shapiro(df: DataFrame, columns: Sequence[str] | None = None, order_by: str |
 
     The cap is part of the test's definition; ``row_number() <= cap`` is
     planned as a partial WindowGroupLimit, so each group ships <= cap rows."""
+    ship_package(df.sparkSession)
     by = list(by)
     columns = list(columns) if columns is not None else numeric_columns(df, tuple(by))
     # Spark has no file order: without a key the "first" values are taken in a

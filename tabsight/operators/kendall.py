@@ -3,18 +3,22 @@
     tau_b = S / sqrt((n0 - n1)(n0 - n2)),  S = sum_{i<j} sgn(x_i - x_j) sgn(y_i - y_j)
 
 n0 = n(n-1)/2 and the tie terms n1, n2 come from ``groupBy(value).count()``.
-S is split by a grid of value ranges (boundaries from ``percentile_approx``;
-a value heavy enough to be a boundary gets a bucket of its own):
+Rows first collapse to distinct (x, y) points with a count (hot values and
+duplicates cost one row). A group of points larger than the target is split
+in rank space: positions inside the group (``ranks.positions``, range
+partitioned) are cut into equal runs per axis; a value lying in more than one
+run gets a bucket of its own. Then
 
 * pairs in the same x-bucket      -> S of the points in that bucket
 * same y-bucket, other x-bucket   -> S of (x-bucket, y) in that y-bucket
 * different x- and y-buckets      -> S of the bucket grid, weighted by cell counts
 
 Every pair falls in exactly one part (the second part gives 0 to pairs that
-share an x-bucket). Rows first collapse to distinct (x, y) points with a
-count, so duplicates and hot values cost one row. Buckets holding a single
-value contribute 0 and are skipped, so a hot value never becomes a big group.
-Each group runs ``weighted_s`` (numpy, O(s log^2 s)) in ``applyInPandas``.
+share an x-bucket); single-value buckets add 0 and are skipped. The parts are
+new groups, split again while larger than the target (breadth first, one
+union per level, checkpointed). Groups within the target run ``weighted_s``
+(numpy, O(s log^2 s)) in ``applyInPandas``: no task ever holds more than the
+target number of points.
 """
 
 from __future__ import annotations
@@ -22,13 +26,16 @@ from __future__ import annotations
 from collections.abc import Sequence
 from itertools import combinations
 
+import math
+
 import numpy as np
 import pandas as pd
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import clean_double, numeric_columns
+from ..session import checkpoint_dir, ship_package
+from .ranks import positions
 
 
 def weighted_s(a: np.ndarray, b: np.ndarray, w: np.ndarray) -> float:
@@ -81,66 +88,90 @@ def _s_udf(pdf: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"s": [s]})
 
 
-def _splits(bounds: list[float]) -> list[float]:
-    """[-inf, b0, next(b0), b1, next(b1), ..., +inf]: each boundary value gets a
-    bucket of its own (even index > 0 means 'exactly this value')."""
-    out = [-np.inf]
-    for b in sorted(set(float(x) for x in bounds if x is not None)):
-        for v in (b, float(np.nextafter(b, np.inf))):
-            if v > out[-1]:
-                out.append(v)
-    out.append(np.inf)
-    return out
-
-
-def _points(splits: list[float]) -> list[float]:
-    return [float(i) for i in range(len(splits) - 1)
-            if splits[i + 1] == float(np.nextafter(splits[i], np.inf))]
-
-
 def _group_s(points: DataFrame, key: str, a: str, b: str) -> DataFrame:
+    ship_package(points.sparkSession)
     return (points.select(F.col(key).alias("g"), F.col(a).cast("double").alias("a"),
                           F.col(b).cast("double").alias("b"), F.col("w").cast("double").alias("w"))
             .groupBy("g").applyInPandas(_s_udf, "s double"))
 
 
+def _rank_buckets(pts: DataFrame, a: str, b: str, m: int, out: str) -> DataFrame:
+    """Per group g: order points by (a, b), cut positions into m equal runs; a
+    value of ``a`` lying in more than one run gets a bucket of its own.
+    Bucket ids follow the order of ``a``: 2c for a range, 2c+1 for a single value."""
+    sizes = pts.groupBy("g").agg(F.count(F.lit(1)).alias("__s"))
+    p = positions(pts, [a, b], by=["g"]).join(sizes, "g")
+    width = F.ceil(F.col("__s") / F.lit(m))
+    p = p.withColumn("__c", F.floor((F.col("pos") - 1) / width).cast("long"))
+    span = p.groupBy("g", a).agg(F.min("__c").alias("__cmin"), F.max("__c").alias("__cmax"))
+    return (p.join(span, ["g", a])
+            .withColumn(out, 2 * F.col("__cmin") + F.when(F.col("__cmax") > F.col("__cmin"), 1)
+                        .otherwise(0))
+            .drop("pos", "__s", "__c", "__cmin", "__cmax"))
+
+
+def _total_s(points: DataFrame, target: int, m: int, max_levels: int = 8) -> float:
+    """sum over groups g of S(points of g), recursing on groups above ``target``."""
+    total = 0.0
+    level = 0
+    while True:
+        sizes = points.groupBy("g").agg(F.count(F.lit(1)).alias("__s")).cache()
+        big = sizes.where(F.col("__s") > target).select("g")
+        n_big = big.count()
+        small = points.join(big, "g", "left_anti") if n_big else points
+        part = _group_s(small, "g", "a", "b").agg(F.sum("s")).first()[0]
+        total += float(part or 0.0)
+        if n_big == 0:
+            return total
+        if level >= max_levels:
+            raise RuntimeError("Kendall decomposition did not converge")
+        level += 1
+        pts = points.join(big, "g", "left_semi")
+        pts = _rank_buckets(pts, "a", "b", m, "ba")
+        pts = _rank_buckets(pts, "b", "a", m, "bb")
+        g = F.col("g")
+        # pairs in one x-range, pairs in one y-range across x-ranges, and the grid
+        sx = pts.where(F.col("ba") % 2 == 0).select(
+            F.concat(g, F.lit("/x"), F.col("ba").cast("string")).alias("g"), "a", "b", "w")
+        sy = pts.where(F.col("bb") % 2 == 0).select(
+            F.concat(g, F.lit("/y"), F.col("bb").cast("string")).alias("g"),
+            F.col("ba").cast("double").alias("a"), "b", "w")
+        sc = pts.groupBy("g", "ba", "bb").agg(F.sum("w").alias("w")).select(
+            F.concat(g, F.lit("/c")).alias("g"), F.col("ba").cast("double").alias("a"),
+            F.col("bb").cast("double").alias("b"), "w")
+        points = sx.unionByName(sy).unionByName(sc)
+        checkpoint_dir(points.sparkSession)
+        points = points.checkpoint(eager=True)
+        sizes.unpersist()
+
+
 def kendall_pair(df: DataFrame, x: str, y: str, target_group: int = 50_000,
-                 max_buckets: int = 1000) -> DataFrame:
-    """One row: n, s, n1, n2, tau (tau-b on pairwise-complete rows)."""
+                 buckets: int | None = None) -> DataFrame:
+    """One row: n, s, n1, n2, tau (tau-b on pairwise-complete rows).
+
+    Groups above ``target_group`` distinct points are split recursively with
+    ``buckets`` runs per axis (default: about sqrt(target)/2, so the grid of one
+    group, at most (2 buckets + 1)^2 cells, fits the target itself)."""
+    m = buckets or max(2, int(math.sqrt(target_group) / 2))
     pts = (df.select(clean_double(x).alias("x"), clean_double(y).alias("y"))
            .where(F.col("x").isNotNull() & F.col("y").isNotNull())
-           .groupBy("x", "y").agg(F.count(F.lit(1)).alias("w"))).cache()
-    stat = pts.agg(F.sum("w").alias("n"), F.count(F.lit(1)).alias("d")).first()
-    n = int(stat["n"] or 0)
-    d = int(stat["d"] or 0)
-    m = int(min(max_buckets, max(1, d // target_group)))
-    if m <= 1:
-        one = pts.select(F.lit(0).alias("g"), "x", "y", "w")
-        s_df = _group_s(one, "g", "x", "y").agg(F.sum("s").alias("s"))
-    else:
-        grid = [j / m for j in range(1, m)]
-        qs = pts.agg(F.percentile_approx("x", grid, 10 * m).alias("bx"),
-                     F.percentile_approx("y", grid, 10 * m).alias("by")).first()
-        sx, sy = _splits(qs["bx"]), _splits(qs["by"])
-        bz = Bucketizer(splitsArray=[sx, sy], inputCols=["x", "y"], outputCols=["bx", "by"])
-        grid_pts = bz.transform(pts)
-        # single-value buckets hold only ties on that axis: they add 0
-        s_x = _group_s(grid_pts.where(~F.col("bx").isin(_points(sx))), "bx", "x", "y")
-        s_y = _group_s(grid_pts.where(~F.col("by").isin(_points(sy))), "by", "bx", "y")
-        cells = (grid_pts.groupBy("bx", "by").agg(F.sum("w").alias("w"))
-                 .withColumn("g", F.lit(0)))
-        s_c = _group_s(cells, "g", "bx", "by")
-        s_df = s_x.unionByName(s_y).unionByName(s_c).agg(F.sum("s").alias("s"))
+           .groupBy("x", "y").agg(F.count(F.lit(1)).alias("w")))
+    checkpoint_dir(df.sparkSession)
+    pts = pts.checkpoint(eager=True)
+    n = int(pts.agg(F.sum("w")).first()[0] or 0)
+    s_total = _total_s(pts.select(F.lit("0").alias("g"), F.col("x").alias("a"),
+                                  F.col("y").alias("b"), F.col("w").cast("double").alias("w")),
+                       target_group, m)
     ties_x = pts.groupBy("x").agg(F.sum("w").alias("t")).agg(
         F.sum(F.col("t") * (F.col("t") - 1) / 2.0).alias("n1"))
     ties_y = pts.groupBy("y").agg(F.sum("w").alias("t")).agg(
         F.sum(F.col("t") * (F.col("t") - 1) / 2.0).alias("n2"))
     from .profile import with_scalars
-    out = with_scalars(with_scalars(s_df, ties_x), ties_y)
+    out = with_scalars(ties_x, ties_y)
     n0 = float(n) * (n - 1) / 2.0
     den = F.sqrt((F.lit(n0) - F.col("n1")) * (F.lit(n0) - F.col("n2")))
-    return out.select(F.lit(n).cast("bigint").alias("n"), F.round("s").alias("s"), "n1", "n2",
-                      F.try_divide(F.col("s"), den).alias("tau"))
+    return out.select(F.lit(n).cast("bigint").alias("n"), F.lit(float(round(s_total))).alias("s"),
+                      "n1", "n2", F.try_divide(F.lit(float(round(s_total))), den).alias("tau"))
 
 
 def kendall_long(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:

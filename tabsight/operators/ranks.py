@@ -72,7 +72,14 @@ def positions(df: DataFrame, order: Sequence[str], by: Sequence[str] = (),
         if by else Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.withColumn("__off", F.coalesce(F.sum("__ptot").over(wo), F.lit(0))) \
         .select("__pid", *by, "__off")
-    return (local.join(F.broadcast(offsets), ["__pid", *by])
+    if by:
+        # one row per (partition, group) present: broadcast only below the limit
+        from ..session import broadcast_row_limit
+        if offsets.count() <= broadcast_row_limit(spark):
+            offsets = F.broadcast(offsets)
+    else:
+        offsets = F.broadcast(offsets)          # at most one row per partition
+    return (local.join(offsets, ["__pid", *by])
             .withColumn("pos", F.col("__off") + F.col("__run"))
             .drop("__pid", "__run", "__off"))
 

@@ -50,3 +50,28 @@ def checkpoint_dir(spark: SparkSession) -> str:
 def broadcast_row_limit(spark: SparkSession) -> int:
     """Row count under which a derived (small) table may be broadcast."""
     return int(spark.conf.get("tabsight.broadcastRowLimit", "200000"))
+
+
+_SHIPPED: set[int] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``tabsight`` importable in Python workers (grouped pandas functions
+    pickle their functions by module). Zips the package once per SparkContext
+    and adds it with ``addPyFile``, the standard way to ship Python code."""
+    sc = spark.sparkContext
+    key = id(sc._jsc) if getattr(sc, "_jsc", None) is not None else id(sc)
+    if key in _SHIPPED:
+        return
+    import zipfile
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    fd, path = tempfile.mkstemp(prefix="tabsight-", suffix=".zip")
+    os.close(fd)
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for root, _, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(root, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
+    sc.addPyFile(path)
+    _SHIPPED.add(key)
