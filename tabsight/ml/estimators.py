@@ -195,7 +195,7 @@ def build(model_name: str, problem_type: str, params: dict, n_train: int, n_clas
                                 stepSize=float(p["learning_rate"]), seed=seed, **common)
             return gbt if n_classes <= 2 else OneVsRest(classifier=gbt, **common)
         if model_name == "svm":
-            svc = LinearSVC(regParam=1.0 / (float(p["C"]) * n_train), maxIter=200,
+            svc = LinearSVC(regParam=1.0 / (float(p["C"]) * n_train), maxIter=100,
                             tol=float(p.get("tol", 1e-3)), **common)
             return svc if n_classes <= 2 else OneVsRest(classifier=svc, **common)
         if model_name == "knn":

@@ -64,12 +64,13 @@ def _attach(data: DataFrame, state: DataFrame, keys: list[str], small_rows: int
 def quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float],
               by: Sequence[str] = (), *, accuracy: int = 10_000, grid: int = 200,
               gather_limit: int = 200_000, max_passes: int = 12,
-              wide: bool = False) -> DataFrame:
+              wide: bool = False, exact: bool = True) -> DataFrame:
     """Exact linear-interpolated quantiles.
 
     Returns ``(by..., column, p, value)`` (or, with ``wide=True``,
     ``(by..., column, q_<k>...)`` one column per probability index ``k``).
-    Columns with no non-null value get NULL.
+    Columns with no non-null value get NULL. ``exact=False`` returns the
+    one-pass ``percentile_approx`` answer (rank error <= n / accuracy).
     """
     by = list(by)
     probs = [float(p) for p in probs]
@@ -80,6 +81,14 @@ def quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float],
     long = long_values(df, columns, by)
     keys = by + ["column"]
     nk = len(probs)
+    if not exact:
+        approx = long.groupBy(*keys).agg(F.percentile_approx("v", probs, accuracy).alias("__q"))
+        if wide:
+            return approx.select(*keys, *[F.get(F.col("__q"), k).alias(f"q_{k}")
+                                          for k in range(nk)])
+        return approx.select(*keys, F.posexplode("__q").alias("__k", "value")) \
+            .select(*keys, F.get(F.array(*[F.lit(p) for p in probs]), F.col("__k")).alias("p"),
+                    "value")
     gp = [j / grid for j in range(grid + 1)]
     slack = 1.0 / accuracy
 

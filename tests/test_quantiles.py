@@ -48,3 +48,12 @@ def test_partition_count_invariance(spark):
     a = quantiles(df.repartition(1), ["x"], [0.37]).collect()[0]["value"]
     b = quantiles(df.repartition(7), ["x"], [0.37]).collect()[0]["value"]
     assert a == b == pytest.approx(np.quantile(vals, 0.37))
+
+
+def test_approximate_mode_within_rank_error(spark):
+    rng = np.random.default_rng(4)
+    vals = rng.normal(size=5000)
+    df = _frame(spark, vals)
+    r = quantiles(df, ["x"], [0.5], exact=False, accuracy=1000).collect()[0]["value"]
+    rank = (vals < r).sum()
+    assert abs(rank - 2500) <= 5000 / 1000 + 1
