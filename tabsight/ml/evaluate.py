@@ -120,3 +120,8 @@ def residual_hist(pred: DataFrame, key: str, bins: int = 30, label: str = "label
                   prediction: str = "prediction") -> DataFrame:
     """V6 histogram of residuals (all test rows)."""
     return histogram(residuals(pred, key, label, prediction), "residual", bins)
+
+
+def top_importances(importance: DataFrame, k: int = 15) -> DataFrame:
+    """V9: the k largest feature importances."""
+    return importance.orderBy(F.desc("importance"), "feature").limit(k)

@@ -156,8 +156,9 @@ def kendall_pair(df: DataFrame, x: str, y: str, target_group: int = 50_000,
     pts = (df.select(clean_double(x).alias("x"), clean_double(y).alias("y"))
            .where(F.col("x").isNotNull() & F.col("y").isNotNull())
            .groupBy("x", "y").agg(F.count(F.lit(1)).alias("w")))
-    checkpoint_dir(df.sparkSession)
-    pts = pts.checkpoint(eager=True)
+    # shallow lineage (scan + one aggregate): cached; the recursion levels below
+    # are checkpointed because their lineage grows
+    pts = pts.cache()
     n = int(pts.agg(F.sum("w")).first()[0] or 0)
     s_total = _total_s(pts.select(F.lit("0").alias("g"), F.col("x").alias("a"),
                                   F.col("y").alias("b"), F.col("w").cast("double").alias("w")),

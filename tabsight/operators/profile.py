@@ -103,9 +103,20 @@ def top_k(counts: DataFrame, k: int, by: Sequence[str] = ()) -> DataFrame:
     return counts.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def distinct_counts(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """(column, unique) from the value-count job (NULL not counted)."""
+def distinct_counts(df: DataFrame, columns: Sequence[str] | None = None,
+                    approx: bool = False, rsd: float = 0.01) -> DataFrame:
+    """(column, unique) from the value-count job (NULL not counted).
+
+    ``approx=True``: one aggregate of HyperLogLog++ sketches (relative error
+    ``rsd``) instead of a shuffle of every distinct value - for very wide or
+    very high-cardinality tables."""
     columns = list(columns) if columns is not None else df.columns
+    if approx:
+        agg = df.agg(*[F.approx_count_distinct(_as_text(df, c), rsd).alias(f"u{i}")
+                       for i, c in enumerate(columns)])
+        return _explode_structs(agg, [], [F.struct(F.lit(c).alias("column"),
+                                                   F.col(f"u{i}").alias("unique"))
+                                          for i, c in enumerate(columns)])
     return value_counts(df, columns).groupBy("column").agg(F.count(F.lit(1)).alias("unique"))
 
 
@@ -153,10 +164,10 @@ def overview(df: DataFrame) -> DataFrame:
 
 # ---------------------------------------------------------------- A2
 
-def column_profile(df: DataFrame) -> DataFrame:
+def column_profile(df: DataFrame, approx: bool = False) -> DataFrame:
     """A2: (column, ordinal, dtype, missing, missing_percentage, unique, unique_percentage)."""
     nulls = null_counts(df)
-    uniq = distinct_counts(df)
+    uniq = distinct_counts(df, approx=approx)
     return (nulls.join(uniq, "column", "left")
             .withColumn("unique", F.coalesce(F.col("unique"), F.lit(0)).cast("bigint"))
             .select("column", "ordinal", "dtype", "missing",

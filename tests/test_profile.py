@@ -112,3 +112,9 @@ def test_percentages_bounded(people):
     for r in profile.column_profile(people).collect():
         assert 0 <= r["missing_percentage"] <= 100 and 0 <= r["unique_percentage"] <= 100
     assert not math.isnan(profile.overview(people).first()["missing_percentage"])
+
+
+def test_approximate_distinct_counts(people):
+    exact = {r["column"]: r["unique"] for r in profile.distinct_counts(people).collect()}
+    approx = {r["column"]: r["unique"] for r in profile.distinct_counts(people, approx=True).collect()}
+    assert exact == approx                       # tiny cardinalities are exact in HLL++
