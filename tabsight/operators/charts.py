@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import categorical_columns, clean_double, numeric_columns
 from .profile import numeric_moments, top_k, value_counts, with_scalars
+from ..session import checkpoint_dir
 from .quantiles import long_values, quantiles
 
 
@@ -130,7 +131,8 @@ def boxplot(df: DataFrame, columns: Sequence[str] | str | None = None,
         columns = subset(columns, numeric_columns(df, tuple(by)))
     cols = list(columns) if columns is not None else numeric_columns(df, tuple(by))
     keys = by + ["column"]
-    q = quantiles(df, cols, [0.25, 0.5, 0.75], by, wide=True)
+    checkpoint_dir(df.sparkSession)
+    q = quantiles(df, cols, [0.25, 0.5, 0.75], by, wide=True).checkpoint(eager=True)
     b = (q.select(*keys, F.col("q_0").alias("q1"), F.col("q_1").alias("median"),
                   F.col("q_2").alias("q3"))
          .withColumn("iqr", F.col("q3") - F.col("q1"))

@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import clean_double, numeric_columns, subset
-from ..session import broadcast_row_limit
+from ..session import broadcast_row_limit, checkpoint_dir
 from .profile import _pct, with_scalars
 from .quantiles import iqr_bounds, long_values
 
@@ -34,7 +34,10 @@ def outlier_report(df: DataFrame, columns: str | Sequence[str] | None = None,
         raise ValueError("denominator must be 'all' or 'valid'")
     by = list(by)
     cols = subset(columns, numeric_columns(df, tuple(by)))
-    bounds = iqr_bounds(df, cols, by, factor)
+    # bounds: one row per (group, column); materialised once because both the
+    # counting pass and the output use them
+    checkpoint_dir(df.sparkSession)
+    bounds = iqr_bounds(df, cols, by, factor).checkpoint(eager=True)
     long = long_values(df, cols, by)
     keys = by + ["column"]
     # one row per column (ungrouped): size fixed by the schema -> broadcast

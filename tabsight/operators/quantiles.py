@@ -95,8 +95,10 @@ def quantiles(df: DataFrame, columns: Sequence[str], probs: Sequence[float],
     stats = (long.groupBy(*keys)
              .agg(F.count("v").alias("n"), F.min("v").alias("vmin"), F.max("v").alias("vmax"),
                   F.percentile_approx("v", gp, accuracy).alias("sk")))
-    # bounded: one row per (group, column)
-    stats = stats.cache()
+    # bounded: one row per (group, column); materialised once in the shared
+    # checkpoint folder (no executor memory held, lineage cut for later passes)
+    checkpoint_dir(spark)
+    stats = stats.checkpoint(eager=True)
     n_state = None if by else len(columns)
 
     # target ranks (one projection: chained withColumn re-analyses the plan each time)
