@@ -139,7 +139,10 @@ def boxplot(df: DataFrame, columns: Sequence[str] | str | None = None,
          .withColumn("lower_bound", F.col("q1") - 1.5 * F.col("iqr"))
          .withColumn("upper_bound", F.col("q3") + 1.5 * F.col("iqr")))
     long = long_values(df, cols, by)
-    bounds = F.broadcast(b) if not by else b
+    # one row per (group, column): broadcast after checking its (materialised) size
+    from ..session import broadcast_row_limit
+    small = not by or q.count() <= broadcast_row_limit(df.sparkSession)
+    bounds = F.broadcast(b) if small else b
     inside = (F.col("v") >= F.col("lower_bound")) & (F.col("v") <= F.col("upper_bound"))
     w = (long.join(bounds.select(*keys, "lower_bound", "upper_bound"), keys)
          .groupBy(*keys)
