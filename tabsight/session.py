@@ -41,6 +41,12 @@ def checkpoint_dir(spark: SparkSession) -> str:
     conf = spark.sparkContext.getConf()
     path = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        master = spark.sparkContext.master or ""
+        if not master.startswith("local"):
+            import warnings
+            warnings.warn("spark.checkpoint.dir is not set; falling back to a driver-local "
+                          "folder, which executors on other machines cannot share. Set "
+                          "spark.checkpoint.dir to a shared file system path.", stacklevel=2)
         path = tempfile.mkdtemp(prefix="tabsight-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
         spark.conf.set("spark.checkpoint.dir", path)
     spark.sparkContext.setCheckpointDir(path)
