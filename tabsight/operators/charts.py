@@ -118,7 +118,7 @@ def kde(df: DataFrame, column: str, gridsize: int = 200, cut: float = 3.0,
     dens = F.col("c") * F.exp(-0.5 * z * z) / (F.col("n") * F.col("h") * math.sqrt(2 * math.pi))
     return (contrib.where(F.col("h") > 0)
             .groupBy("g").agg(F.first(x).alias("x"), F.sum(dens).alias("density"))
-            .select(F.col("g").alias("point"), "x", "density"))
+            .select(F.col("g").cast("bigint").alias("point"), "x", "density"))
 
 
 def boxplot(df: DataFrame, columns: Sequence[str] | str | None = None,

@@ -100,7 +100,8 @@ def _as_text(df: DataFrame, c: str) -> Column:
 def top_k(counts: DataFrame, k: int, by: Sequence[str] = ()) -> DataFrame:
     """Keep the k most frequent values per (by..., column); ties by value asc."""
     w = Window.partitionBy(*by, "column").orderBy(F.desc("count"), F.asc("value"))
-    return counts.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    return (counts.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+            .withColumn("rank", F.col("rank").cast("bigint")))
 
 
 def distinct_counts(df: DataFrame, columns: Sequence[str] | None = None,

@@ -120,7 +120,7 @@ def q_top_n(spark, sf):
 
 
 @query("trend_line", """
-SELECT regr_count(l_extendedprice, l_quantity) AS n,
+SELECT CAST(regr_count(l_extendedprice, l_quantity) AS BIGINT) AS n,
   round(regr_slope(l_extendedprice, l_quantity), 6) AS slope,
   round(regr_intercept(l_extendedprice, l_quantity), 6) AS intercept,
   round(regr_r2(l_extendedprice, l_quantity), 6) AS r2 FROM lineitem""")

@@ -191,11 +191,11 @@ def q_describe(spark, sf):
 @query("distribution_numeric", """
 SELECT 'n_chars' AS "column", count(n_chars) AS count, round(avg(n_chars), 6) AS mean,
   round(quantile_cont(n_chars, 0.5), 6) AS median,
-  round((SELECT n_chars FROM documents GROUP BY n_chars ORDER BY count(*) DESC, n_chars
-         LIMIT 1), 6) AS mode,
+  CAST((SELECT n_chars FROM documents GROUP BY n_chars ORDER BY count(*) DESC, n_chars
+         LIMIT 1) AS DOUBLE) AS mode,
   round(stddev_samp(n_chars), 6) AS std, round(var_samp(n_chars), 4) AS variance,
-  round(min(n_chars), 6) AS min, round(max(n_chars), 6) AS max,
-  round(max(n_chars) - min(n_chars), 6) AS range,
+  CAST(min(n_chars) AS DOUBLE) AS min, CAST(max(n_chars) AS DOUBLE) AS max,
+  CAST(max(n_chars) - min(n_chars) AS DOUBLE) AS range,
   round(quantile_cont(n_chars, 0.25), 6) AS q1, round(quantile_cont(n_chars, 0.5), 6) AS q2,
   round(quantile_cont(n_chars, 0.75), 6) AS q3,
   round(quantile_cont(n_chars, 0.75) - quantile_cont(n_chars, 0.25), 6) AS iqr,
@@ -210,7 +210,7 @@ def q_distribution_numeric(spark, sf):
 WITH c AS (SELECT lang AS value, count(*) AS cnt FROM documents WHERE lang IS NOT NULL GROUP BY 1),
 r AS (SELECT *, row_number() OVER (ORDER BY cnt DESC, value) AS rank FROM c),
 t AS (SELECT sum(cnt) AS nn, count(*) AS u FROM c)
-SELECT 'lang' AS "column", t.nn AS count, t.u AS unique,
+SELECT 'lang' AS "column", CAST(t.nn AS BIGINT) AS count, t.u AS unique,
   (SELECT value FROM r WHERE rank = 1) AS top_value,
   (SELECT cnt FROM r WHERE rank = 1) AS top_frequency,
   round((SELECT cnt FROM r WHERE rank = 1) * 100.0 / t.nn, 6) AS top_percentage,

@@ -146,7 +146,7 @@ WITH g AS (SELECT {g} AS grp, count(*) AS n, avg({v}) AS m, var_samp({v}) AS s2
 t AS (SELECT sum(n) AS N, count(*) AS k, sum(n * m) / sum(n) AS gm FROM g),
 p AS (SELECT sum(g.n * (g.m - t.gm) ^ 2) AS ssb, sum(coalesce((g.n - 1) * g.s2, 0)) AS ssw
       FROM g, t)
-SELECT k AS groups, N AS n, k - 1 AS df_between, N - k AS df_within, round(ssb, {d}) AS ssb,
+SELECT k AS groups, CAST(N AS BIGINT) AS n, k - 1 AS df_between, CAST(N - k AS BIGINT) AS df_within, round(ssb, {d}) AS ssb,
   round(ssw, {d}) AS ssw, round((ssb / (k - 1)) / (ssw / (N - k)), 6) AS f_statistic
 FROM t, p"""
 
