@@ -52,7 +52,7 @@ def pearson_long(df: DataFrame, columns: Sequence[str] | None = None,
     only pairs with NULLs pay for the pairwise-complete form."""
     columns = list(columns) if columns is not None else numeric_columns(df)
     if len(columns) < 2:
-        raise ValueError("Need at least 2 numeric columns for correlation")
+        raise ValueError("a correlation takes two numeric columns or more")
     base = df.select(*[clean_double(c).alias(f"__c{i}") for i, c in enumerate(columns)])
     k = len(columns)
     if known is None:
@@ -133,7 +133,7 @@ def ranked_columns(df: DataFrame, columns: Sequence[str], sizes_out: dict | None
     spark = df.sparkSession
     limit = broadcast_row_limit(spark)
     base = df.select(*[clean_double(c).alias(c) for c in columns])
-    ranks = average_ranks(base, columns).cache()
+    ranks = average_ranks(base, columns)
     sizes = {r["column"]: r["n"] for r in ranks.groupBy("column").count()
              .withColumnRenamed("count", "n").collect()}
     if sizes_out is not None:
@@ -149,7 +149,7 @@ def ranked_columns(df: DataFrame, columns: Sequence[str], sizes_out: dict | None
 def spearman_long(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     columns = list(columns) if columns is not None else numeric_columns(df)
     if len(columns) < 2:
-        raise ValueError("Need at least 2 numeric columns for correlation")
+        raise ValueError("a correlation takes two numeric columns or more")
     complete, rows = _null_free(df, columns)
     if complete:
         sizes: dict = {}

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import clean_double, numeric_columns
-from ..session import checkpoint_dir, ship_package
+from ..session import broadcast_row_limit, checkpoint_dir, ship_package
 from .ranks import positions
 
 
@@ -82,24 +82,22 @@ def weighted_s(a: np.ndarray, b: np.ndarray, w: np.ndarray) -> float:
     return s_pos - within
 
 
-def _s_udf(pdf: pd.DataFrame) -> pd.DataFrame:
+def _s_udf(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     s = weighted_s(pdf["a"].to_numpy(np.float64), pdf["b"].to_numpy(np.float64),
                    pdf["w"].to_numpy(np.float64))
-    return pd.DataFrame({"s": [s]})
+    return pd.DataFrame({"g": [key[0]], "s": [s]})
 
 
-def _group_s(points: DataFrame, key: str, a: str, b: str) -> DataFrame:
+def _group_s(points: DataFrame) -> DataFrame:
     ship_package(points.sparkSession)
-    return (points.select(F.col(key).alias("g"), F.col(a).cast("double").alias("a"),
-                          F.col(b).cast("double").alias("b"), F.col("w").cast("double").alias("w"))
-            .groupBy("g").applyInPandas(_s_udf, "s double"))
+    return points.select("g", *[F.col(c).cast("double").alias(c) for c in ("a", "b", "w")]) \
+        .groupBy("g").applyInPandas(_s_udf, "g string, s double")
 
 
-def _rank_buckets(pts: DataFrame, a: str, b: str, m: int, out: str) -> DataFrame:
+def _rank_buckets(pts: DataFrame, sizes: DataFrame, a: str, b: str, m: int, out: str) -> DataFrame:
     """Per group g: order points by (a, b), cut positions into m equal runs; a
     value of ``a`` lying in more than one run gets a bucket of its own.
     Bucket ids follow the order of ``a``: 2c for a range, 2c+1 for a single value."""
-    sizes = pts.groupBy("g").agg(F.count(F.lit(1)).alias("__s"))
     p = positions(pts, [a, b], by=["g"]).join(sizes, "g")
     width = F.ceil(F.col("__s") / F.lit(m))
     p = p.withColumn("__c", F.floor((F.col("pos") - 1) / width).cast("long"))
@@ -110,25 +108,33 @@ def _rank_buckets(pts: DataFrame, a: str, b: str, m: int, out: str) -> DataFrame
             .drop("pos", "__s", "__c", "__cmin", "__cmax"))
 
 
-def _total_s(points: DataFrame, target: int, m: int, max_levels: int = 8) -> float:
-    """sum over groups g of S(points of g), recursing on groups above ``target``."""
-    total = 0.0
-    level = 0
+def _total_s(points: DataFrame, target: int, m: int) -> dict[str, float]:
+    """root -> sum of S over the root's groups, recursing on groups above ``target``.
+
+    A group's name is its root (one column pair) and the path below it, so all
+    pairs go through the same few jobs."""
+    spark = points.sparkSession
+    checkpoint_dir(spark)
+    total: dict[str, float] = {}
+    largest = None
     while True:
-        sizes = points.groupBy("g").agg(F.count(F.lit(1)).alias("__s")).cache()
-        big = sizes.where(F.col("__s") > target).select("g")
-        n_big = big.count()
+        sizes = points.groupBy("g").agg(F.count(F.lit(1)).alias("__s")).checkpoint(eager=True)
+        big = sizes.where(F.col("__s") > target)
+        n_big, top = big.agg(F.count(F.lit(1)), F.max("__s")).first()
+        if n_big and n_big <= broadcast_row_limit(spark):
+            big = F.broadcast(big)
         small = points.join(big, "g", "left_anti") if n_big else points
-        part = _group_s(small, "g", "a", "b").agg(F.sum("s")).first()[0]
-        total += float(part or 0.0)
-        if n_big == 0:
+        root = F.substring_index("g", "/", 1).alias("root")
+        for r in _group_s(small).groupBy(root).agg(F.sum("s").alias("s")).collect():  # one row a pair
+            total[r["root"]] = total.get(r["root"], 0.0) + float(r["s"] or 0.0)
+        if not n_big:
             return total
-        if level >= max_levels:
-            raise RuntimeError("Kendall decomposition did not converge")
-        level += 1
-        pts = points.join(big, "g", "left_semi")
-        pts = _rank_buckets(pts, "a", "b", m, "ba")
-        pts = _rank_buckets(pts, "b", "a", m, "bb")
+        if largest is not None and top >= largest:
+            raise RuntimeError("a level of the Kendall decomposition made no group smaller")
+        largest = top
+        pts = points.join(big.select("g"), "g", "left_semi")
+        pts = _rank_buckets(pts, big, "a", "b", m, "ba")
+        pts = _rank_buckets(pts, big, "b", "a", m, "bb")
         g = F.col("g")
         # pairs in one x-range, pairs in one y-range across x-ranges, and the grid
         sx = pts.where(F.col("ba") % 2 == 0).select(
@@ -139,10 +145,32 @@ def _total_s(points: DataFrame, target: int, m: int, max_levels: int = 8) -> flo
         sc = pts.groupBy("g", "ba", "bb").agg(F.sum("w").alias("w")).select(
             F.concat(g, F.lit("/c")).alias("g"), F.col("ba").cast("double").alias("a"),
             F.col("bb").cast("double").alias("b"), "w")
-        points = sx.unionByName(sy).unionByName(sc)
-        checkpoint_dir(points.sparkSession)
-        points = points.checkpoint(eager=True)
-        sizes.unpersist()
+        points = sx.unionByName(sy).unionByName(sc).checkpoint(eager=True)
+
+
+def _pairs(df: DataFrame, pairs: Sequence[tuple[str, str]], target_group: int, buckets: int | None) -> DataFrame:
+    """(pair, n, s, n1, n2, tau) for the column pairs, numbered from 0, in one run."""
+    m = buckets or max(2, int(math.sqrt(target_group) / 2))
+    both = F.array(*[F.struct(F.lit(str(k)).alias("g"), clean_double(x).alias("a"), clean_double(y).alias("b"))
+                     for k, (x, y) in enumerate(pairs)])
+    checkpoint_dir(df.sparkSession)
+    pts = df.select(F.explode(both).alias("p")).select("p.*").where(F.col("a").isNotNull() & F.col("b").isNotNull()) \
+        .groupBy("g", "a", "b").agg(F.count(F.lit(1)).cast("double").alias("w")).checkpoint(eager=True)
+    totals = _total_s(pts, target_group, m)
+    empty = [str(k) for k in range(len(pairs)) if str(k) not in totals]
+    s_rows = df.sparkSession.createDataFrame([(g, float(round(s))) for g, s in totals.items()] + [(g, 0.0) for g in empty],
+                                             "g string, s double")
+
+    def ties(side: str, out: str) -> DataFrame:
+        t = pts.groupBy("g", side).agg(F.sum("w").alias("t"))
+        return t.groupBy("g").agg(F.sum(F.col("t") * (F.col("t") - 1) / 2.0).alias(out), F.sum("t").alias(f"n_{out}"))
+
+    out = F.broadcast(s_rows).join(ties("a", "n1"), "g", "left").join(ties("b", "n2"), "g", "left")
+    n = F.coalesce(F.col("n_n1"), F.lit(0.0))
+    n0 = n * (n - 1) / 2.0
+    den = F.sqrt((n0 - F.col("n1")) * (n0 - F.col("n2")))
+    return out.select(F.col("g").cast("int").alias("pair"), n.cast("bigint").alias("n"), "s", "n1", "n2",
+                      F.try_divide(F.col("s"), den).alias("tau"))
 
 
 def kendall_pair(df: DataFrame, x: str, y: str, target_group: int = 50_000,
@@ -152,47 +180,24 @@ def kendall_pair(df: DataFrame, x: str, y: str, target_group: int = 50_000,
     Groups above ``target_group`` distinct points are split recursively with
     ``buckets`` runs per axis (default: about sqrt(target)/2, so the grid of one
     group, at most (2 buckets + 1)^2 cells, fits the target itself)."""
-    m = buckets or max(2, int(math.sqrt(target_group) / 2))
-    pts = (df.select(clean_double(x).alias("x"), clean_double(y).alias("y"))
-           .where(F.col("x").isNotNull() & F.col("y").isNotNull())
-           .groupBy("x", "y").agg(F.count(F.lit(1)).alias("w")))
-    # shallow lineage (scan + one aggregate): cached; the recursion levels below
-    # are checkpointed because their lineage grows
-    pts = pts.cache()
-    n = int(pts.agg(F.sum("w")).first()[0] or 0)
-    s_total = _total_s(pts.select(F.lit("0").alias("g"), F.col("x").alias("a"),
-                                  F.col("y").alias("b"), F.col("w").cast("double").alias("w")),
-                       target_group, m)
-    ties_x = pts.groupBy("x").agg(F.sum("w").alias("t")).agg(
-        F.sum(F.col("t") * (F.col("t") - 1) / 2.0).alias("n1"))
-    ties_y = pts.groupBy("y").agg(F.sum("w").alias("t")).agg(
-        F.sum(F.col("t") * (F.col("t") - 1) / 2.0).alias("n2"))
-    from .profile import with_scalars
-    out = with_scalars(ties_x, ties_y)
-    n0 = float(n) * (n - 1) / 2.0
-    den = F.sqrt((F.lit(n0) - F.col("n1")) * (F.lit(n0) - F.col("n2")))
-    return out.select(F.lit(n).cast("bigint").alias("n"), F.lit(float(round(s_total))).alias("s"),
-                      "n1", "n2", F.try_divide(F.lit(float(round(s_total))), den).alias("tau"))
+    return _pairs(df, [(x, y)], target_group, buckets).drop("pair")
 
 
 def kendall_long(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """(column1, column2, i, j, n, correlation) for i <= j."""
+    """(column1, column2, i, j, n, correlation) for i <= j: one scan for the
+    diagonal, one run of the decomposition for all pairs."""
     columns = list(columns) if columns is not None else numeric_columns(df)
     if len(columns) < 2:
-        raise ValueError("Need at least 2 numeric columns for correlation")
-    parts = []
-    for i, c in enumerate(columns):
-        cnt = df.agg(F.count(clean_double(c)).alias("n"),
-                     F.count_distinct(clean_double(c)).alias("d"))
-        parts.append(cnt.select(F.lit(c).alias("column1"), F.lit(c).alias("column2"),
-                                F.lit(i).alias("i"), F.lit(i).alias("j"), "n",
-                                F.when(F.col("d") > 1, F.lit(1.0)).alias("correlation")))
-    for (i, a), (j, b) in combinations(list(enumerate(columns)), 2):
-        k = kendall_pair(df, a, b)
-        parts.append(k.select(F.lit(a).alias("column1"), F.lit(b).alias("column2"),
-                              F.lit(i).alias("i"), F.lit(j).alias("j"), "n",
-                              F.col("tau").alias("correlation")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+        raise ValueError("a correlation takes two numeric columns or more")
+    own = df.agg(*[x for k, c in enumerate(columns) for x in (
+        F.count(clean_double(c)).alias(f"n{k}"), (F.min(clean_double(c)) < F.max(clean_double(c))).alias(f"d{k}"))])
+    diagonal = own.select(F.explode(F.array(*[F.struct(
+        F.lit(c).alias("column1"), F.lit(c).alias("column2"), F.lit(k).alias("i"), F.lit(k).alias("j"),
+        F.col(f"n{k}").alias("n"), F.when(F.col(f"d{k}"), F.lit(1.0)).alias("correlation"))
+        for k, c in enumerate(columns)])).alias("x")).select("x.*")
+    places = list(combinations(range(len(columns)), 2))
+    found = _pairs(df, [(columns[i], columns[j]) for i, j in places], 50_000, None)
+    names = df.sparkSession.createDataFrame([(k, columns[i], columns[j], i, j) for k, (i, j) in enumerate(places)],
+                                            "pair int, column1 string, column2 string, i int, j int")
+    return diagonal.unionByName(found.join(F.broadcast(names), "pair").select(
+        "column1", "column2", "i", "j", "n", F.col("tau").alias("correlation")))

@@ -29,13 +29,13 @@ EVENTS_NULLS_SQL = """(SELECT event_id, ts, user_id,
 
 
 def lineitem_numeric(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """lineitem numerics plus derived, strongly related columns."""
+    """All numeric columns of lineitem plus derived, strongly related ones."""
     li = table(spark, sf_dir, "lineitem")
-    return li.select("l_quantity", "l_extendedprice", "l_discount", "l_tax",
+    return li.select("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax",
                      (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("l_net"),
                      (F.col("l_extendedprice") / F.col("l_quantity")).alias("l_unitprice"))
 
 
-LINEITEM_NUMERIC_SQL = """(SELECT l_quantity, l_extendedprice, l_discount, l_tax,
-  l_extendedprice * (1 - l_discount) AS l_net, l_extendedprice / l_quantity AS l_unitprice
+LINEITEM_NUMERIC_SQL = """(SELECT l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity,
+  l_extendedprice, l_discount, l_tax, l_extendedprice * (1 - l_discount) AS l_net, l_extendedprice / l_quantity AS l_unitprice
   FROM lineitem)"""

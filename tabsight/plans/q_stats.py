@@ -8,10 +8,10 @@ from itertools import combinations_with_replacement
 from pyspark.sql import functions as F
 
 from ..operators import correlation, hypothesis, outliers
-from .data import LINEITEM_NUMERIC_SQL, events_with_nulls, lineitem_numeric, table
+from .data import EVENTS_NULLS_SQL, LINEITEM_NUMERIC_SQL, events_with_nulls, lineitem_numeric, table
 from .registry import query
 
-_LI = ["l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_net", "l_unitprice"]
+_LI = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax", "l_net", "l_unitprice"]
 _CUST = ["c_acctbal", "c_nationkey", "c_custkey"]
 _CUST_SQL = "(SELECT CAST(c_acctbal AS DOUBLE) AS c_acctbal, CAST(c_nationkey AS DOUBLE) AS " \
             "c_nationkey, CAST(c_custkey AS DOUBLE) AS c_custkey FROM customer)"
@@ -74,13 +74,35 @@ def q_corr_kendall(spark, sf):
     return correlation.correlation_long(table(spark, sf, "customer"), _CUST, "kendall")
 
 
-@query("corr_kendall_lineitem")
+_POINTS = """(SELECT l_quantity AS x, l_discount AS y, CAST(count(*) AS DOUBLE) AS w FROM lineitem
+  WHERE l_quantity IS NOT NULL AND l_discount IS NOT NULL GROUP BY 1, 2)"""
+
+
+def _kendall_points_sql() -> str:
+    """tau-b from weighted points: few enough for a self-join at any scale."""
+    off = f"""SELECT 'l_quantity' AS column1, 'l_discount' AS column2, 0 AS i, 1 AS j, CAST(n AS BIGINT) AS n,
+      round(s / sqrt((n * (n - 1) / 2 - n1) * (n * (n - 1) / 2 - n2)), 6) AS correlation
+      FROM (SELECT sum(p.w * q.w * sign(p.x - q.x) * sign(p.y - q.y)) / 2 AS s FROM {_POINTS} p, {_POINTS} q),
+           (SELECT sum(w) AS n FROM {_POINTS}),
+           (SELECT sum(t * (t - 1) / 2) AS n1 FROM (SELECT sum(w) AS t FROM {_POINTS} GROUP BY x)),
+           (SELECT sum(t * (t - 1) / 2) AS n2 FROM (SELECT sum(w) AS t FROM {_POINTS} GROUP BY y))"""
+    own = [f"""SELECT '{c}', '{c}', {k}, {k}, count({c}), CASE WHEN count(DISTINCT {c}) > 1 THEN 1.0 END
+      FROM lineitem""" for k, c in enumerate(("l_quantity", "l_discount"))]
+    return " UNION ALL ".join([off, *own])
+
+
+@query("corr_kendall_lineitem", _kendall_points_sql())
 def q_corr_kendall_lineitem(spark, sf):
-    """T8 on lineitem (quantity vs discount: heavy ties) - grid decomposition path.
-    No SQL: the self-join oracle is quadratic; checked against brute force in tests."""
+    """T8 on lineitem (quantity vs discount: heavy ties)."""
+    return correlation.correlation_long(table(spark, sf, "lineitem"), ["l_quantity", "l_discount"], "kendall")
+
+
+@query("corr_kendall_decomposed")
+def q_corr_kendall_decomposed(spark, sf):
+    """T8 on lineitem, a continuous column included: the recursive path. The
+    self-join oracle is quadratic here; the tests hold it against brute force."""
     li = table(spark, sf, "lineitem")
-    return correlation.correlation_long(li, ["l_quantity", "l_discount", "l_extendedprice"],
-                                        "kendall")
+    return correlation.correlation_long(li, ["l_quantity", "l_discount", "l_extendedprice"], "kendall")
 
 
 @query("corr_heatmap", f"""
@@ -167,24 +189,45 @@ def q_anova_lineitem(spark, sf):
                                    "l_extendedprice").drop("p_value", "significant")
 
 
-@query("anova_test")
+# upper tail of F(4, d2): x^a (1 + a (1 - x)) with a = d2 / 2, x = d2 / (d2 + 4 F)
+_ANOVA_P_SQL = f"""
+WITH f AS ({_ANOVA_SQL.format(g="event_type", v="value", t="events", d=4).replace("AS f_statistic", "AS f_rounded, (ssb / (k - 1)) / (ssw / (N - k)) AS f")}),
+t AS (SELECT *, pow(df_within / (df_within + 4 * f), df_within / 2.0)
+        * (1 + df_within / 2.0 * (1 - df_within / (df_within + 4 * f))) AS p FROM f)
+SELECT groups, n, df_between, df_within, ssb, ssw, f_rounded AS f_statistic, round(p, 6) AS p_value, p < 0.05 AS significant FROM t"""
+
+
+@query("anova_test", _ANOVA_P_SQL, digits={"*": 6, "ssb": 4, "ssw": 4})
 def q_anova_test(spark, sf):
-    """T12 with p-value and significance (rows check; p checked in unit tests)."""
+    """T12 with p-value and significance, five groups: closed form of F(4, d2)."""
     return hypothesis.anova_oneway(table(spark, sf, "events"), "event_type", "value")
 
 
+_SHAPIRO_SQL = """
+SELECT {g} CAST(count({v}) AS BIGINT) AS sample_size, count({v}) > 5000 AS p_extrapolated
+FROM {t} WHERE {v} IS NOT NULL {w}"""
+
+
+@query("shapiro_sizes", _SHAPIRO_SQL.format(
+    g="event_type, 'value' AS \"column\",", v="value", t=EVENTS_NULLS_SQL,
+    w="AND event_type IS NOT NULL GROUP BY event_type"))
+def q_shapiro_sizes(spark, sf):
+    """Every non-null value of every group counts."""
+    return q_shapiro(spark, sf).select("event_type", "column", "sample_size", "p_extrapolated")
+
+
 @query("shapiro")
 def q_shapiro(spark, sf):
-    """Shapiro-Wilk on the first 5,000 non-null values by key, per event type
-    and for documents.n_chars; no SQL form (checked against known values)."""
+    """Shapiro-Wilk over all non-null values per event type; W has no SQL form
+    (the tests hold it against the in-memory function)."""
     ev = events_with_nulls(spark, sf).where(F.col("event_type").isNotNull())
-    return hypothesis.shapiro(ev, ["value"], order_by="event_id", by=["event_type"])
+    return hypothesis.shapiro(ev, ["value"], by=["event_type"])
 
 
 @query("shapiro_documents")
 def q_shapiro_documents(spark, sf):
     """T13 on documents.n_chars (strongly non-normal)."""
-    return hypothesis.shapiro(table(spark, sf, "documents"), ["n_chars"], order_by="doc_id")
+    return hypothesis.shapiro(table(spark, sf, "documents"), ["n_chars"])
 
 
 @query("quick_insights", f"""

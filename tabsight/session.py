@@ -33,29 +33,32 @@ def get_spark(app: str = "tabsight", master: str | None = None,
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder named by ``spark.checkpoint.dir``.
-
-    On a cluster this must be set by the deployment (a shared file system).
-    Only when it is unset (local tests) a scratch folder is created.
-    """
-    conf = spark.sparkContext.getConf()
-    path = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
+    """The shared checkpoint folder: the one the context has (``setCheckpointDir``,
+    or ``spark.checkpoint.dir`` at its start), else the session's
+    ``spark.checkpoint.dir``. Only a local master may do without: it gets a scratch
+    folder. Elsewhere a missing folder raises, as executors could not share one."""
+    sc = spark.sparkContext
+    if sc.getCheckpointDir():
+        return sc.getCheckpointDir()
+    path = spark.conf.get("spark.checkpoint.dir", None)
     if not path:
-        master = spark.sparkContext.master or ""
-        if not master.startswith("local"):
-            import warnings
-            warnings.warn("spark.checkpoint.dir is not set; falling back to a driver-local "
-                          "folder, which executors on other machines cannot share. Set "
-                          "spark.checkpoint.dir to a shared file system path.", stacklevel=2)
+        if not (sc.master or "").startswith("local") or (sc.master or "").startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         path = tempfile.mkdtemp(prefix="tabsight-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
         spark.conf.set("spark.checkpoint.dir", path)
-    spark.sparkContext.setCheckpointDir(path)
-    return path
+    sc.setCheckpointDir(path)
+    return sc.getCheckpointDir() or path
+
+
+def broadcast_byte_limit(spark: SparkSession) -> int:
+    """Bytes up to which a derived table may be broadcast."""
+    return int(spark.conf.get("tabsight.broadcastBytes", str(64 << 20)))
 
 
 def broadcast_row_limit(spark: SparkSession) -> int:
-    """Row count under which a derived (small) table may be broadcast."""
-    return int(spark.conf.get("tabsight.broadcastRowLimit", "200000"))
+    """Rows up to which a derived table of a few numbers a row (at most about 320
+    bytes) may be broadcast; tables that carry texts are checked by their bytes."""
+    return broadcast_byte_limit(spark) // 320
 
 
 _SHIPPED: set[int] = set()

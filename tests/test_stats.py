@@ -4,6 +4,7 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from tabsight.functions.special import betainc, f_sf
 from tabsight.operators import correlation, hypothesis
@@ -127,8 +128,26 @@ def test_shapiro_properties(spark):
     assert hypothesis.shapiro_wilk(np.array([1.0, 1.0])) == (None, None)
 
 
-def test_shapiro_job_caps_per_group(spark):
-    rows = [(g, i, float(i % 17)) for g in ("a", "b") for i in range(6000)]
-    df = spark.createDataFrame(rows, "g string, k long, v double")
-    out = {r["g"]: r for r in hypothesis.shapiro(df, ["v"], order_by="k", by=["g"]).collect()}
-    assert out["a"]["sample_size"] == 5000 and out["b"]["sample_size"] == 5000
+def test_shapiro_job_equals_the_in_memory_form(spark):
+    rng = np.random.default_rng(4)
+    groups = {"tiny": [1.0, 2.0, 4.0], "four": [1.0, 2.0, 4.0, 8.0], "ten": rng.normal(size=10), "same": [2.0] * 5,
+              "one": [1.0], "many": rng.normal(size=9000), "ties": rng.integers(0, 7, 3000).astype(float)}
+    rows = [(g, float(v)) for g, vs in groups.items() for v in vs] + [("ten", None)]
+    df = spark.createDataFrame(rows, "g string, v double")
+    out = {r["g"]: r for r in hypothesis.shapiro(df, ["v"], by=["g"]).collect()}
+    assert set(out) == set(groups)
+    for g, vs in groups.items():
+        w, p = hypothesis.shapiro_wilk(np.array(vs))
+        assert out[g]["sample_size"] == len(vs) and out[g]["p_extrapolated"] == (len(vs) > 5000)
+        if w is None:
+            assert out[g]["statistic"] is None and out[g]["p_value"] is None
+        else:
+            assert abs(out[g]["statistic"] - w) < 1e-9 and abs(out[g]["p_value"] - p) < 1e-6
+
+
+def test_shapiro_plan_has_no_single_task_over_rows(spark):
+    """Only sums that are already one row a task go to a single one."""
+    df = spark.range(1000).select((F.col("id") * 1.5).alias("v"))
+    lines = hypothesis.shapiro(df, ["v"])._jdf.queryExecution().executedPlan().toString().split("\n")
+    below = [lines[k + 1] for k, x in enumerate(lines) if "SinglePartition" in x]
+    assert all("partial_" in x for x in below) and not any("row_number" in x for x in lines)
