@@ -57,3 +57,24 @@ def test_approximate_mode_within_rank_error(spark):
     r = quantiles(df, ["x"], [0.5], exact=False, accuracy=1000).collect()[0]["value"]
     rank = (vals < r).sum()
     assert abs(rank - 2500) <= 5000 / 1000 + 1
+
+
+def test_discrete_columns_need_no_refinement(spark, monkeypatch):
+    """A hot value cannot shrink: few distinct values must end the passes at once."""
+    from pyspark.sql.classic.dataframe import DataFrame as Frame
+    calls = []
+    real = Frame.checkpoint
+    monkeypatch.setattr(Frame, "checkpoint", lambda self, eager=True: calls.append(1) or real(self, eager))
+    df = spark.range(20000).selectExpr("cast(id % 5 as double) as x")
+    got = {r["p"]: r["value"] for r in quantiles(df, ["x"], [0.1, 0.5, 0.99], gather_limit=64).collect()}
+    assert got == {0.1: 0.0, 0.5: 2.0, 0.99: 4.0} and len(calls) == 1
+
+
+def test_hot_value_between_continuous_ones(spark):
+    rng = np.random.default_rng(5)
+    vals = np.concatenate([np.zeros(30000), rng.normal(size=4000), rng.normal(size=2000) * 1e-6])
+    df = _frame(spark, vals)
+    probs = [0.01, 0.04, 0.08, 0.5, 0.93, 0.999]
+    got = {r["p"]: r["value"] for r in quantiles(df, ["x"], probs, gather_limit=64, accuracy=1000).collect()}
+    for p in probs:
+        assert got[p] == pytest.approx(np.quantile(vals, p), abs=1e-12)
