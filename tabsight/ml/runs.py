@@ -1,6 +1,6 @@
 """Run registry (V10) and run comparison.
 
-Runs are rows of a Parquet table under the shared checkpoint location:
+Runs are rows of a Parquet table in the warehouse, or below a given path:
 run_id, model_name, problem_type, target, metrics (map), params (JSON)."""
 
 from __future__ import annotations
@@ -8,11 +8,10 @@ from __future__ import annotations
 import json
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import checkpoint_dir
-
 RUN_SCHEMA = ("run_id string, model_name string, problem_type string, target string, "
               "metrics map<string,double>, params string")
 HIGHER_IS_BETTER = ("accuracy", "precision", "recall", "f1_score", "r2_score")
@@ -20,7 +19,7 @@ LOWER_IS_BETTER = ("mse", "rmse", "mae")
 
 
 def runs_path(spark: SparkSession) -> str:
-    return f"{checkpoint_dir(spark).rstrip('/')}/tabsight-runs"
+    return f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/tabsight_runs"
 
 
 def run_row(metrics: DataFrame, model_name: str, problem_type: str, target: str,
@@ -43,7 +42,10 @@ def record_run(spark: SparkSession, run: DataFrame, path: str | None = None) ->
 def load_runs(spark: SparkSession, path: str | None = None) -> DataFrame:
     try:
         return spark.read.schema(RUN_SCHEMA).parquet(path or runs_path(spark))
-    except Exception:  # noqa: BLE001 - no run recorded yet
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        # no run recorded yet
         return spark.createDataFrame([], RUN_SCHEMA)
 
 

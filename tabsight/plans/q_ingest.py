@@ -3,19 +3,26 @@ shared scratch location and reads it back through the library."""
 
 from __future__ import annotations
 
-from pyspark.sql import functions as F
-
 from ..sources import catalog, ingest, inspect
-from .data import EVENTS_NULLS_SQL, TABLES, events_with_nulls, table
+from .data import EVENTS_NULLS_SQL, events_with_nulls, table
 from .registry import query
 
 
-@query("csv_roundtrip", "SELECT * FROM customer")
+@query("csv_roundtrip", "SELECT * FROM events")
 def q_csv_roundtrip(spark, sf):
-    """S1 + S8: write customer as CSV, read it back with the frozen schema."""
-    cust = table(spark, sf, "customer")
-    path = ingest.write_csv(cust, ingest.scratch_path(spark, "customer-csv"))
-    return ingest.read_csv(spark, path, schema=cust.schema)
+    """S1 + S8: write events (JSON text, full of quotes) as CSV, read it back with
+    the frozen schema."""
+    ev = table(spark, sf, "events")
+    path = ingest.write_csv(ev, ingest.scratch_path(spark, "events-csv"))
+    return ingest.read_csv(spark, path, schema=ev.schema)
+
+
+@query("csv_roundtrip_lines", "SELECT * FROM documents")
+def q_csv_roundtrip_lines(spark, sf):
+    """S1 + S8 on documents: whole texts with line breaks inside fields."""
+    doc = table(spark, sf, "documents")
+    path = ingest.write_csv(doc, ingest.scratch_path(spark, "documents-csv"))
+    return ingest.read_csv(spark, path, schema=doc.schema, multi_line=True)
 
 
 _EV_COLS = ["event_id", "ts", "user_id", "event_type", "value", "props"]
@@ -29,7 +36,9 @@ def _infer_sql() -> str:
           CASE WHEN count({c}) = 0 THEN 'string'
                WHEN count_if(regexp_full_match({txt}, '[+-]?[0-9]+')
                     AND TRY_CAST({txt} AS BIGINT) IS NOT NULL) = count({c}) THEN 'bigint'
-               WHEN count(TRY_CAST({txt} AS DOUBLE)) = count({c}) THEN 'double'
+               WHEN count(CASE WHEN regexp_full_match(lower({txt}),
+                         '[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)(e[+-]?[0-9]+)?|[+-]?inf(inity)?')
+                    THEN TRY_CAST({txt} AS DOUBLE) END) = count({c}) THEN 'double'
                WHEN count_if({txt} IN ('True', 'true', 'TRUE', 'False', 'false', 'FALSE'))
                     = count({c}) THEN 'boolean'
                ELSE 'string' END AS inferred FROM {EVENTS_NULLS_SQL}""")
@@ -42,7 +51,7 @@ def q_infer_types(spark, sf):
     NA tokens nulled, types inferred from try_cast counts in one aggregate."""
     ev = events_with_nulls(spark, sf)
     path = ingest.write_csv(ev, ingest.scratch_path(spark, "events-csv"))
-    text = ingest.null_tokens(spark.read.option("header", True).csv(path))
+    text = ingest.null_tokens(spark.read.options(**ingest.CSV_QUOTING).option("header", True).csv(path))
     return ingest.infer_types(text)
 
 
@@ -86,14 +95,6 @@ def q_save_dataset(spark, sf):
     return stored
 
 
-@query("list_datasets")
-def q_list_datasets(spark, sf):
-    """The driver tables registered as views, listed from the catalog."""
-    for t in TABLES:
-        table(spark, sf, t).createOrReplaceTempView(f"ds_{t}")
-    return catalog.list_datasets(spark).where(F.col("is_temporary"))
-
-
 _TYPEMAP = """CASE data_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int'
   WHEN 'DOUBLE' THEN 'double' WHEN 'VARCHAR' THEN 'string' WHEN 'TIMESTAMP' THEN 'timestamp_ntz'
   WHEN 'FLOAT' THEN 'float' WHEN 'BOOLEAN' THEN 'boolean' ELSE lower(data_type) END"""

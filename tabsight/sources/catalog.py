@@ -1,5 +1,5 @@
-"""Dataset catalog: datasets are tables in the Spark catalog stored as Parquet
-under the shared warehouse/checkpoint location."""
+"""Dataset catalog: datasets are tables in the Spark catalog, stored as Parquet in
+the warehouse or below a given path."""
 
 from __future__ import annotations
 
@@ -8,8 +8,6 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .ingest import scratch_path
-
 _KEY = re.compile(r"[^0-9A-Za-z_]")
 
 
@@ -29,8 +27,8 @@ def save_dataset(df: DataFrame, key: str, if_exists: str = "error",
         if if_exists == "error":
             raise FileExistsError(f"dataset '{key}' already exists")
         return spark.table(name)
-    location = path or scratch_path(spark, name)
-    df.write.mode(mode).format("parquet").option("path", location).saveAsTable(name)
+    writer = df.write.mode(mode).format("parquet")
+    (writer.option("path", path) if path else writer).saveAsTable(name)
     return spark.table(name)
 
 

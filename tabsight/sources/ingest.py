@@ -24,10 +24,17 @@ NA_TOKENS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan
              "nan", "null")
 
 INTEGER_TEXT = "^[+-]?[0-9]+$"
+# a cast also takes '12F' or '7d' for numbers: only text of this form is one
+NUMBER_TEXT = r"(?i)^[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:e[+-]?[0-9]+)?$|^[+-]?inf(?:inity)?$"
 BOOL_TRUE = ("True", "true", "TRUE")
 BOOL_FALSE = ("False", "false", "FALSE")
 
 
+def double_text(column: str):
+    """The number that a text column holds, NULL where it holds none."""
+    return F.when(F.col(column).rlike(NUMBER_TEXT), F.expr(f"try_cast(`{column}` AS DOUBLE)"))
+
+
 def null_tokens(df: DataFrame, tokens=NA_TOKENS) -> DataFrame:
     """Map NA tokens (exact match) to NULL in every string column."""
     toks = list(tokens)
@@ -46,7 +53,7 @@ def infer_types(text: DataFrame) -> DataFrame:
         aggs += [F.count(v).alias(f"n{i}"),
                  F.count_if(v.rlike(INTEGER_TEXT)
                             & F.expr(f"try_cast(`{c}` AS BIGINT)").isNotNull()).alias(f"l{i}"),
-                 F.count(F.expr(f"try_cast(`{c}` AS DOUBLE)")).alias(f"d{i}"),
+                 F.count(double_text(c)).alias(f"d{i}"),
                  F.count_if(v.isin(list(BOOL_TRUE + BOOL_FALSE))).alias(f"b{i}")]
     agg = text.agg(*aggs)
     structs = []
@@ -68,7 +75,7 @@ def apply_types(text: DataFrame, types: dict[str, str]) -> DataFrame:
             out.append(F.when(F.col(c).isin(list(BOOL_TRUE)), F.lit(True))
                        .when(F.col(c).isin(list(BOOL_FALSE)), F.lit(False)).alias(c))
         elif t == "double":
-            out.append(clean_double(F.expr(f"try_cast(`{c}` AS DOUBLE)")).alias(c))
+            out.append(clean_double(double_text(c)).alias(c))
         elif t == "string":
             out.append(F.col(c))
         else:
@@ -76,19 +83,35 @@ def apply_types(text: DataFrame, types: dict[str, str]) -> DataFrame:
     return text.select(*out)
 
 
-def schema_of(types: dict[str, str], order: list[str]) -> T.StructType:
-    return T.StructType([T.StructField(c, _dtype(types[c]), True) for c in order])
+# doubled quotes inside quoted fields, on both sides
+CSV_QUOTING = {"quote": '"', "escape": '"'}
+
 
+class UnbalancedQuote(ValueError):
+    """A line of a CSV file opens a quoted field that it does not close."""
 
-def _dtype(name: str) -> T.DataType:
-    return {"bigint": T.LongType(), "double": T.DoubleType(), "boolean": T.BooleanType(),
-            "string": T.StringType()}.get(name, T.StringType())
+
+def _check_lines(spark: SparkSession, path: str) -> None:
+    """Raise if a line holds an odd number of quotes: its record goes on in the
+    next line, and reading line by line would split it."""
+    odd = (F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))) % 2 == 1
+    bad = spark.read.text(path).where(odd).limit(1).collect()
+    if bad:
+        raise UnbalancedQuote(f"quoted field open at the end of a line of {path}: {bad[0][0][:80]!r}; "
+                              "read it with multi_line=True")
 
 
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None,
-             tokens=NA_TOKENS, header: bool = True) -> DataFrame:
-    """Read CSV; with ``schema`` no inference happens (frozen schema)."""
-    reader = spark.read.option("header", header).option("mode", "PERMISSIVE")
+             tokens=NA_TOKENS, header: bool = True, multi_line: bool = False) -> DataFrame:
+    """Read CSV; with ``schema`` no inference happens (frozen schema).
+
+    ``multi_line=True`` reads quoted fields that hold line breaks; a file is then
+    read by one task. Otherwise files are split by lines, and a line whose quotes
+    don't balance raises ``UnbalancedQuote`` instead of being cut in two."""
+    if not multi_line:
+        _check_lines(spark, path)
+    reader = spark.read.options(**CSV_QUOTING).option("header", header).option("mode", "PERMISSIVE") \
+        .option("multiLine", multi_line)
     if schema is not None:
         # parse as text first so NA tokens never break typed parsing
         text = reader.schema(T.StructType([T.StructField(f.name, T.StringType())
@@ -109,10 +132,9 @@ def _cast_text(f: T.StructField):
                 .when(c.isin(list(BOOL_FALSE)), F.lit(False)).alias(f.name))
     if isinstance(f.dataType, T.TimestampNTZType):
         return F.to_timestamp_ntz(c, F.lit(TS_NTZ)).alias(f.name)
-    casted = F.expr(f"try_cast(`{f.name}` AS {f.dataType.simpleString()})")
     if isinstance(f.dataType, FLOATING):
-        casted = clean_double(casted).cast(f.dataType)
-    return casted.alias(f.name)
+        return clean_double(double_text(f.name)).cast(f.dataType).alias(f.name)
+    return F.expr(f"try_cast(`{f.name}` AS {f.dataType.simpleString()})").alias(f.name)
 
 
 # microsecond timestamps survive text round trips
@@ -121,8 +143,9 @@ TS_TZ = "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX"
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> str:
-    """CSV export with a header row (one file per task)."""
-    (df.write.mode(mode).option("header", True).option("timestampNTZFormat", TS_NTZ)
+    """CSV export with a header row (one file per task); quotes inside quoted
+    fields are doubled."""
+    (df.write.mode(mode).options(**CSV_QUOTING).option("header", True).option("timestampNTZFormat", TS_NTZ)
      .option("timestampFormat", TS_TZ).csv(path))
     return path
 
@@ -143,10 +166,3 @@ def read_json(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh folder under the shared checkpoint location."""
     return f"{checkpoint_dir(spark).rstrip('/')}/tabsight-io/{name}-{uuid.uuid4().hex}"
-
-
-def nan_to_null(df: DataFrame) -> DataFrame:
-    """Map NaN to NULL in every float column (one notion of missing)."""
-    return df.select(*[clean_double(f.name).cast(f.dataType).alias(f.name)
-                       if isinstance(f.dataType, FLOATING) else F.col(f.name)
-                       for f in df.schema.fields])

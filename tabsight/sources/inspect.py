@@ -35,7 +35,7 @@ def data_bytes_expr(df: DataFrame):
 def validate(df: DataFrame) -> DataFrame:
     """S3: rows, columns, data_bytes, dtypes ("name:type,..."); raises when empty."""
     if df.isEmpty():
-        raise EmptyDatasetError("Uploaded file contains no data")
+        raise EmptyDatasetError("the table has no rows")
     dtypes = ",".join(f"{f.name}:{f.dataType.simpleString()}" for f in df.schema.fields)
     return df.agg(F.count(F.lit(1)).alias("rows"),
                   data_bytes_expr(df).alias("data_bytes")) \

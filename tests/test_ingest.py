@@ -40,3 +40,37 @@ def test_validate_rejects_empty(spark):
         inspect.validate(spark.createDataFrame([], "x double"))
     v = inspect.validate(spark.createDataFrame([(1.0, "ab")], "x double, s string")).first()
     assert v["data_bytes"] == 8 + 2 and v["dtypes"] == "x:double,s:string"
+
+
+def test_csv_quotes_and_line_breaks(spark, tmp_path):
+    p = tmp_path / "q.csv"
+    p.write_text('id,s\n1,"he said ""hi"", ok"\n2,"line1\nline2"\n3,plain\n')
+    got = {r["id"]: r["s"] for r in ingest.read_csv(spark, str(p), multi_line=True).collect()}
+    assert got == {1: 'he said "hi", ok', 2: "line1\nline2", 3: "plain"}
+    with pytest.raises(ingest.UnbalancedQuote):
+        ingest.read_csv(spark, str(p))
+    df = spark.createDataFrame([(1, 'a "b" \\ c'), (2, "x\ny"), (3, ",")], "id long, s string")
+    back = ingest.read_csv(spark, ingest.write_csv(df, ingest.scratch_path(spark, "q")), df.schema, multi_line=True)
+    assert sorted(map(tuple, back.collect())) == sorted(map(tuple, df.collect()))
+
+
+def test_codes_are_not_numbers(spark, tmp_path):
+    p = tmp_path / "n.csv"
+    p.write_text("seat,x,y\n12F,1e3,inf\n14D,.5,-2.\n9F,+7,3\n")
+    assert dict(ingest.read_csv(spark, str(p)).dtypes) == {"seat": "string", "x": "double", "y": "double"}
+
+
+def test_datasets_are_listed_and_kept_out_of_the_checkpoint_folder(spark):
+    from tabsight.session import checkpoint_dir
+    catalog.drop_dataset(spark, "t2")
+    catalog.save_dataset(spark.range(3), "t2")
+    keys = {r["key"]: r["is_temporary"] for r in catalog.list_datasets(spark).collect()}
+    assert keys["t2"] is False
+    place = spark.sql("describe extended ds_t2").where("col_name = 'Location'").first()["data_type"]
+    assert checkpoint_dir(spark).split(":")[-1] not in place
+    catalog.drop_dataset(spark, "t2")
+
+
+def test_checkpoint_folder_of_the_session_is_kept(spark):
+    from tabsight.session import checkpoint_dir
+    assert checkpoint_dir(spark) == spark.sparkContext.getCheckpointDir() == checkpoint_dir(spark)
