@@ -5,16 +5,19 @@ Mappings (documented approximations are marked):
 * logistic_regression: L2 with regParam = 1 / (C n), no internal standardisation.
 * random_forest / decision_tree: depth <= 30 (MLlib limit); min_samples_split m
   -> minInstancesPerNode = max(1, ceil(m / 2)) (approximate).
-* svm: linear -> LinearSVC(regParam = 1 / (C n)); poly -> degree-3 polynomial
-  expansion + LinearSVC; rbf -> random Fourier features (Rahimi & Recht 2007)
+* svm: linear -> LinearSVC(regParam = 1 / (C n), columns as they are); poly -> the
+  features of the homogeneous kernel (gamma x.x')^degree, exactly, + LinearSVC; rbf -> random Fourier features (Rahimi & Recht 2007)
   + LinearSVC (approximate kernel); multi-class via OneVsRest.
 * gradient_boosting / xgboost: GBT (OneVsRest for > 2 classes); xgboost is not
   available and uses GBT with its own defaults.
 * ridge: normal equations, regParam = alpha * sigma_y / n (population sigma_y).
 * lasso: elasticNetParam = 1, regParam = alpha.
-* svr: random Fourier features + linear regression with an epsilon-insensitive
-  loss is not in MLlib; approximated by RFF + least squares with L2 = 1/(C n).
+* svr: the epsilon-insensitive loss (epsilon 0.1), see ``svr.py``, over the same
+  feature maps as svm.
 * knn: exact, see ``knn.py`` (not an MLlib estimator).
+* trees: ``max_bins`` (default 256) candidate thresholds a column: splits of columns
+  with more distinct values are approximate. Categorical codes are ordered numbers.
+* ``n_features`` (default 200) random Fourier features; ``max_iter`` of svm 100.
 * solver tolerances follow the reference library defaults (1e-4 logistic,
   1e-3 support vector machines).
 """
@@ -23,13 +26,13 @@ from __future__ import annotations
 
 import json
 import math
+from collections import Counter
+from itertools import combinations_with_replacement
 
 import numpy as np
-import pandas as pd
 from pyspark.ml import Transformer
 from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LinearSVC,
                                        LogisticRegression, OneVsRest, RandomForestClassifier)
-from pyspark.ml.feature import PolynomialExpansion
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.regression import (DecisionTreeRegressor, GBTRegressor, LinearRegression,
                                    RandomForestRegressor)
@@ -37,6 +40,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .svr import EpsilonSVR
+
 # The reference's model catalogue and default hyperparameters.
 CLASSIFIERS = {
     "logistic_regression": "Logistic Regression",
@@ -72,6 +77,14 @@ DEFAULTS = {
     "lasso": {"alpha": 1.0, "random_state": 42},
     "svr": {"C": 1.0, "kernel": "rbf", "gamma": "scale"},
 }
+#: Parameters that have no default in the reference's catalogue but are taken.
+EXTRA = {
+    "logistic_regression": {"tol": 1e-4},
+    "svm": {"tol": 1e-3, "degree": 3, "max_iter": 100, "n_features": 200},
+    "svr": {"epsilon": 0.1, "degree": 3, "max_iter": 100, "n_features": 200},
+    **{m: {"max_bins": 256} for m in ("random_forest", "decision_tree", "gradient_boosting", "xgboost")},
+}
+KERNELS = ("linear", "poly", "rbf")
 SCALED = ("svm", "svr", "knn", "logistic_regression")
 MAX_DEPTH = 30
 
@@ -106,7 +119,7 @@ def model_params(model_name: str, given: dict) -> dict:
     """Defaults of ``model_name`` overridden by ``given`` (typed like the defaults)."""
     if model_name not in DEFAULTS:
         raise UnknownModelError(f"Unknown model: {model_name}")
-    out = dict(DEFAULTS[model_name])
+    out = {**EXTRA.get(model_name, {}), **DEFAULTS[model_name]}
     for k, v in given.items():
         if k in out and v is not None and not isinstance(out[k], str):
             out[k] = type(out[k])(v)
@@ -125,6 +138,39 @@ def validate_params(model_name: str, params: dict) -> dict:
     return clean
 
 
+class PolynomialKernelFeatures(Transformer):
+    """x (vector) -> the features whose inner product is (gamma x.x')^degree: all
+    monomials of that degree, weighted by the root of their multinomial count.
+    There are C(d + degree - 1, degree) of them (45,760 for 64 columns, degree 3)."""
+
+    def __init__(self, input_col: str, output_col: str, dim: int, degree: int, gamma: float):
+        super().__init__()
+        self.index = np.array(list(combinations_with_replacement(range(dim), degree)))
+        counts = [math.factorial(degree) / math.prod(math.factorial(c) for c in Counter(t).values())
+                  for t in self.index.tolist()]
+        self.scale = np.sqrt(np.array(counts) * gamma ** degree)
+        self.input_col, self.output_col = input_col, output_col
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        index, scale = self.index, self.scale
+        return _map_vectors(df, self.input_col, self.output_col, lambda x: x[:, index].prod(axis=2) * scale)
+
+
+def _map_vectors(df: DataFrame, input_col: str, output_col: str, f) -> DataFrame:
+    """A vector column through ``f`` (a matrix of rows to a matrix) in Arrow batches."""
+    from ..session import ship_package
+    ship_package(df.sparkSession)
+    tmp = df.withColumn("__arr", vector_to_array(F.col(input_col)))
+    schema = T.StructType(tmp.schema.fields + [T.StructField("__out", T.ArrayType(T.DoubleType()))])
+
+    def run(batches):
+        for pdf in batches:
+            if len(pdf):
+                yield pdf.assign(__out=list(f(np.vstack(pdf["__arr"].to_numpy()))))
+
+    return tmp.mapInPandas(run, schema).withColumn(output_col, array_to_vector("__out")).select(*df.columns, output_col)
+
+
 class RandomFourierFeatures(Transformer):
     """x (vector) -> sqrt(2/D) cos(W x + b), W ~ N(0, 2 gamma), b ~ U(0, 2 pi).
 
@@ -139,25 +185,8 @@ class RandomFourierFeatures(Transformer):
         self.input_col, self.output_col, self.n = input_col, output_col, n_features
 
     def _transform(self, df: DataFrame) -> DataFrame:
-        from ..session import ship_package
-        ship_package(df.sparkSession)
         w, b, n = self.w, self.b, self.n
-        tmp = df.withColumn("__arr", vector_to_array(F.col(self.input_col)))
-        cols = tmp.columns
-        schema = T.StructType(tmp.schema.fields + [T.StructField("__rff", T.ArrayType(T.DoubleType()))])
-
-        def run(batches):
-            for pdf in batches:
-                x = np.vstack(pdf["__arr"].to_numpy()) if len(pdf) else np.zeros((0, w.shape[0]))
-                z = math.sqrt(2.0 / n) * np.cos(x @ w + b)
-                pdf = pdf.copy()
-                pdf["__rff"] = list(z)
-                yield pdf
-
-        out = tmp.mapInPandas(run, schema)
-        return (out.withColumn(self.output_col, array_to_vector("__rff"))
-                .drop("__arr", "__rff").select(*[c for c in cols if c != "__arr"],
-                                               self.output_col))
+        return _map_vectors(df, self.input_col, self.output_col, lambda x: math.sqrt(2.0 / n) * np.cos(x @ w + b))
 
 
 def gamma_scale(train: DataFrame, features_col: str, d: int) -> float:
@@ -177,26 +206,27 @@ def build(model_name: str, problem_type: str, params: dict, n_train: int, n_clas
         raise ValueError(f"max_depth {depth} exceeds the supported maximum {MAX_DEPTH}")
     seed = int(p.get("random_state", 42))
     common = {"featuresCol": features_col, "labelCol": label_col}
+    bins = {"maxBins": int(p.get("max_bins", 256))}
     min_inst = max(1, math.ceil(int(p.get("min_samples_split", 2)) / 2))
     if problem_type == "classification":
         if model_name == "logistic_regression":
             return LogisticRegression(regParam=1.0 / (float(p["C"]) * n_train), elasticNetParam=0.0,
                                       standardization=False, maxIter=int(p["max_iter"]),
-                                      tol=float(p.get("tol", 1e-4)), **common)
+                                      tol=float(p["tol"]), **common)
         if model_name == "random_forest":
             return RandomForestClassifier(numTrees=int(p["n_estimators"]), maxDepth=depth,
-                                          minInstancesPerNode=min_inst, seed=seed,
+                                          minInstancesPerNode=min_inst, seed=seed, **bins,
                                           featureSubsetStrategy="sqrt", **common)
         if model_name == "decision_tree":
-            return DecisionTreeClassifier(maxDepth=depth, minInstancesPerNode=min_inst, seed=seed,
+            return DecisionTreeClassifier(maxDepth=depth, minInstancesPerNode=min_inst, seed=seed, **bins,
                                           **common)
         if model_name in ("gradient_boosting", "xgboost"):
             gbt = GBTClassifier(maxIter=int(p["n_estimators"]), maxDepth=depth,
-                                stepSize=float(p["learning_rate"]), seed=seed, **common)
+                                stepSize=float(p["learning_rate"]), seed=seed, **bins, **common)
             return gbt if n_classes <= 2 else OneVsRest(classifier=gbt, **common)
         if model_name == "svm":
-            svc = LinearSVC(regParam=1.0 / (float(p["C"]) * n_train), maxIter=100,
-                            tol=float(p.get("tol", 1e-3)), **common)
+            svc = LinearSVC(regParam=1.0 / (float(p["C"]) * n_train), standardization=False,
+                            maxIter=int(p["max_iter"]), tol=float(p["tol"]), **common)
             return svc if n_classes <= 2 else OneVsRest(classifier=svc, **common)
         if model_name == "knn":
             return ("knn", int(p["n_neighbors"]), str(p["weights"]))
@@ -212,40 +242,36 @@ def build(model_name: str, problem_type: str, params: dict, n_train: int, n_clas
                                     standardization=False, maxIter=1000, **common)
         if model_name == "random_forest":
             return RandomForestRegressor(numTrees=int(p["n_estimators"]), maxDepth=depth,
-                                         minInstancesPerNode=min_inst, seed=seed,
+                                         minInstancesPerNode=min_inst, seed=seed, **bins,
                                          featureSubsetStrategy="all", **common)
         if model_name == "decision_tree":
-            return DecisionTreeRegressor(maxDepth=depth, minInstancesPerNode=min_inst, seed=seed,
+            return DecisionTreeRegressor(maxDepth=depth, minInstancesPerNode=min_inst, seed=seed, **bins,
                                          **common)
         if model_name in ("gradient_boosting", "xgboost"):
             return GBTRegressor(maxIter=int(p["n_estimators"]), maxDepth=depth,
-                                stepSize=float(p["learning_rate"]), seed=seed, **common)
+                                stepSize=float(p["learning_rate"]), seed=seed, **bins, **common)
         if model_name == "svr":
-            return LinearRegression(regParam=1.0 / (float(p["C"]) * n_train), elasticNetParam=0.0,
-                                    standardization=False, **common)
+            return EpsilonSVR(float(p["C"]), float(p["epsilon"]), int(p["max_iter"]), features_col=features_col,
+                              label_col=label_col)
     raise UnknownModelError(f"Unknown model {model_name!r} for {problem_type!r}")
 
 
 def kernel_features(model_name: str, params: dict, train: DataFrame, d: int,
-                    features_col: str = "features", n_features: int = 200):
-    """Feature map for kernel SVM/SVR: None (linear), PolynomialExpansion (poly)
+                    features_col: str = "features"):
+    """Feature map for kernel SVM/SVR: None (linear), PolynomialKernelFeatures (poly)
     or RandomFourierFeatures (rbf)."""
     if model_name not in ("svm", "svr"):
         return None
     p = model_params(model_name, params)
     kernel = str(p.get("kernel", "rbf"))
+    if kernel not in KERNELS:
+        raise ValueError(f"unknown kernel {kernel!r}; known: {', '.join(KERNELS)}")
     if kernel == "linear":
         return None
-    if kernel == "poly":
-        return PolynomialExpansion(degree=int(p.get("degree", 3)), inputCol=features_col,
-                                   outputCol="kfeatures")
     g = p.get("gamma", "scale")
     gamma = gamma_scale(train, features_col, d) if g == "scale" else (
         1.0 / d if g == "auto" else float(g))
-    return RandomFourierFeatures(features_col, "kfeatures", n_features, d, gamma,
+    if kernel == "poly":
+        return PolynomialKernelFeatures(features_col, "kfeatures", d, int(p["degree"]), gamma)
+    return RandomFourierFeatures(features_col, "kfeatures", int(p["n_features"]), d, gamma,
                                  int(p.get("random_state", 42)))
-
-
-def as_frame(rows: list[tuple], schema: str, spark) -> DataFrame:
-    return spark.createDataFrame(pd.DataFrame(rows, columns=[s.split()[0] for s in schema.split(",")]),
-                                 schema)

@@ -43,15 +43,17 @@ def clf_metrics(pred: DataFrame, label: str = "label", prediction: str = "predic
                  (F.sum(F.col("f1_score") * F.col("support")) / F.sum("support")).alias("f1_score"))
 
 
-def confusion_matrix(pred: DataFrame, label: str = "label",
-                     prediction: str = "prediction") -> DataFrame:
-    """V2: (actual, predicted, count) over the full grid of the label union."""
+def confusion_matrix(pred: DataFrame, label: str = "label", prediction: str = "prediction",
+                     full_grid: bool = True) -> DataFrame:
+    """V2: (actual, predicted, count) over the label union. ``full_grid=False``
+    leaves out the zeros: the grid has as many rows as classes squared, so targets
+    with very many classes want the cells that occur only."""
     counts = pred.groupBy(F.col(label).alias("actual"), F.col(prediction).alias("predicted")) \
         .agg(F.count(F.lit(1)).alias("count"))
-    labels = (pred.select(F.col(label).alias("l")).union(pred.select(F.col(prediction).alias("l")))
-              .distinct().agg(F.array_sort(F.collect_list("l")).alias("ls")))
-    grid = labels.select(F.explode("ls").alias("actual"), "ls") \
-        .select("actual", F.explode("ls").alias("predicted"))
+    if not full_grid:
+        return counts
+    labels = counts.select(F.explode(F.array("actual", "predicted")).alias("l")).distinct()
+    grid = labels.select(F.col("l").alias("actual")).crossJoin(labels.select(F.col("l").alias("predicted")))
     return (grid.join(counts, ["actual", "predicted"], "left")
             .select("actual", "predicted", F.coalesce("count", F.lit(0)).cast("bigint").alias("count")))
 
@@ -96,11 +98,11 @@ def reg_metrics(pred: DataFrame, label: str = "label", prediction: str = "predic
                     F.when(F.col("sst") > 0, 1 - F.col("sse") / F.col("sst")).alias("r2_score")))
 
 
-def pred_vs_actual(pred: DataFrame, key: str, n: int = 100, label: str = "label",
+def pred_vs_actual(pred: DataFrame, key: str, n: int | None = None, label: str = "label",
                    prediction: str = "prediction") -> DataFrame:
-    """V5: first n test rows by key with actual and predicted values."""
-    return pred.select(key, F.col(label).alias("actual"), F.col(prediction).alias("predicted")) \
-        .orderBy(key).limit(n)
+    """V5: actual and predicted values of the test rows; with ``n`` the first n by key."""
+    out = pred.select(key, F.col(label).alias("actual"), F.col(prediction).alias("predicted"))
+    return out if n is None else out.orderBy(key).limit(n)
 
 
 def reference_line(pred: DataFrame, label: str = "label", prediction: str = "prediction"):

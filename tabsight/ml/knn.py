@@ -1,13 +1,18 @@
 """Exact k-nearest-neighbour classification / regression.
 
-A distributed block nested loop: test rows are cut into blocks of at most
-``block`` rows and training rows into blocks of at most ``block`` rows
-(positions from a range-partitioned job). Each (test block, train block)
-pair is one cogroup of bounded size, where numpy computes distances on small
-tiles and emits only the k nearest candidates per test row. Candidates are
-reduced with ``row_number() <= k`` (a partial WindowGroupLimit before the
-shuffle) and voted. Nothing passes through the driver. Ties: nearer first, then the smaller training key; the vote takes
-the most frequent label, then the smallest label.
+Training rows are dealt to the nearest of a few pivots, and a pivot's rows are cut
+into blocks of at most ``block``. A test row knows its distance to every pivot and
+each pivot's radius: enough near cells to hold k training rows bound its k-th
+distance, and by the triangle inequality only cells that this bound reaches can
+hold a neighbour. So each training row is shipped once, each test row to the
+blocks it may need. In a task a block's training rows stand first and its test
+rows stream past them, so memory is a block's, whatever the number of test rows.
+Candidates are reduced with ``row_number() <= k`` (a partial WindowGroupLimit
+before the shuffle) and voted; nothing passes through the driver but the pivots.
+
+Rows have ids of their own (key order, then content), so repeated keys and any
+type of key are right. Ties: nearer first, then the smaller training key; the vote
+takes the most frequent label, then the smallest label.
 """
 
 from __future__ import annotations
@@ -15,12 +20,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators.ranks import positions
-from ..session import ship_package
+from ..session import checkpoint_dir, ship_package
 
 
 def _features(df: DataFrame, features: str | Sequence[str]):
@@ -29,61 +35,126 @@ def _features(df: DataFrame, features: str | Sequence[str]):
     return F.array(*[F.col(c).cast("double") for c in features])
 
 
-def _topk_pairs(k: int, tile_test: int = 64, tile_train: int = 2048):
-    """cogroup(test rows, train rows) of one block pair -> k candidates per test row."""
-    def run(te: pd.DataFrame, tr: pd.DataFrame) -> pd.DataFrame:
-        cols = ["test_id", "train_id", "y", "dist"]
-        if te.empty or tr.empty:
-            return pd.DataFrame({c: pd.Series(dtype="float64" if c in ("y", "dist") else "int64")
-                                 for c in cols})
-        test_ids = te["test_id"].to_numpy()
-        test_x = np.vstack(te["x"].to_numpy()).astype(np.float64)
-        tr_all = np.vstack(tr["x"].to_numpy()).astype(np.float64)
-        ids_all = tr["id"].to_numpy()
-        ys_all = tr["y"].to_numpy().astype(np.float64)
-        out_t, out_i, out_y, out_d = [], [], [], []
-        for s0 in range(0, len(tr), tile_train):
-            trx, ids, ys = (tr_all[s0:s0 + tile_train], ids_all[s0:s0 + tile_train],
-                            ys_all[s0:s0 + tile_train])
-            kk = min(k, len(ids))
-            for t0 in range(0, len(test_ids), tile_test):
-                tx = test_x[t0:t0 + tile_test]
-                d = np.sqrt(((tx[:, None, :] - trx[None, :, :]) ** 2).sum(axis=2))
-                order = np.lexsort((np.broadcast_to(ids, d.shape), d), axis=1)[:, :kk]
-                rows = np.repeat(np.arange(d.shape[0]), kk)
-                sel = order.reshape(-1)
-                out_t.append(test_ids[t0:t0 + tile_test][rows])
-                out_i.append(ids[sel])
-                out_y.append(ys[sel])
-                out_d.append(d[rows, sel])
-        return pd.DataFrame({"test_id": np.concatenate(out_t), "train_id": np.concatenate(out_i),
-                             "y": np.concatenate(out_y), "dist": np.concatenate(out_d)})
+def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Euclidean distances of all rows of ``a`` and ``b``, in slices whose
+    temporary arrays stay below about 4 million numbers."""
+    out = np.empty((len(a), len(b)))
+    step = max(1, 4_000_000 // max(1, len(b) * a.shape[1]))
+    for s in range(0, len(a), step):
+        d = a[s:s + step, None, :] - b[None, :, :]
+        out[s:s + step] = np.sqrt((d * d).sum(axis=2))
+    return out
+
+
+def _vectors(column) -> np.ndarray:
+    return np.stack(column.to_pylist()).astype(np.float64) if len(column) else np.zeros((0, 0))
+
+
+def _near_pivots(points: np.ndarray):
+    """The pivot nearest to each row of x and its distance."""
+    def run(batches):
+        for b in batches:
+            if not b.num_rows:
+                continue
+            d = _distances(_vectors(b.column("x")), points)
+            cell = d.argmin(axis=1)
+            b = b.append_column("cell", pa.array(cell, pa.int32()))
+            yield b.append_column("far", pa.array(d[np.arange(len(d)), cell], pa.float64()))
     return run
 
 
+def _reached(points: np.ndarray, radius: np.ndarray, count: np.ndarray, k: int):
+    """The cells of each test row that may hold one of its k nearest rows."""
+    def run(batches):
+        for b in batches:
+            if not b.num_rows:
+                continue
+            d = _distances(_vectors(b.column("x")), points)
+            upper = d + radius
+            order = np.argsort(upper, axis=1, kind="stable")
+            enough = np.cumsum(count[order], axis=1) >= k
+            at = np.where(enough.any(axis=1), enough.argmax(axis=1), len(points) - 1)
+            bound = np.take_along_axis(upper, order, axis=1)[np.arange(len(d)), at]
+            slack = 1e-9 * (1 + np.abs(bound))
+            hit = (d - radius <= (bound + slack)[:, None]) & (count > 0)
+            rows, cells = np.nonzero(hit)
+            out = b.take(pa.array(rows))
+            yield out.append_column("cell", pa.array(cells, pa.int32()))
+    return run
+
+
+def _nearest(k: int):
+    """k candidates of each test row from the training rows of its block, which come first."""
+    def run(batches):
+        group, held = None, []
+        train = None
+        for b in batches:
+            cells, subs, sides = (b.column(c).to_numpy() for c in ("cell", "sub", "side"))
+            cut = np.flatnonzero(np.r_[True, (cells[1:] != cells[:-1]) | (subs[1:] != subs[:-1]) | (sides[1:] != sides[:-1])])
+            for s, e in zip(cut, [*cut[1:], b.num_rows]):
+                if (cells[s], subs[s]) != group:
+                    group, held, train = (cells[s], subs[s]), [], None
+                part = b.slice(s, e - s)
+                if sides[s] == 0:
+                    held.append(part)
+                    continue
+                if train is None:
+                    if not held:
+                        continue
+                    t = pa.Table.from_batches(held)
+                    train = (_vectors(t.column("x")), t.column("id").to_numpy(), t.column("y").to_numpy())
+                x, ids, ys = train
+                d = _distances(_vectors(part.column("x")), x)
+                kk = min(k, len(ids))
+                best = np.lexsort((np.broadcast_to(ids, d.shape), d), axis=1)[:, :kk].reshape(-1)
+                rows = np.repeat(np.arange(len(d)), kk)
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("id").take(pa.array(rows)), pa.array(ids[best]), pa.array(ys[best]), pa.array(d[rows, best])],
+                    names=["test_id", "train_id", "y", "dist"])
+    return run
+
+
+def _numbered(df: DataFrame, key: str, features, label: str | None) -> DataFrame:
+    """(id, key, x[, y]): ids from 0 in key order; equal keys by content, then place."""
+    x = _features(df, features).alias("x")
+    cols = [F.col(key).alias("k"), x] + ([F.col(label).cast("double").alias("y")] if label else [])
+    rows = df.select(*cols).withColumn("__c", F.xxhash64("x")).withColumn("__t", F.monotonically_increasing_id())
+    checkpoint_dir(df.sparkSession)
+    return positions(rows.checkpoint(eager=True), ["k", "__c", "__t"]) \
+        .withColumn("id", F.col("pos") - 1).drop("pos", "__c", "__t").checkpoint(eager=True)
+
+
 def knn_predict(train: DataFrame, test: DataFrame, key: str, features: str | Sequence[str],
                 label: str, k: int = 5, weights: str = "uniform", task: str = "classification",
-                block: int = 4096) -> DataFrame:
+                block: int = 4096, pivots: int = 64) -> DataFrame:
     """Predictions for every test row: (key, prediction)."""
-    ship_package(train.sparkSession)
-    tr = train.select(F.col(key).alias("id"), _features(train, features).alias("x"),
-                      F.col(label).cast("double").alias("y"))
-    te = test.select(F.col(key).alias("test_id"), _features(test, features).alias("x"))
-    te = positions(te, ["test_id"]).withColumn("b", ((F.col("pos") - 1) / block).cast("long"))
-    tr = positions(tr, ["id"]).withColumn("c", ((F.col("pos") - 1) / block).cast("long"))
-    nb = te.agg(F.max("b")).first()[0]
-    nc = tr.agg(F.max("c")).first()[0]
-    if nb is None or nc is None:
+    spark = train.sparkSession
+    ship_package(spark)
+    tr, te = _numbered(train, key, features, label), _numbered(test, key, features, None)
+    n = tr.agg(F.max("id") + 1).first()[0]
+    if n is None or te.isEmpty():
         return test.select(F.col(key), F.lit(None).cast("double").alias("prediction")).limit(0)
-    # replicate each side over the other side's block ids: one cogroup per block pair
-    te_rep = te.select("test_id", "x", "b",
-                       F.explode(F.sequence(F.lit(0).cast("long"), F.lit(int(nc)).cast("long")))
-                       .alias("c"))
-    tr_rep = tr.select("id", "x", "y", "c",
-                       F.explode(F.sequence(F.lit(0).cast("long"), F.lit(int(nb)).cast("long")))
-                       .alias("b"))
-    cand = (te_rep.groupBy("b", "c").cogroup(tr_rep.groupBy("b", "c"))
-            .applyInPandas(_topk_pairs(k), "test_id long, train_id long, y double, dist double"))
+    # at most ``pivots`` rows, evenly spaced in key order
+    m = min(pivots, -(-n // block))
+    chosen = tr.where(F.col("id") % F.lit(-(-n // m)) == 0).select("x").collect()
+    points = np.unique(np.array([r[0] for r in chosen], dtype=np.float64), axis=0)
+    near = T.StructType([*tr.schema.fields, T.StructField("cell", T.IntegerType()), T.StructField("far", T.DoubleType())])
+    celled = tr.mapInArrow(_near_pivots(points), near)
+    celled = positions(celled.checkpoint(eager=True), ["id"], by=["cell"]) \
+        .withColumn("sub", ((F.col("pos") - 1) / block).cast("long")).drop("pos")
+    cells = {r["cell"]: r for r in celled.groupBy("cell").agg(
+        F.max("far").alias("radius"), F.count(F.lit(1)).alias("n"), F.max("sub").alias("top")).collect()}  # one row a pivot
+    radius = np.array([cells[c]["radius"] if c in cells else 0.0 for c in range(len(points))])
+    count = np.array([cells[c]["n"] if c in cells else 0 for c in range(len(points))])
+    tops = F.element_at(F.create_map(*[F.lit(v) for c, r in cells.items() for v in (c, r["top"])]), F.col("cell"))
+    reach = T.StructType([*te.select("id", "x").schema.fields, T.StructField("cell", T.IntegerType())])
+    asked = te.select("id", "x").mapInArrow(_reached(points, radius, count, k), reach) \
+        .withColumn("sub", F.explode(F.sequence(F.lit(0).cast("long"), tops)))
+    both = celled.select("cell", "sub", F.lit(0).alias("side"), "id", "x", "y").unionByName(
+        asked.select("cell", "sub", F.lit(1).alias("side"), "id", "x", F.lit(None).cast("double").alias("y")))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    cand = both.repartition(parts, "cell", "sub").sortWithinPartitions("cell", "sub", "side", "id") \
+        .mapInArrow(_nearest(k), "test_id long, train_id long, y double, dist double")
     w = Window.partitionBy("test_id").orderBy("dist", "train_id")
     near = cand.withColumn("r", F.row_number().over(w)).where(F.col("r") <= k)
     if task == "regression":
@@ -99,4 +170,4 @@ def knn_predict(train: DataFrame, test: DataFrame, key: str, features: str | Seq
         wv = Window.partitionBy("test_id").orderBy(F.desc("votes"), "y")
         pred = (votes.withColumn("r", F.row_number().over(wv)).where(F.col("r") == 1)
                 .select("test_id", F.col("y").alias("prediction")))
-    return pred.withColumnRenamed("test_id", key)
+    return te.select(F.col("id").alias("test_id"), F.col("k").alias(key)).join(pred, "test_id").drop("test_id")

@@ -13,7 +13,7 @@ from pyspark.sql import types as T
 from ..functions.columns import categorical_columns, numeric_columns
 from ..operators.profile import with_scalars
 from ..operators.ranks import dense_index, positions
-from ..session import broadcast_row_limit
+from ..session import broadcast_byte_limit, checkpoint_dir
 
 MISSING_LABEL = "nan"
 
@@ -23,14 +23,15 @@ def label_encode(df: DataFrame, columns: Sequence[str] | None = None,
     """M1: text/bool columns -> 0-based codes of their sorted string values
     (missing becomes the category 'nan'). Returns (encoded df, {col: mapping})."""
     cols = list(columns) if columns is not None else categorical_columns(df, tuple(exclude))
-    limit = broadcast_row_limit(df.sparkSession)
+    limit = broadcast_byte_limit(df.sparkSession)
+    checkpoint_dir(df.sparkSession)
     out, maps = df, {}
     for c in cols:
         text = F.coalesce(F.col(c).cast("string"), F.lit(MISSING_LABEL))
         out = out.withColumn(c, text)
-        mapping = dense_index(out.select(c), c).cache()
-        n = mapping.count()
-        m = F.broadcast(mapping) if n <= limit else mapping
+        mapping = dense_index(out.select(c), c).checkpoint(eager=True)
+        size = mapping.agg(F.sum(F.octet_length("value") + 32)).first()[0] or 0
+        m = F.broadcast(mapping) if size <= limit else mapping
         out = (out.join(m.withColumnRenamed("value", c), c, "left")
                .withColumn(c, F.col("code").cast("int")).drop("code")
                .select(*df.columns))
@@ -71,10 +72,23 @@ def hash_key(key: str, seed: int = 42):
     return F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
 
 
+def with_row_key(df: DataFrame, name: str) -> DataFrame:
+    """``df`` plus a unique row number (from 0) in the order of the rows' content:
+    128 bits of hash, then a row id for equal rows, which may swap places without
+    any effect. Written to the checkpoint folder, so the numbers stay."""
+    hashed = df.withColumn("__k1", F.xxhash64(*df.columns)).withColumn("__k2", F.xxhash64(F.lit(1), *df.columns)) \
+        .withColumn("__k3", F.monotonically_increasing_id())
+    checkpoint_dir(df.sparkSession)
+    numbered = positions(hashed.checkpoint(eager=True), ["__k1", "__k2", "__k3"])
+    return numbered.withColumn(name, F.col("pos") - 1).drop("__k1", "__k2", "__k3", "pos") \
+        .checkpoint(eager=True)
+
+
 def split(df: DataFrame, key: str, test_size: float = 0.2, seed: int = 42,
           limit: int = 200_000) -> DataFrame:
     """M4: add ``is_test``: exactly ceil(test_size * n) rows, the smallest by
-    (md5(seed:key), key). The threshold pair is found by narrowing an md5 hex
+    (md5(seed:key), key). Where rows share a key, the last key that fits in part
+    gives as many of its rows as are missing. The threshold pair is found by narrowing an md5 hex
     prefix (one bounded 65,536-row count per step) and a final ordered pick in
     a bucket of at most ``limit`` rows - no global sort, no single task."""
     h = hash_key(key, seed)
@@ -106,9 +120,15 @@ def split(df: DataFrame, key: str, test_size: float = 0.2, seed: int = 42,
     r = t - below
     last = (scope.select("__h", key).orderBy("__h", key).offset(r - 1).limit(1).first())
     hstar, kstar = last["__h"], last[key]
-    is_test = (F.col("__h") < F.lit(hstar)) | ((F.col("__h") == F.lit(hstar))
-                                               & (F.col(key) <= F.lit(kstar)))
-    return base.withColumn("is_test", is_test).drop("__h")
+    at = (F.col("__h") == F.lit(hstar)) & (F.col(key) == F.lit(kstar))
+    before = (F.col("__h") < F.lit(hstar)) | ((F.col("__h") == F.lit(hstar)) & (F.col(key) < F.lit(kstar)))
+    low, same = base.agg(F.count_if(before), F.count_if(at)).first()
+    if low + same == t:
+        return base.withColumn("is_test", before | at).drop("__h")
+    # the key's rows are more than the test part has room for: number them
+    some = with_row_key(base.where(at), "__n").withColumn("is_test", F.col("__n") < t - low).drop("__n")
+    rest = base.where(~at).withColumn("is_test", before)
+    return rest.unionByName(some).drop("__h")
 
 
 def standardize(train: DataFrame, test: DataFrame | None, columns: Sequence[str]
@@ -142,7 +162,9 @@ def assign_folds(df: DataFrame, k: int, key: str, label: str | None = None,
     each class (by split order) goes to fold (j - 1) mod k. Without
     (regression): contiguous blocks, the first n mod k folds one row larger.
     Positions come from ``positions`` (range partitioned), never one task."""
-    k = max(2, int(k))
+    k = int(k)
+    if k < 2:
+        raise ValueError(f"cross-validation takes 2 folds or more, not {k}")
     d = df.withColumn("__h", hash_key(key, seed)) if order_hash else df
     order = ["__h", key] if order_hash else [key]
     if label is not None:

@@ -18,13 +18,16 @@ from pyspark.ml.classification import OneVsRestModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.columns import categorical_columns, numeric_columns
 from ..operators.profile import check_problem_type
+from ..session import checkpoint_dir
 from . import estimators as est
 from .evaluate import classification_report, clf_metrics, confusion_matrix, reg_metrics
 from .knn import knn_predict
-from .prep import assign_folds, encode_target, impute_mean, label_encode, split, standardize
+from .prep import (assign_folds, encode_target, impute_mean, label_encode, split, standardize,
+                   with_row_key)
 
 
 @dataclass
@@ -45,8 +48,27 @@ class TrainResult:
     feature_names: list = field(default_factory=list)
 
 
+@dataclass
+class FittedSteps:
+    """Fitted steps in a row, like a fitted pipeline."""
+    stages: list
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        for step in self.stages:
+            df = step.transform(df)
+        return df
+
+
+def _dates_as_text(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Dates and timestamps become ISO text, which sorts by time, so that they are
+    label-encoded like the texts a CSV reader would give."""
+    return df.withColumns({c: F.col(c).cast("string") for c in columns
+                           if isinstance(df.schema[c].dataType, (T.DateType, T.TimestampType, T.TimestampNTZType))})
+
+
 def preprocess(df: DataFrame, target: str, key: str) -> tuple[DataFrame, list[str], object]:
     feats = [c for c in df.columns if c not in (target, key)]
+    df = _dates_as_text(df, feats)
     cat = [c for c in categorical_columns(df) if c in feats]
     num = [c for c in numeric_columns(df) if c in feats]
     X, _ = label_encode(df, cat) if cat else (df, {})
@@ -72,32 +94,40 @@ def _fit_predict(model_name, problem_type, params, train_df, test_df, feats, key
     kmap = est.kernel_features(model_name, params, assembled, len(feats))
     if kmap is not None:
         stages.append(kmap)
-        spec.setFeaturesCol("kfeatures")
+        if hasattr(spec, "setFeaturesCol"):
+            spec.setFeaturesCol("kfeatures")
         if hasattr(spec, "getClassifier"):
             spec.getClassifier().setFeaturesCol("kfeatures")
+    if isinstance(spec, est.EpsilonSVR):  # not an MLlib estimator: fitted on the pipeline's features
+        spec.features_col = "kfeatures" if kmap is not None else "features"
+        prepared = Pipeline(stages=stages).fit(train_df)
+        model = FittedSteps([*prepared.stages, spec.fit(prepared.transform(train_df))])
+        return model, model.transform(test_df).select(key, "label", F.col("prediction").cast("double"))
     stages.append(spec)
     model = Pipeline(stages=stages).fit(train_df)
     out = model.transform(test_df).select(key, "label", F.col("prediction").cast("double"))
     return model, out
 
 
+def _weights(fitted) -> list[float] | None:
+    """One weight a feature: impurity gains of trees, mean absolute coefficients of
+    linear models (over classes, and over the members of one-vs-rest)."""
+    if isinstance(fitted, OneVsRestModel):
+        parts = [w for w in map(_weights, fitted.models) if w is not None]
+        return [sum(c) / len(parts) for c in zip(*parts)] if parts else None
+    for attribute, rows in (("weights", lambda v: [v]), ("featureImportances", lambda v: [v.toArray()]),
+                            ("coefficientMatrix", lambda v: list(v.toArray())),
+                            ("coefficients", lambda v: [v.toArray()])):
+        if hasattr(fitted, attribute):
+            table = rows(getattr(fitted, attribute))
+            return [float(sum(abs(x) for x in c) / len(table)) for c in zip(*table)]
+    return None
+
+
 def _importances(model, feats: list[str], spark) -> DataFrame | None:
     if model is None:
         return None
-    last = model.stages[-1]
-    vals = None
-    if hasattr(last, "featureImportances"):
-        vals = last.featureImportances.toArray().tolist()
-    elif hasattr(last, "coefficientMatrix"):
-        m = last.coefficientMatrix.toArray()
-        vals = abs(m).mean(axis=0).tolist()
-    elif hasattr(last, "coefficients"):
-        vals = [abs(v) for v in last.coefficients.toArray().tolist()]
-    elif isinstance(last, OneVsRestModel):
-        cs = [m.coefficients.toArray() for m in last.models if hasattr(m, "coefficients")]
-        if cs:
-            import numpy as np
-            vals = np.abs(np.vstack(cs)).mean(axis=0).tolist()
+    vals = _weights(model.stages[-1])
     if vals is None or len(vals) != len(feats):
         return None
     rows = sorted(zip(feats, [float(v) for v in vals]), key=lambda r: -r[1])
@@ -115,7 +145,7 @@ def train(df: DataFrame, target: str, model_name: str, hyperparameter: str | dic
     params = est.validate_params(model_name, params) if model_name in est.DEFAULTS else params
     if key is None:
         key = "__row_key"
-        df = df.withColumn(key, F.xxhash64(*[F.col(c) for c in df.columns]))
+        df = with_row_key(df, key)
     X, feats, mapping = preprocess(df, target, key)
     # the reference validates the (encoded) target: text targets count as integers
     kind_df = X.select(F.col(target).alias("__y"))
@@ -125,7 +155,8 @@ def train(df: DataFrame, target: str, model_name: str, hyperparameter: str | dic
     if detected != problem_type:
         raise ValueError(f"Problem type mismatch: selected {problem_type!r}, detected {detected!r}")
     data = X.select(key, *feats, F.col(target).cast("double").alias("label"))
-    data = split(data, key, test_size, seed).cache()
+    checkpoint_dir(spark)
+    data = split(data, key, test_size, seed).checkpoint(eager=True)
     train_df = data.where(~F.col("is_test")).drop("is_test")
     test_df = data.where(F.col("is_test")).drop("is_test")
     if model_name in est.SCALED:
@@ -143,7 +174,7 @@ def train(df: DataFrame, target: str, model_name: str, hyperparameter: str | dic
         res.report = classification_report(pred)
     if run_cv:
         res.cv_scores = cross_validate(train_df, model_name, problem_type, params, feats, key,
-                                       min(cv_folds, 5), n_classes, seed)
+                                       cv_folds, n_classes, seed)
     res.feature_importance = _importances(model, feats, spark)
     return res
 
@@ -151,22 +182,24 @@ def train(df: DataFrame, target: str, model_name: str, hyperparameter: str | dic
 def cross_validate(train_df: DataFrame, model_name: str, problem_type: str, params: dict,
                    feats: list[str], key: str, folds: int, n_classes: int, seed: int = 42
                    ) -> DataFrame | None:
-    """V7: accuracy (classification) or R^2 (regression) per fold; failures are
-    swallowed like the reference (the result is then None)."""
+    """V7: accuracy (classification) or R^2 (regression) per fold, as many folds as
+    asked for. A fold that has no defined score (a constant part) has a NULL one;
+    errors are the caller's to see."""
     spark = train_df.sparkSession
+    f = assign_folds(train_df, folds, key, "label" if problem_type == "classification" else None,
+                     seed=seed).cache()
     try:
-        f = assign_folds(train_df, folds, key, "label" if problem_type == "classification" else None,
-                         seed=seed).cache()
         scores = []
-        for k in range(max(2, folds)):
+        for k in range(folds):
             tr, va = f.where(F.col("fold") != k).drop("fold"), f.where(F.col("fold") == k).drop("fold")
             _, p = _fit_predict(model_name, problem_type, params, tr, va, feats, key, n_classes)
             m = clf_metrics(p) if problem_type == "classification" else reg_metrics(p)
-            col = "accuracy" if problem_type == "classification" else "r2_score"
-            scores.append((k, float(m.first()[col])))
-    except Exception:  # noqa: BLE001 - the reference reports CV failure and continues
-        return None
-    mean = sum(s for _, s in scores) / len(scores)
-    std = math.sqrt(sum((s - mean) ** 2 for _, s in scores) / len(scores))
+            score = m.first()["accuracy" if problem_type == "classification" else "r2_score"]
+            scores.append((k, None if score is None else float(score)))
+    finally:
+        f.unpersist()
+    known = [s for _, s in scores if s is not None]
+    mean = sum(known) / len(known) if known else None
+    std = math.sqrt(sum((s - mean) ** 2 for s in known) / len(known)) if known else None
     return spark.createDataFrame([(k, s, mean, std) for k, s in scores],
                                  "fold int, score double, mean double, std double")

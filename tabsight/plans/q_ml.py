@@ -106,8 +106,16 @@ def q_cv_folds_regression(spark, sf):
 
 # ---------------------------------------------------------------- E6 kNN + V1-V3
 
-def _knn_sql(k: int = 5) -> str:
-    s = _split_sql("embeddings", "vec_id", "vec_id, label, CAST(embedding AS DOUBLE[]) AS x")
+_EMB_SPLIT = _split_sql("embeddings", "vec_id", "vec_id, label, CAST(embedding AS DOUBLE[]) AS x")
+#: the same rows with each feature standardised by the training part
+_EMB_SCALED = f"""(WITH s AS {_EMB_SPLIT},
+u AS (SELECT vec_id, label, is_test, i, x[i] AS v FROM s, range(1, 65) r(i)),
+m AS (SELECT i, avg(v) AS mu, stddev_pop(v) AS sd FROM u WHERE NOT is_test GROUP BY i)
+SELECT vec_id, label, is_test, list((v - mu) / CASE WHEN sd IS NULL OR sd = 0 THEN 1 ELSE sd END ORDER BY i) AS x
+FROM u JOIN m USING (i) GROUP BY vec_id, label, is_test)"""
+
+
+def _knn_sql(k: int = 5, s: str = _EMB_SPLIT) -> str:
     return f"""(WITH t AS {s},
 d AS (SELECT a.vec_id AS id, b.vec_id AS nid, b.label AS nlabel,
         list_distance(a.x, b.x) AS dist FROM t a JOIN t b ON a.is_test AND NOT b.is_test),
@@ -241,10 +249,9 @@ def q_reg_metrics(spark, sf):
 
 
 @query("pred_vs_actual", f"""
-SELECT p_partkey, round(label, 6) AS actual, round(prediction, 6) AS predicted FROM {_lin_sql()}
-ORDER BY p_partkey LIMIT 100""")
+SELECT p_partkey, round(label, 6) AS actual, round(prediction, 6) AS predicted FROM {_lin_sql()}""")
 def q_pred_vs_actual(spark, sf):
-    """V5 first 100 test rows by key."""
+    """V5 actual and predicted values of all test rows."""
     return ev.pred_vs_actual(_lin_spark(spark, sf)[1], "p_partkey")
 
 
@@ -325,14 +332,19 @@ def q_model_comparison(spark, sf):
     return runs.model_comparison(_runs_spark(spark, sf), _MET)
 
 
-@query("model_runs")
+@query("model_runs", f"""
+SELECT run_id, model_name, problem_type, target, metric, value FROM (
+  SELECT run_id, model_name, problem_type,
+    CASE WHEN problem_type = 'classification' THEN 'label' ELSE 'p_retailprice' END AS target, {', '.join(_MET)}
+  FROM {_runs_sql()}) UNPIVOT (value FOR metric IN ({', '.join(_MET)}))""")
 def q_model_runs(spark, sf):
-    """Record the runs in the registry table and read them back."""
+    """Record the runs in the registry table and read them back, metrics flat."""
     from ..sources.ingest import scratch_path
     path = scratch_path(spark, "runs")
     runs.clear_runs(spark, path)
     runs.record_run(spark, _runs_spark(spark, sf), path)
-    return runs.load_runs(spark, path)
+    return runs.load_runs(spark, path).select("run_id", "model_name", "problem_type", "target",
+                                              F.explode("metrics").alias("metric", "value"))
 
 
 # ---------------------------------------------------------------- E1-E11 fits (rows checks)
@@ -347,9 +359,7 @@ def _train_query(model_name, problem_type="classification", binary=False, params
                  cv=False, regression_src=False):
     def fn(spark, sf):
         if regression_src:
-            df = table(spark, sf, "orders").select(
-                "o_orderkey", "o_custkey", "o_orderstatus", "o_orderpriority",
-                F.col("o_totalprice"))
+            df = table(spark, sf, "orders")
             res = train(df, "o_totalprice", model_name, params, "regression", key="o_orderkey",
                         run_cv=cv)
         else:
@@ -364,6 +374,11 @@ def _train_query(model_name, problem_type="classification", binary=False, params
     return fn
 
 
+_TRAIN_SQL = {"train_knn": f"""
+SELECT 'knn' AS model_name, (SELECT CAST(count_if(NOT is_test) AS INTEGER) FROM {_EMB_SPLIT}) AS train_size,
+  (SELECT CAST(count_if(is_test) AS INTEGER) FROM {_EMB_SPLIT}) AS test_size, m.*
+FROM ({_clf_metrics_sql(_knn_sql(5, _EMB_SCALED))}) m"""}
+
 for _name, _kw in {
     "train_logistic_regression": dict(model_name="logistic_regression"),
     "train_decision_tree": dict(model_name="decision_tree"),
@@ -381,30 +396,81 @@ for _name, _kw in {
     "train_gbt_regressor": dict(model_name="gradient_boosting", regression_src=True),
     "train_svr": dict(model_name="svr", regression_src=True),
 }.items():
-    query(_name)(_train_query(**_kw))
-
-
-@query("cv_scores")
+    query(_name, _TRAIN_SQL.get(_name))(_train_query(**_kw))
+
+
+def _part_one_feature(spark, sf):
+    return table(spark, sf, "part").select("p_partkey", "p_size", "p_retailprice")
+
+
+def _one_feature_sql(slope: str) -> str:
+    """Slope and intercept of a penalised line on the training part, from its moments."""
+    return f"""
+WITH s AS {_part_split_sql()},
+m AS (SELECT count(*) AS n, avg(x) AS mx, avg(y) AS my, var_pop(x) * count(*) AS sxx, covar_pop(x, y) * count(*) AS sxy
+      FROM s WHERE NOT is_test),
+w AS (SELECT *, {slope} AS w FROM m)
+SELECT round(w, 6) AS slope, round(my - w * mx, 6) AS intercept FROM w"""
+
+
+def _one_feature(spark, sf, model, params):
+    res = train(_part_one_feature(spark, sf), "p_retailprice", model, params, "regression", key="p_partkey", run_cv=False)
+    line = res.model.stages[-1]
+    return spark.createDataFrame([(float(line.coefficients[0]), float(line.intercept))], "slope double, intercept double")
+
+
+@query("ridge_one_feature", _one_feature_sql("sxy / (sxx + 50.0)"))
+def q_ridge_one_feature(spark, sf):
+    """The ridge line of one feature in closed form, alpha = 50."""
+    return _one_feature(spark, sf, "ridge", {"alpha": 50.0})
+
+
+@query("lasso_one_feature", _one_feature_sql("sign(sxy) * greatest(abs(sxy) / n - 2.0, 0) / (sxx / n)"))
+def q_lasso_one_feature(spark, sf):
+    """The lasso line of one feature by soft threshold, alpha = 2."""
+    return _one_feature(spark, sf, "lasso", {"alpha": 2.0})
+
+
+@query("tree_stump", f"""
+WITH s AS {_part_split_sql()},
+c AS (SELECT x, count(*) AS n, sum(y) AS t FROM s WHERE NOT is_test GROUP BY x),
+a AS (SELECT sum(n) AS n, sum(t) AS t FROM c),
+k AS (SELECT x, sum(n) OVER (ORDER BY x) AS ln, sum(t) OVER (ORDER BY x) AS lt FROM c),
+g AS (SELECT ln, lt, a.n - ln AS rn, a.t - lt AS rt FROM k, a WHERE a.n > ln
+      ORDER BY lt * lt / ln + (a.t - lt) * (a.t - lt) / (a.n - ln) DESC LIMIT 1)
+SELECT CAST(ln AS BIGINT) AS n, round(lt / ln, 6) AS prediction FROM g
+UNION ALL SELECT CAST(rn AS BIGINT), round(rt / rn, 6) FROM g""")
+def q_tree_stump(spark, sf):
+    """A regression tree of depth 1 finds the split of least squared error."""
+    from ..ml.prep import split as cut
+    part = _part_one_feature(spark, sf)
+    res = train(part, "p_retailprice", "decision_tree", {"max_depth": 1}, "regression", key="p_partkey", run_cv=False)
+    rows = cut(part.withColumn("p_size", F.col("p_size").cast("double")), "p_partkey").where(~F.col("is_test"))
+    return res.model.transform(rows.withColumn("label", F.col("p_retailprice"))) \
+        .groupBy("prediction").agg(F.count(F.lit(1)).alias("n")).select("n", "prediction")
+
+
+@query("cv_scores", f"""
+WITH t AS (SELECT *, row_number() OVER (ORDER BY h, p_partkey) - 1 AS z, count(*) OVER () AS n
+           FROM {_part_split_sql()} WHERE NOT is_test),
+u AS (SELECT x, y, CAST(CASE WHEN z < (n // 5 + 1) * (n % 5) THEN z // (n // 5 + 1)
+        ELSE n % 5 + (z - (n // 5 + 1) * (n % 5)) // (n // 5) END AS INTEGER) AS fold FROM t),
+f AS (SELECT k.fold, regr_slope(y, x) AS w, regr_intercept(y, x) AS b
+      FROM (SELECT DISTINCT fold FROM u) k JOIN u ON u.fold <> k.fold GROUP BY k.fold),
+m AS (SELECT fold, avg(y) AS mu FROM u GROUP BY fold),
+r AS (SELECT u.fold, 1 - sum((y - b - w * x) ^ 2) / sum((y - mu) ^ 2) AS score
+      FROM u JOIN f USING (fold) JOIN m USING (fold) GROUP BY u.fold)
+SELECT fold, round(score, 6) AS score, round(avg(score) OVER (), 6) AS mean,
+  round(sqrt(avg(score * score) OVER () - (avg(score) OVER ()) ^ 2), 6) AS std FROM r""")
 def q_cv_scores(spark, sf):
-    """V7: 5-fold accuracy of a decision tree on the training part (rows check)."""
-    res = train(_emb_features(spark, sf), "label", "decision_tree", "{}", "classification",
-                key="vec_id", run_cv=True)
-    return res.cv_scores
+    """V7: R squared of each of 5 folds, least squares on one feature."""
+    return train(_part_one_feature(spark, sf), "p_retailprice", "linear_regression", "{}", "regression",
+                 key="p_partkey", run_cv=True).cv_scores
 
 
 @query("feature_importance")
 def q_feature_importance(spark, sf):
     """V8/V9: tree importances, descending (top 15 shown by callers)."""
-    res = train(table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderstatus",
-                                                   "o_orderpriority", "o_totalprice"),
-                "o_totalprice", "decision_tree", "{}", "regression", key="o_orderkey",
+    res = train(table(spark, sf, "orders"), "o_totalprice", "decision_tree", "{}", "regression", key="o_orderkey",
                 run_cv=False)
     return res.feature_importance
-
-
-@query("model_catalogue")
-def q_model_catalogue(spark, sf):
-    """M7 catalogue as rows (bounded, from the schema of the problem types)."""
-    rows = [(t, k, v) for t in ("classification", "regression")
-            for k, v in est.available_models(t).items()]
-    return spark.createDataFrame(rows, "problem_type string, model string, label string")

@@ -137,3 +137,82 @@ def test_run_registry(spark, tmp_path):
     assert s == {"r1": 0.9, "r2": 0.5}
     cmp = {r["run_id"]: r for r in runs.model_comparison(allr).collect()}
     assert cmp["r2"]["best_mse"] and cmp["r1"]["best_accuracy"]
+
+
+def test_epsilon_svr_reaches_the_optimum(spark):
+    from pyspark.ml.feature import VectorAssembler
+
+    from tabsight.ml.svr import EpsilonSVR
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(150, 2))
+    y = x @ np.array([1.0, -2.0]) + 0.5 + rng.normal(scale=0.3, size=150)
+    df = spark.createDataFrame([(float(a), float(b), float(v)) for (a, b), v in zip(x, y)], "a double, b double, label double")
+    m = EpsilonSVR(c=1.0, epsilon=0.1).fit(VectorAssembler(inputCols=["a", "b"], outputCol="features").transform(df))
+
+    def cost(w, b):
+        return w @ w / (2 * 150) + np.maximum(0, np.abs(x @ w + b - y) - 0.1).mean()
+
+    best = cost(m.weights, m.intercept)
+    for _ in range(3000):  # no nearby or random point is better
+        step = rng.normal(size=3) * 10 ** rng.uniform(-4, 0)
+        assert cost(m.weights + step[:2], m.intercept + step[2]) >= best - 1e-5
+
+
+def test_polynomial_kernel_features_are_exact(spark):
+    from pyspark.ml.feature import VectorAssembler
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(6, 3))
+    df = VectorAssembler(inputCols=["a", "b", "c"], outputCol="features").transform(
+        spark.createDataFrame([tuple(map(float, r)) for r in x], "a double, b double, c double"))
+    rows = est.PolynomialKernelFeatures("features", "k", 3, 3, 0.7).transform(df).collect()
+    z, u = np.array([r["k"].toArray() for r in rows]), np.array([[r["a"], r["b"], r["c"]] for r in rows])
+    assert np.allclose(z @ z.T, (0.7 * u @ u.T) ** 3)
+
+
+def test_unknown_kernel_and_folds(spark, linear):
+    _, df = linear
+    with pytest.raises(ValueError):
+        train(df.withColumn("y", (F.col("y") > 1).cast("int")), "y", "svm", {"kernel": "sigmoid"}, "classification", key="k", run_cv=False)
+    with pytest.raises(ValueError):
+        prep.assign_folds(df, 1, "k")
+    res = train(df, "y", "linear_regression", {"cv_folds": 7}, "regression", key="k")
+    assert res.cv_scores.count() == 7
+
+
+def test_svr_training_and_dates(spark, linear):
+    _, df = linear
+    df = df.withColumn("day", F.date_add(F.lit("2020-01-01").cast("date"), F.col("k").cast("int") % 9))
+    res = train(df, "y", "svr", {"kernel": "linear"}, "regression", key="k", run_cv=False)
+    assert res.metrics.first()["r2_score"] > 0.97 and "day" in res.feature_names
+    assert res.feature_importance.first()["feature"] == "x1"
+
+
+def test_split_and_knn_with_repeated_and_text_keys(spark):
+    df = spark.createDataFrame([(f"k{i % 4}", float(i)) for i in range(100)], "k string, x double")
+    assert prep.split(df, "k").where("is_test").count() == 20
+    tr = spark.createDataFrame([("a", 0.1, 0), ("a", 0.2, 1), ("c", 0.3, 1)], "k string, x double, y int")
+    te = spark.createDataFrame([("q", 0.0, 0), ("q", 0.0, 0)], "k string, x double, y int")
+    got = knn_predict(tr, te, "k", ["x"], "y", 3).collect()
+    assert [(r["k"], r["prediction"]) for r in got] == [("q", 1.0)] * 2
+
+
+def test_training_without_a_key_counts_equal_rows(spark):
+    df = spark.createDataFrame([(float(i % 3), float(i % 3) * 2) for i in range(90)], "x double, y double") \
+        .withColumn("y", F.col("y").cast("int"))
+    res = train(df, "y", "decision_tree", "{}", "classification", run_cv=False)
+    assert (res.train_size, res.test_size) == (72, 18) and res.metrics.first()["accuracy"] == 1.0
+
+
+def test_knn_cells_and_blocks_against_brute_force(spark):
+    rng = np.random.default_rng(8)
+    xtr = np.concatenate([rng.normal(size=(200, 3)), np.zeros((100, 3))])  # a hot point
+    ytr = rng.integers(0, 3, 300)
+    xte = np.concatenate([rng.normal(size=(30, 3)), np.zeros((3, 3))])
+    tr = spark.createDataFrame([(i, [float(v) for v in x], int(y)) for i, (x, y) in enumerate(zip(xtr, ytr))], "k long, f array<double>, y int")
+    te = spark.createDataFrame([(i, [float(v) for v in x]) for i, x in enumerate(xte)], "k long, f array<double>")
+    for k in (1, 4, 400):
+        got = {r["k"]: r["prediction"] for r in knn_predict(tr, te, "k", "f", "y", k, task="regression", block=16, pivots=8).collect()}
+        for i, x in enumerate(xte):
+            d = np.sqrt(((xtr - x) ** 2).sum(axis=1))
+            near = np.lexsort((np.arange(300), d))[:k]
+            assert got[i] == pytest.approx(ytr[near].mean())
