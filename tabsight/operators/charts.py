@@ -79,11 +79,12 @@ def _auto_bins_col(n: Column, iqr: Column, lo: Column, hi: Column) -> Column:
         .otherwise(F.greatest(F.lit(1), F.ceil(rng / width)))
 
 
-def histogram_auto(df: DataFrame, column: str) -> DataFrame:
-    """C2 bins: width = min(Freedman-Diaconis, Sturges) from n, IQR and range."""
+def histogram_auto(df: DataFrame, column: str, iqr: DataFrame | None = None) -> DataFrame:
+    """C2 bins: width = min(Freedman-Diaconis, Sturges) from n, IQR and range.
+    ``iqr``: one row (iqr) if the quartiles are known already."""
     v = clean_double(column)
     base = df.select(v.alias("v")).where(F.col("v").isNotNull())
-    q = quantiles(df, [column], [0.25, 0.75], wide=True) \
+    q = iqr if iqr is not None else quantiles(df, [column], [0.25, 0.75], wide=True) \
         .select((F.col("q_1") - F.col("q_0")).alias("iqr"))
     stats = with_scalars(base.agg(F.count(F.lit(1)).alias("n"), F.min("v").alias("lo"),
                                   F.max("v").alias("hi")), q)
@@ -196,8 +197,9 @@ def scatter_grid(df: DataFrame, x: str, y: str, bins: int = 50,
 
 
 def pair_grid(df: DataFrame, columns: Sequence[str] | None = None, bins: int = 20) -> DataFrame:
-    """Scatter grids of every numeric pair (i < j) in one job:
-    (x_col, y_col, x_bin, y_bin, count). Diagonals: use ``histogram``."""
+    """Scatter grids of every numeric pair (i < j) and, on the diagonal, the
+    histogram of each column (x_col = y_col, y_bin NULL), in one job:
+    (x_col, y_col, x_bin, y_bin, count); bins without a row are left out."""
     cols = list(columns) if columns is not None else numeric_columns(df)
     base = df.select(*[clean_double(c).alias(f"__c{i}") for i, c in enumerate(cols)])
     st = base.agg(*[x for i in range(len(cols)) for x in
@@ -205,6 +207,12 @@ def pair_grid(df: DataFrame, columns: Sequence[str] | None = None, bins: int = 2
     j = with_scalars(base, st)
     pairs = []
     for a in range(len(cols)):
+        own = (F.col(f"hi{a}") - F.col(f"lo{a}")) / bins
+        pairs.append(F.struct(
+            F.lit(cols[a]).alias("x_col"), F.lit(cols[a]).alias("y_col"),
+            F.when(F.col(f"__c{a}").isNotNull(), F.lit(True)).alias("ok"),
+            _bin_of(F.col(f"__c{a}"), F.col(f"lo{a}"), own, F.lit(bins)).alias("x_bin"),
+            F.lit(None).cast("long").alias("y_bin")))
         for b in range(a + 1, len(cols)):
             wa = (F.col(f"hi{a}") - F.col(f"lo{a}")) / bins
             wb = (F.col(f"hi{b}") - F.col(f"lo{b}")) / bins
@@ -235,40 +243,66 @@ def line_series(df: DataFrame, x: str, y: str, buckets: int | None = None) -> Da
                                    F.count(F.lit(1)).alias("count")))
 
 
-def violin(df: DataFrame, column: str) -> tuple[DataFrame, DataFrame]:
-    """Box statistics and the KDE outline."""
-    return boxplot(df, [column]), kde(df, column)
+BOX_STATS = ("whisker_low", "q1", "median", "q3", "whisker_high", "fliers")
 
 
-def auto_charts(df: DataFrame) -> DataFrame:
-    """Every univariate chart of a dataset as one long table tagged by chart:
-    hist_<col> (auto bins), box_<col>, count_<col> (categorical)."""
-    num = numeric_columns(df)
-    cat = categorical_columns(df)
+def _box_rows(box: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """One row (position, label, value) for each box statistic."""
+    stats = F.array(*[F.struct(F.lit(i).cast("long").alias("position"), F.lit(n).alias("label"),
+                               F.col(n).cast("double").alias("value")) for i, n in enumerate(BOX_STATS)])
+    return box.select(*keys, F.explode(stats).alias("s")).select(*keys, "s.position", "s.label", "s.value")
+
+
+def violin(df: DataFrame, column: str) -> DataFrame:
+    """Box statistics (part ``box``: label, value) and the density outline
+    (part ``outline``: x, value) in one table (part, position, label, x, value)."""
+    box = _box_rows(boxplot(df, [column]), []).select(
+        F.lit("box").alias("part"), "position", "label", F.lit(None).cast("double").alias("x"), "value")
+    outline = kde(df, column).select(
+        F.lit("outline").alias("part"), F.col("point").alias("position"),
+        F.lit(None).cast("string").alias("label"), "x", F.col("density").alias("value"))
+    return box.unionByName(outline)
+
+
+def auto_charts(df: DataFrame, target: str | None = None, pair_bins: int = 20) -> DataFrame:
+    """Every automatic chart of a dataset as one long table (chart, column,
+    position, label, lower, upper, value): hist_<col> (automatic bins), kde_<col>
+    (lower = upper = x, value = density), box_<col>, count_<col>, pair (column and
+    label are the two columns, position = x bin, lower = y bin), heatmap (Pearson)
+    and, with a categorical ``target``, boxby_<col> (label = group: statistic).
+    Quartiles are computed once for histograms and boxes."""
+    from .correlation import correlation_matrix
+    num, cat = numeric_columns(df), categorical_columns(df)
+    none, text = F.lit(None).cast("double"), F.lit(None).cast("string")
     parts = []
-    for c in num:
-        h = histogram_auto(df, c)
-        parts.append(h.select(F.lit(f"hist_{c}").alias("chart"), F.lit(c).alias("column"),
-                              F.col("bin").alias("position"), F.lit(None).cast("string").alias("label"),
-                              "lower", "upper", F.col("count").cast("double").alias("value")))
+
+    def add(rows: DataFrame, chart, column, position=F.lit(None).cast("long"), label=text, lower=none, upper=none, value=none):
+        parts.append(rows.select(chart.alias("chart"), column.alias("column"), position.cast("long").alias("position"),
+                                 label.alias("label"), lower.cast("double").alias("lower"),
+                                 upper.cast("double").alias("upper"), value.cast("double").alias("value")))
+
     if num:
-        bp = boxplot(df, num)
-        stats = ["whisker_low", "q1", "median", "q3", "whisker_high", "fliers"]
-        parts.append(bp.select(F.concat(F.lit("box_"), F.col("column")).alias("chart"), "column",
-                               F.explode(F.array(*[F.struct(F.lit(i).cast("long").alias("position"),
-                                                            F.lit(s).alias("label"),
-                                                            F.col(s).cast("double").alias("value"))
-                                                   for i, s in enumerate(stats)])).alias("s"))
-                     .select("chart", "column", "s.position", "s.label",
-                             F.lit(None).cast("double").alias("lower"),
-                             F.lit(None).cast("double").alias("upper"), "s.value"))
+        box = boxplot(df, num)
+        known = box.select("column", "iqr")
+        add(_box_rows(box, ["column"]), F.concat(F.lit("box_"), "column"), F.col("column"), F.col("position"),
+            F.col("label"), value=F.col("value"))
+        for c in num:
+            add(histogram_auto(df, c, known.where(F.col("column") == c).select("iqr")), F.lit(f"hist_{c}"), F.lit(c),
+                F.col("bin"), lower=F.col("lower"), upper=F.col("upper"), value=F.col("count"))
+            add(kde(df, c), F.lit(f"kde_{c}"), F.lit(c), F.col("point"), lower=F.col("x"), upper=F.col("x"),
+                value=F.col("density"))
+        add(pair_grid(df, num, pair_bins), F.lit("pair"), F.col("x_col"), F.col("x_bin"), F.col("y_col"),
+            lower=F.col("y_bin"), value=F.col("count"))
+        if len(num) > 1:
+            add(correlation_matrix(df, num), F.lit("heatmap"), F.col("column1"), F.col("j"), F.col("column2"),
+                value=F.col("correlation"))
+        if target in cat:
+            by = _box_rows(boxplot(df, num, [target]), [target, "column"]).where(F.col(target).isNotNull())
+            add(by, F.concat(F.lit("boxby_"), "column"), F.col("column"), F.col("position"),
+                F.concat(F.col(target).cast("string"), F.lit(": "), F.col("label")), value=F.col("value"))
     if cat:
-        vc = value_counts(df, cat)
-        parts.append(vc.select(F.concat(F.lit("count_"), F.col("column")).alias("chart"), "column",
-                               F.lit(None).cast("long").alias("position"),
-                               F.col("value").alias("label"), F.lit(None).cast("double").alias("lower"),
-                               F.lit(None).cast("double").alias("upper"),
-                               F.col("count").cast("double").alias("value")))
+        add(value_counts(df, cat), F.concat(F.lit("count_"), "column"), F.col("column"), label=F.col("value"),
+            value=F.col("count"))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

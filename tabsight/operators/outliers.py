@@ -79,12 +79,25 @@ def outlier_rows(df: DataFrame, column: str, factor: float = 1.5) -> DataFrame:
             .drop("lower_bound", "upper_bound"))
 
 
-def outlier_keys(df: DataFrame, column: str, key: str, limit: int = 100) -> DataFrame:
-    """T3 index list: the first ``limit`` keys (ascending) of outlier rows."""
-    return outlier_rows(df, column).select(key).orderBy(key).limit(limit)
-
-
-def outlier_values(df: DataFrame, column: str, key: str, limit: int = 10) -> DataFrame:
-    """T4 value list: the first ``limit`` outlier values in key order."""
-    return (outlier_rows(df, column).select(key, clean_double(column).alias("value"))
-            .orderBy(key).limit(limit))
+def outlier_keys(df: DataFrame, column: str, key: str, limit: int | None = None) -> DataFrame:
+    """T3 index list: the keys of outlier rows; with ``limit`` the first ones."""
+    keys = outlier_rows(df, column).select(key)
+    return keys if limit is None else keys.orderBy(key).limit(limit)
+
+
+def outlier_values(df: DataFrame, column: str, key: str, limit: int | None = None) -> DataFrame:
+    """T4 value list: (key, value) of outlier rows; with ``limit`` the first ones."""
+    rows = outlier_rows(df, column).select(key, clean_double(column).alias("value"))
+    return rows if limit is None else rows.orderBy(key).limit(limit)
+
+
+def outlier_tool(df: DataFrame, column: str, key: str | None = None, limit: int = 10) -> DataFrame:
+    """T4 in full: the report over non-null rows, and ``outlier_values``: the first
+    ``limit`` outliers by ``key`` (without one, the smallest)."""
+    report = outlier_report(df, [column], denominator="valid")
+    first = outlier_values(df, column, key, limit) if key else \
+        outlier_rows(df, column).select(clean_double(column).alias("value")).orderBy("value").limit(limit)
+    order = F.col(key) if key else F.col("value")
+    some = first.agg(F.array_sort(F.collect_list(F.struct(order.alias("o"), F.col("value").alias("v")))).alias("s")) \
+        .select(F.transform("s", lambda x: x["v"]).alias("outlier_values"))
+    return with_scalars(report, some)

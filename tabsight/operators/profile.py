@@ -93,7 +93,7 @@ def value_counts(df: DataFrame, columns: Sequence[str], by: Sequence[str] = (),
 def _as_text(df: DataFrame, c: str) -> Column:
     dt = df.schema[c].dataType
     if isinstance(dt, (T.FloatType, T.DoubleType)):
-        return clean_double(c).cast("string")
+        return (clean_double(c) + F.lit(0.0)).cast("string")  # -0.0 is 0.0
     return F.col(c).cast("string")
 
 
@@ -118,7 +118,13 @@ def distinct_counts(df: DataFrame, columns: Sequence[str] | None = None,
         return _explode_structs(agg, [], [F.struct(F.lit(c).alias("column"),
                                                    F.col(f"u{i}").alias("unique"))
                                           for i, c in enumerate(columns)])
-    return value_counts(df, columns).groupBy("column").agg(F.count(F.lit(1)).alias("unique"))
+    # 128 bits of hash and the length stand for a value: long texts are not shuffled
+    marks = df.select(*[F.struct(F.xxhash64(v).alias("a"), F.xxhash64(F.lit(1), v).alias("b"), F.length(v).alias("n"))
+                        .alias(f"__c{i}") for i, v in enumerate(_as_text(df, c) for c in columns)])
+    long = marks.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"__c{i}").alias("m"))
+                                            for i, c in enumerate(columns)])).alias("x")).select("x.column", "x.m.*")
+    known = long.where(F.col("n").isNotNull()).distinct().groupBy("column").agg(F.count(F.lit(1)).alias("unique"))
+    return known
 
 
 # ---------------------------------------------------------------- A1 / A3
@@ -144,8 +150,12 @@ def with_scalars(df: DataFrame, scalars: DataFrame) -> DataFrame:
 def duplicate_rows(df: DataFrame) -> DataFrame:
     """rows, distinct_rows, duplicate_rows (copies beyond the first; NULLs equal).
 
-    One groupBy over all columns: identical rows are combined map-side."""
-    groups = df.groupBy(*df.columns).agg(F.count(F.lit(1)).alias("__n"))
+    Rows are grouped by 192 bits of content hash, null flags included, so that
+    texts are not shuffled; hashes are combined map-side."""
+    nulls = F.concat(F.lit(""), *[F.col(f"`{c}`").isNull().cast("int").cast("string") for c in df.columns])
+    cells = [F.col(f"`{c}`") for c in df.columns]
+    groups = df.groupBy(*[F.xxhash64(F.lit(k), nulls, *cells).alias(f"__h{k}") for k in range(3)]) \
+        .agg(F.count(F.lit(1)).alias("__n"))
     return groups.agg(F.coalesce(F.sum("__n"), F.lit(0)).cast("bigint").alias("rows"),
                       F.count(F.lit(1)).alias("distinct_rows")) \
         .withColumn("duplicate_rows", F.col("rows") - F.col("distinct_rows"))
@@ -365,6 +375,25 @@ def compare_groups(df: DataFrame, group: str, value: str) -> DataFrame:
 
 # ---------------------------------------------------------------- A12 / A13
 
+def _target_rule(kind: str, n) -> list[tuple]:
+    """The rule for a target's problem type, first match wins: (condition, type,
+    why). ``n`` counts the distinct values, a missing one included."""
+    return [
+        (F.lit(kind in ("text", "bool")), "classification", "text or boolean target: values are classes"),
+        (n < 20, "classification", "%d distinct values: few enough to be classes"),
+        (n > 50, "regression", "%d distinct values: too many to be classes"),
+        (F.lit(kind == "float"), "regression", "%d distinct fractional values"),
+        (F.lit(True), "classification", "%d distinct whole numbers"),
+    ]
+
+
+def _first_match(rule: list[tuple], value) -> Column:
+    out = None
+    for row in reversed(rule):
+        out = value(row) if out is None else F.when(row[0], value(row)).otherwise(out)
+    return out
+
+
 def detect_problem_type(df: DataFrame, target: str, order_by: str | None = None) -> DataFrame:
     """problem_type, reason, unique_values, target_dtype, is_continuous,
     sample_values (first 10 values by ``order_by``).
@@ -376,19 +405,12 @@ def detect_problem_type(df: DataFrame, target: str, order_by: str | None = None)
                .alias("nd"),
                F.max(is_missing(df, target).cast("int")).alias("has_null"))
     n = (F.col("nd") + F.coalesce(F.col("has_null"), F.lit(0))).cast("bigint")
-    is_text = F.lit(kind in ("text", "bool"))
-    is_float = F.lit(kind == "float")
-    ptype = (F.when(is_text, "classification").when(n < 20, "classification")
-             .when(n > 50, "regression").when(is_float, "regression")
-             .otherwise("classification"))
-    reason = (F.when(is_text, F.lit("Target is categorical (text values)"))
-              .when(n < 20, F.format_string("Target has %d unique values (likely discrete classes)", n))
-              .when(n > 50, F.format_string("Target has %d unique continuous values", n))
-              .when(is_float, F.format_string("Target has continuous float values (%d unique)", n))
-              .otherwise(F.format_string("Target has %d unique integer values", n)))
-    out = u.select(ptype.alias("problem_type"), reason.alias("reason"),
+    rule = _target_rule(kind, n)
+    out = u.select(_first_match(rule, lambda r: F.lit(r[1])).alias("problem_type"),
+                   _first_match(rule, lambda r: F.format_string(r[2], n) if "%d" in r[2]
+                                else F.lit(r[2])).alias("reason"),
                    n.alias("unique_values"), F.lit(dt.simpleString()).alias("target_dtype"),
-                   (is_float & (n > 50)).alias("is_continuous"))
+                   (F.lit(kind == "float") & (n > 50)).alias("is_continuous"))
     if order_by:
         sample = (df.orderBy(order_by).limit(10)
                   .agg(F.collect_list(F.struct(F.col(order_by).alias("o"),
@@ -405,26 +427,17 @@ class ProblemTypeError(ValueError):
 def check_problem_type(df: DataFrame, target: str, specified: str | None = None) -> str:
     """Validate a requested problem type (or detect one); raises on mismatch.
 
-    Returns 'classification' or 'regression'. Reads two bounded scalars."""
-    dt = df.schema[target].dataType
-    kind = kind_of(dt)
-    row = df.agg(F.count_distinct(F.col(target)).alias("nd"),
-                 F.max(is_missing(df, target).cast("int")).alias("has_null")).first()
-    n = int(row["nd"]) + int(row["has_null"] or 0)
-    if specified == "classification":
-        if n > 50 and kind == "float":
-            raise ProblemTypeError(
-                f"Target has {n} unique continuous values. This appears to be a regression "
-                "problem. Please select 'regression' as the problem type.")
-        return "classification"
-    if specified == "regression":
-        if n <= 20 and kind in ("integer", "text"):
-            raise ProblemTypeError(
-                f"Target has only {n} unique discrete values. This appears to be a "
-                "classification problem. Please select 'classification' as the problem type.")
-        return "regression"
-    if kind in ("text", "bool") or n < 20:
-        return "classification"
-    if n > 50 or kind == "float":
-        return "regression"
-    return "classification"
+    Returns 'classification' or 'regression'. Reads one row of the detected rule.
+    A request is refused only where it cannot work: classes of a fractional target
+    with over 50 values, or regression on at most 20 whole numbers or texts."""
+    found = detect_problem_type(df, target).first()
+    n, kind = found["unique_values"], kind_of(df.schema[target].dataType)
+    refused = {"classification": kind == "float" and n > 50,
+               "regression": kind in ("integer", "text") and n <= 20}
+    if specified in refused:
+        if refused[specified]:
+            other = "regression" if specified == "classification" else "classification"
+            raise ProblemTypeError(f"{specified} does not suit {target!r}: {n} distinct values of kind "
+                                   f"{kind}; use {other}")
+        return specified
+    return found["problem_type"]

@@ -3,4 +3,4 @@ Spark DataFrame from ``(spark, sf_dir)`` and, where SQL can state the answer,
 carries the equivalent DuckDB SQL used as the correctness oracle."""
 
 from .registry import ORACLE, QUERIES, query  # noqa: F401
-from . import q_ingest, q_profile, q_stats, q_charts, q_ml  # noqa: F401,E402
+from . import q_ingest, q_profile, q_stats, q_charts, q_ml, q_tools  # noqa: F401,E402

@@ -33,7 +33,7 @@ def _summarize(df, column):
 def _query(df, query, order_by=None, n=10):
     summ = filters.filter_summary(df, query)
     rows = filters.filter_rows(df, query)
-    rows = rows.orderBy(order_by).limit(n) if order_by else rows.limit(n)
+    rows = rows.orderBy(*([order_by] if order_by else df.columns)).limit(n)
     return profile.with_scalars(rows, summ)
 
 
@@ -47,6 +47,13 @@ def _compare(df, group_column, value_column):
     return groups
 
 
+def _correlation(df, col1, col2, method="pearson"):
+    """Unlike the endpoint, the tool does not take an unknown method for Pearson."""
+    if method not in correlation.METHODS:
+        raise ValueError(f"unknown method {method!r}; known: {', '.join(correlation.METHODS)}")
+    return correlation.pair_correlation(df, col1, col2, method)
+
+
 def _missing(df):
     return profile.with_scalars(profile.missing_columns(df), profile.missing_summary(df))
 
@@ -59,16 +66,14 @@ TOOLS: dict[str, Callable[..., DataFrame]] = {
     "plot_line": lambda df, x, y: charts.line_series(df, x, y),
     "plot_bar": lambda df, column, top_n=10: charts.top_n(df, column, int(top_n)),
     "summarize_column": _summarize,
-    "correlation": lambda df, col1, col2, method="pearson":
-        correlation.pair_correlation(df, col1, col2, method),
-    "detect_outliers": lambda df, column: outliers.outlier_report(df, [column],
-                                                                  denominator="valid"),
+    "correlation": _correlation,
+    "detect_outliers": outliers.outlier_tool,
     "query_data": _query,
     "get_data_info": profile.data_info,
     "compare_groups": _compare,
     "missing_value_analysis": _missing,
     "distribution_test": lambda df, column, order_by=None:
-        hypothesis.shapiro(df, [column], order_by=order_by),
+        hypothesis.shapiro(df, [column]),
 }
 
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
 from ..operators import charts, profile
-from .data import table
+from .data import EVENTS_NULLS_SQL, table
 from .registry import query
 
 
@@ -152,11 +154,18 @@ def q_scatter_grid(spark, sf):
 _PG = ["o_totalprice", "o_custkey", "o_orderkey"]
 
 
-@query("pair_grid", " UNION ALL ".join(
-    f"SELECT '{a}' AS x_col, '{b}' AS y_col, x_bin, y_bin, count FROM ({_grid_sql('orders', a, b, 20)})"
-    for i, a in enumerate(_PG) for b in _PG[i + 1:]))
+def _pair_sql(src: str, cols: list[str], bins: int = 20) -> str:
+    """Grids of all pairs, and the occupied bins of each column on the diagonal."""
+    return " UNION ALL ".join(
+        [f"SELECT '{a}' AS x_col, '{b}' AS y_col, x_bin, y_bin, count FROM ({_grid_sql(src, a, b, bins)})"
+         for i, a in enumerate(cols) for b in cols[i + 1:]]
+        + [f"SELECT '{a}' AS x_col, '{a}' AS y_col, bin AS x_bin, CAST(NULL AS BIGINT) AS y_bin, count "
+           f"FROM ({_hist_sql(src, a, str(bins), stats_extra=False)}) WHERE count > 0" for a in cols])
+
+
+@query("pair_grid", _pair_sql("orders", _PG))
 def q_pair_grid(spark, sf):
-    """C8 every numeric pair of orders as 20x20 bin counts, one job."""
+    """C8 every numeric pair of orders as 20x20 bin counts and the diagonals, one job."""
     return charts.pair_grid(table(spark, sf, "orders"), _PG, 20)
 
 
@@ -179,44 +188,72 @@ def q_line_series_points(spark, sf):
     return charts.line_series(table(spark, sf, "events"), "event_id", "value")
 
 
-@query("violin", _box_sql("events", ["value"]))
+_BOX_STATS = ["whisker_low", "q1", "median", "q3", "whisker_high", "fliers"]
+
+
+def _violin_sql(src: str, col: str) -> str:
+    box = _box_sql(src, [col])
+    return " UNION ALL ".join(
+        [f"""SELECT 'box' AS part, CAST({i} AS BIGINT) AS position, '{n}' AS label, CAST(NULL AS DOUBLE) AS x,
+          CAST({n} AS DOUBLE) AS value FROM ({box})""" for i, n in enumerate(_BOX_STATS)]
+        + [f"""SELECT 'outline', point, NULL, x, round(density, 6) FROM ({_kde_sql(src, col)})"""])
+
+
+@query("violin", _violin_sql("events", "value"))
 def q_violin(spark, sf):
-    """C10 box part of the violin (the outline is the ``kde`` query)."""
-    return charts.violin(table(spark, sf, "events"), "value")[0]
+    """C10 box statistics and density outline in one result."""
+    return charts.violin(table(spark, sf, "events"), "value")
 
 
 _SUP_NUM = ["s_suppkey", "s_nationkey", "s_acctbal"]
 
 
 def _auto_sql() -> str:
+    from .q_stats import _pearson_sql
+    null = "CAST(NULL AS DOUBLE)"
     parts = []
     for c in _SUP_NUM:
         parts.append(f"""SELECT 'hist_{c}' AS chart, '{c}' AS "column", bin AS position,
           CAST(NULL AS VARCHAR) AS label, lower, upper, CAST(count AS DOUBLE) AS value
           FROM ({_hist_sql('supplier', c, None, stats_extra=False)})""")
-    stats = ["whisker_low", "q1", "median", "q3", "whisker_high", "fliers"]
+        parts.append(f"""SELECT 'kde_{c}', '{c}', point, NULL, x, x, round(density, 6)
+          FROM ({_kde_sql('supplier', c)})""")
     box = _box_sql("supplier", _SUP_NUM)
-    for i, s in enumerate(stats):
-        parts.append(f"""SELECT 'box_' || "column" AS chart, "column", CAST({i} AS BIGINT) AS position,
-          '{s}' AS label, CAST(NULL AS DOUBLE) AS lower, CAST(NULL AS DOUBLE) AS upper,
-          CAST({s} AS DOUBLE) AS value FROM ({box})""")
-    parts.append("""SELECT 'count_s_name' AS chart, 's_name' AS "column", CAST(NULL AS BIGINT)
-      AS position, s_name AS label, CAST(NULL AS DOUBLE) AS lower, CAST(NULL AS DOUBLE) AS upper,
-      CAST(count(*) AS DOUBLE) AS value FROM supplier WHERE s_name IS NOT NULL GROUP BY s_name""")
+    for i, s in enumerate(_BOX_STATS):
+        parts.append(f"""SELECT 'box_' || "column", "column", CAST({i} AS BIGINT), '{s}', {null}, {null},
+          CAST({s} AS DOUBLE) FROM ({box})""")
+    group = _box_sql("supplier", _SUP_NUM, "s_name")
+    for i, s in enumerate(_BOX_STATS):
+        parts.append(f"""SELECT 'boxby_' || "column", "column", CAST({i} AS BIGINT), s_name || ': {s}', {null}, {null},
+          CAST({s} AS DOUBLE) FROM ({group})""")
+    parts.append(f"""SELECT 'pair', x_col, x_bin, y_col, CAST(y_bin AS DOUBLE), {null}, CAST(count AS DOUBLE)
+      FROM ({_pair_sql('supplier', _SUP_NUM)})""")
+    pearson = _pearson_sql("supplier", _SUP_NUM)
+    parts.append(f"""SELECT 'heatmap', column1, CAST(j AS BIGINT), column2, {null}, {null}, correlation
+      FROM (SELECT * FROM ({pearson}) UNION ALL
+            SELECT column2, column1, j, i, n, correlation FROM ({pearson}) WHERE i <> j)""")
+    parts.append(f"""SELECT 'count_s_name', 's_name', CAST(NULL AS BIGINT), s_name, {null}, {null},
+      CAST(count(*) AS DOUBLE) FROM supplier WHERE s_name IS NOT NULL GROUP BY s_name""")
     return " UNION ALL ".join(parts)
 
 
 @query("auto_charts", _auto_sql())
 def q_auto_charts(spark, sf):
-    """C13 all univariate charts of supplier in one long table."""
-    return charts.auto_charts(table(spark, sf, "supplier"))
+    """C13 all automatic charts of supplier in one long table, boxes by name included."""
+    return charts.auto_charts(table(spark, sf, "supplier"), target="s_name")
+
+
+_EVN_COLS = ["event_id", "ts", "user_id", "event_type", "value", "props"]
 
 
-@query("missing_bars")
+@query("missing_bars", " UNION ALL ".join(
+    f"""SELECT '{c}' AS label, CAST(count_if({c} IS NULL) AS BIGINT) AS count FROM {EVENTS_NULLS_SQL}
+    HAVING count_if({c} IS NULL) > 0""" for c in _EVN_COLS))
 def q_missing_bars(spark, sf):
-    """C12 bars = missing counts per column (same job as ``missing_columns``)."""
+    """One bar for each column with missing values."""
     from .data import events_with_nulls
-    return profile.missing_columns(events_with_nulls(spark, sf))
+    return profile.missing_columns(events_with_nulls(spark, sf)).select(
+        F.col("column").alias("label"), F.col("missing_count").alias("count"))
 
 
 @query("numeric_card", """

@@ -19,7 +19,7 @@ def _long_sql(src: str, cols: list[str], by: list[str] = ()) -> str:
 # ---------------------------------------------------------------- A4 (minimum slice)
 
 @query("profile_numeric", f"""
-WITH l AS ({_long_sql('events', ['value', 'user_id'], ['event_type'])})
+WITH l AS ({_long_sql('events', ['event_id', 'user_id', 'value'], ['event_type'])})
 SELECT event_type, "column", ordinal, count(*) AS rows, count(v) AS count,
   count(*) - count(v) AS missing,
   round((count(*) - count(v)) * 100.0 / count(*), 6) AS missing_percentage,
@@ -29,8 +29,8 @@ SELECT event_type, "column", ordinal, count(*) AS rows, count(v) AS count,
   round(count_if(v = 0) * 100.0 / count(*), 6) AS zeros_percentage
 FROM l GROUP BY event_type, "column", ordinal""")
 def q_profile_numeric(spark, sf):
-    """A4 on events.value and events.user_id by event_type."""
-    return profile.numeric_profile(table(spark, sf, "events"), ["value", "user_id"],
+    """A4 on every numeric column of events by event_type."""
+    return profile.numeric_profile(table(spark, sf, "events"), ["event_id", "user_id", "value"],
                                    by=["event_type"])
 
 
@@ -96,10 +96,9 @@ def q_outlier_rows(spark, sf):
 
 
 @query("outlier_keys", f"""
-SELECT e.event_id FROM events e, {_EV_BOUNDS} b WHERE e.value < b.lo OR e.value > b.hi
-ORDER BY e.event_id LIMIT 100""")
+SELECT e.event_id FROM events e, {_EV_BOUNDS} b WHERE e.value < b.lo OR e.value > b.hi""")
 def q_outlier_keys(spark, sf):
-    """T3 index list: first 100 outlier keys."""
+    """T3 index list: all outlier keys."""
     return outliers.outlier_keys(table(spark, sf, "events"), "value", "event_id")
 
 
@@ -121,7 +120,7 @@ def q_profile_overview(spark, sf):
     return profile.overview(events_with_nulls(spark, sf))
 
 
-_LI_DUP = "(SELECT l_linenumber, l_returnflag, l_linestatus, l_quantity FROM lineitem)"
+_LI_DUP = "(SELECT * FROM lineitem UNION ALL SELECT * FROM lineitem WHERE l_linenumber <= 3)"
 
 
 @query("duplicate_rows", f"""
@@ -129,10 +128,9 @@ SELECT count(*) AS rows, (SELECT count(*) FROM (SELECT DISTINCT * FROM {_LI_DUP}
   count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM {_LI_DUP})) AS duplicate_rows
 FROM {_LI_DUP}""")
 def q_duplicate_rows(spark, sf):
-    """A3 on a 4-column projection of lineitem (many repeated rows)."""
-    li = table(spark, sf, "lineitem").select("l_linenumber", "l_returnflag", "l_linestatus",
-                                             "l_quantity")
-    return profile.duplicate_rows(li)
+    """A3 over all columns of lineitem and a second copy of part of its rows."""
+    li = table(spark, sf, "lineitem")
+    return profile.duplicate_rows(li.unionByName(li.where("l_linenumber <= 3")))
 
 
 def _profile_columns_sql(src, cols, types):
@@ -152,14 +150,14 @@ def q_profile_columns(spark, sf):
 
 @query("profile_top_values", """
 WITH l AS (SELECT 'lang' AS "column", lang AS value FROM documents
-  UNION ALL SELECT 'source', source FROM documents),
+  UNION ALL SELECT 'source', source FROM documents UNION ALL SELECT 'text', text FROM documents),
 c AS (SELECT "column", value, count(*) AS count FROM l WHERE value IS NOT NULL GROUP BY ALL)
 SELECT "column", rank, value, count FROM (SELECT *, row_number() OVER (PARTITION BY "column"
   ORDER BY count DESC, value ASC) AS rank FROM c) WHERE rank <= 10""")
 def q_profile_top_values(spark, sf):
-    """A5: top-10 values of every text column of documents except the text body."""
+    """A5: top-10 values of every text column of documents, the text body included."""
     doc = table(spark, sf, "documents")
-    return profile.top_values(doc, ["lang", "source"], 10)
+    return profile.top_values(doc, ["lang", "source", "text"], 10)
 
 
 @query("profile_top_values_events", """
@@ -350,11 +348,11 @@ def _detect_sql(tbl, col, dtype, kind):
   CASE WHEN {text} THEN 'classification' WHEN {n} < 20 THEN 'classification'
        WHEN {n} > 50 THEN 'regression' WHEN {flt} THEN 'regression' ELSE 'classification' END
     AS problem_type,
-  CASE WHEN {text} THEN 'Target is categorical (text values)'
-       WHEN {n} < 20 THEN printf('Target has %d unique values (likely discrete classes)', {n})
-       WHEN {n} > 50 THEN printf('Target has %d unique continuous values', {n})
-       WHEN {flt} THEN printf('Target has continuous float values (%d unique)', {n})
-       ELSE printf('Target has %d unique integer values', {n}) END AS reason,
+  CASE WHEN {text} THEN 'text or boolean target: values are classes'
+       WHEN {n} < 20 THEN printf('%d distinct values: few enough to be classes', {n})
+       WHEN {n} > 50 THEN printf('%d distinct values: too many to be classes', {n})
+       WHEN {flt} THEN printf('%d distinct fractional values', {n})
+       ELSE printf('%d distinct whole numbers', {n}) END AS reason,
   {n} AS unique_values, '{dtype}' AS target_dtype, ({flt} AND {n} > 50) AS is_continuous
 FROM {tbl}"""
 
