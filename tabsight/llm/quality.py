@@ -24,9 +24,9 @@ STOP_WORDS = (
 #: Fixed value: the characters that count as symbols.
 SYMBOLS = "#*$%&|<>"
 
-SPACES = " \t\n\x0b\x0c\r"
 SPLIT = r"[\x20\x09-\x0D]+"
 WINDOW = 8
+BULLET, ELLIPSIS = r"^ *[-*•][ \t]", r"(\.\.\.|…) *\z"
 
 
 @dataclass(frozen=True)
@@ -52,96 +52,113 @@ RULES = (
 )
 
 
+#: measure -> (count, per): how the ratios of the table are made.
+RATIOS = {
+    "mean_word_chars": ("word_chars", "n_words"), "symbols_per_word": ("n_symbols", "n_words"),
+    "stop_word_ratio": ("n_stop_words", "n_words"), "dup_line_ratio": ("n_dup_lines", "n_lines"),
+    "bullet_line_ratio": ("n_bullet_lines", "n_lines"), "ellipsis_line_ratio": ("n_ellipsis_lines", "n_lines"),
+}
+
+
+def _let(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` evaluated once, however often it is used: a
+    one-element transform. What a lambda uses must be a variable bound so, or it is
+    evaluated again for each element."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def _repeat_words(words: Column) -> Column:
     """Words inside 8-word windows that occur twice or more, by sorting (hash,
     place) pairs: equal neighbours mark their places, and places in order cover
-    min(8, distance to the next marked place) words each."""
+    min(8, distance to the next marked place) words each. ``words`` must be bound."""
     starts = F.when(F.size(words) >= WINDOW, F.sequence(F.lit(1), F.size(words) - (WINDOW - 1))) \
         .otherwise(F.array().cast("array<int>"))
-    hashes = F.transform(starts, lambda i: F.xxhash64(F.slice(words, i, WINDOW)))
+    hashes = _let(F.transform(words, lambda w: F.xxhash64(w)), lambda hs: F.transform(
+        starts, lambda i: F.xxhash64(*[F.get(hs, i + (k - 1)) for k in range(WINDOW)])))
 
-    def covered(hs: Column) -> Column:
-        pairs = F.array_sort(F.transform(hs, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    def marked(ps: Column) -> Column:
+        def hit(p: Column, k: Column) -> Column:
+            before, after = F.get(ps, k - 1)["h"], F.get(ps, k + 1)["h"]
+            return F.when(F.coalesce(before == p["h"], F.lit(False)) | F.coalesce(after == p["h"], F.lit(False)), p["i"])
+        return F.array_sort(F.filter(F.transform(ps, hit), lambda x: x.isNotNull()))
 
-        def marked(ps: Column) -> Column:
-            n = F.size(ps)
-            hit = F.transform(ps, lambda p, k: F.when(
-                ((k > 0) & (F.get(ps, k - 1)["h"] == p["h"])) | ((k < n - 1) & (F.get(ps, k + 1)["h"] == p["h"])), p["i"]))
-            return F.array_sort(F.filter(hit, lambda x: x.isNotNull()))
+    def spread(at: Column) -> Column:
+        gaps = F.transform(at, lambda p, k: F.least(F.lit(WINDOW), F.coalesce(F.get(at, k + 1) - p, F.lit(WINDOW))))
+        return F.aggregate(gaps, F.lit(0).cast("long"), lambda a, x: a + x)
 
-        return _let(_let(pairs, marked), lambda at: F.aggregate(
-            F.transform(at, lambda p, k: F.least(F.lit(WINDOW), F.coalesce(F.get(at, k + 1) - p, F.lit(WINDOW)))),
-            F.lit(0).cast("long"), lambda a, x: a + x))
+    def covered(hs: Column) -> Column:
+        pairs = F.array_sort(F.transform(hs, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+        return _let(_let(pairs, marked), spread)
 
     return _let(hashes, lambda hs: F.when(F.size(F.array_distinct(hs)) == F.size(hs), F.lit(0).cast("long"))
                 .otherwise(covered(hs)))
 
 
-def _let(value: Column, use) -> Column:
-    """``use(value)`` with ``value`` evaluated once: a one-element transform."""
-    return F.element_at(F.transform(F.array(value), use), 1)
+MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_stop_words",
+            "n_bullet_lines", "n_ellipsis_lines")
+
 
+def _measured(parts: Column) -> Column:
+    """The counts of a text from its (t, w, l): text, words, lines with a word."""
+    t, w, k = parts["t"], parts["w"], parts["l"]
+    stop = sorted(set(STOP_WORDS))
+    counts = (F.size(w), F.length(F.array_join(w, "")), F.length(t) - F.length(F.regexp_replace(t, f"[{SYMBOLS}]+", "")),
+              F.size(k) - F.size(F.array_distinct(k)), _repeat_words(w), F.size(k),
+              F.size(F.filter(w, lambda x: ascii_lower(x).isin(*stop))), F.size(F.filter(k, lambda x: x.rlike(BULLET))),
+              F.size(F.filter(k, lambda x: x.rlike(ELLIPSIS))))
+    return F.struct(*[c.cast("long").alias(n) for n, c in zip(MEASURES, counts, strict=True)])
 
-def measures(df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
-    """The ``keep`` columns of ``df`` and one column for each measure."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    words = F.filter(F.split(text, SPLIT), lambda w: w != "")
-    lines = F.filter(F.split(text, "\n"), lambda x: F.length(F.translate(x, SPACES, "")) > 0)
-    base = df.select(*[F.col(f"`{c}`") for c in keep], text.alias("__text"), words.alias("__words"), lines.alias("__lines"))
-    n, k = F.size("__words").cast("long"), F.size("__lines").cast("long")
-
-    def ratio(a: Column, b: Column) -> Column:
-        return F.when(b > 0, a / b).otherwise(F.lit(0.0))
-
-    m = base.select(
-        *[F.col(f"`{c}`") for c in keep], n.alias("n_words"),
-        F.length(F.translate("__text", SPACES, "")).cast("long").alias("word_chars"),
-        (F.length("__text") - F.length(F.translate("__text", SYMBOLS, ""))).cast("long").alias("n_symbols"),
-        (k - F.size(F.array_distinct("__lines"))).cast("long").alias("n_dup_lines"),
-        _repeat_words(F.col("__words")).alias("n_repeat_words"), k.alias("n_lines"),
-        F.size(F.filter("__words", lambda w: ascii_lower(w).isin(*sorted(set(STOP_WORDS))))).cast("long").alias("n_stop_words"),
-        F.size(F.filter("__lines", lambda x: F.ltrim(x).rlike(r"^[-*•]\s"))).cast("long").alias("n_bullet_lines"),
-        F.size(F.filter("__lines", lambda x: F.rtrim(x).rlike(r"(\.\.\.|…)$"))).cast("long").alias("n_ellipsis_lines"))
-    return m.withColumns({
-        "mean_word_chars": ratio(F.col("word_chars"), F.col("n_words")),
-        "symbols_per_word": ratio(F.col("n_symbols"), F.col("n_words")),
-        "stop_word_ratio": ratio(F.col("n_stop_words"), F.col("n_words")),
-        "dup_line_ratio": ratio(F.col("n_dup_lines"), F.col("n_lines")),
-        "bullet_line_ratio": ratio(F.col("n_bullet_lines"), F.col("n_lines")),
-        "ellipsis_line_ratio": ratio(F.col("n_ellipsis_lines"), F.col("n_lines"))})
-
-
-def compile_rules(rules: Sequence[Rule] = RULES) -> Column:
-    """The names of the rules that a row of measures breaks, as one expression."""
+
+def compile_rules(rules: Sequence[Rule], measure) -> Column:
+    """The names of the rules that are broken, as one expression; ``measure(name)``
+    is the column of a measure."""
     def broken(r: Rule) -> Column:
-        x = F.col(r.measure)
-        out = F.lit(False)
+        x, out = measure(r.measure), F.lit(False)
         if r.low is not None:
             out = out | (x < r.low)
         if r.high is not None:
             out = out | (x > r.high)
-        return F.when(out & (F.col("n_words") >= r.min_words), F.lit(r.name))
+        return F.when(out & (measure("n_words") >= r.min_words), F.lit(r.name))
 
     return F.filter(F.array(*[broken(r) for r in rules], F.lit(None).cast("string")), lambda x: x.isNotNull())
 
 
+def verdict(text: Column, rules: Sequence[Rule] = RULES) -> Column:
+    """Measures, ratios, base_failed, broken and kept of a text, as one struct: the
+    whole table in a single expression that is evaluated once for each row."""
+    t = F.coalesce(text, F.lit(""))
+    parts = F.struct(t.alias("t"), F.filter(F.split(t, SPLIT), lambda w: w != "").alias("w"),
+                     F.filter(F.split(t, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("l"))
+
+    def with_ratios(m: Column) -> Column:
+        ratios = [F.when(m[b] > 0, m[a] / m[b]).otherwise(F.lit(0.0)).alias(name) for name, (a, b) in RATIOS.items()]
+        return F.struct(*[m[n].alias(n) for n in MEASURES], *ratios)
+
+    def judged(m: Column) -> Column:
+        base = (m["n_words"] < 20) | (m["n_repeat_words"] * 100 > m["n_words"] * 30)
+        return F.struct(*[m[n].alias(n) for n in (*MEASURES, *RATIOS)], base.alias("base_failed"),
+                        compile_rules(rules, lambda n: m[n]).alias("broken"))
+
+    def decided(m: Column) -> Column:
+        return F.struct(*[m[n].alias(n) for n in (*MEASURES, *RATIOS, "base_failed", "broken")],
+                        (~m["base_failed"] & (F.size(m["broken"]) == 0)).alias("kept"))
+
+    return _let(_let(_let(_let(parts, _measured), with_ratios), judged), decided)
+
+
 def verdicts(df: DataFrame, rules: Sequence[Rule] = RULES, keep: Sequence[str] = ("doc_id",)) -> DataFrame:
-    """Measures, ``base_failed``, ``broken`` (names of broken rules) and ``kept``
-    for each row of ``df`` (doc_id, text).
+    """The ``keep`` columns, measures, ``base_failed``, ``broken`` (names of broken
+    rules) and ``kept`` for each row of ``df`` (doc_id, text).
 
     The base rules: fewer than 20 words, or over 30 % of the words inside 8-word
     windows that occur twice or more. A document is kept if it passes these and
     every rule of the table. A null or empty text has no words and is rejected.
     Null ids and repeated rows are rows like others; an empty table gives an
     empty result; columns outside ``keep`` and text are not read."""
-    m = measures(df, keep)
-    base = (F.col("n_words") < 20) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 30)
-    return m.withColumn("base_failed", base).withColumn("broken", compile_rules(rules)) \
-        .withColumn("kept", ~F.col("base_failed") & (F.size("broken") == 0))
+    return df.select(*[F.col(f"`{c}`") for c in keep], verdict(F.col("text"), rules).alias("__v")) \
+        .select(*[F.col(f"`{c}`") for c in keep], "__v.*")
 
 
 def kept_documents(df: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
     """The rows of ``df`` that :func:`verdicts` keeps, with its columns."""
-    whole = F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("__row")
-    rows = df.select(whole, F.col("text"))
-    return verdicts(rows, rules, keep=("__row",)).filter("kept").select("__row.*")
+    return df.filter(verdict(F.col("text"), rules)["kept"])
