@@ -193,7 +193,7 @@ def predict(df: DataFrame, model: Model) -> DataFrame:
                 p = probabilities(m, tables, [texts[i].encode("utf-8", "replace") for i in some])
                 for i, row in zip(some, p, strict=True):
                     best = int(row.argmax())
-                    pred[i], score[i] = m.labels[best], min(1.0, float(row[best]))
+                    pred[i], score[i] = m.labels[best], round(min(1.0, float(row[best])), 6)  # batches differ in the last digits
             yield b, None, {"lang_pred": pred, "score": score}
 
     return map_arrow(rows, carry, {"lang_pred": T.StringType(), "score": T.DoubleType()}, run)
