@@ -46,7 +46,7 @@ def q_histogram_auto(spark, sf):
     return charts.histogram_auto(table(spark, sf, "documents"), "n_chars")
 
 
-def _kde_sql(src: str, col: str, grid: int = 200, cut: float = 3.0, fine: int = 1024) -> str:
+def _kde_sql(src: str, col: str, grid: int = 200, cut: float = 3.0, fine: int = 1024, digits: int = 9) -> str:
     return f"""
 WITH s AS (SELECT count({col}) AS n, min({col}) AS lo, max({col}) AS hi, stddev_samp({col}) AS sd
            FROM {src}),
@@ -58,7 +58,7 @@ x AS (SELECT lo + (c.b + 0.5) * fw AS xc, c.c FROM c, p),
 g AS (SELECT unnest(range(0, {grid})) AS g)
 SELECT g.g AS point, round(lo - {cut} * h + g.g * ((hi - lo + 2 * {cut} * h) / {grid - 1}), 6) AS x,
   round(sum(x.c * exp(-0.5 * ((lo - {cut} * h + g.g * ((hi - lo + 2 * {cut} * h) / {grid - 1})
-      - x.xc) / h) ^ 2) / (n * h * sqrt(2 * pi()))), 9) AS density
+      - x.xc) / h) ^ 2) / (n * h * sqrt(2 * pi()))), {digits}) AS density
 FROM g, x, p WHERE h > 0 GROUP BY g.g, lo, hi, h, n"""
 
 
@@ -196,7 +196,7 @@ def _violin_sql(src: str, col: str) -> str:
     return " UNION ALL ".join(
         [f"""SELECT 'box' AS part, CAST({i} AS BIGINT) AS position, '{n}' AS label, CAST(NULL AS DOUBLE) AS x,
           CAST({n} AS DOUBLE) AS value FROM ({box})""" for i, n in enumerate(_BOX_STATS)]
-        + [f"""SELECT 'outline', point, NULL, x, round(density, 6) FROM ({_kde_sql(src, col)})"""])
+        + [f"""SELECT 'outline', point, NULL, x, density FROM ({_kde_sql(src, col, digits=6)})"""])
 
 
 @query("violin", _violin_sql("events", "value"))
@@ -216,8 +216,8 @@ def _auto_sql() -> str:
         parts.append(f"""SELECT 'hist_{c}' AS chart, '{c}' AS "column", bin AS position,
           CAST(NULL AS VARCHAR) AS label, lower, upper, CAST(count AS DOUBLE) AS value
           FROM ({_hist_sql('supplier', c, None, stats_extra=False)})""")
-        parts.append(f"""SELECT 'kde_{c}', '{c}', point, NULL, x, x, round(density, 6)
-          FROM ({_kde_sql('supplier', c)})""")
+        parts.append(f"""SELECT 'kde_{c}', '{c}', point, NULL, x, x, density
+          FROM ({_kde_sql('supplier', c, digits=6)})""")
     box = _box_sql("supplier", _SUP_NUM)
     for i, s in enumerate(_BOX_STATS):
         parts.append(f"""SELECT 'box_' || "column", "column", CAST({i} AS BIGINT), '{s}', {null}, {null},
