@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import keyed, prepare, written
+from .common import keyed, prepare, shuffle_partitions, written
 
 #: Common given names by (script, gender), and letters for invented
 #: surnames by script.
@@ -211,13 +211,16 @@ def salts(found: DataFrame, key: str, max_rounds: int = 64) -> DataFrame:
     """(canon, salt) of the canonical forms of ``found`` (e, kind, canon) that need
     a salt other than 0 for their replacement to differ from every other
     replacement and from every entity found."""
+    spark = found.sparkSession
     # the least spelling stands for all: replacements are compared in canonical form
     forms = written(found.groupBy("canon").agg(F.min(F.struct("e", "kind")).alias("x"))
                     .select("canon", "x.e", "x.kind", F.lit(0).alias("salt")))
     real = forms.select(F.col("canon").alias("made"))
     for _ in range(max_rounds):
         made = surrogate(F.col("e"), F.col("kind"), F.col("canon"), F.col("salt"), key)
-        drawn = written(forms.withColumn("made", canonical(made, F.col("kind"))))
+        # drawing is dear for its few bytes: dealt out by rows, not by file size
+        dealt = forms.repartition(shuffle_partitions(spark), "canon")
+        drawn = written(dealt.withColumn("made", canonical(made, F.col("kind"))))
         first = drawn.groupBy("made").agg(F.min("canon").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
         again = drawn.join(first, "made").filter("canon != first").select("canon") \
             .union(drawn.join(real, "made", "left_semi").select("canon")).distinct()
