@@ -28,8 +28,7 @@ class Encoder:
 
     Two ways lead to the same ids: texts of plain Latin characters may go through
     the same vocabulary as ranks (tiktoken), which is several times faster; texts
-    with other characters, very long words or a special token's string go through
-    ``tokenizers``."""
+    with other characters or a special token's string go through ``tokenizers``."""
 
     def __init__(self, path: str, ranks: str | None = None, pattern: str | None = None):
         import os
@@ -46,11 +45,10 @@ class Encoder:
                 table = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
             self.fast = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=table, special_tokens={})
             self.plain = re.compile(PLAIN)
-            special = [t.content for t in self.slow.get_added_tokens_decoder().values()]
-            self.odd = re.compile("|".join([*map(re.escape, special), r"\S{400}|\s{400}"]))
+            self.special = [t.content for t in self.slow.get_added_tokens_decoder().values()]
 
     def __call__(self, text: str) -> list[int]:
-        if self.fast and self.plain.fullmatch(text) and not self.odd.search(text):
+        if self.fast and self.plain.fullmatch(text) and not any(s in text for s in self.special):
             return self.fast.encode_ordinary(text)
         return self.slow.encode(text, add_special_tokens=False).ids
 
