@@ -115,7 +115,8 @@ def exact_duplicates(df: DataFrame, chunk_bytes: int = 1 << 16, moduli: Sequence
         "doc_id", "__h1", "__h2", ascii_lower(F.coalesce("text", F.lit(""))).alias("__norm"))
     wanted = members.select("doc_id", "__h1", "__h2", *group, "__is_rep").distinct() \
         .withColumnsRenamed({"doc_id": "__d", "__h1": "__g1", "__h2": "__g2"})
-    found = texts.join(wanted, F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("__h1") == F.col("__g1"))
+    # the same plan at every size: texts are dealt by key, whatever the groups' number
+    found = texts.join(wanted.hint("merge"), F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("__h1") == F.col("__g1"))
                        & (F.col("__h2") == F.col("__g2"))).drop("__d", "__g1", "__g2")
     pieces = _chunks(found.withColumn("__bytes", F.col("__norm").cast("binary")).drop("__norm"), chunk_bytes)
     reps = pieces.filter("__is_rep").dropDuplicates([*group, "__no"]) \
