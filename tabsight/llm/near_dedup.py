@@ -7,12 +7,16 @@ A's i-th and B's j-th band. So ``half**2`` tables cost ``2 * half * width``
 minhashes. Two documents of similarity s meet in a table with probability
 (1 - (1 - s**width)**half)**2: with the defaults 0.99992 at s = 0.8.
 
-Equal sets are one class from the start. In each table bucket neighbours are
-compared first, on their full sets; connected classes are joined. Buckets that
-still hold classes of different components then have every pair of members from
-different components compared, so no pair that shares a bucket is left open.
-Buckets are sorted and range partitioned, so a bucket of any size is spread
-over tasks."""
+Equal sets are one class from the start. In the tables (i, i) bucket neighbours
+are compared first, on their full sets, and connected classes are joined. Then, in
+all tables, every pair of classes of different components that shares a bucket is
+settled: by exact bounds where these are enough, else on full sets. The bounds:
+what two classes of different components have in common lies among the shingles
+that occur in more than one component, so a class with too few of these is out at
+once, and a pair by the smaller of its two counts; and a bit that a shingle sets in
+one class's bitmap but none in the other's is a shingle they do not share. A pair
+is looked at in its first common table only. Buckets are sorted and range
+partitioned, so a bucket of any size is spread over tasks."""
 
 from __future__ import annotations
 
@@ -23,6 +27,8 @@ from pyspark.sql import types as T
 from .common import keyed, map_arrow, prepare, row_key, shuffle_partitions, written
 
 M64 = (1 << 64) - 1
+#: Longs of a class's bitmap.
+BITMAP = 8
 
 
 def _mix(x):
@@ -115,62 +121,120 @@ def sketches(df: DataFrame, words: int, half: int, width: int) -> DataFrame:
 
 
 def _key_rows(classes: DataFrame, half: int, extra: tuple[str, ...] = ()) -> DataFrame:
-    """One row for each class and table: (key, cid, n, ...)."""
-
+    """One row for each class and table: (cid, ..., key, i, j) for the table (i, j)."""
     def run(batches):
         import numpy as np
+        i, j = np.divmod(np.arange(half * half), half)
         for b in batches:
             for s in range(0, b.num_rows, 2000):
                 part = b.slice(s, 2000)
                 band = np.frombuffer(b"".join(part.column("__bands").to_pylist()), dtype=np.uint64)
                 keys = table_keys(band.reshape(part.num_rows, 2 * half), half)
-                yield part, np.repeat(np.arange(part.num_rows), half * half), {"key": keys.ravel()}
+                yield part, np.repeat(np.arange(part.num_rows), half * half), {
+                    "key": keys.ravel(), "i": np.tile(i, part.num_rows), "j": np.tile(j, part.num_rows)}
 
-    return map_arrow(classes.select("cid", *extra, "__bands"), ["cid", *extra], {"key": T.LongType()}, run)
+    return map_arrow(classes.select("cid", *extra, "__bands"), ["cid", *extra],
+                     {"key": T.LongType(), "i": T.ByteType(), "j": T.ByteType()}, run)
 
 
 def _neighbours(keys: DataFrame) -> DataFrame:
-    """Distinct (u, v) of neighbours in the buckets. Buckets are cut at partition
-    borders only; the two rows at each border are joined on the driver's side, two
-    rows for each partition."""
+    """(u, v, own) of neighbours in the buckets, as often as they occur. Buckets are
+    cut at partition borders only; the two rows at each border are joined on the
+    driver's side, two rows for each partition."""
     spark = keys.sparkSession
-    ranged = keys.repartitionByRange(shuffle_partitions(spark), "key", "cid").sortWithinPartitions("key", "cid") \
-        .withColumn("pid", F.spark_partition_id())
-    schema = "u long, v long, pid int, key long"
+    ranged = keys.select("key", "cid", (F.col("i") == F.col("j")).alias("own")).repartitionByRange(shuffle_partitions(spark), "key", "cid") \
+        .sortWithinPartitions("key", "cid").withColumn("pid", F.spark_partition_id())
+    schema = "u long, v long, own boolean, pid int, key long"
 
     def run(batches):
         import numpy as np
         import pandas as pd
-        last, pid, pend = None, 0, []
-        seen: set[tuple[int, int]] = set()  # pairs of this batch run: repeats are dropped early, bounded
+        last, pid, ends = None, 0, []
         for b in batches:
             if not len(b):
                 continue
-            k, c = b["key"].to_numpy(), b["cid"].to_numpy()
+            k, c, own = b["key"].to_numpy(), b["cid"].to_numpy(), b["own"].to_numpy()
             pid = int(b["pid"].iloc[0])
             if last is None:
-                pend.append((-1, int(c[0]), pid, int(k[0])))
+                ends.append((-1, int(c[0]), bool(own[0]), pid, int(k[0])))
             else:
-                k, c = np.r_[last[0], k], np.r_[last[1], c]
-            same = np.flatnonzero((k[1:] == k[:-1]) & (c[1:] != c[:-1]))
-            if len(same):
-                pairs = set(zip(c[same].tolist(), c[same + 1].tolist(), strict=True)) - seen
-                seen = pairs if len(seen) > 1_000_000 else seen | pairs
-                if pairs:
-                    a = np.array(sorted(pairs), dtype="int64")
-                    yield pd.DataFrame({"u": a[:, 0], "v": a[:, 1], "pid": -1, "key": 0})
-            last = (k[-1], c[-1])
+                k, c, own = np.r_[last[0], k], np.r_[last[1], c], np.r_[last[2], own]
+            at = np.flatnonzero((k[1:] == k[:-1]) & (c[1:] != c[:-1]))
+            if len(at):
+                yield pd.DataFrame({"u": c[at], "v": c[at + 1], "own": own[at], "pid": -1, "key": 0})
+            last = (k[-1], c[-1], own[-1])
         if last is not None:
-            pend.append((int(last[1]), -1, pid, int(last[0])))
-            yield pd.DataFrame(pend, columns=["u", "v", "pid", "key"])
+            ends.append((int(last[1]), -1, bool(last[2]), pid, int(last[0])))
+            yield pd.DataFrame(ends, columns=["u", "v", "own", "pid", "key"])
 
     found = written(ranged.mapInPandas(run, schema))
-    ends = sorted((r.pid, r.u >= 0, r.key, r.u, r.v) for r in found.filter("pid >= 0").collect())  # 2 a partition
-    cross = [(a[3], b[4]) for a, b in zip(ends[1::2], ends[2::2], strict=False) if a[2] == b[2] and a[3] != b[4]]
-    links = found.filter("pid < 0").select("u", "v")
-    if cross:
-        links = links.union(spark.createDataFrame(cross, "u long, v long"))
-    return links.distinct()
+    ends = sorted((r.pid, r.u >= 0, r.key, r.own, r.u, r.v) for r in found.filter("pid >= 0").collect())  # 2 a partition
+    cross = [(a[4], b[5], a[3]) for a, b in zip(ends[1::2], ends[2::2], strict=False) if a[2] == b[2] and a[4] != b[5]]
+    links = found.filter("pid < 0").select("u", "v", "own")
+    return links.union(spark.createDataFrame(cross, "u long, v long, own boolean")) if cross else links
+
+
+def _foreign_shingles(docs: DataFrame, words: int) -> DataFrame:
+    """(cid, x) for ``docs`` (cid, comp, text): how many shingles of each class occur
+    in another component too. Classes without any have no row."""
+    def run(batches):
+        import numpy as np
+        for b in batches:
+            for s in range(0, b.num_rows, 200):
+                part = b.slice(s, 200)
+                sets = [shingle_hashes(t, words) for t in part.column("text").to_pylist()]
+                yield part, np.repeat(np.arange(len(sets)), [len(x) for x in sets]), {"g": np.concatenate(sets).view(np.int64)}
+
+    rows = map_arrow(docs, ["cid", "comp"], {"g": T.LongType()}, run)
+    shared = rows.groupBy("g").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).filter("a != b").select("g")
+    return rows.join(shared, "g", "left_semi").groupBy("cid").agg(F.count(F.lit(1)).alias("x"))
+
+
+def _marks(classes: DataFrame, texts: DataFrame, words: int) -> DataFrame:
+    """(cid, bands, w0, w1, ..): the bands of ``classes`` as an array of longs, and a
+    bitmap of their shingles, one column a word."""
+    def run(batches):
+        import numpy as np
+        for b in batches:
+            rows = np.zeros((b.num_rows, 64 * BITMAP), dtype=np.uint8)
+            for row, t in zip(rows, b.column("text").to_pylist(), strict=True):
+                row[(shingle_hashes(t, words) >> np.uint64(20)).astype(np.int64) % (64 * BITMAP)] = 1
+            bits = np.packbits(rows, axis=1).view(np.int64).reshape(b.num_rows, BITMAP)
+            bands = [np.frombuffer(x, dtype=np.int64).tolist() for x in b.column("__bands").to_pylist()]
+            yield b, None, {"bands": bands, **{f"w{k}": bits[:, k] for k in range(BITMAP)}}
+
+    added = {"bands": T.ArrayType(T.LongType()), **{f"w{k}": T.LongType() for k in range(BITMAP)}}
+    return map_arrow(classes.select("cid", "__bands").join(texts.select("cid", "text"), "cid"), ["cid"], added, run)
+
+
+def _across(open_rows: DataFrame, half: int, percent: int) -> DataFrame:
+    """Distinct (u, v, nu, nv) of classes of different components that share a bucket
+    of ``open_rows`` (key, i, j, cid, n, comp, x, bands, w0, ..) and pass the bounds. In
+    each bucket the component with most rows stands on one side only, so its own pairs
+    never meet."""
+    counts = open_rows.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c"))
+    top = counts.groupBy("key").agg(F.max(F.struct("c", "comp")).alias("t")).select("key", F.col("t.comp").alias("top"))
+    # bands that come before the table's own two: a pair with one of them in common met earlier
+    before = F.concat(F.slice("bands", F.lit(1), F.col("i").cast("int")), F.slice("bands", F.lit(half + 1), F.col("j").cast("int")))
+    rows = open_rows.withColumn("before", before).join(top, "key")
+    carried = ("cid", "n", "comp", "x", "before", *[f"w{k}" for k in range(BITMAP)])
+    left = rows.filter("comp != top").select("key", *[F.col(c).alias(f"{c}u") for c in carried])
+    right = rows.select("key", "top", *[F.col(c).alias(f"{c}v") for c in carried])
+
+    def absent(a: str, b: str):
+        return sum((F.bit_count(F.col(f"w{k}{a}").bitwiseAND(F.bitwise_not(F.col(f"w{k}{b}")))) for k in range(BITMAP)), F.lit(0))
+
+    def enough(common):
+        return common * 100 >= (F.col("nu") + F.col("nv") - common) * percent
+
+    pair = (F.col("compu") < F.col("compv")) | (F.col("compv") == F.col("top")) & (F.col("compu") != F.col("compv"))
+    common = F.least(F.col("nu") - absent("u", "v"), F.col("nv") - absent("v", "u"))
+    met = left.join(right, "key").filter(pair & enough(F.least("xu", "xv")) & enough(common)
+                                         & ~F.arrays_overlap("beforeu", "beforev"))
+    swap = F.col("cidu") > F.col("cidv")
+    return met.select(F.least("cidu", "cidv").alias("u"), F.greatest("cidu", "cidv").alias("v"),
+                      F.when(swap, F.col("nv")).otherwise(F.col("nu")).alias("nu"),
+                      F.when(swap, F.col("nu")).otherwise(F.col("nv")).alias("nv")).distinct()
 
 
 def _confirm(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
@@ -206,26 +270,23 @@ def _confirm(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> Da
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(node, comp): the least node that each node of ``links`` (u, v) reaches,
-    by alternating large-star and small-star steps. Each step is a grouped
-    minimum and a join; what it gives is written to the shared folder."""
+    """(node, comp): the least node that each node of ``links`` (u, v) reaches.
+
+    In each round every node ties itself and all its neighbours to the least of them;
+    paths shrink at least to a half or so. The end is reached when no node has two
+    smaller neighbours, or neighbours on both sides: then all ties are stars. A round
+    is a grouped minimum, a join and a distinct, written to the shared folder."""
     edges = written(links.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).filter("u != v").distinct())
-    mark = None
     while True:
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
-        large = both.join(low, "u").filter(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        large = large.distinct()
-        small = large.groupBy("u").agg(F.min("v").alias("m"))
-        step = large.join(small, "u").filter(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v")) \
-            .union(small.select("u", F.col("m").alias("v"))).distinct()
-        edges = written(step)
-        now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
-        if now == mark:
+        low = written(both.groupBy("u").agg(F.min("v").alias("m"), F.count_if(F.col("v") < F.col("u")).alias("below"),
+                                            F.count_if(F.col("v") > F.col("u")).alias("above")))
+        if low.filter("below > 1 or (below = 1 and above > 0)").isEmpty():
             break
-        mark = now
-    stars = edges.select(F.col("u").alias("node"), F.col("v").alias("comp"))
-    return stars.union(edges.select(F.col("v").alias("node"), F.col("v").alias("comp")).distinct())
+        tied = both.join(low.select("u", F.least("u", "m").alias("m")), "u") \
+            .select("m", F.explode(F.array("u", "v")).alias("u")).filter("u != m")
+        edges = written(tied.select("u", F.col("m").alias("v")).distinct())
+    return low.select(F.col("u").alias("node"), F.least("u", "m").alias("comp"))
 
 
 def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80, half: int = 10, width: int = 2) -> DataFrame:
@@ -243,15 +304,12 @@ def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80, half: int
     low = F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "__h1", "__h2"))
     classes = written(rows.filter("n_shingles > 0").groupBy(*mark).agg(low.alias("rep"), F.first("__bands").alias("__bands"))
                       .withColumn("cid", F.monotonically_increasing_id()))
-    first = _neighbours(_key_rows(classes, half))
+    near = _neighbours(_key_rows(classes, half))
     sizes = classes.select("cid", F.col("n_shingles").alias("n"))
-
-    def sized(pairs):
-        return pairs.join(sizes.select(F.col("cid").alias("u"), F.col("n").alias("nu")), "u") \
-            .join(sizes.select(F.col("cid").alias("v"), F.col("n").alias("nv")), "v")
-
-    first = written(sized(first))
-    met = written(first.select(F.col("u").alias("cid")).union(first.select(F.col("v").alias("cid"))).distinct())
+    met = written(near.select(F.explode(F.array("u", "v")).alias("cid")).distinct())
+    first = near.filter("own").select("u", "v").distinct() \
+        .join(sizes.select(F.col("cid").alias("u"), F.col("n").alias("nu")), "u") \
+        .join(sizes.select(F.col("cid").alias("v"), F.col("n").alias("nv")), "v")
     reps = classes.join(met, "cid", "left_semi").select(
         "cid", F.col("rep.doc_id").alias("__d"), F.col("rep.__h1").alias("__g1"), F.col("rep.__h2").alias("__g2"))
     on = F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("__h1") == F.col("__g1")) & (F.col("__h2") == F.col("__g2"))
@@ -259,23 +317,26 @@ def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80, half: int
     links = written(_confirm(first, texts, words, percent))
     comp = written(components(links))
 
-    # buckets that hold more than one component: every pair across components
-    inside = classes.join(met, "cid", "left_semi").join(comp.withColumnRenamed("node", "cid"), "cid", "left") \
-        .select("cid", F.col("n_shingles").alias("n"), F.coalesce("comp", "cid").alias("comp"), "__bands")
-    tabled = written(_key_rows(written(inside), half, ("n", "comp")))
-    mixed = tabled.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).filter("a != b").select("key")
+    # buckets that still hold more than one component
+    inside = written(classes.join(met, "cid", "left_semi").join(comp.withColumnRenamed("node", "cid"), "cid", "left")
+                     .select("cid", F.col("n_shingles").alias("n"), F.coalesce("comp", "cid").alias("comp"), "__bands"))
+    tabled = _key_rows(inside, half, ("n", "comp"))
+    mixed = written(tabled.groupBy("key").agg(F.min("comp").alias("a"), F.max("comp").alias("b")).filter("a != b").select("key"))
     open_rows = written(tabled.join(mixed, "key", "left_semi"))
-    left, right = (open_rows.select("key", *[F.col(c).alias(f"{c}{s}") for c in ("cid", "n", "comp")]) for s in "uv")
-    across = left.join(right, "key").filter(
-        (F.col("compu") < F.col("compv")) & (F.least("nu", "nv") * 100 >= F.greatest("nu", "nv") * percent)) \
-        .select(F.least("cidu", "cidv").alias("u"), F.greatest("cidu", "cidv").alias("v"),
-                F.when(F.col("cidu") < F.col("cidv"), F.col("nu")).otherwise(F.col("nv")).alias("nu"),
-                F.when(F.col("cidu") < F.col("cidv"), F.col("nv")).otherwise(F.col("nu")).alias("nv")).distinct()
-    unseen = written(across.join(first.select("u", "v"), ["u", "v"], "left_anti"))
-    if not unseen.isEmpty():
-        more = written(_confirm(unseen, texts, words, percent))
-        if not more.isEmpty():
-            comp = written(components(links.union(more)))
+    docs = open_rows.select("cid", "comp").distinct().join(texts, "cid")
+    foreign = written(_foreign_shingles(docs, words).join(sizes, "cid").filter(F.col("x") * 100 >= F.col("n") * percent)
+                      .select("cid", "x"))
+    marks = _marks(inside.join(foreign, "cid", "left_semi"), texts, words).join(foreign, "cid")
+    more = _confirm(_across(open_rows.join(written(marks), "cid"), half, percent), texts, words, percent)
+    more = written(more)
+    if not more.isEmpty():  # join the components that these links connect
+        of = inside.select("cid", "comp")
+        ties = more.join(of.select(F.col("cid").alias("u"), F.col("comp").alias("cu")), "u") \
+            .join(of.select(F.col("cid").alias("v"), F.col("comp").alias("cv")), "v") \
+            .select(F.col("cu").alias("u"), F.col("cv").alias("v"))
+        moved = components(ties).select(F.col("node").alias("comp"), F.col("comp").alias("to"))
+        comp = written(of.join(moved, "comp", "left").select(
+            F.col("cid").alias("node"), F.coalesce("to", "comp").alias("comp")))
 
     named = classes.join(comp.withColumnRenamed("node", "cid"), "cid", "left") \
         .select(*[F.col(c).alias(f"_{c}") for c in mark], F.coalesce("comp", "cid").alias("__comp"))
