@@ -9,8 +9,10 @@ domains keep their labels, given names keep gender and script.
 
 Distinct entities must stay distinct: the canonical forms of the whole corpus are
 checked against each other and against each other's replacements, and those that
-collide are drawn again under the next salt until none does. The few salts that
-aren't 0 are joined to the documents that need them."""
+collide are drawn again under the next salt until none does. A format that is full
+or nearly so can't give every entity a form of its own: what still collides after
+some draws gets a wider format, by one more digit, letter or syllable for each
+further draw. The few salts that aren't 0 are joined to the documents that need them."""
 
 from __future__ import annotations
 
@@ -45,6 +47,14 @@ SURNAME = rf"(?:(?:van|von|de|der|la|del) ){{0,2}}{WORD}"
 _given = "|".join(n for names in GIVEN.values() for n in names)
 _titles = "|".join([*TITLES_F, *TITLES_M, *TITLES_ANY])
 
+#: What follows a plus or an opening bracket in a number with a decimal point or
+#: thousands marks, not a phone. Nine digits after a point are a phone (+1.2125550182).
+_SIGNED = (r"(?!\d+\.\d{1,8}(?!\d|\.\d|[\-/]\d{3,4}(?!\d|\.\d))|\d{1,3}(?: \d{3})+\.\d{1,2}(?!\d|[ .\-/]\d)"
+           r"|\d{1,3}(?:\.\d{3})+,\d)")
+_BRACKETED = r"(?!\d+\) ?\d+\.\d{1,3}(?!\d|[ .\-/]\d))"
+#: At least seven digits lie before this place.
+_SEVEN = r"(?<=\d" + r"[ .\-/()]{0,3}\d" * 6 + r"\)?)"
+
 #: type -> Java pattern, in order of precedence.
 PATTERNS = {
     "secret": r"\bAKIA[0-9A-Z]{16}\b|(?i:password|passwd|pwd|secret|token|api[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9+/_\-]{8,}",
@@ -52,7 +62,8 @@ PATTERNS = {
     "ssn": r"\b\d{3}-\d{2}-\d{4}\b",
     "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d]|\.\d)|\b(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}\b",
     "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b",
-    "phone": r"(?<![\w+])\+\d{1,3}(?:[ .\-/]?\(?\d{1,4}\)?){2,6}(?!\w)|(?<!\w)\(\d{2,5}\)[ .\-/]?\d{3,4}(?:[ .\-/]?\d{2,4}){1,3}(?!\w)"
+    "phone": rf"(?<![\w+])\+{_SIGNED}\d{{1,3}}(?:[ .\-/]?\(?\d{{1,4}}\)?){{2,6}}{_SEVEN}(?!\w)"
+             rf"|(?<!\w)\({_BRACKETED}\d{{2,5}}\)[ .\-/]?\d{{3,4}}(?:[ .\-/]?\d{{2,4}}){{1,3}}(?!\w)"
              r"|(?<![\w.\-])\d{3}[.\- ]\d{3}[.\- ]\d{4}(?![\w\-])",
     "card": r"(?<![\w.\-])\d(?:[ \-]?\d){12,18}(?![\w\-])",
     "person": rf"(?<![\p{{L}}])(?:(?:{_titles})\.? (?:(?:{_given}) )?{SURNAME}|(?:{_given}) {SURNAME})",
@@ -70,11 +81,20 @@ def entity_type(e: Column) -> Column:
     return out
 
 
+#: Country calling codes, by which a number's first digits stay however it is spaced.
+_CODE = r"^\+([17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
+
+
+def _dialled(e: Column) -> Column:
+    """A phone's digits, after a plus if it has a country code."""
+    return F.concat(F.when(e.startswith("+"), "+").otherwise(""), F.regexp_replace(e, r"\D", ""))
+
+
 def _canonical(e: Column, kind: Column) -> Column:
     """What two spellings of one entity have in common, with the type in front.
     A person's is its surname: titles and given names are replaced word by word."""
     digits = F.regexp_replace(e, r"\D", "")
-    return F.concat(kind, F.lit("|"), F.when(kind.isin("email"), F.lower(e)).when(kind.isin("phone", "card"), digits)
+    return F.concat(kind, F.lit("|"), F.when(kind.isin("email"), F.lower(e)).when(kind == "phone", _dialled(e)).when(kind == "card", digits)
                     .when(kind == "iban", F.regexp_replace(e, " ", ""))
                     .when(kind == "secret", F.regexp_replace(e, r"^.*[=:]\s{0,3}[\"']?", ""))
                     .when(kind == "person", F.regexp_extract(e, rf"({SURNAME})$", 1)).otherwise(e))
@@ -136,12 +156,14 @@ def _script(word: Column) -> Column:
     return F.when(word.rlike(r"\p{IsCyrillic}"), "cyrillic").when(word.rlike(r"\p{IsGreek}"), "greek").otherwise("latin")
 
 
-def _surname(word: Column, stream: Column) -> Column:
-    """An invented surname of three syllables in the word's script."""
+def _surname(word: Column, stream: Column, wider: Column) -> Column:
+    """An invented surname of four syllables and ``wider`` more in the word's script."""
+    def syllable(parts: list[str]):
+        return lambda k: F.element_at(F.array(*[F.lit(p) for p in parts]), _byte(stream, k) % len(parts) + 1)
+
     made = None
     for script, parts in SYLLABLES.items():
-        table = F.array(*[F.lit(p) for p in parts])
-        name = F.initcap(F.concat(*[F.element_at(table, _byte(stream, F.lit(k)) % len(parts) + 1) for k in range(4)]))
+        name = F.initcap(F.array_join(F.transform(F.sequence(F.lit(0), wider + 3), syllable(parts)), ""))
         made = F.when(_script(word) == script, name) if made is None else made.when(_script(word) == script, name)
     return made
 
@@ -160,21 +182,27 @@ def _given_name(word: Column, key: str) -> Column:
 
 def surrogate(e: Column, kind: Column, canon: Column, salt: Column, key: str) -> Column:
     """The replacement of one entity: a function of its canonical form, put into
-    the form in which the entity is written."""
+    the form in which the entity is written, or into one that is wider by as many
+    characters as ``salt`` holds :data:`WIDER`."""
     s = _stream(key, canon, salt)
+    wider = (salt / WIDER).cast("int")
+    more = F.repeat(F.lit("0"), wider)
+    valid = _luhn(F.regexp_replace(e, r"\D", "")) == 0
+    short, e = e, F.concat(e, F.when(kind.isin("email", "person"), "").when((kind == "ip") & ~e.contains(":"), F.repeat(F.lit(".0"), wider))
+                           .otherwise(more))
     digits = F.regexp_replace(e, r"\D", "")
     # e-mail: the local part by the whole address, each domain label but the last by itself
     local, domain = F.substring_index(e, "@", 1), F.substring_index(e, "@", -1)
     labels = F.split(F.lower(domain), r"\.")
     new_labels = F.transform(labels, lambda x, i: F.when(i == F.size(labels) - 1, x).otherwise(
         _like(x, _stream(key, F.concat(F.lit("label|"), x), F.lit(0)))))
-    email = F.concat(_like(F.lower(local), s), F.lit("@"), F.array_join(new_labels, "."))
+    email = F.concat(_like(F.concat(F.lower(local), more), s), F.lit("@"), F.array_join(new_labels, "."))
     # phone: a country code stays; no group of the rest gets another length
-    code = F.when(e.startswith("+"), F.length(F.regexp_extract(e, r"^\+(\d{1,3})(?=\D)", 1))).otherwise(0)
+    code = F.length(F.regexp_extract(_dialled(e), _CODE, 1))
     phone = _digits_back(e, _like(digits, s, code))
     # card: the first digit stays; a valid check digit is made valid again
     body = F.concat(_like(F.left(digits, F.length(digits) - 1), s, 1), F.lit("0"))
-    check = F.when(_luhn(digits) == 0, ((10 - _luhn(body)) % 10).cast("string")).otherwise(
+    check = F.when(valid, ((10 - _luhn(body)) % 10).cast("string")).otherwise(
         F.conv((_byte(s, F.lit(30)) % 9 + 1 + (10 - _luhn(body)) % 10) % 10, 10, 10))
     card = _digits_back(e, F.concat(F.left(body, F.length(body) - 1), check))
     octets = F.array_join(F.transform(F.split(e, r"\."), lambda x, i: (_byte(s, i) % 254 + 1).cast("string")), ".")
@@ -183,12 +211,12 @@ def surrogate(e: Column, kind: Column, canon: Column, salt: Column, key: str) ->
     value = F.substring(e, F.length(prefix) + 1, F.lit(1 << 20))
     secret = F.concat(prefix, F.when(value.startswith("AKIA"), _like(value, s, 4))
                       .when(value.rlike("^[0-9a-f]+$"), _hex_like(value, s)).otherwise(_like(value, s)))
-    last = surname_of(e)
-    head = F.left(e, F.length(e) - F.length(last))
+    last = surname_of(short)
+    head = F.left(short, F.length(short) - F.length(last))
     given = F.regexp_extract(head, rf"({_given}) $", 1)
     person = F.concat(F.left(head, F.length(head) - F.length(given) - F.when(given != "", 1).otherwise(0)),
                       F.when(given != "", F.concat(_given_name(given, key), F.lit(" "))).otherwise(F.lit("")),
-                      _surname(last, s))
+                      _surname(last, s, wider))
     return F.when(kind == "email", email).when(kind == "phone", phone).when(kind == "card", card).when(kind == "ip", ip) \
         .when(kind == "ssn", F.concat(F.lit("9"), F.substring(_like(e, s), 2, 20))).when(kind == "secret", secret) \
         .when(kind == "person", person).when(kind == "iban", _like(e, s, 4)).otherwise(_like(e, s))
@@ -200,6 +228,10 @@ def entities(text: Column) -> Column:
         .otherwise(F.array().cast("array<string>"))
 
 
+#: A salt's thousands say by how many characters its format is wider.
+WIDER = 1000
+
+
 def _described(es: Column) -> Column:
     """(e, kind, canon) for each entity."""
     pairs = F.transform(es, lambda e: F.struct(e.alias("e"), entity_type(e).alias("kind")))
@@ -207,29 +239,33 @@ def _described(es: Column) -> Column:
                                                  canonical(p["e"], p["kind"]).alias("canon")))
 
 
-def salts(found: DataFrame, key: str, max_rounds: int = 64) -> DataFrame:
+def salts(found: DataFrame, key: str, max_rounds: int = 16) -> DataFrame:
     """(canon, salt) of the canonical forms of ``found`` (e, kind, canon) that need
     a salt other than 0 for their replacement to differ from every other
-    replacement and from every entity found."""
+    replacement and from every entity found. An entity is drawn at most
+    ``max_rounds`` times in its own format; after that, each draw has ten times
+    the forms of the one before or more, so a few of them end any collision."""
     spark = found.sparkSession
     # the least spelling stands for all: replacements are compared in canonical form
     forms = written(found.groupBy("canon").agg(F.min(F.struct("e", "kind")).alias("x"))
-                    .select("canon", "x.e", "x.kind", F.lit(0).alias("salt")))
+                    .select("canon", "x.e", "x.kind", F.lit(0).alias("salt"), F.lit(None).cast("string").alias("made")))
     real = forms.select(F.col("canon").alias("made"))
-    for _ in range(max_rounds):
+    while True:
         made = surrogate(F.col("e"), F.col("kind"), F.col("canon"), F.col("salt"), key)
         # drawing is dear for its few bytes: dealt out by rows, not by file size
         dealt = forms.repartition(shuffle_partitions(spark), "canon")
-        drawn = written(dealt.withColumn("made", canonical(made, F.col("kind"))))
+        drawn = written(dealt.withColumn("made", F.coalesce("made", canonical(made, F.col("kind")))))
         first = drawn.groupBy("made").agg(F.min("canon").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
         again = drawn.join(first, "made").filter("canon != first").select("canon") \
             .union(drawn.join(real, "made", "left_semi").select("canon")).distinct()
         again = written(again)
         if again.isEmpty():
             return forms.filter("salt > 0").select("canon", "salt")
-        forms = written(drawn.drop("made").join(again.withColumn("hit", F.lit(1)), "canon", "left")
-                        .select("canon", "e", "kind", (F.col("salt") + F.coalesce("hit", F.lit(0))).alias("salt")))
-    raise RuntimeError("replacements still collide: the entities fill the space of their format")
+        salt = F.col("salt")
+        following = F.when(salt + 1 < max_rounds, salt + 1).otherwise(salt + WIDER)
+        forms = written(drawn.join(again.withColumn("hit", F.lit(1)), "canon", "left")
+                        .select("canon", "e", "kind", F.when(F.col("hit") == 1, following).otherwise(salt).alias("salt"),
+                                F.when(F.col("hit").isNull(), F.col("made")).alias("made")))
 
 
 def surrogates(df: DataFrame, key: str = "surrogate-key") -> DataFrame:

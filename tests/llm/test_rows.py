@@ -88,6 +88,34 @@ def test_pii_collisions_are_drawn_again(spark):
     assert len(set(out)) == len(numbers)
 
 
+def test_pii_full_formats_are_widened(spark):
+    """More entities than their formats have forms: 8 of 10 are taken by the entities themselves."""
+    full = [(f"{c}@x.org", "email") for c in "abcdefghijklmnopqrstuvwxyz"] + [(f"+49 12345{k}", "phone") for k in range(10)] + [
+        (f"secret=________{k}", "secret") for k in range(10)] + [("secret=/////////", "secret")]
+    found = spark.createDataFrame(full, "e string, kind string").withColumn("canon", pii.canonical(F.col("e"), F.col("kind")))
+    odd = pii.salts(found, "k", max_rounds=2)
+    made = found.join(odd, "canon", "left").withColumn("s", pii.surrogate(
+        F.col("e"), F.col("kind"), F.col("canon"), F.coalesce("salt", F.lit(0)), "k")).select("e", "s", "kind").collect()
+    assert len({r["s"] for r in made}) == len(full) and not {r["s"] for r in made} & {e for e, _ in full}
+    assert all(re.fullmatch(r"[a-z0-9]+@\w+\.org|\+49 \d{6,}|secret=[_/]{8,}\d+", r["s"]) for r in made)
+    names = spark.createDataFrame([("Mr. Miller", "person|Miller"), ("4111 1111 1111 1111", "card|4111111111111111"), ("10.0.0.1", "ip|10.0.0.1")], "e string, canon string")
+    new = {r["e"]: r["s"] for r in names.select("e", pii.surrogate(F.col("e"), F.substring_index("canon", "|", 1), F.col("canon"), F.lit(2 * pii.WIDER), "k").alias("s")).collect()}
+    card = [int(c) for c in reversed(re.sub(" ", "", new["4111 1111 1111 1111"]))]
+    assert len(card) == 18 and (sum(card[::2]) + sum(sum(divmod(2 * d, 10)) for d in card[1::2])) % 10 == 0
+    assert re.fullmatch(r"Mr\. [A-Z][a-z]{11,}", new["Mr. Miller"]) and new["10.0.0.1"].count(".") == 5
+
+
+def test_pii_figures_are_not_phones(spark):
+    left = ["up +12.1% +12.2% +12.3% +12.4% +12.5% +12.6% on the day", "+100 +1.25 +12.345678 +1 234 567.89 +1.234.567,89 (100) 250.75 +12.55-13.55"]
+    found = ["+1 (212) 555-0182", "+12125550182", "+1.212.555.0182", "+1.2125550182", "+49 30 1234567", "(212) 555.0182", "+33 1 23 45 67 89"]
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(left + found)], "doc_id long, text string")
+    out = {r["doc_id"]: r for r in pii.surrogates(df).collect()}
+    assert [out[k]["text"] for k in range(len(left))] == left
+    new = [out[len(left) + k] for k in range(len(found))]
+    assert all(r["n_entities"] == 1 and r["text"] != f and re.sub(r"\d", "", r["text"]) == re.sub(r"\d", "", f) for r, f in zip(new, found, strict=True))
+    assert len({re.sub(r"\D", "", r["text"]) for r in new[:4]}) == 1 and new[4]["text"].startswith("+49 ") and new[1]["text"].startswith("+1")
+
+
 PAGE = """<!DOCTYPE html><html class="no-sidebar"><head><title>Title</title><style>p{}</style><script>var t="</p>";</script></head><body class="has-ads">
 <header><h1>Site name</h1><a href=/>Home</a></header><nav><ul><li><a href="/a">A</a></li><li><a href="/b">B</a></li></ul></nav>
 <div class="cookie-notice">We use cookies. <button>Accept</button></div><div class="ad">Buy now, the best pills of the town for you.</div>
