@@ -54,17 +54,29 @@ _SIGNED = (r"(?!\d+\.\d{1,8}(?!\d|\.\d|[\-/]\d{3,4}(?!\d|\.\d))|\d{1,3}(?: \d{3}
 _BRACKETED = r"(?!\d+\) ?\d+\.\d{1,3}(?!\d|[ .\-/]\d))"
 #: At least seven digits lie before this place.
 _SEVEN = r"(?<=\d" + r"[ .\-/()]{0,3}\d" * 6 + r"\)?)"
+_NINE = r"(?<=\d" + r"[ .\-/()]{0,3}\d" * 8 + r"\)?)"
+#: Phones as written inside a country: trunk 1; 00 and a country code; 0 and pairs of
+#: digits; 0, an area code and nine digits or more in all; pairs of digits without a 0.
+_NATIONAL = (r"(?=[016-9])(?<!\d[.,])(?<![\w\-+])(?:1[.\- ]\(?\d{3}\)?[.\- ]\d{3}[.\- ]\d{4}"
+             r"|00[1-9]\d{0,2}(?:[ .\-/]\(?\d{1,8}\)?){2,6}" + _NINE + r"|0[1-9](?:[ .\-]\d{2}){4}"
+             r"|0[1-9]\d{1,4}(?:[ \-]| ?/ ?)\d{2,8}(?: \d{2,8}|-\d{1,6}){0,3}" + _NINE +
+             r"|(?:[89]\d[ .\-]\d{3}|[6-9]\d{2}[ .\-]\d{2})[ .\-]\d{2}[ .\-]\d{2})(?!\w|-\d)")
+#: Compressed IPv6 in the ranges given out; a[1::2] and std::min aren't.
+_SHORT_IPV6 = (r"(?=[236fF])(?<![\w:.])(?=(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{0,4}(?![\w:]))(?=[A-Fa-f:]*\d)"
+               r"(?:[23][0-9A-Fa-f]{3}|[Ff][C-Fc-f][0-9A-Fa-f]{2}|64:[Ff]{2}9[Bb])(?::[0-9A-Fa-f]{1,4}){0,6}::"
+               r"(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,6})?(?![\w:])")
 
 #: type -> Java pattern, in order of precedence.
 PATTERNS = {
     "secret": r"\bAKIA[0-9A-Z]{16}\b|(?i:password|passwd|pwd|secret|token|api[_-]?key)\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9+/_\-]{8,}",
     "email": r"[A-Za-z0-9][A-Za-z0-9._%+\-]*@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}",
     "ssn": r"\b\d{3}-\d{2}-\d{4}\b",
-    "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d]|\.\d)|\b(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}\b",
+    "ip": r"(?<![\d.])(?:(?:25[0-5]|2[0-4]\d|1?\d?\d)\.){3}(?:25[0-5]|2[0-4]\d|1?\d?\d)(?![\d]|\.\d)|\b(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}\b"
+          rf"|{_SHORT_IPV6}",
     "iban": r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b",
     "phone": rf"(?<![\w+])\+{_SIGNED}\d{{1,3}}(?:[ .\-/]?\(?\d{{1,4}}\)?){{2,6}}{_SEVEN}(?!\w)"
              rf"|(?<!\w)\({_BRACKETED}\d{{2,5}}\)[ .\-/]?\d{{3,4}}(?:[ .\-/]?\d{{2,4}}){{1,3}}(?!\w)"
-             r"|(?<![\w.\-])\d{3}[.\- ]\d{3}[.\- ]\d{4}(?![\w\-])",
+             rf"|(?<![\w.\-])\d{{3}}[.\- ]\d{{3}}[.\- ]\d{{4}}(?![\w\-])|{_NATIONAL}",
     "card": r"(?<![\w.\-])\d(?:[ \-]?\d){12,18}(?![\w\-])",
     "person": rf"(?<![\p{{L}}])(?:(?:{_titles})\.? (?:(?:{_given}) )?{SURNAME}|(?:{_given}) {SURNAME})",
 }
@@ -86,8 +98,18 @@ _CODE = r"^\+([17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|\d{3})"
 
 
 def _dialled(e: Column) -> Column:
-    """A phone's digits, after a plus if it has a country code."""
-    return F.concat(F.when(e.startswith("+"), "+").otherwise(""), F.regexp_replace(e, r"\D", ""))
+    """A phone's digits, after a plus if it has a country code, be it after 00 or
+    the trunk 1."""
+    digits = F.regexp_replace(e, r"\D", "")
+    return F.when(e.startswith("+") | e.rlike(r"^1[.\- ]"), F.concat(F.lit("+"), digits)) \
+        .when(digits.startswith("00"), F.regexp_replace(digits, "^00", "+")).otherwise(digits)
+
+
+def _kept(e: Column) -> Column:
+    """How many digits of :func:`_dialled` stay: the country code, the trunk 0 or
+    the digit by which nine digits are known as a phone."""
+    d = _dialled(e)
+    return F.when(d.startswith("+"), F.length(F.regexp_extract(d, _CODE, 1))).when(d.rlike(r"^(?:0|[6-9]\d{8}$)"), 1).otherwise(0)
 
 
 def _canonical(e: Column, kind: Column) -> Column:
@@ -184,13 +206,19 @@ def surrogate(e: Column, kind: Column, canon: Column, salt: Column, key: str) ->
     """The replacement of one entity: a function of its canonical form, put into
     the form in which the entity is written, or into one that is wider by as many
     characters as ``salt`` holds :data:`WIDER`."""
-    s = _stream(key, canon, salt)
+    # bound once: without that, each character would compute them again
     wider = (salt / WIDER).cast("int")
+    wide = F.concat(e, F.when(kind.isin("email", "person"), "").when((kind == "ip") & ~e.contains(":"), F.repeat(F.lit(".0"), wider))
+                    .otherwise(F.repeat(F.lit("0"), wider)))
+    bound = F.struct(e.alias("e"), wide.alias("wide"), kind.alias("kind"), wider.alias("wider"), _stream(key, canon, salt).alias("s"),
+                     F.regexp_replace(wide, r"\D", "").alias("digits"))
+    return F.get(F.transform(F.array(bound), lambda b: _drawn(b, key)), F.lit(0))
+
+
+def _drawn(b: Column, key: str) -> Column:
+    short, e, kind, wider, s, digits = (b[n] for n in ("e", "wide", "kind", "wider", "s", "digits"))
     more = F.repeat(F.lit("0"), wider)
-    valid = _luhn(F.regexp_replace(e, r"\D", "")) == 0
-    short, e = e, F.concat(e, F.when(kind.isin("email", "person"), "").when((kind == "ip") & ~e.contains(":"), F.repeat(F.lit(".0"), wider))
-                           .otherwise(more))
-    digits = F.regexp_replace(e, r"\D", "")
+    valid = _luhn(F.regexp_replace(short, r"\D", "")) == 0
     # e-mail: the local part by the whole address, each domain label but the last by itself
     local, domain = F.substring_index(e, "@", 1), F.substring_index(e, "@", -1)
     labels = F.split(F.lower(domain), r"\.")
@@ -198,8 +226,8 @@ def surrogate(e: Column, kind: Column, canon: Column, salt: Column, key: str) ->
         _like(x, _stream(key, F.concat(F.lit("label|"), x), F.lit(0)))))
     email = F.concat(_like(F.concat(F.lower(local), more), s), F.lit("@"), F.array_join(new_labels, "."))
     # phone: a country code stays; no group of the rest gets another length
-    code = F.length(F.regexp_extract(_dialled(e), _CODE, 1))
-    phone = _digits_back(e, _like(digits, s, code))
+    abroad = F.when(~short.startswith("+") & digits.startswith("00"), 2).otherwise(0)
+    phone = _digits_back(e, F.concat(F.left(digits, abroad), _like(F.substring(digits, abroad + 1, F.length(digits)), s, _kept(short))))
     # card: the first digit stays; a valid check digit is made valid again
     body = F.concat(_like(F.left(digits, F.length(digits) - 1), s, 1), F.lit("0"))
     check = F.when(valid, ((10 - _luhn(body)) % 10).cast("string")).otherwise(

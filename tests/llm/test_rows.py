@@ -116,6 +116,26 @@ def test_pii_figures_are_not_phones(spark):
     assert len({re.sub(r"\D", "", r["text"]) for r in new[:4]}) == 1 and new[4]["text"].startswith("+49 ") and new[1]["text"].startswith("+1")
 
 
+def test_pii_national_phones_and_short_ipv6(spark):
+    phones = ["1-800-555-1234", "1 (212) 555-0182", "06 12 34 56 78", "01.23.45.67.89", "030 1234567", "030/12345678", "0221 / 12 34 56",
+              "0170 1234567", "089 12 34 56 78", "089 1234567-0", "020 7946 0958", "91 123 45 67", "612 34 56 78", "0049 30 1234567"]
+    ips = ["2001:db8::1", "fe80::1ff:fe23:4567:890a", "2A02:26F0::", "64:ff9b::c000:221"]
+    left = ["0140-6736 and 01/02/2003, 01.02.2003 or 2003-01-02, 12 345 678, a[1::2], std::min, face::add, ISBN 0-306-40615-2, 0.012 3456789"]
+    same = ["+49 30 1234567 or 0049 30 1234567 or (030) 1234567 or 030 1234567", "+1 800 555 1234 or 1-800-555-1234"]
+    texts = phones + ips + left + same
+    df = spark.createDataFrame([(k, f"at {t}, or so") for k, t in enumerate(texts)], "doc_id long, text string")
+    out = {texts[r["doc_id"]]: (r["text"][3:-7], r["n_entities"]) for r in pii.surrogates(df).collect()}
+    for e in phones + ips:
+        new, n = out[e]
+        assert n == 1 and new != e, (e, new)
+        assert re.sub(r"\d", "0", new) == re.sub(r"\d", "0", e) if e in phones else re.sub("[0-9a-f]", "", new) == re.sub("[0-9A-Fa-f]", "", e), (e, new)
+    assert all(out[e][0][0] == e[0] for e in phones) and out["0049 30 1234567"][0].startswith("0049 ")
+    assert out[left[0]] == (left[0], 0)
+    a, b, c, d = (re.sub(r"\D", "", x) for x in out[same[0]][0].split(" or "))
+    assert b == "00" + a and c == d and c[0] == "0"
+    assert len({re.sub(r"\D", "", x) for x in out[same[1]][0].split(" or ")}) == 1
+
+
 PAGE = """<!DOCTYPE html><html class="no-sidebar"><head><title>Title</title><style>p{}</style><script>var t="</p>";</script></head><body class="has-ads">
 <header><h1>Site name</h1><a href=/>Home</a></header><nav><ul><li><a href="/a">A</a></li><li><a href="/b">B</a></li></ul></nav>
 <div class="cookie-notice">We use cookies. <button>Accept</button></div><div class="ad">Buy now, the best pills of the town for you.</div>
