@@ -236,7 +236,7 @@ def _drawn(b: Column, key: str) -> Column:
     octets = F.array_join(F.transform(F.split(e, r"\."), lambda x, i: (_byte(s, i) % 254 + 1).cast("string")), ".")
     ip = F.when(e.contains(":"), _hex_like(F.lower(e), s)).otherwise(octets)
     prefix = F.regexp_extract(e, r"^(.*[=:]\s{0,3}[\"']?)", 1)
-    value = F.substring(e, F.length(prefix) + 1, F.lit(1 << 20))
+    value = F.substring(e, F.length(prefix) + 1, F.length(e))
     secret = F.concat(prefix, F.when(value.startswith("AKIA"), _like(value, s, 4))
                       .when(value.rlike("^[0-9a-f]+$"), _hex_like(value, s)).otherwise(_like(value, s)))
     last = surname_of(short)
