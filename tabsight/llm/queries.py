@@ -100,7 +100,7 @@ def op5(spark, sf_dir):
     c = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     probe = "\\### Assistant: </turn> ok"
     extra = spark.createDataFrame([(-7, 0, "user", probe), (-7, 1, "assistant", probe)], c.schema)
-    return chat.digests(chat.format_turns(c.unionByName(extra)))
+    return chat.digests(chat.format_turns(c.unionByName(extra), window=chat.MARKED_LOOK_BACK))
 
 
 def _op6_sql() -> str:

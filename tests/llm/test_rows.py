@@ -267,6 +267,25 @@ def test_templates_that_rewrite_history_are_found():
         assert "".join(s for s, _ in spans) == chat.marked_turns(many) and not any(r for _, r in spans)
 
 
+def test_templates_that_look_back_are_found_at_every_turn():
+    def two_back(turns):
+        """A turn's text goes as soon as two others follow."""
+        return "".join(f"{r}:{t if k >= len(turns) - 2 else ''};" for k, (r, t) in enumerate(turns))
+
+    def user_first(turns):
+        assert not turns or turns[0][0] == "user"
+        return "".join(f"{k}{r}:{t};" for k, (r, t) in enumerate(turns))
+    many = [("user" if k % 2 == 0 else "assistant", str(k)) for k in range(200)]
+    for window in (2, 3, 32, None):
+        assert [r for _, r in chat.turn_spans(iter(many), two_back, window)] == [False, False] + [True] * 198
+    assert [r for _, r in chat.turn_spans(iter(many), two_back)] == [False, False] + [True] * 198
+    spans = list(chat.turn_spans(iter(many), user_first))
+    assert "".join(s for s, _ in spans) == user_first(many) and not any(r for _, r in spans)
+    seen = []
+    list(chat.turn_spans(iter(many), lambda turns: (seen.append(len(turns)), chat.marked_turns(turns))[1], 32))
+    assert max(seen) == 64 and min(seen[64:]) == 32
+
+
 PAGES = [(1, "http://a/ü b", "<p>x</p>"), (2, None, "<p>x</p>"), (3, "u", None), (4, "u", ""), (5, "u", "é" * 40000), (None, "u", "<p>x</p>"), (6, "u", "lone"),
          (7, "u", "y\r\n\r\nWARC/1.1\r\n"), (1, "http://a/ü b", "<p>x</p>")]
 
