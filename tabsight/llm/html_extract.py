@@ -31,13 +31,22 @@ _ATTR = re.compile(r"""([a-zA-Z][\w:.-]*)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]
 
 #: Element names of HTML by what they mean here.
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i ins kbd mark q rp rt ruby s samp small "
-                   "span strike strong sub sup time tt u var wbr img picture source".split())
+                   "span strike strong sub sup time tt u var wbr img picture source math mrow mi mo mn ms mtext mspace msup msub "
+                   "msubsup mfrac msqrt mroot mstyle mover munder munderover mmultiscripts mtable mtr mtd mfenced menclose mpadded "
+                   "mphantom merror semantics".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style noscript template textarea title iframe svg math object select button canvas audio video noframes".split())
+RAW = frozenset("script style noscript template textarea title iframe noframes".split())
+#: Of these, the ones that HTML reads to the end of the page if no end tag follows.
+TO_THE_END = frozenset("script style textarea title".split())
+#: Elements with text of their own or for browsers that can't show them. One that is
+#: never closed says nothing about the text after it.
+CLOSED = frozenset("button select object canvas audio video svg annotation annotation-xml".split())
+#: Their text isn't shown.
+UNSHOWN = CLOSED - {"button", "select"}
 CLOSES_P = frozenset("address article aside blockquote details dialog div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
                      "header hr main nav ol p pre section table ul".split())
 BAD_TAGS = {"nav": 6.0, "footer": 6.0, "aside": 6.0, "form": 6.0, "menu": 6.0, "dialog": 6.0, "fieldset": 6.0, "label": 4.0,
-            "header": 4.0}
+            "header": 4.0, "button": 4.0, "select": 6.0}
 GOOD_TAGS = {"article": 4.0, "main": 3.0}
 BAD_WORDS = frozenset("ad ads adv advert adverts advertisement advertising adsense banner breadcrumb breadcrumbs byline caption-ad comment "
                       "comments consent cookie cookies copyright dialog disclaimer disqus footer footnav form gdpr login masthead menu "
@@ -73,6 +82,8 @@ class Block:
 def _evidence(name: str, attrs: str) -> float:
     if name in ("html", "body"):
         return 0.0
+    if name in UNSHOWN:
+        return -50.0
     score = GOOD_TAGS.get(name, 0.0) - BAD_TAGS.get(name, 0.0)
     if attrs:
         for key, a, b, c, alone in _ATTR.findall(attrs):
@@ -90,6 +101,29 @@ def _evidence(name: str, attrs: str) -> float:
     return score
 
 
+def _end_tag(name: str) -> re.Pattern:
+    return re.compile(rf"</{name}(?=[\s/>])[^>]*>", re.I | re.A)
+
+
+_ENDS = {name: _end_tag(name) for name in RAW}
+_TAGS = {name: re.compile(rf"<(/?){name}(?=[\s/>])(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>", re.I | re.A) for name in CLOSED}
+
+
+def closed_tags(page: str, name: str) -> set[int]:
+    """Where the start tags of an element stand that have an end tag. Buttons and
+    selections don't lie inside each other: a second one ends the first."""
+    found, open_at = set(), []
+    for m in _TAGS[name].finditer(page):
+        if m[1]:
+            if open_at:
+                found.add(open_at.pop())
+        elif m[0][-2] != "/":
+            if name not in UNSHOWN:
+                open_at.clear()
+            open_at.append(m.start())
+    return found
+
+
 def blocks_of(page: str) -> list[Block]:
     """The text blocks of a page in order, white space turned into single spaces."""
     out: list[Block] = []
@@ -122,7 +156,8 @@ def blocks_of(page: str) -> list[Block]:
         if n.parent is not None:
             node = n.parent
 
-    low = None
+    closed: dict[str, set[int]] = {}
+    endless: set[str] = set()
     while at < len(page):
         m = _TOKEN.search(page, at)
         if not m:
@@ -139,20 +174,25 @@ def blocks_of(page: str) -> list[Block]:
         is_end = bool(m["end"] or m["end2"])
         attrs = m["attrs"] or m["attrs2"] or ""
         if name in RAW and not is_end:
-            if low is None:
-                low = page.lower()
-            if not attrs.endswith("/") or name not in ("svg", "math"):
-                end = low.find("</" + name, at)
-                close = page.find(">", end) if end >= 0 else -1
-                at = close + 1 if close >= 0 else len(page)
-            if name not in INLINE and name != "button":
-                texts.append(" ")
+            close = None if name in endless else _ENDS[name].search(page, at)
+            if close:
+                at = close.end()
+            else:
+                endless.add(name)
+                at = len(page) if name in TO_THE_END else at
+            texts.append(" ")
             continue
         if name == "head":
             in_head = not is_end
             continue
         if name == "body":
             in_head = False
+        if name in CLOSED and not is_end:
+            if name not in closed:
+                closed[name] = closed_tags(page, name)
+            if m.start() not in closed[name]:
+                texts.append(" ")
+                continue
         if name == "br":
             texts.append(" ")
             continue

@@ -174,6 +174,20 @@ def test_html_edges(page, want):
     assert html_extract.main_text(page) == want
 
 
+@pytest.mark.parametrize("page, want", [
+    ("<article>" + "\u0130" * 30 + "<script>x</script>abc..9 <p>z</p>", "\u0130" * 30 + " abc..9 z"),
+    ("<article>a<SCRIPT>x</Script >b</article>", "a b"), ("<article>a<script>x</scripted>y</script>b", "a b"),
+    ("<article><p>a <button>Go <p>rest of the article", "a Go rest of the article"),
+    ("<article><button>Go <p>first</p><button>More</button><p>last", "Go first last"),
+    ("<article>a <video src=x /><audio src=y/><object data=z /><canvas /><svg/> b<p>c", "a b c"),
+    ("<article>a<video src=x><p>Your browser can't show it.</p></video><p>b<object><object>x</object>y</object><p>c", "a b c"),
+    ("<article>let <math><mrow><mi>x</mi><mo>=</mo><mn>1</mn></mrow><annotation>x=1</annotation></math> here", "let x=1 here"),
+    ("<article>a<svg><title>icon</title><text>b</text></svg><p>c", "a c"), ("<article>a<select><option>x<option>y</select><p>b", "a b"),
+    ("<article>a<iframe src=x /><p>b", "a b"), ("<article>a<noscript><p>b", "a b"), ("<article>a<template>x</template>b", "a b")])
+def test_html_text_after_raw_elements(page, want):
+    assert html_extract.main_text(page) == want
+
+
 def test_html_job(spark):
     rows = [(1, "u", PAGE), (2, None, None), (None, "v", ""), (1, "u", PAGE)]
     out = html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("clash")))
