@@ -43,6 +43,8 @@ TO_THE_END = frozenset("script style textarea title".split())
 CLOSED = frozenset("button select object canvas audio video svg annotation annotation-xml".split())
 #: Their text isn't shown.
 UNSHOWN = CLOSED - {"button", "select"}
+#: Tags that leave a head open; any other, or text, ends it.
+HEAD = frozenset("html title meta link base basefont bgsound style script noscript template noframes".split())
 CLOSES_P = frozenset("address article aside blockquote details dialog div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
                      "header hr main nav ol p pre section table ul".split())
 BAD_TAGS = {"nav": 6.0, "footer": 6.0, "aside": 6.0, "form": 6.0, "menu": 6.0, "dialog": 6.0, "fieldset": 6.0, "label": 4.0,
@@ -161,8 +163,11 @@ def blocks_of(page: str) -> list[Block]:
     while at < len(page):
         m = _TOKEN.search(page, at)
         if not m:
+            in_head = in_head and not page[at:].strip()
             say(page[at:])
             break
+        if in_head and page[at:m.start()].strip():
+            in_head = False
         say(page[at:m.start()])
         at = m.end()
         if m["cdata"]:
@@ -180,12 +185,14 @@ def blocks_of(page: str) -> list[Block]:
             else:
                 endless.add(name)
                 at = len(page) if name in TO_THE_END else at
+            if in_head and name in ("iframe", "textarea"):
+                in_head = False
             texts.append(" ")
             continue
         if name == "head":
-            in_head = not is_end
+            in_head = not is_end and not out
             continue
-        if name == "body":
+        if in_head and not is_end and name not in HEAD:
             in_head = False
         if name in CLOSED and not is_end:
             if name not in closed:

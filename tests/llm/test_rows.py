@@ -188,6 +188,16 @@ def test_html_text_after_raw_elements(page, want):
     assert html_extract.main_text(page) == want
 
 
+@pytest.mark.parametrize("page, want", [
+    ("<html><head><title>t</title><p>whole article..", "whole article.."), ("<head><meta charset=x><title>t</title>bare words", "bare words"),
+    ("<html><head><script>x</script><link rel=y><article><h1>a</h1>b</article>", "a b"), ("<head><title>t</title><b>bold</b> words", "bold words"),
+    ("<head>\n<base href=x>\n<style>p{}</style>\n</head>\n<article>a", "a"), ("<article>a<head><p>b", "a b")])
+def test_html_head_without_end(page, want):
+    """Long enough to be content by itself."""
+    more = " and a few more of them, so that this is the text of a page" * 3
+    assert html_extract.main_text(page + more) == want + more
+
+
 def test_html_job(spark):
     rows = [(1, "u", PAGE), (2, None, None), (None, "v", ""), (1, "u", PAGE)]
     out = html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("text", F.lit("clash")))
