@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, html_extract, langid, mixing, near_dedup, packing, pii, quality, warc
+from . import chat, exact_dedup, html_extract, langid, mixing, near_dedup, packing, periodic, pii, quality, token_align, warc
+from .common import WORD_PATTERN
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -187,3 +188,38 @@ def op10(spark, sf_dir):
     docs = d.withColumn("held_out", held)
     return langid.identify(docs.drop("lang"), train_on=docs.filter("not held_out")) \
         .select("doc_id", "held_out", "lang_pred", "score")
+
+
+#: The split of the byte-level vocabulary with possessive repeats: the same pieces, found faster.
+PATTERN = r"'(?:s|t|re|ve|m|ll|d)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
+
+
+def two_tokenizers():
+    """The tokenizers of the alignment query; made in the tasks."""
+    import public_tokenizers as p
+    return (token_align.byte_level(p.path("byte_bpe_50k.json"), p.path("byte_bpe_50k.tiktoken"), PATTERN),
+            token_align.pieces(p.path("piece_bpe_32k.model")))
+
+
+@query("op12_token_alignment")
+def op12(spark, sf_dir):
+    return token_align.aligned_digests(table(spark, sf_dir, "documents"), two_tokenizers)
+
+
+def planted_runs(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) of ``docs``; where crc32 of the decimal doc_id is a multiple of ten,
+    words from a on repeat the p words from there: the query's input."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.regexp_extract_all("text", F.lit(WORD_PATTERN), F.lit(0))
+    planted = docs.select("doc_id", "text", h.alias("h")) \
+        .withColumn("w", F.when(F.col("h") % 10 == 0, words)).withColumn("n", F.size("w")) \
+        .withColumn("g", F.expr("h div 10")).withColumn("a", F.when(F.col("n") > 0, F.expr("g % n"))) \
+        .withColumn("p", F.expr("1 + (n - a) div (3 + g % 8)"))
+    repeated = F.transform(F.sequence(F.lit(0), F.col("n") - 1), lambda i: F.get(
+        "w", F.when(i < F.col("a"), i).otherwise(F.col("a") + (i - F.col("a")) % F.col("p")).cast("int")))
+    return planted.select("doc_id", F.when(F.col("p").isNotNull(), F.array_join(repeated, " ")).otherwise(F.col("text")).alias("text"))
+
+
+@query("op13_periodic_runs")
+def op13(spark, sf_dir):
+    return periodic.digests(periodic.periodic_runs(planted_runs(table(spark, sf_dir, "documents"))))
