@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact_dedup, html_extract, langid, mixing, near_dedup, packing, periodic, pii, quality, token_align, warc
+from . import chat, exact_dedup, html_extract, jaccard_join, langid, mixing, near_dedup, packing, periodic, pii, quality, token_align, warc
 from .common import WORD_PATTERN
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -190,6 +190,28 @@ def op10(spark, sf_dir):
         .select("doc_id", "held_out", "lang_pred", "score")
 
 
+#: All pairs that share a shingle, and everything reachable from each document.
+OP11_SQL = f"""
+WITH RECURSIVE w AS (SELECT doc_id, {_WORDS.format(_LOWER.format("coalesce(text, '')"))} AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+        ELSE list_transform(range(1, len(w) - 1), lambda i: array_to_string(w[i:i + 2], ' ')) END) AS g FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT c.a, c.b FROM c JOIN n x ON x.doc_id = c.a JOIN n y ON y.doc_id = c.b WHERE 100 * c.c >= 90 * (x.n + y.n - c.c)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r(d, m) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.d, e.b FROM r JOIN e ON e.a = r.m),
+k AS (SELECT d, min(m) AS m FROM r GROUP BY d)
+SELECT k.d AS doc_id, coalesce(n.n, 0) AS n_shingles, k.m AS component_id
+FROM k LEFT JOIN n ON n.doc_id = k.d
+"""
+
+
+@query("op11_jaccard_join", OP11_SQL)
+def op11(spark, sf_dir):
+    return jaccard_join.jaccard_components(table(spark, sf_dir, "documents"), words=3, percent=90) \
+        .select("doc_id", "n_shingles", "component_id")
+
+
 #: The split of the byte-level vocabulary with possessive repeats: the same pieces, found faster.
 PATTERN = r"'(?:s|t|re|ve|m|ll|d)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"
 
