@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import is_numeric
-from ..operators import charts, correlation, filters, hypothesis, outliers, profile
+from ..operators import charts, correlation, expressions, filters, hypothesis, outliers, profile
 
 
 class ToolNotFound(KeyError):
@@ -31,8 +31,14 @@ def _summarize(df, column):
 
 
 def _query(df, query, order_by=None, n=10):
-    summ = filters.filter_summary(df, query)
-    rows = filters.filter_rows(df, query)
+    """Takes a query expression; text that its grammar doesn't allow (a single ``=``, say)
+    is a Spark SQL predicate."""
+    try:
+        predicate = expressions.expression(df, query)
+    except expressions.NotAnExpression:
+        predicate = query
+    summ = filters.filter_summary(df, predicate)
+    rows = filters.filter_rows(df, predicate)
     rows = rows.orderBy(*([order_by] if order_by else df.columns)).limit(n)
     return profile.with_scalars(rows, summ)
 

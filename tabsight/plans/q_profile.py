@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import filters, outliers, profile
+from ..operators import expressions, filters, outliers, profile
 from .data import EVENTS_NULLS_SQL, events_with_nulls, table
 from .registry import query
 
@@ -392,6 +392,50 @@ def q_filter_preview(spark, sf):
     return filters.filter_preview(table(spark, sf, "orders"), _PRED, "o_orderkey")
 
 
+_EXPRESSION = "100000 < o_totalprice <= 250000 and o_orderstatus in ['F', 'P'] and not (o_orderpriority == '5-LOW' or o_orderdate < '1996-06-01')"
+_EXPRESSION_SQL = """o_totalprice > 100000 AND o_totalprice <= 250000 AND o_orderstatus IN ('F', 'P')
+  AND o_orderpriority <> '5-LOW' AND o_orderdate >= TIMESTAMP '1996-06-01'"""
+
+
+@query("filter_expression", f"SELECT * FROM orders WHERE {_EXPRESSION_SQL}")
+def q_filter_expression(spark, sf):
+    """P5: a query expression with a chained comparison, a list and a negation."""
+    return expressions.filter_expression(table(spark, sf, "orders"), _EXPRESSION)
+
+
+@query("filter_expression_summary", f"""
+SELECT CAST(count_if({_EXPRESSION_SQL}) AS BIGINT) AS matched, count(*) AS total FROM orders""")
+def q_filter_expression_summary(spark, sf):
+    """P5: matched and total of a query expression in one pass."""
+    return expressions.expression_summary(table(spark, sf, "orders"), _EXPRESSION)
+
+
+@query("filter_expression_preview", f"SELECT * FROM orders WHERE {_EXPRESSION_SQL} ORDER BY o_orderkey LIMIT 10")
+def q_filter_expression_preview(spark, sf):
+    """P5: the first 10 matches of a query expression by key."""
+    return expressions.expression_preview(table(spark, sf, "orders"), _EXPRESSION, "o_orderkey")
+
+
+@query("filter_expression_missing", f"""
+SELECT event_id, event_type, value FROM {EVENTS_NULLS_SQL}
+WHERE (value IS NULL OR value <= 20 OR value >= 60) AND (event_type IS NULL OR event_type NOT IN ('view', 'click'))
+  OR value IS NOT NULL AND (event_type <> 'purchase' OR event_type IS NULL) AND value / 3 > 40 AND event_id % 5 = 1""")
+def q_filter_expression_missing(spark, sf):
+    """P5: negations and != on columns with missing values, and arithmetic."""
+    text = "not 20 < value < 60 and event_type not in ['view', 'click'] or event_type != 'purchase' and value / 3 > 40 and event_id % 5 == 1"
+    return expressions.filter_expression(events_with_nulls(spark, sf), text).select("event_id", "event_type", "value")
+
+
+@query("filter_expression_text", """
+SELECT c_custkey, c_name AS "customer name", c_mktsegment, c_acctbal FROM customer
+WHERE (lower(c_mktsegment) LIKE 'auto%' OR regexp_matches(c_name, '[13579]$')) AND length(c_name) = 18 AND abs(c_acctbal) > 1000""")
+def q_filter_expression_text(spark, sf):
+    """P5: text methods, a function and a quoted column name."""
+    c = table(spark, sf, "customer").select("c_custkey", F.col("c_name").alias("customer name"), "c_mktsegment", "c_acctbal")
+    return expressions.filter_expression(c, "(c_mktsegment.str.lower().str.startswith('auto') | `customer name`.str.contains('[13579]$'))"
+                                            " & `customer name`.str.len() == 18 & abs(c_acctbal) > 1000")
+
+
 @query("tool_dispatch", f"""
 WITH l AS ({_long_sql('events', ['value'], ['event_type'])})
 SELECT event_type, count(v) AS count, round(avg(v), 6) AS mean,

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from .data import events_with_nulls, lineitem_numeric, table
 from .dispatch import analyze
-from .q_profile import _PRED
+from .q_profile import _EXPRESSION, _PRED
 from .registry import ORACLE, query
 
 
@@ -40,6 +40,8 @@ _tool("correlation", lineitem_numeric, ORACLE["pair_correlation"], col1="l_exten
 _tool("detect_outliers", events_with_nulls,
       _OUTLIERS.format(src="(SELECT * FROM events WHERE event_id % 7 <> 0)"), column="value", key="event_id")
 _tool("query_data", _of("orders"), _QUERY, query=_PRED, order_by="o_orderkey")
+query("tool_query_data_expression", f"""SELECT o.*, s.matched, s.total FROM ({ORACLE['filter_expression_preview']}) o,
+  ({ORACLE['filter_expression_summary']}) s""")(lambda spark, sf: analyze(table(spark, sf, "orders"), "query_data", query=_EXPRESSION, order_by="o_orderkey"))
 _tool("get_data_info", events_with_nulls, ORACLE["data_info"])
 _tool("missing_value_analysis", events_with_nulls, _MISSING)
 _tool("distribution_test", _of("documents"), None, column="n_chars")
