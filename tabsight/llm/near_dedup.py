@@ -7,9 +7,9 @@ A's i-th and B's j-th band. So ``half**2`` tables cost ``2 * half * width``
 minhashes. Two documents of similarity s meet in a table with probability
 (1 - (1 - s**width)**half)**2: with the defaults 0.99992 at s = 0.8.
 
-Equal sets are one class from the start. In the tables (i, i) bucket neighbours
-are compared first, on their full sets, and connected classes are joined. Then, in
-all tables, every pair of classes of different components that shares a bucket is
+Equal sets are one class from the start. In the table (0, 0) bucket neighbours
+are compared first, on their full sets, and connected classes are joined; then those
+neighbours of the other tables (i, i) that are still apart. Then, in all tables, every pair of classes of different components that shares a bucket is
 settled: by exact bounds where these are enough, else on full sets. The bounds:
 what two classes of different components have in common lies among the shingles
 that occur in more than one component, so a class with too few of these is out at
@@ -138,13 +138,15 @@ def _key_rows(classes: DataFrame, half: int, extra: tuple[str, ...] = ()) -> Dat
 
 
 def _neighbours(keys: DataFrame) -> DataFrame:
-    """(u, v, own) of neighbours in the buckets, as often as they occur. Buckets are
+    """(u, v, own) of neighbours in the buckets, as often as they occur; own is i in a
+    table (i, i) and -1 in others. Buckets are
     cut at partition borders only; the two rows at each border are joined on the
     driver's side, two rows for each partition."""
     spark = keys.sparkSession
-    ranged = keys.select("key", "cid", (F.col("i") == F.col("j")).alias("own")).repartitionByRange(shuffle_partitions(spark), "key", "cid") \
+    own = F.when(F.col("i") == F.col("j"), F.col("i")).otherwise(F.lit(-1)).cast("byte")
+    ranged = keys.select("key", "cid", own.alias("own")).repartitionByRange(shuffle_partitions(spark), "key", "cid") \
         .sortWithinPartitions("key", "cid").withColumn("pid", F.spark_partition_id())
-    schema = "u long, v long, own boolean, pid int, key long"
+    schema = "u long, v long, own byte, pid int, key long"
 
     def run(batches):
         import numpy as np
@@ -156,7 +158,7 @@ def _neighbours(keys: DataFrame) -> DataFrame:
             k, c, own = b["key"].to_numpy(), b["cid"].to_numpy(), b["own"].to_numpy()
             pid = int(b["pid"].iloc[0])
             if last is None:
-                ends.append((-1, int(c[0]), bool(own[0]), pid, int(k[0])))
+                ends.append((-1, int(c[0]), int(own[0]), pid, int(k[0])))
             else:
                 k, c, own = np.r_[last[0], k], np.r_[last[1], c], np.r_[last[2], own]
             at = np.flatnonzero((k[1:] == k[:-1]) & (c[1:] != c[:-1]))
@@ -164,14 +166,14 @@ def _neighbours(keys: DataFrame) -> DataFrame:
                 yield pd.DataFrame({"u": c[at], "v": c[at + 1], "own": own[at], "pid": -1, "key": 0})
             last = (k[-1], c[-1], own[-1])
         if last is not None:
-            ends.append((int(last[1]), -1, bool(last[2]), pid, int(last[0])))
+            ends.append((int(last[1]), -1, int(last[2]), pid, int(last[0])))
             yield pd.DataFrame(ends, columns=["u", "v", "own", "pid", "key"])
 
     found = written(ranged.mapInPandas(run, schema))
     ends = sorted((r.pid, r.u >= 0, r.key, r.own, r.u, r.v) for r in found.filter("pid >= 0").collect())  # 2 a partition
     cross = [(a[4], b[5], a[3]) for a, b in zip(ends[1::2], ends[2::2], strict=False) if a[2] == b[2] and a[4] != b[5]]
     links = found.filter("pid < 0").select("u", "v", "own")
-    return links.union(spark.createDataFrame(cross, "u long, v long, own boolean")) if cross else links
+    return links.union(spark.createDataFrame(cross, "u long, v long, own byte")) if cross else links
 
 
 def _foreign_shingles(docs: DataFrame, words: int) -> DataFrame:
@@ -289,6 +291,17 @@ def components(links: DataFrame) -> DataFrame:
     return low.select(F.col("u").alias("node"), F.least("u", "m").alias("comp"))
 
 
+def _joined(of: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, comp): the components of ``of`` (cid, comp) after joining those that
+    ``links`` (u, v), pairs of cid, connect."""
+    place = of.select("cid", "comp")
+    ties = links.join(place.select(F.col("cid").alias("u"), F.col("comp").alias("cu")), "u") \
+        .join(place.select(F.col("cid").alias("v"), F.col("comp").alias("cv")), "v") \
+        .select(F.col("cu").alias("u"), F.col("cv").alias("v"))
+    moved = components(ties).select(F.col("node").alias("comp"), F.col("comp").alias("to"))
+    return place.join(moved, "comp", "left").select(F.col("cid").alias("node"), F.coalesce("to", "comp").alias("comp"))
+
+
 def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80, half: int = 10, width: int = 2) -> DataFrame:
     """(doc_id, content key, n_shingles, component_id, kept) for each row of
     ``df`` (doc_id, text): texts are linked when 100 * intersection >= percent *
@@ -307,15 +320,24 @@ def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80, half: int
     near = _neighbours(_key_rows(classes, half))
     sizes = classes.select("cid", F.col("n_shingles").alias("n"))
     met = written(near.select(F.explode(F.array("u", "v")).alias("cid")).distinct())
-    first = near.filter("own").select("u", "v").distinct() \
-        .join(sizes.select(F.col("cid").alias("u"), F.col("n").alias("nu")), "u") \
-        .join(sizes.select(F.col("cid").alias("v"), F.col("n").alias("nv")), "v")
     reps = classes.join(met, "cid", "left_semi").select(
         "cid", F.col("rep.doc_id").alias("__d"), F.col("rep.__h1").alias("__g1"), F.col("rep.__h2").alias("__g2"))
     on = F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("__h1") == F.col("__g1")) & (F.col("__h2") == F.col("__g2"))
     texts = written(keyed(df.select("doc_id", "text")).join(reps, on).select("cid", "text").dropDuplicates(["cid"]))
-    links = written(_confirm(first, texts, words, percent))
-    comp = written(components(links))
+    own = written(near.filter("own >= 0"))
+
+    def sized(pairs, of):
+        return pairs.join(of.select([F.col(c).alias(f"{c}u") for c in of.columns]).withColumnRenamed("cidu", "u"), "u") \
+            .join(of.select([F.col(c).alias(f"{c}v") for c in of.columns]).withColumnRenamed("cidv", "v"), "v")
+
+    first = sized(own.filter("own = 0").select("u", "v").distinct(), sizes)
+    comp = written(components(_confirm(first, texts, words, percent)))
+    # of the other tables, neighbours that this left apart
+    placed = written(sizes.join(met, "cid", "left_semi").join(comp.withColumnRenamed("node", "cid"), "cid", "left")
+                     .withColumn("comp", F.coalesce("comp", "cid")))
+    apart = sized(own.filter("own > 0").select("u", "v").distinct(), placed).filter("compu != compv")
+    links = _confirm(apart, texts, words, percent)
+    comp = written(_joined(placed, links))
 
     # buckets that still hold more than one component
     inside = written(classes.join(met, "cid", "left_semi").join(comp.withColumnRenamed("node", "cid"), "cid", "left")
@@ -329,14 +351,8 @@ def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80, half: int
     marks = _marks(inside.join(foreign, "cid", "left_semi"), texts, words).join(foreign, "cid")
     more = _confirm(_across(open_rows.join(written(marks), "cid"), half, percent), texts, words, percent)
     more = written(more)
-    if not more.isEmpty():  # join the components that these links connect
-        of = inside.select("cid", "comp")
-        ties = more.join(of.select(F.col("cid").alias("u"), F.col("comp").alias("cu")), "u") \
-            .join(of.select(F.col("cid").alias("v"), F.col("comp").alias("cv")), "v") \
-            .select(F.col("cu").alias("u"), F.col("cv").alias("v"))
-        moved = components(ties).select(F.col("node").alias("comp"), F.col("comp").alias("to"))
-        comp = written(of.join(moved, "comp", "left").select(
-            F.col("cid").alias("node"), F.coalesce("to", "comp").alias("comp")))
+    if not more.isEmpty():
+        comp = written(_joined(inside, more))
 
     named = classes.join(comp.withColumnRenamed("node", "cid"), "cid", "left") \
         .select(*[F.col(c).alias(f"_{c}") for c in mark], F.coalesce("comp", "cid").alias("__comp"))
