@@ -3,6 +3,9 @@ shared scratch location and reads it back through the library."""
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
 from ..sources import catalog, ingest, inspect
 from .data import EVENTS_NULLS_SQL, events_with_nulls, table
 from .registry import query
@@ -25,6 +28,21 @@ def q_csv_roundtrip_lines(spark, sf):
     return ingest.read_csv(spark, path, schema=doc.schema, multi_line=True)
 
 
+@query("csv_plain_quotes", """
+SELECT p_partkey, CAST(p_size AS VARCHAR) || '" pipe' AS size, p_name || chr(10) || 'of "' || p_type || '", ' || p_brand AS label FROM part""")
+def q_csv_plain_quotes(spark, sf):
+    """Records with lone quotes in plain fields, and with line breaks, commas and
+    doubled quotes in quoted ones, read by byte ranges."""
+    p = table(spark, sf, "part")
+    label = F.concat("p_name", F.lit('\nof ""'), "p_type", F.lit('"", '), "p_brand")
+    line = F.concat(F.col("p_partkey").cast("string"), F.lit(","), F.col("p_size").cast("string"), F.lit('" pipe,"'), label, F.lit('"'))
+    path = ingest.scratch_path(spark, "part-csv")
+    p.select(line.alias("value")).write.text(path)
+    return ingest.read_csv(spark, path, T.StructType([
+        T.StructField("p_partkey", T.LongType()), T.StructField("size", T.StringType()), T.StructField("label", T.StringType())]),
+        header=False, multi_line=True)
+
+
 _EV_COLS = ["event_id", "ts", "user_id", "event_type", "value", "props"]
 
 

@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from ..functions.columns import FLOATING, clean_double
 from ..session import checkpoint_dir
+from .csv_ranges import UnbalancedQuote, read_records
 
 # The default missing-value tokens of the reference's CSV
 # parser (pandas ``read_csv`` default ``na_values``), as documented.
@@ -87,38 +88,59 @@ def apply_types(text: DataFrame, types: dict[str, str]) -> DataFrame:
 CSV_QUOTING = {"quote": '"', "escape": '"'}
 
 
-class UnbalancedQuote(ValueError):
-    """A line of a CSV file opens a quoted field that it does not close."""
+#: A line that ends inside a quoted field: a field that starts with a quote and has no closing one.
+OPEN_LINE = r'^(?:(?:"(?:[^"]|"")*+"[^,]*+|(?!")[^,]*+),)*+"(?:[^"]|"")*+$'
 
 
 def _check_lines(spark: SparkSession, path: str) -> None:
-    """Raise if a line holds an odd number of quotes: its record goes on in the
+    """Raise if a quoted field is open at the end of a line: its record goes on in the
     next line, and reading line by line would split it."""
-    odd = (F.length("value") - F.length(F.replace("value", F.lit('"'), F.lit("")))) % 2 == 1
-    bad = spark.read.text(path).where(odd).limit(1).collect()
+    bad = spark.read.text(path).where(F.col("value").rlike(OPEN_LINE)).limit(1).collect()
     if bad:
         raise UnbalancedQuote(f"quoted field open at the end of a line of {path}: {bad[0][0][:80]!r}; "
                               "read it with multi_line=True")
 
 
+def _written(df: DataFrame) -> DataFrame:
+    path = scratch_path(df.sparkSession, "ranges")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _records_text(spark: SparkSession, path: str, names: list[str] | None, header: bool) -> DataFrame:
+    """The records at ``path`` as text columns; names from the first record of the first
+    file, or positions (_c0, _c1, ..), unless given. Missing fields are null, surplus ones dropped."""
+    records = read_records(spark, path, _written)
+    if names is None:
+        top = records.where("first").limit(1).collect()  # one record
+        if not top:
+            return spark.createDataFrame([], T.StructType([]))
+        names = [x.removeprefix("\ufeff") for x in top[0]["fields"]] if header else [f"_c{i}" for i in range(len(top[0]["fields"]))]
+    rows = records.where(~F.col("first")) if header else records
+    return rows.select(*[F.get("fields", F.lit(i)).alias(n) for i, n in enumerate(names)])
+
+
 def read_csv(spark: SparkSession, path: str, schema: T.StructType | None = None,
              tokens=NA_TOKENS, header: bool = True, multi_line: bool = False) -> DataFrame:
     """Read CSV; with ``schema`` no inference happens (frozen schema).
 
-    ``multi_line=True`` reads quoted fields that hold line breaks; a file is then
-    read by one task. Otherwise files are split by lines, and a line whose quotes
-    don't balance raises ``UnbalancedQuote`` instead of being cut in two."""
-    if not multi_line:
+    ``multi_line=True`` reads quoted fields that hold line breaks, by byte ranges in
+    parallel (see ``csv_ranges``). Otherwise files are split by lines, and a line that ends
+    inside a quoted field raises ``UnbalancedQuote`` instead of being cut in two. A quote
+    inside a plain field is a character of it."""
+    names = [f.name for f in schema.fields] if schema is not None else None
+    if multi_line:
+        text = _records_text(spark, path, names, header)
+    else:
         _check_lines(spark, path)
-    reader = spark.read.options(**CSV_QUOTING).option("header", header).option("mode", "PERMISSIVE") \
-        .option("multiLine", multi_line)
+        reader = spark.read.options(**CSV_QUOTING).option("header", header).option("mode", "PERMISSIVE")
+        if schema is not None:
+            # parse as text first so NA tokens never break typed parsing
+            reader = reader.schema(T.StructType([T.StructField(n, T.StringType()) for n in names]))
+        text = reader.csv(path)
+    text = null_tokens(text, tokens)
     if schema is not None:
-        # parse as text first so NA tokens never break typed parsing
-        text = reader.schema(T.StructType([T.StructField(f.name, T.StringType())
-                                           for f in schema.fields])).csv(path)
-        text = null_tokens(text, tokens)
         return text.select(*[_cast_text(f) for f in schema.fields])
-    text = null_tokens(reader.csv(path), tokens)
     types = {r["column"]: r["inferred"] for r in infer_types(text).collect()}
     return apply_types(text, types)
 
