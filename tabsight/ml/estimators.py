@@ -8,8 +8,8 @@ Mappings (documented approximations are marked):
 * svm: linear -> LinearSVC(regParam = 1 / (C n), columns as they are); poly -> the
   features of the homogeneous kernel (gamma x.x')^degree, exactly, + LinearSVC; rbf -> random Fourier features (Rahimi & Recht 2007)
   + LinearSVC (approximate kernel); multi-class via OneVsRest.
-* gradient_boosting / xgboost: GBT (OneVsRest for > 2 classes); xgboost is not
-  available and uses GBT with its own defaults.
+* gradient_boosting: GBT; for > 2 classes the joint K trees a round of ``boost.py``.
+* xgboost: second-order boosting of ``boost.py`` (reg_lambda 1, gamma 0, min_child_weight 1).
 * ridge: normal equations, regParam = alpha * sigma_y / n (population sigma_y).
 * lasso: elasticNetParam = 1, regParam = alpha.
 * svr: the epsilon-insensitive loss (epsilon 0.1), see ``svr.py``, over the same
@@ -40,6 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .boost import BoostedTrees
 from .svr import EpsilonSVR
 
 # The reference's model catalogue and default hyperparameters.
@@ -82,8 +83,11 @@ EXTRA = {
     "logistic_regression": {"tol": 1e-4},
     "svm": {"tol": 1e-3, "degree": 3, "max_iter": 100, "n_features": 200},
     "svr": {"epsilon": 0.1, "degree": 3, "max_iter": 100, "n_features": 200},
-    **{m: {"max_bins": 256} for m in ("random_forest", "decision_tree", "gradient_boosting", "xgboost")},
+    **{m: {"max_bins": 256} for m in ("random_forest", "decision_tree", "gradient_boosting")},
+    "xgboost": {"max_bins": 256, "reg_lambda": 1.0, "gamma": 0.0, "min_child_weight": 1.0},
 }
+#: Estimators of this library: ``fit`` gives a model with ``transform``.
+OWN = (EpsilonSVR, BoostedTrees)
 KERNELS = ("linear", "poly", "rbf")
 SCALED = ("svm", "svr", "knn", "logistic_regression")
 MAX_DEPTH = 30
@@ -207,6 +211,12 @@ def build(model_name: str, problem_type: str, params: dict, n_train: int, n_clas
     seed = int(p.get("random_state", 42))
     common = {"featuresCol": features_col, "labelCol": label_col}
     bins = {"maxBins": int(p.get("max_bins", 256))}
+    if model_name == "xgboost" and problem_type in ("classification", "regression"):
+        return BoostedTrees(problem_type, int(p["n_estimators"]), depth, float(p["learning_rate"]), True, float(p["reg_lambda"]),
+                            float(p["gamma"]), float(p["min_child_weight"]), int(p["max_bins"]), features_col, label_col)
+    if model_name == "gradient_boosting" and n_classes > 2:
+        return BoostedTrees(problem_type, int(p["n_estimators"]), depth, float(p["learning_rate"]), False,
+                            max_bins=int(p["max_bins"]), features_col=features_col, label_col=label_col)
     min_inst = max(1, math.ceil(int(p.get("min_samples_split", 2)) / 2))
     if problem_type == "classification":
         if model_name == "logistic_regression":
@@ -220,10 +230,9 @@ def build(model_name: str, problem_type: str, params: dict, n_train: int, n_clas
         if model_name == "decision_tree":
             return DecisionTreeClassifier(maxDepth=depth, minInstancesPerNode=min_inst, seed=seed, **bins,
                                           **common)
-        if model_name in ("gradient_boosting", "xgboost"):
-            gbt = GBTClassifier(maxIter=int(p["n_estimators"]), maxDepth=depth,
-                                stepSize=float(p["learning_rate"]), seed=seed, **bins, **common)
-            return gbt if n_classes <= 2 else OneVsRest(classifier=gbt, **common)
+        if model_name == "gradient_boosting":
+            return GBTClassifier(maxIter=int(p["n_estimators"]), maxDepth=depth,
+                                 stepSize=float(p["learning_rate"]), seed=seed, **bins, **common)
         if model_name == "svm":
             svc = LinearSVC(regParam=1.0 / (float(p["C"]) * n_train), standardization=False,
                             maxIter=int(p["max_iter"]), tol=float(p["tol"]), **common)
@@ -247,7 +256,7 @@ def build(model_name: str, problem_type: str, params: dict, n_train: int, n_clas
         if model_name == "decision_tree":
             return DecisionTreeRegressor(maxDepth=depth, minInstancesPerNode=min_inst, seed=seed, **bins,
                                          **common)
-        if model_name in ("gradient_boosting", "xgboost"):
+        if model_name == "gradient_boosting":
             return GBTRegressor(maxIter=int(p["n_estimators"]), maxDepth=depth,
                                 stepSize=float(p["learning_rate"]), seed=seed, **bins, **common)
         if model_name == "svr":

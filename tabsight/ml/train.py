@@ -98,7 +98,7 @@ def _fit_predict(model_name, problem_type, params, train_df, test_df, feats, key
             spec.setFeaturesCol("kfeatures")
         if hasattr(spec, "getClassifier"):
             spec.getClassifier().setFeaturesCol("kfeatures")
-    if isinstance(spec, est.EpsilonSVR):  # not an MLlib estimator: fitted on the pipeline's features
+    if isinstance(spec, est.OWN):  # not an MLlib estimator: fitted on the pipeline's features
         spec.features_col = "kfeatures" if kmap is not None else "features"
         prepared = Pipeline(stages=stages).fit(train_df)
         model = FittedSteps([*prepared.stages, spec.fit(prepared.transform(train_df))])
