@@ -3,7 +3,9 @@
 
 Mappings (documented approximations are marked):
 * logistic_regression: L2 with regParam = 1 / (C n), no internal standardisation.
-* random_forest / decision_tree: depth <= 30 (MLlib limit); min_samples_split m
+* decision_tree: exact thresholds, any depth, min_samples_split as itself (``tree.py``);
+  with ``max_bins`` given, the binned trees of MLlib.
+* random_forest, binned trees: depth <= 30 (MLlib limit); min_samples_split m
   -> minInstancesPerNode = max(1, ceil(m / 2)) (approximate).
 * svm: linear -> LinearSVC(regParam = 1 / (C n), columns as they are); poly -> the
   features of the homogeneous kernel (gamma x.x')^degree, exactly, + LinearSVC; rbf -> random Fourier features (Rahimi & Recht 2007)
@@ -15,8 +17,8 @@ Mappings (documented approximations are marked):
 * svr: the epsilon-insensitive loss (epsilon 0.1), see ``svr.py``, over the same
   feature maps as svm.
 * knn: exact, see ``knn.py`` (not an MLlib estimator).
-* trees: ``max_bins`` (default 256) candidate thresholds a column: splits of columns
-  with more distinct values are approximate. Categorical codes are ordered numbers.
+* forests and boosting: ``max_bins`` (default 256) candidate thresholds a column: splits
+  of columns with more distinct values are approximate. Categorical codes are ordered numbers.
 * ``n_features`` (default 200) random Fourier features; ``max_iter`` of svm 100.
 * solver tolerances follow the reference library defaults (1e-4 logistic,
   1e-3 support vector machines).
@@ -42,6 +44,7 @@ from pyspark.sql import types as T
 
 from .boost import BoostedTrees
 from .svr import EpsilonSVR
+from .tree import ExactTree
 
 # The reference's model catalogue and default hyperparameters.
 CLASSIFIERS = {
@@ -83,11 +86,12 @@ EXTRA = {
     "logistic_regression": {"tol": 1e-4},
     "svm": {"tol": 1e-3, "degree": 3, "max_iter": 100, "n_features": 200},
     "svr": {"epsilon": 0.1, "degree": 3, "max_iter": 100, "n_features": 200},
-    **{m: {"max_bins": 256} for m in ("random_forest", "decision_tree", "gradient_boosting")},
+    **{m: {"max_bins": 256} for m in ("random_forest", "gradient_boosting")},
+    "decision_tree": {"max_bins": 0},
     "xgboost": {"max_bins": 256, "reg_lambda": 1.0, "gamma": 0.0, "min_child_weight": 1.0},
 }
 #: Estimators of this library: ``fit`` gives a model with ``transform``.
-OWN = (EpsilonSVR, BoostedTrees)
+OWN = (EpsilonSVR, BoostedTrees, ExactTree)
 KERNELS = ("linear", "poly", "rbf")
 SCALED = ("svm", "svr", "knn", "logistic_regression")
 MAX_DEPTH = 30
@@ -137,11 +141,15 @@ def validate_params(model_name: str, params: dict) -> dict:
     known = model_params(model_name, {})
     clean = {k: v for k, v in params.items() if k in known}
     depth = clean.get("max_depth")
-    if depth is not None and int(depth) > MAX_DEPTH:
+    if depth is not None and int(depth) > MAX_DEPTH and not _exact(model_name, clean):
         raise ValueError(f"max_depth {depth} exceeds the supported maximum {MAX_DEPTH}")
     return clean
 
 
+def _exact(model_name: str, params: dict) -> bool:
+    return model_name == "decision_tree" and not params.get("max_bins")
+
+
 class PolynomialKernelFeatures(Transformer):
     """x (vector) -> the features whose inner product is (gamma x.x')^degree: all
     monomials of that degree, weighted by the root of their multinomial count.
@@ -206,6 +214,8 @@ def build(model_name: str, problem_type: str, params: dict, n_train: int, n_clas
     """Return a configured MLlib estimator (or a marker for custom models)."""
     p = model_params(model_name, params)
     depth = int(p.get("max_depth", 5)) if "max_depth" in p else None
+    if _exact(model_name, p) and problem_type in ("classification", "regression"):
+        return ExactTree(problem_type, depth, int(p["min_samples_split"]), features_col, label_col)
     if depth is not None and depth > MAX_DEPTH:
         raise ValueError(f"max_depth {depth} exceeds the supported maximum {MAX_DEPTH}")
     seed = int(p.get("random_state", 42))

@@ -69,7 +69,8 @@ def encode_target(df: DataFrame, target: str) -> tuple[DataFrame, DataFrame | No
 
 
 def hash_key(key: str, seed: int = 42):
-    return F.md5(F.concat(F.lit(f"{seed}:"), F.col(key).cast("string")))
+    """md5 of the seed and the key; a null key has a hash of its own."""
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(key).cast("string"), F.lit("\0null"))))
 
 
 def with_row_key(df: DataFrame, name: str) -> DataFrame:
@@ -85,14 +86,14 @@ def with_row_key(df: DataFrame, name: str) -> DataFrame:
 
 
 def split(df: DataFrame, key: str, test_size: float = 0.2, seed: int = 42,
-          limit: int = 200_000) -> DataFrame:
+          limit: int = 20_000) -> DataFrame:
     """M4: add ``is_test``: exactly ceil(test_size * n) rows, the smallest by
-    (md5(seed:key), key). Where rows share a key, the last key that fits in part
-    gives as many of its rows as are missing. The threshold pair is found by narrowing an md5 hex
-    prefix (one bounded 65,536-row count per step) and a final ordered pick in
-    a bucket of at most ``limit`` rows - no global sort, no single task."""
-    h = hash_key(key, seed)
-    base = df.withColumn("__h", h)
+    (md5(seed:key), key), a null key after others. Where rows share a key, the last key
+    that fits in part gives as many of its rows as are missing. The threshold pair is found
+    by narrowing an md5 hex prefix (one bounded 65,536-row count per step) until at most
+    ``limit`` rows, or rows of one hash, are left; these are counted by key - no global
+    sort, no single task, and no key's rows in one place."""
+    base = df.withColumn("__h", hash_key(key, seed))
     n = base.count()
     t = int(math.ceil(test_size * n))
     if t <= 0:
@@ -117,16 +118,20 @@ def split(df: DataFrame, key: str, test_size: float = 0.2, seed: int = 42,
         scope = scope.where(F.col("__h").startswith(prefix))
         if bucket <= limit or plen >= 32:
             break
-    r = t - below
-    last = (scope.select("__h", key).orderBy("__h", key).offset(r - 1).limit(1).first())
-    hstar, kstar = last["__h"], last[key]
-    at = (F.col("__h") == F.lit(hstar)) & (F.col(key) == F.lit(kstar))
-    before = (F.col("__h") < F.lit(hstar)) | ((F.col("__h") == F.lit(hstar)) & (F.col(key) < F.lit(kstar)))
-    low, same = base.agg(F.count_if(before), F.count_if(at)).first()
-    if low + same == t:
+    missing = F.col(key).isNull()
+    keys = scope.groupBy("__h", key).agg(F.count(F.lit(1)).alias("__c")).orderBy("__h", missing, key).collect()
+    for last in keys:
+        if below + last["__c"] >= t:
+            break
+        below += last["__c"]
+    hstar, kstar = F.lit(last["__h"]), F.lit(last[key]).cast(df.schema[key].dataType)
+    at = (F.col("__h") == hstar) & F.col(key).eqNullSafe(kstar)
+    less = ~missing if last[key] is None else F.coalesce(F.col(key) < kstar, F.lit(False))
+    before = (F.col("__h") < hstar) | ((F.col("__h") == hstar) & less)
+    if below + last["__c"] == t:
         return base.withColumn("is_test", before | at).drop("__h")
     # the key's rows are more than the test part has room for: number them
-    some = with_row_key(base.where(at), "__n").withColumn("is_test", F.col("__n") < t - low).drop("__n")
+    some = with_row_key(base.where(at), "__n").withColumn("is_test", F.col("__n") < t - below).drop("__n")
     rest = base.where(~at).withColumn("is_test", before)
     return rest.unionByName(some).drop("__h")
 

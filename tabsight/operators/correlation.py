@@ -1,15 +1,17 @@
 """Correlation matrices (Pearson, Spearman, Kendall tau-b) in long form, strong
 pairs, pair wording and the heat-map grid.
 
-Pearson: every pair is an expression of ONE aggregate (pairwise-complete
-rows, ``try_divide`` so a constant column yields NULL instead of an ANSI
-error); chunked so very wide tables stay inside code generation limits.
+Pearson: every pair is an expression of ONE aggregate: for NULL-free columns a sum of
+products around the means of a first pass, else the pairwise-complete covariance
+(``try_divide``, so a constant column yields NULL instead of an ANSI error);
+chunked so very wide tables stay inside code generation limits.
 
 Spearman: average ranks come from ``ranks.average_ranks`` (distinct values,
 range partitioned prefix sums - never one task per column); each column is
 replaced by its rank with an equi-join on the value, then Pearson runs on the
-ranks. When null patterns differ between two columns the pair is re-ranked
-on its complete rows (the pandas definition).
+ranks. Where columns have NULLs, a pair is ranked on its complete rows (the pandas
+definition): ``ranks.partner_ranks`` gives each value one rank for each partner column
+from one set of running counts, so all pairs come from one job.
 
 Kendall: see ``kendall.tau_b``.
 """
@@ -24,7 +26,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import clean_double, numeric_columns
 from ..session import broadcast_row_limit
-from .ranks import average_ranks
+from .ranks import average_ranks, partner_ranks
 
 METHODS = ("pearson", "spearman", "kendall")
 
@@ -46,10 +48,10 @@ def pearson_long(df: DataFrame, columns: Sequence[str] | None = None,
                  chunk: int = 150, known: dict | None = None) -> DataFrame:
     """(column1, column2, i, j, n, correlation) for i <= j, pairwise complete.
 
-    A cheap first pass (count, min, max per column) classifies columns; pairs
-    of null-free columns then need one ``covar_samp`` each plus one
-    ``stddev_samp`` per column, pairs touching a constant column are NULL, and
-    only pairs with NULLs pay for the pairwise-complete form."""
+    A cheap first pass (count, min, max, mean per column) classifies columns; pairs
+    of null-free columns then need one sum of centred products, pairs touching a
+    constant column are NULL, and only pairs with NULLs pay for the pairwise-complete
+    form."""
     columns = list(columns) if columns is not None else numeric_columns(df)
     if len(columns) < 2:
         raise ValueError("a correlation takes two numeric columns or more")
@@ -58,6 +60,7 @@ def pearson_long(df: DataFrame, columns: Sequence[str] | None = None,
     if known is None:
         pre = base.agg(F.count(F.lit(1)).alias("rows"),
                        *[x for i in range(k) for x in (F.count(f"__c{i}").alias(f"n{i}"),
+                                                       F.avg(f"__c{i}").alias(f"mu{i}"),
                                                        F.min(f"__c{i}").alias(f"lo{i}"),
                                                        F.max(f"__c{i}").alias(f"hi{i}"))]).first()
     else:  # caller already knows counts and constant columns (e.g. from ranking)
@@ -66,9 +69,10 @@ def pearson_long(df: DataFrame, columns: Sequence[str] | None = None,
     full = [pre[f"n{i}"] == rows for i in range(k)]
     const = [pre[f"n{i}"] == 0 or pre[f"lo{i}"] == pre[f"hi{i}"] for i in range(k)]
     exprs, fixed = [], {}
+    centred = [F.col(f"__c{i}") - F.lit(pre[f"mu{i}"]) for i in range(k)]
     for i in range(k):
         if full[i] and not const[i]:
-            exprs.append(F.stddev_samp(f"__c{i}").alias(f"sd{i}"))
+            exprs.append(F.sum(centred[i] * centred[i]).alias(f"ss{i}"))
     for i, j in combinations_with_replacement(range(k), 2):
         tag = f"{i}_{j}"
         if i == j:
@@ -80,7 +84,7 @@ def pearson_long(df: DataFrame, columns: Sequence[str] | None = None,
                                         & F.col(f"__c{j}").isNotNull()).alias(f"n_{tag}"))
             fixed[tag] = (n, None)
         elif full[i] and full[j]:
-            exprs.append(F.covar_samp(f"__c{i}", f"__c{j}").alias(f"cv_{tag}"))
+            exprs.append(F.sum(centred[i] * centred[j]).alias(f"cv_{tag}"))
             fixed[tag] = (rows, "cv")
         else:
             exprs += _pair_exprs(F.col(f"__c{i}"), F.col(f"__c{j}"), tag)
@@ -99,7 +103,7 @@ def pearson_long(df: DataFrame, columns: Sequence[str] | None = None,
         n, kind = fixed[tag]
         n_col = F.lit(n).cast("bigint") if n is not None else F.col(f"n_{tag}")
         if kind == "cv":
-            r = F.try_divide(F.col(f"cv_{tag}"), F.col(f"sd{i}") * F.col(f"sd{j}"))
+            r = F.try_divide(F.col(f"cv_{tag}"), F.sqrt(f"ss{i}") * F.sqrt(f"ss{j}"))
         elif kind == "pw":
             r = F.col(f"r_{tag}")
         else:
@@ -156,24 +160,42 @@ def spearman_long(df: DataFrame, columns: Sequence[str] | None = None) -> DataFr
         ranked = ranked_columns(df, columns, sizes)
         known = {"rows": rows}
         for i, c in enumerate(columns):
-            known[f"n{i}"] = rows
+            known[f"n{i}"], known[f"mu{i}"] = rows, (rows + 1) / 2  # the mean of all ranks
             # a column with one distinct value is constant: lo == hi
             known[f"lo{i}"], known[f"hi{i}"] = 0, (0 if sizes.get(c, 0) <= 1 else 1)
         return pearson_long(ranked, columns, known=known)
-    # pairwise-complete re-ranking (pandas semantics when nulls differ)
-    parts = []
-    for i, j in combinations_with_replacement(range(len(columns)), 2):
-        a, b = columns[i], columns[j]
-        sub = df.select(clean_double(a).alias("__a"), clean_double(b).alias("__b")) \
-            .where(F.col("__a").isNotNull() & F.col("__b").isNotNull())
-        r = pearson_long(ranked_columns(sub, ["__a", "__b"]), ["__a", "__b"]) \
-            .where((F.col("i") == 0) & (F.col("j") == 1))
-        parts.append(r.select(F.lit(a).alias("column1"), F.lit(b).alias("column2"),
-                              F.lit(i).alias("i"), F.lit(j).alias("j"), "n", "correlation"))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return _spearman_with_nulls(df, columns)
+
+
+def _spearman_with_nulls(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """Spearman of all pairs on their complete rows, in one aggregate."""
+    k, limit = len(columns), broadcast_row_limit(df.sparkSession)
+    base = df.select(*[clean_double(c).alias(f"__c{i}") for i, c in enumerate(columns)])
+    pairs = list(combinations_with_replacement(range(k), 2))
+    n = base.agg(*[F.count_if(F.col(f"__c{i}").isNotNull() & F.col(f"__c{j}").isNotNull()) for i, j in pairs]).first()
+    n = dict(zip(pairs, n, strict=True))
+    ranks = partner_ranks(base, [f"__c{i}" for i in range(k)])
+    distinct = {r["i"]: r["count"] for r in ranks.groupBy("i").count().collect()}
+    out = base
+    for i in range(k):
+        of = ranks.where(F.col("i") == i).select(F.col("v").alias(f"__c{i}"), F.col("ranks").alias(f"__r{i}"))
+        out = out.join(F.broadcast(of) if distinct.get(i, 0) * k <= limit else of, f"__c{i}", "left")
+    exprs = []
+    for i, j in pairs:
+        if i < j:
+            x, y = (F.get(f"__r{p}", F.lit(q)) - F.lit((n[i, j] + 1) / 2) for p, q in ((i, j), (j, i)))
+            both = F.col(f"__c{i}").isNotNull() & F.col(f"__c{j}").isNotNull()
+            exprs += [F.sum(F.when(both, a * b)).alias(f"{t}_{i}_{j}") for t, a, b in (("xy", x, y), ("xx", x, x), ("yy", y, y))]
+    sums = out.agg(*exprs)
+    structs = []
+    for i, j in pairs:
+        if i == j:
+            r = F.lit(1.0 if distinct.get(i, 0) > 1 else None).cast("double")
+        else:
+            r = F.try_divide(F.col(f"xy_{i}_{j}"), F.sqrt(f"xx_{i}_{j}") * F.sqrt(f"yy_{i}_{j}"))
+        structs.append(F.struct(F.lit(columns[i]).alias("column1"), F.lit(columns[j]).alias("column2"), F.lit(i).alias("i"),
+                                F.lit(j).alias("j"), F.lit(n[i, j]).cast("bigint").alias("n"), _clip(r).alias("correlation")))
+    return sums.select(F.explode(F.array(*structs)).alias("s")).select("s.*")
 
 
 def correlation_long(df: DataFrame, columns: Sequence[str] | None = None,

@@ -113,6 +113,23 @@ def q_save_dataset(spark, sf):
     return stored
 
 
+@query("list_datasets", """
+SELECT 'orders-2' AS key, count(*) AS rows FROM orders UNION ALL SELECT 'orders_2', count(*) FROM customer
+UNION ALL SELECT 'Orders 2', count(*) FROM supplier""")
+def q_list_datasets(spark, sf):
+    """S4 + S5: three datasets under keys that look alike, found again by listing."""
+    import uuid
+    mark = f"-{uuid.uuid4().hex[:8]}"
+    for key, name in (("orders-2", "orders"), ("orders_2", "customer"), ("Orders 2", "supplier")):
+        catalog.save_dataset(table(spark, sf, name), key + mark)
+    found = [r["key"] for r in catalog.list_datasets(spark).collect() if r["key"].endswith(mark)]
+    out = None
+    for key in found:
+        one = catalog.load_dataset(spark, key).agg(F.count(F.lit(1)).alias("rows")).select(F.lit(key.removesuffix(mark)).alias("key"), "rows")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 _TYPEMAP = """CASE data_type WHEN 'BIGINT' THEN 'bigint' WHEN 'INTEGER' THEN 'int'
   WHEN 'DOUBLE' THEN 'double' WHEN 'VARCHAR' THEN 'string' WHEN 'TIMESTAMP' THEN 'timestamp_ntz'
   WHEN 'FLOAT' THEN 'float' WHEN 'BOOLEAN' THEN 'boolean' ELSE lower(data_type) END"""

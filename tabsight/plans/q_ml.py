@@ -385,6 +385,9 @@ for _name, _kw in {
     "train_random_forest": dict(model_name="random_forest", binary=True),
     "train_gradient_boosting": dict(model_name="gradient_boosting", binary=True),
     "train_xgboost": dict(model_name="xgboost", binary=True),
+    "train_xgboost_classes": dict(model_name="xgboost", params='{"n_estimators": 10, "max_depth": 3, "max_bins": 32}'),
+    "train_gradient_boosting_classes": dict(model_name="gradient_boosting", params='{"n_estimators": 10, "max_bins": 32}'),
+    "train_xgboost_regressor": dict(model_name="xgboost", regression_src=True, params='{"n_estimators": 20, "max_depth": 4}'),
     "train_svm_linear": dict(model_name="svm", binary=True, params='{"kernel": "linear"}'),
     "train_svm_rbf": dict(model_name="svm", binary=True),
     "train_knn": dict(model_name="knn"),
@@ -450,6 +453,55 @@ def q_tree_stump(spark, sf):
         .groupBy("prediction").agg(F.count(F.lit(1)).alias("n")).select("n", "prediction")
 
 
+def _tree_level(source: str, out: str) -> str:
+    """The rows of ``source`` (a, b, y, node) with the children of each node's best split:
+    the greatest sum of squared sums over counts, then the first feature, then the least value."""
+    return f"""
+{out}_v AS (SELECT node, 0 AS f, a AS v, y FROM {source} UNION ALL SELECT node, 1, b, y FROM {source}),
+{out}_g AS (SELECT node, f, v, count(*) AS n, sum(y) AS t FROM {out}_v GROUP BY ALL),
+{out}_r AS (SELECT node, f, v, sum(n) OVER w AS ln, sum(t) OVER w AS lt, sum(n) OVER (PARTITION BY node, f) AS n,
+  sum(t) OVER (PARTITION BY node, f) AS t, lead(v) OVER (PARTITION BY node, f ORDER BY v) AS following
+  FROM {out}_g WINDOW w AS (PARTITION BY node, f ORDER BY v)),
+{out}_s AS (SELECT node, f, v, row_number() OVER (PARTITION BY node ORDER BY lt * lt / ln + (t - lt) * (t - lt) / (n - ln) DESC, f, v) AS k
+  FROM {out}_r WHERE following IS NOT NULL),
+{out} AS (SELECT a, b, y, 2 * s.node + CASE WHEN CASE WHEN f = 0 THEN a ELSE b END <= v THEN 1 ELSE 2 END AS node
+  FROM {source} s JOIN {out}_s x ON x.node = s.node AND x.k = 1)"""
+
+
+@query("tree_two_levels", f"""
+WITH s AS {_part_split_sql()},
+r0 AS (SELECT x AS a, p_partkey % 13 AS b, y - (SELECT avg(y) FROM s WHERE NOT is_test) AS y, 0 AS node FROM s WHERE NOT is_test),
+{_tree_level('r0', 'r1')}, {_tree_level('r1', 'r2')}
+SELECT count(*) AS n, round(avg(y) + (SELECT avg(y) FROM s WHERE NOT is_test), 6) AS prediction FROM r2 GROUP BY node""")
+def q_tree_two_levels(spark, sf):
+    """A regression tree of depth 2 over two features has the leaves of two levels of
+    exact best splits."""
+    from ..ml.prep import split as cut
+    part = _part_one_feature(spark, sf).withColumn("b", F.col("p_partkey") % 13)
+    res = train(part, "p_retailprice", "decision_tree", {"max_depth": 2}, "regression", key="p_partkey", run_cv=False)
+    rows = cut(part.withColumn("p_size", F.col("p_size").cast("double")), "p_partkey").where(~F.col("is_test"))
+    return res.model.transform(rows).groupBy("prediction").agg(F.count(F.lit(1)).alias("n")).select("n", "prediction")
+
+
+@query("boosting_log_loss")
+def q_boosting_log_loss(spark, sf):
+    """Ten classes boosted jointly; the log-loss of the training rows after each round."""
+    from pyspark.ml.feature import VectorAssembler
+
+    from ..ml.boost import BoostedModel, BoostedTrees
+    rows = VectorAssembler(inputCols=[f"f{i}" for i in range(64)], outputCol="features").transform(_emb_features(spark, sf))
+    model = BoostedTrees("classification", 12, 3, 0.1, newton=False, max_bins=32).fit(rows.select("features", "label"))
+    out = None
+    for t in range(len(model.rounds) + 1):
+        part = BoostedModel(model.rounds[:t], model.base, model.classes, model.k, model.d, "features")
+        at = F.array_position(F.array(*[F.lit(c) for c in model.classes]), F.col("label").cast("double")).cast("int")
+        total = F.aggregate("raw", F.lit(0.0), lambda s, v: s + F.exp(v))
+        loss = part.transform(rows.select("features", "label")).agg(F.avg(F.log(total) - F.element_at("raw", at)).alias("log_loss")) \
+            .select(F.lit(t).alias("round"), "log_loss")
+        out = loss if out is None else out.unionByName(loss)
+    return out
+
+
 @query("cv_scores", f"""
 WITH t AS (SELECT *, row_number() OVER (ORDER BY h, p_partkey) - 1 AS z, count(*) OVER () AS n
            FROM {_part_split_sql()} WHERE NOT is_test),

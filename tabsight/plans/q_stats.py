@@ -68,6 +68,35 @@ def q_corr_spearman(spark, sf):
     return correlation.correlation_long(lineitem_numeric(spark, sf), _LI, "spearman")
 
 
+#: lineitem columns with NULLs in different rows
+_HOLES = ["l_quantity", "l_discount", "l_extendedprice", "l_tax"]
+_HOLES_SQL = """(SELECT CASE WHEN l_orderkey % 7 = 0 THEN NULL ELSE l_quantity END AS l_quantity,
+  CASE WHEN l_partkey % 5 < 2 THEN NULL ELSE l_discount END AS l_discount,
+  CASE WHEN l_suppkey % 3 = 0 THEN NULL ELSE l_extendedprice END AS l_extendedprice, l_tax FROM lineitem)"""
+
+
+def _spearman_pairs_sql(source: str, columns: list[str]) -> str:
+    """Each pair ranked on its own complete rows."""
+    parts = []
+    for i, a in enumerate(columns):
+        for j, b in enumerate(columns[i:], i):
+            r = [f"rank() OVER (ORDER BY {v}) + (count(*) OVER (PARTITION BY {v}) - 1) / 2.0 AS {n}" for v, n in (("x", "rx"), ("y", "ry"))]
+            parts.append(f"""SELECT '{a}' AS column1, '{b}' AS column2, {i} AS i, {j} AS j, count(*) AS n,
+              {'1.0' if i == j else 'round(corr(rx, ry), 6)'} AS correlation FROM (SELECT {', '.join(r)}
+              FROM (SELECT {a} AS x, {b} AS y FROM {source}) WHERE x IS NOT NULL AND y IS NOT NULL)""")
+    return " UNION ALL ".join(parts)
+
+
+@query("corr_spearman_nulls", _spearman_pairs_sql(_HOLES_SQL, _HOLES))
+def q_corr_spearman_nulls(spark, sf):
+    """Spearman of columns with NULLs in different rows, all pairs in one job."""
+    li = table(spark, sf, "lineitem")
+    hole = lambda c, when: F.when(~when, F.col(c)).alias(c)
+    df = li.select(hole("l_quantity", F.col("l_orderkey") % 7 == 0), hole("l_discount", F.col("l_partkey") % 5 < 2),
+                   hole("l_extendedprice", F.col("l_suppkey") % 3 == 0), "l_tax")
+    return correlation.correlation_long(df, _HOLES, "spearman")
+
+
 @query("corr_kendall", _kendall_sql(_CUST_SQL, _CUST))
 def q_corr_kendall(spark, sf):
     """T8 tau-b on customer (acctbal, nationkey, custkey)."""

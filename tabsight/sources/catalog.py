@@ -3,16 +3,20 @@ the warehouse or below a given path."""
 
 from __future__ import annotations
 
+import hashlib
 import re
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-_KEY = re.compile(r"[^0-9A-Za-z_]")
+_PLAIN = re.compile(r"[0-9a-z_]+")
+#: Table property that holds a dataset's key.
+KEY = "tabsight.key"
 
 
 def table_name(key: str) -> str:
-    return "ds_" + _KEY.sub("_", key)
+    """The dataset's table: the key itself after ``ds_`` where it is a lower-case name,
+    else ``dx_`` and a hash, so that no two keys share a table."""
+    return f"ds_{key}" if _PLAIN.fullmatch(key) else "dx_" + hashlib.md5(key.encode()).hexdigest()
 
 
 def save_dataset(df: DataFrame, key: str, if_exists: str = "error",
@@ -29,6 +33,8 @@ def save_dataset(df: DataFrame, key: str, if_exists: str = "error",
         return spark.table(name)
     writer = df.write.mode(mode).format("parquet")
     (writer.option("path", path) if path else writer).saveAsTable(name)
+    text = key.replace("\\", "\\\\").replace("'", "\\'")
+    spark.sql(f"ALTER TABLE `{name}` SET TBLPROPERTIES ('{KEY}' = '{text}')")
     return spark.table(name)
 
 
@@ -37,11 +43,15 @@ def load_dataset(spark: SparkSession, key: str) -> DataFrame:
 
 
 def list_datasets(spark: SparkSession) -> DataFrame:
-    """(key, table, is_temporary) of stored datasets and registered views."""
-    rows = [(t.name, t.name, bool(t.isTemporary)) for t in spark.catalog.listTables()]
-    df = spark.createDataFrame(rows, "table string, name string, is_temporary boolean")
-    return df.select(F.regexp_replace("table", "^ds_", "").alias("key"),
-                     F.col("name").alias("table"), "is_temporary")
+    """(key, table, is_temporary) of the stored datasets; other tables and views of the
+    catalog are not datasets."""
+    rows = []
+    for t in spark.catalog.listTables():
+        if not t.isTemporary and t.name.startswith(("ds_", "dx_")):
+            known = {r["key"]: r["value"] for r in spark.sql(f"SHOW TBLPROPERTIES `{t.name}`").collect()}
+            if KEY in known or t.name.startswith("ds_"):
+                rows.append((known.get(KEY, t.name.removeprefix("ds_")), t.name, False))
+    return spark.createDataFrame(rows, "key string, table string, is_temporary boolean")
 
 
 def drop_dataset(spark: SparkSession, key: str) -> bool:

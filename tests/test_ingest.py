@@ -74,3 +74,19 @@ def test_datasets_are_listed_and_kept_out_of_the_checkpoint_folder(spark):
 def test_checkpoint_folder_of_the_session_is_kept(spark):
     from tabsight.session import checkpoint_dir
     assert checkpoint_dir(spark) == spark.sparkContext.getCheckpointDir() == checkpoint_dir(spark)
+
+
+def test_keys_that_look_alike_are_different_datasets(spark):
+    keys = ["a-b", "a_b", "A_b", "a b", "it's \\ \"x\"", "ü", "a/b"]
+    for n, k in enumerate(keys, 1):
+        catalog.drop_dataset(spark, k)
+        assert catalog.save_dataset(spark.range(n), k, if_exists="ignore").count() == n
+    spark.range(1).write.mode("overwrite").saveAsTable("not_a_dataset")
+    spark.range(1).createOrReplaceTempView("ds_view")
+    listed = [r["key"] for r in catalog.list_datasets(spark).collect()]
+    assert set(keys) <= set(listed) and len(listed) == len(set(listed)) and not {"not_a_dataset", "view"} & set(listed)
+    assert [catalog.load_dataset(spark, k).count() for k in keys] == list(range(1, len(keys) + 1))
+    assert all(catalog.drop_dataset(spark, k) for k in keys)
+    assert not set(keys) & {r["key"] for r in catalog.list_datasets(spark).collect()}
+    spark.sql("DROP TABLE not_a_dataset")
+    spark.catalog.dropTempView("ds_view")

@@ -196,6 +196,15 @@ def test_split_and_knn_with_repeated_and_text_keys(spark):
     assert [(r["k"], r["prediction"]) for r in got] == [("q", 1.0)] * 2
 
 
+@pytest.mark.parametrize("nulls", [0, 10, 90, 100])
+def test_split_keeps_rows_with_null_keys(spark, nulls):
+    df = spark.createDataFrame([(None if i < nulls else i % 60, float(i)) for i in range(100)], "k long, x double").repartition(3)
+    cut = prep.split(df, "k").collect()
+    assert sorted(r["x"] for r in cut) == [float(i) for i in range(100)]
+    assert sum(r["is_test"] for r in cut) == 20 and all(r["is_test"] is not None for r in cut)
+    assert sorted((r["x"], r["is_test"]) for r in prep.split(df.repartition(5), "k").collect()) == sorted((r["x"], r["is_test"]) for r in cut)
+
+
 def test_training_without_a_key_counts_equal_rows(spark):
     df = spark.createDataFrame([(float(i % 3), float(i % 3) * 2) for i in range(90)], "x double, y double") \
         .withColumn("y", F.col("y").cast("int"))
