@@ -146,10 +146,13 @@ def exact_duplicates(df: DataFrame, chunk_bytes: int = 1 << 16, moduli: Sequence
 
 
 def kept_rows(df: DataFrame, decisions: DataFrame) -> DataFrame:
-    """The rows of ``df`` that ``decisions`` (doc_id, content key, kept) keeps; of
-    repeated rows one stays."""
+    """The rows of ``df`` that ``decisions`` (doc_id, content key, kept) keeps. Of rows
+    that agree in doc_id and text one stays: the least by the content of all columns, so a
+    rerun keeps the same."""
     keys = decisions.filter("kept").select(F.col("doc_id").alias("__d"), F.col("__h1").alias("__g1"),
                                            F.col("__h2").alias("__g2")).distinct()
     on = F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("__h1") == F.col("__g1")) & (F.col("__h2") == F.col("__g2"))
-    return keyed(df).join(keys, on, "left_semi").dropDuplicates(["doc_id", "__h1", "__h2"]) \
-        .select(*[F.col(f"`{c}`") for c in df.columns])
+    columns = [F.col(f"`{c}`") for c in df.columns]
+    return keyed(df).join(keys, on, "left_semi").groupBy("doc_id", "__h1", "__h2") \
+        .agg(F.min_by(F.struct(*columns), F.xxhash64(*columns)).alias("__row")) \
+        .select(*[F.col("__row")[c].alias(c) for c in df.columns])

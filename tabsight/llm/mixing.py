@@ -139,12 +139,24 @@ def mix(df: DataFrame, weights: Sequence[float] = (5, 2, 1), share: float = 1.5,
 
 
 def mixed_rows(df: DataFrame, **options) -> DataFrame:
-    """The rows of ``df`` repeated as :func:`mix` decides, with its columns."""
+    """The rows of ``df`` repeated as :func:`mix` decides, with its columns.
+
+    Rows are told apart by doc_id, text and source. Those that agree in all three share
+    their copies evenly, the odd ones going to the first rows by the content of all columns,
+    so a rerun gives the same rows."""
     from .common import keyed
-    copies = mix(df, **options).groupBy(F.col("doc_id").alias("__d"), "__h1", "__h2") \
-        .agg(F.sum("copies").alias("__copies")).filter("__copies > 0") \
-        .withColumnsRenamed({"__h1": "__g1", "__h2": "__g2"})
-    once = keyed(df).dropDuplicates(["doc_id", "__h1", "__h2"])
-    on = F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("__h1") == F.col("__g1")) & (F.col("__h2") == F.col("__g2"))
-    return once.join(copies, on).withColumn("__k", F.explode(F.sequence(F.lit(1), F.col("__copies")))) \
-        .select(*[F.col(f"`{c}`") for c in df.columns])
+    name = ["doc_id", "__h1", "__h2", "source"]
+    copies = written(mix(df, **options).groupBy(*name).agg(F.sum("copies").alias("__copies"), F.count(F.lit(1)).alias("__rows"))
+                     .withColumnsRenamed({c: f"__of_{c}" for c in name}))
+    on = F.col("doc_id").eqNullSafe(F.col("__of_doc_id")) & F.col("source").eqNullSafe(F.col("__of_source")) \
+        & (F.col("__h1") == F.col("__of___h1")) & (F.col("__h2") == F.col("__of___h2"))
+    columns = [F.col(f"`{c}`") for c in df.columns]
+    found = keyed(df).join(copies.filter("__copies > 0"), on).select(
+        F.struct(*columns).alias("__row"), "__copies", "__rows", F.xxhash64(*name).alias("__by"), F.xxhash64(*columns).alias("__content"))
+    shared = F.expr("__copies div __rows")
+    out = found.filter("__rows = 1").select("__row", F.col("__copies").alias("__times"))
+    if not copies.filter("__rows > 1").isEmpty():
+        ranked = rank_within(written(found.filter("__rows > 1")), "__by", [F.col("__content")])
+        out = out.unionByName(ranked.select("__row", (shared + (F.col("rank") < F.col("__copies") % F.col("__rows")).cast("long")).alias("__times")))
+    return out.filter("__times > 0").withColumn("__k", F.explode(F.sequence(F.lit(1), F.col("__times")))) \
+        .select(*[F.col("__row")[c].alias(c) for c in df.columns])

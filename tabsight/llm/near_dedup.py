@@ -7,9 +7,9 @@ A's i-th and B's j-th band. So ``half**2`` tables cost ``2 * half * width``
 minhashes. Two documents of similarity s meet in a table with probability
 (1 - (1 - s**width)**half)**2: with the defaults 0.99992 at s = 0.8.
 
-Equal sets are one class from the start. In the table (0, 0) bucket neighbours
-are compared first, on their full sets, and connected classes are joined; then those
-neighbours of the other tables (i, i) that are still apart. Then, in all tables, every pair of classes of different components that shares a bucket is
+Equal sets are one class from the start. In the table (0, 0) each
+bucket's classes are compared with its first one, on their full sets, and connected
+classes are joined; then so are those of the other tables (i, i) that are still apart. Then, in all tables, every pair of classes of different components that shares a bucket is
 settled: by exact bounds where these are enough, else on full sets. The bounds:
 what two classes of different components have in common lies among the shingles
 that occur in more than one component, so a class with too few of these is out at
@@ -120,17 +120,19 @@ def sketches(df: DataFrame, words: int, half: int, width: int) -> DataFrame:
         "n_shingles": T.LongType(), "__s1": T.LongType(), "__s2": T.LongType(), "__bands": T.BinaryType()}, run)
 
 
-def _key_rows(classes: DataFrame, half: int, extra: tuple[str, ...] = ()) -> DataFrame:
-    """One row for each class and table: (cid, ..., key, i, j) for the table (i, j)."""
+def _key_rows(classes: DataFrame, half: int, extra: tuple[str, ...] = (), own_from: int | None = None) -> DataFrame:
+    """One row for each class and table: (cid, ..., key, i, j) for the table (i, j); with
+    ``own_from`` just the tables (i, i) from that one on."""
     def run(batches):
         import numpy as np
-        i, j = np.divmod(np.arange(half * half), half)
+        tables = np.arange(half * half) if own_from is None else np.arange(own_from, half) * (half + 1)
+        i, j = np.divmod(tables, half)
         for b in batches:
             for s in range(0, b.num_rows, 2000):
                 part = b.slice(s, 2000)
                 band = np.frombuffer(b"".join(part.column("__bands").to_pylist()), dtype=np.uint64)
-                keys = table_keys(band.reshape(part.num_rows, 2 * half), half)
-                yield part, np.repeat(np.arange(part.num_rows), half * half), {
+                keys = table_keys(band.reshape(part.num_rows, 2 * half), half)[:, tables]
+                yield part, np.repeat(np.arange(part.num_rows), len(tables)), {
                     "key": keys.ravel(), "i": np.tile(i, part.num_rows), "j": np.tile(j, part.num_rows)}
 
     return map_arrow(classes.select("cid", *extra, "__bands"), ["cid", *extra],
@@ -138,15 +140,18 @@ def _key_rows(classes: DataFrame, half: int, extra: tuple[str, ...] = ()) -> Dat
 
 
 def _neighbours(keys: DataFrame) -> DataFrame:
-    """(u, v, own) of neighbours in the buckets, as often as they occur; own is i in a
-    table (i, i) and -1 in others. Buckets are
-    cut at partition borders only; the two rows at each border are joined on the
-    driver's side, two rows for each partition."""
+    """(u, v, nu, nv, own) for ``keys`` (cid, n, comp, key, i, j): each class of a bucket (v)
+    with the bucket's first (u) where their components differ, as often as it occurs; own is
+    i in a table (i, i) and -1 in others. Such stars are connected in fewer rounds than
+    chains. Buckets are cut at partition borders only, where the next class is first again;
+    the two at each border are joined on the driver's side, two rows for each partition."""
     spark = keys.sparkSession
-    own = F.when(F.col("i") == F.col("j"), F.col("i")).otherwise(F.lit(-1)).cast("byte")
-    ranged = keys.select("key", "cid", own.alias("own")).repartitionByRange(shuffle_partitions(spark), "key", "cid") \
+    own = F.when(F.col("i") == F.col("j"), F.col("i")).otherwise(F.lit(-1)).cast("long")
+    columns = ["key", "cid", "n", "comp", "own"]
+    ranged = keys.withColumn("own", own).select(*columns).repartitionByRange(shuffle_partitions(spark), "key", "cid") \
         .sortWithinPartitions("key", "cid").withColumn("pid", F.spark_partition_id())
-    schema = "u long, v long, own byte, pid int, key long"
+    schema = "u long, v long, nu long, nv long, own long, pid int, side int, key long, comp long"
+    names = ["u", "v", "nu", "nv", "own", "pid", "side", "key", "comp"]
 
     def run(batches):
         import numpy as np
@@ -155,25 +160,29 @@ def _neighbours(keys: DataFrame) -> DataFrame:
         for b in batches:
             if not len(b):
                 continue
-            k, c, own = b["key"].to_numpy(), b["cid"].to_numpy(), b["own"].to_numpy()
+            rows = np.stack([b[c].to_numpy() for c in columns])
             pid = int(b["pid"].iloc[0])
             if last is None:
-                ends.append((-1, int(c[0]), int(own[0]), pid, int(k[0])))
+                ends.append((0, rows[1, 0], 0, rows[2, 0], rows[4, 0], pid, 0, rows[0, 0], rows[3, 0]))
             else:
-                k, c, own = np.r_[last[0], k], np.r_[last[1], c], np.r_[last[2], own]
-            at = np.flatnonzero((k[1:] == k[:-1]) & (c[1:] != c[:-1]))
+                rows = np.concatenate((last[:, None], rows), axis=1)
+            starts = np.flatnonzero(np.r_[True, rows[0, 1:] != rows[0, :-1]])
+            heads = rows[:, np.repeat(starts, np.diff(np.r_[starts, rows.shape[1]]))]
+            at = np.flatnonzero(rows[3] != heads[3])
             if len(at):
-                yield pd.DataFrame({"u": c[at], "v": c[at + 1], "own": own[at], "pid": -1, "key": 0})
-            last = (k[-1], c[-1], own[-1])
+                yield pd.DataFrame({"u": heads[1, at], "v": rows[1, at], "nu": heads[2, at], "nv": rows[2, at], "own": rows[4, at],
+                                    "pid": -1, "side": 0, "key": 0, "comp": 0})
+            last = heads[:, -1]
         if last is not None:
-            ends.append((int(last[1]), -1, int(last[2]), pid, int(last[0])))
-            yield pd.DataFrame(ends, columns=["u", "v", "own", "pid", "key"])
+            ends.append((last[1], 0, last[2], 0, last[4], pid, 1, last[0], last[3]))
+            yield pd.DataFrame(ends, columns=names)
 
     found = written(ranged.mapInPandas(run, schema))
-    ends = sorted((r.pid, r.u >= 0, r.key, r.own, r.u, r.v) for r in found.filter("pid >= 0").collect())  # 2 a partition
-    cross = [(a[4], b[5], a[3]) for a, b in zip(ends[1::2], ends[2::2], strict=False) if a[2] == b[2] and a[4] != b[5]]
-    links = found.filter("pid < 0").select("u", "v", "own")
-    return links.union(spark.createDataFrame(cross, "u long, v long, own byte")) if cross else links
+    ends = sorted(found.filter("pid >= 0").collect(), key=lambda r: (r["pid"], r["side"]))  # 2 a partition
+    cross = [(a["u"], b["v"], a["nu"], b["nv"], a["own"]) for a, b in zip(ends[1::2], ends[2::2], strict=False)
+             if a["key"] == b["key"] and a["comp"] != b["comp"]]
+    links = found.filter("pid < 0").select(*names[:5])
+    return links.union(spark.createDataFrame(cross, "u long, v long, nu long, nv long, own long")) if cross else links
 
 
 def _foreign_shingles(docs: DataFrame, words: int) -> DataFrame:
@@ -317,27 +326,19 @@ def near_duplicates(df: DataFrame, words: int = 5, percent: int = 80, half: int
     low = F.min(F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "__h1", "__h2"))
     classes = written(rows.filter("n_shingles > 0").groupBy(*mark).agg(low.alias("rep"), F.first("__bands").alias("__bands"))
                       .withColumn("cid", F.monotonically_increasing_id()))
-    near = _neighbours(_key_rows(classes, half))
     sizes = classes.select("cid", F.col("n_shingles").alias("n"))
+    near = _neighbours(_key_rows(classes.withColumns({"n": F.col("n_shingles"), "comp": F.col("cid")}), half, ("n", "comp")))
     met = written(near.select(F.explode(F.array("u", "v")).alias("cid")).distinct())
     reps = classes.join(met, "cid", "left_semi").select(
         "cid", F.col("rep.doc_id").alias("__d"), F.col("rep.__h1").alias("__g1"), F.col("rep.__h2").alias("__g2"))
     on = F.col("doc_id").eqNullSafe(F.col("__d")) & (F.col("__h1") == F.col("__g1")) & (F.col("__h2") == F.col("__g2"))
     texts = written(keyed(df.select("doc_id", "text")).join(reps, on).select("cid", "text").dropDuplicates(["cid"]))
-    own = written(near.filter("own >= 0"))
-
-    def sized(pairs, of):
-        return pairs.join(of.select([F.col(c).alias(f"{c}u") for c in of.columns]).withColumnRenamed("cidu", "u"), "u") \
-            .join(of.select([F.col(c).alias(f"{c}v") for c in of.columns]).withColumnRenamed("cidv", "v"), "v")
-
-    first = sized(own.filter("own = 0").select("u", "v").distinct(), sizes)
-    comp = written(components(_confirm(first, texts, words, percent)))
-    # of the other tables, neighbours that this left apart
-    placed = written(sizes.join(met, "cid", "left_semi").join(comp.withColumnRenamed("node", "cid"), "cid", "left")
-                     .withColumn("comp", F.coalesce("comp", "cid")))
-    apart = sized(own.filter("own > 0").select("u", "v").distinct(), placed).filter("compu != compv")
-    links = _confirm(apart, texts, words, percent)
-    comp = written(_joined(placed, links))
+    comp = components(_confirm(near.filter("own = 0").drop("own"), texts, words, percent))
+    # in the other tables (i, i), those that this left apart
+    placed = written(classes.join(met, "cid", "left_semi").join(comp.withColumnRenamed("node", "cid"), "cid", "left")
+                     .select("cid", F.col("n_shingles").alias("n"), F.coalesce("comp", "cid").alias("comp"), "__bands"))
+    apart = _neighbours(_key_rows(placed, half, ("n", "comp"), own_from=1)).drop("own").distinct()
+    comp = written(_joined(placed, _confirm(apart, texts, words, percent)))
 
     # buckets that still hold more than one component
     inside = written(classes.join(met, "cid", "left_semi").join(comp.withColumnRenamed("node", "cid"), "cid", "left")

@@ -136,6 +136,25 @@ def test_large_group_of_edited_copies(spark):
 
 
 def test_neighbours_across_partition_borders(spark):
-    keys = spark.range(2000).select((F.col("id") % 3).alias("key"), F.col("id").alias("cid"), F.lit(1).alias("i"), F.lit(1).alias("j"))
+    """Each bucket is one tree, whatever partitions it lies in; rows of one component give no pair."""
+    keys = spark.range(2000).select((F.col("id") % 3).alias("key"), F.col("id").alias("cid"), F.lit(7).alias("n"), F.col("id").alias("comp"),
+                                    F.lit(1).alias("i"), F.lit(1).alias("j"))
     pairs = near_dedup._neighbours(keys).collect()
-    assert len(pairs) == 2000 - 3 and all(r["v"] - r["u"] == 3 for r in pairs)
+    assert len(pairs) == 2000 - 3 and all((r["u"] - r["v"]) % 3 == 0 and (r["nu"], r["nv"], r["own"]) == (7, 7, 1) for r in pairs)
+    assert {r["v"] for r in pairs} | {0, 1, 2} == set(range(2000)) and all(r["u"] < r["v"] for r in pairs)
+    joined = near_dedup._neighbours(keys.withColumn("comp", F.expr("cid div 1000"))).collect()
+    assert joined and all(r["u"] // 1000 != r["v"] // 1000 for r in joined)
+
+
+def test_kept_rows_of_rows_that_differ_elsewhere(spark):
+    rows = [(1, "a b c", s, k) for s in ("s1", "s2", None) for k in (1, 2)] + [(2, "A b c", "s9", 0)] + [(None, None, "s", 1), (None, "", "s", 1)]
+    schema = "doc_id long, text string, source string, kept long"
+    runs = []
+    for parts in (1, 4, 7):
+        df = spark.createDataFrame(rows, schema).repartition(parts)
+        kept = exact_dedup.kept_rows(df, exact_dedup.exact_duplicates(df))
+        assert kept.columns == df.columns
+        runs.append(sorted(map(str, (tuple(r) for r in kept.collect()))))
+        near = exact_dedup.kept_rows(df, near_dedup.near_duplicates(df, words=2)).collect()
+        assert sum(r["doc_id"] == 1 for r in near) == 1
+    assert runs[0] == runs[1] == runs[2] and len(runs[0]) == 2

@@ -145,3 +145,22 @@ def test_pack(spark):
         assert at <= 256
     assert len(bins) <= 1.02 * sum(r["length"] for r in got) / 256 + 1
     assert packing.pack(frames.frame(spark, []), byte_bpe).count() == 0
+
+
+def test_mixed_rows_keep_source_and_other_columns(spark):
+    """Rows that differ only in source, or only in an extra column, stay what they are."""
+    rows = [(1, "a b c d e", s, x) for s in ("s1", "s2", None) for x in ("x", "y", "y", None)] + [(None, "f g", "s1", "z")] * 5 \
+        + [(k, f"w{k} " * 6, "s2", "x") for k in range(10, 30)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, rank string").repartition(4)
+    decided = collections.Counter()
+    for r in mixing.mix(df).collect():
+        decided[r["doc_id"], r["source"], r["size"]] += r["copies"]
+    got = [tuple(r) for r in mixing.mixed_rows(df).collect()]
+    assert collections.Counter((d, s, len(t.split())) for d, t, s, _ in got) == collections.Counter({k: n for k, n in decided.items() if n})
+    assert set(got) <= set(rows)
+    for s in ("s1", "s2", None):  # four rows share the copies evenly
+        counts = collections.Counter(r[3] for r in got if r[0] == 1 and r[2] == s)
+        total = sum(counts.values())
+        assert all(total // 4 * n <= counts[x] <= -(-total // 4) * n for x, n in (("x", 1), ("y", 2), (None, 1)))
+    again = [tuple(r) for r in mixing.mixed_rows(df.repartition(7)).collect()]
+    assert collections.Counter(got) == collections.Counter(again)
