@@ -2,8 +2,9 @@
 
 Minimises |w|^2 / (2 C n) + mean(max(0, |y - w.x - b| - epsilon)) over a feature
 column. Each step is one pass: tasks sum the loss and its gradient over Arrow
-batches, one small row a partition, and the driver adds them and steps a limited
-memory quasi-Newton method over the weights (as many numbers as features). The
+batches, one row a partition; these are added up a tree of fan-in ``FAN_IN``, and the
+driver adds the last few and steps a limited memory quasi-Newton method over the
+weights (as many numbers as features). The
 loss is rounded off over a width that shrinks to a thousandth of epsilon, so the
 result is the optimum of the stated problem up to that rounding."""
 
@@ -18,6 +19,8 @@ from pyspark.sql import types as T
 
 from ..session import checkpoint_dir, ship_package
 
+#: Partial sums that a task, or the driver, adds.
+FAN_IN = 32
 
 def smooth_loss(e: np.ndarray, epsilon: float, width: float) -> tuple[np.ndarray, np.ndarray]:
     """Loss and its derivative at errors ``e``: 0 up to epsilon, a parabola over
@@ -33,6 +36,7 @@ class _Sums:
 
     def __init__(self, rows: DataFrame, n: int, dim: int, c: float, epsilon: float):
         self.rows, self.n, self.dim, self.c, self.epsilon = rows, n, dim, c, epsilon
+        self.partitions = rows.rdd.getNumPartitions()
 
     def __call__(self, point: np.ndarray, width: float) -> tuple[float, np.ndarray]:
         epsilon, dim = self.epsilon, self.dim
@@ -49,8 +53,19 @@ class _Sums:
                     grad[-1] += slope.sum()
             yield pa.RecordBatch.from_arrays([pa.array([[total, *grad]], pa.list_(pa.float64()))], names=["s"])
 
-        parts = self.rows.mapInArrow(run, T.StructType([T.StructField("s", T.ArrayType(T.DoubleType()))])).collect()
-        s = np.sum([p["s"] for p in parts], axis=0) / self.n
+        def add(batches):
+            total = np.zeros(dim + 2)
+            for b in batches:
+                if b.num_rows:
+                    total += b.column("s").flatten().to_numpy().reshape(b.num_rows, dim + 2).sum(axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array([total], pa.list_(pa.float64()))], names=["s"])
+
+        schema = T.StructType([T.StructField("s", T.ArrayType(T.DoubleType()))])
+        sums, n = self.rows.mapInArrow(run, schema), self.partitions
+        while n > FAN_IN:
+            n = -(-n // FAN_IN)
+            sums = sums.repartition(n).mapInArrow(add, schema)
+        s = np.sum([p["s"] for p in sums.collect()], axis=0) / self.n
         w = point.copy()
         w[-1] = 0.0  # the intercept is not penalised
         return s[0] + w @ w / (2 * self.c * self.n), s[1:] + w / (self.c * self.n)

@@ -13,6 +13,7 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import OneVsRestModel
 from pyspark.ml.feature import VectorAssembler
@@ -22,7 +23,7 @@ from pyspark.sql import types as T
 
 from ..functions.columns import categorical_columns, numeric_columns
 from ..operators.profile import check_problem_type
-from ..session import checkpoint_dir
+from ..session import checkpoint_dir, ship_package
 from . import estimators as est
 from .evaluate import classification_report, clf_metrics, confusion_matrix, reg_metrics
 from .knn import knn_predict
@@ -179,18 +180,70 @@ def train(df: DataFrame, target: str, model_name: str, hyperparameter: str | dic
     return res
 
 
+def linear_fold_scores(rows: DataFrame, feats: list[str], folds: int, alpha: float) -> list[float | None]:
+    """R squared of each fold's least squares (``alpha`` 0) or ridge line, fitted on the
+    other folds, from one scan of ``rows`` (fold, label, features) after that for the means.
+
+    Tasks sum the products of the centred columns by fold, and Spark adds these matrices;
+    the fits come from the total less a fold's own, and a fold's squared errors from its own."""
+    ship_package(rows.sparkSession)
+    d = len(feats)
+    columns = [F.col(c).cast("double") for c in [*feats, "label"]]
+    means = np.array(rows.agg(*[F.avg(c) for c in columns]).first(), float)
+
+    def products(batches):
+        import pyarrow as pa
+        sums: dict = {}
+        for b in batches:
+            if b.num_rows:
+                z = b.column("z").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, d + 1) - means
+                z = np.concatenate((z, np.ones((len(z), 1))), axis=1)
+                fold = b.column("fold").to_numpy()
+                for k in np.unique(fold).tolist():
+                    own = z[fold == k]
+                    sums[k] = sums.get(k, 0) + own.T @ own
+        keys = sorted(sums)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.repeat(keys, d + 2), pa.int32()), pa.array(np.tile(np.arange(d + 2), len(keys)), pa.int32()),
+             pa.array([list(r) for k in keys for r in sums[k]], pa.list_(pa.float64()))], names=["fold", "i", "v"])
+
+    parts = rows.select("fold", F.array(*columns).alias("z")).mapInArrow(products, "fold int, i int, v array<double>")
+    total = parts.groupBy("fold", "i").agg(*[F.sum(F.get("v", F.lit(j))).alias(f"v{j}") for j in range(d + 2)])
+    own = np.zeros((folds, d + 2, d + 2))
+    for r in total.collect():  # folds times columns rows
+        own[r["fold"], r["i"]] = r[2:]
+    scores: list[float | None] = []
+    for k in range(folds):
+        rest, held = own.sum(axis=0) - own[k], own[k]
+        n, n_held = rest[-1, -1], held[-1, -1]
+        if n < 1 or n_held < 1:
+            scores.append(None)
+            continue
+        mean = rest[-1] / n
+        c = rest - n * np.outer(mean, mean)
+        w = np.linalg.solve(c[:d, :d] + alpha * np.eye(d), c[:d, d]) if alpha > 0 else np.linalg.lstsq(c[:d, :d], c[:d, d], rcond=None)[0]
+        line = np.r_[-w, 1.0, w @ mean[:d] - mean[d]]
+        spread = held[d, d] - held[d, -1] ** 2 / n_held
+        scores.append(float(1 - line @ held @ line / spread) if spread > 1e-12 * held[d, d] else None)
+    return scores
+
+
 def cross_validate(train_df: DataFrame, model_name: str, problem_type: str, params: dict,
                    feats: list[str], key: str, folds: int, n_classes: int, seed: int = 42
                    ) -> DataFrame | None:
     """V7: accuracy (classification) or R^2 (regression) per fold, as many folds as
     asked for. A fold that has no defined score (a constant part) has a NULL one;
-    errors are the caller's to see."""
+    errors are the caller's to see. Least squares and ridge need one scan for all folds."""
     spark = train_df.sparkSession
     f = assign_folds(train_df, folds, key, "label" if problem_type == "classification" else None,
                      seed=seed).cache()
     try:
         scores = []
-        for k in range(folds):
+        closed = model_name in ("linear_regression", "ridge")
+        if closed:
+            alpha = float(est.model_params(model_name, params).get("alpha", 0.0))
+            scores = list(enumerate(linear_fold_scores(f, feats, folds, alpha)))
+        for k in range(0 if closed else folds):
             tr, va = f.where(F.col("fold") != k).drop("fold"), f.where(F.col("fold") == k).drop("fold")
             _, p = _fit_predict(model_name, problem_type, params, tr, va, feats, key, n_classes)
             m = clf_metrics(p) if problem_type == "classification" else reg_metrics(p)

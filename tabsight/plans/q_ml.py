@@ -502,18 +502,30 @@ def q_boosting_log_loss(spark, sf):
     return out
 
 
-@query("cv_scores", f"""
+def _cv_sql(slope: str) -> str:
+    """R squared of five folds of a line with the given slope."""
+    return f"""
 WITH t AS (SELECT *, row_number() OVER (ORDER BY h, p_partkey) - 1 AS z, count(*) OVER () AS n
            FROM {_part_split_sql()} WHERE NOT is_test),
 u AS (SELECT x, y, CAST(CASE WHEN z < (n // 5 + 1) * (n % 5) THEN z // (n // 5 + 1)
         ELSE n % 5 + (z - (n // 5 + 1) * (n % 5)) // (n // 5) END AS INTEGER) AS fold FROM t),
-f AS (SELECT k.fold, regr_slope(y, x) AS w, regr_intercept(y, x) AS b
+f AS (SELECT k.fold, {slope} AS w, avg(y) - {slope} * avg(x) AS b
       FROM (SELECT DISTINCT fold FROM u) k JOIN u ON u.fold <> k.fold GROUP BY k.fold),
 m AS (SELECT fold, avg(y) AS mu FROM u GROUP BY fold),
 r AS (SELECT u.fold, 1 - sum((y - b - w * x) ^ 2) / sum((y - mu) ^ 2) AS score
       FROM u JOIN f USING (fold) JOIN m USING (fold) GROUP BY u.fold)
 SELECT fold, round(score, 6) AS score, round(avg(score) OVER (), 6) AS mean,
-  round(sqrt(avg(score * score) OVER () - (avg(score) OVER ()) ^ 2), 6) AS std FROM r""")
+  round(sqrt(avg(score * score) OVER () - (avg(score) OVER ()) ^ 2), 6) AS std FROM r"""
+
+
+@query("cv_scores_ridge", _cv_sql("(covar_pop(x, y) * count(*) / (var_pop(x) * count(*) + 5000.0))"))
+def q_cv_scores_ridge(spark, sf):
+    """V7: R squared of each of 5 folds of a ridge line, alpha = 5000, from one scan."""
+    return train(_part_one_feature(spark, sf), "p_retailprice", "ridge", {"alpha": 5000.0}, "regression",
+                 key="p_partkey", run_cv=True).cv_scores
+
+
+@query("cv_scores", _cv_sql("regr_slope(y, x)"))
 def q_cv_scores(spark, sf):
     """V7: R squared of each of 5 folds, least squares on one feature."""
     return train(_part_one_feature(spark, sf), "p_retailprice", "linear_regression", "{}", "regression",

@@ -225,3 +225,39 @@ def test_knn_cells_and_blocks_against_brute_force(spark):
             d = np.sqrt(((xtr - x) ** 2).sum(axis=1))
             near = np.lexsort((np.arange(300), d))[:k]
             assert got[i] == pytest.approx(ytr[near].mean())
+
+
+@pytest.mark.parametrize("alpha", [0.0, 7.5])
+def test_fold_scores_equal_separate_fits(spark, alpha):
+    from tabsight.ml.train import linear_fold_scores
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(90, 3)) * [1, 10, 0.1] + [5, 1e4, 0]
+    x[:, 2] = x[:, 0] * 2 if alpha == 0 else x[:, 2]  # least squares of dependent columns: the shortest solution
+    y, fold = x[:, 0] - 0.3 * x[:, 1] + rng.normal(size=90) + 1e5, np.arange(90) % 4
+    fold[fold == 3] = 1
+    y[fold == 2] = 8.0  # no spread, so no score
+    rows = spark.createDataFrame([(int(k), float(t), *map(float, r)) for k, t, r in zip(fold, y, x, strict=True)],
+                                 "fold int, label double, a double, b double, c double").repartition(3)
+    got = linear_fold_scores(rows, ["a", "b", "c"], 4, alpha)
+    for k in range(2):
+        tr, va = fold != k, fold == k
+        mx, my = x[tr].mean(axis=0), y[tr].mean()
+        xc, yc = x[tr] - mx, y[tr] - my
+        w = np.linalg.solve(xc.T @ xc + alpha * np.eye(3), xc.T @ yc) if alpha else np.linalg.lstsq(xc, yc, rcond=None)[0]
+        e = y[va] - my - (x[va] - mx) @ w
+        assert got[k] == pytest.approx(1 - (e ** 2).sum() / ((y[va] - y[va].mean()) ** 2).sum(), rel=1e-6)
+    assert got[2:] == [None, None]
+
+
+def test_svr_sums_up_a_tree(spark, monkeypatch):
+    from pyspark.ml.linalg import Vectors
+
+    from tabsight.ml import svr
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(120, 2))
+    y = x @ [1.5, -2.0] + 0.5
+    df = spark.createDataFrame([(Vectors.dense(r), float(t)) for r, t in zip(x, y, strict=True)], ["features", "label"])
+    flat = svr.EpsilonSVR(1.0, 0.01).fit(df.repartition(2))
+    monkeypatch.setattr(svr, "FAN_IN", 3)
+    tree = svr.EpsilonSVR(1.0, 0.01).fit(df.repartition(11))
+    assert np.allclose(flat.weights, tree.weights, atol=1e-3) and np.allclose(tree.weights, [1.5, -2.0], atol=0.05)
