@@ -78,6 +78,7 @@ def frame(spark, x, y):
 def test_predictions_equal_the_recursion(spark, table, kind, classes, monkeypatch):
     monkeypatch.setattr(boost, "BLOCK_ROWS", 50)
     monkeypatch.setattr(boost, "FOLD", 3)
+    monkeypatch.setattr(boost, "TASK_VALUES", 150)
     x, y = table
     if classes:
         y = np.digitize(y, np.quantile(y, np.arange(1, classes) / classes)).astype(float)
