@@ -235,7 +235,7 @@ def periodic_runs(df: DataFrame, min_length: int = 6) -> DataFrame:
 
     A null, empty or wordless text has no runs and is empty when collapsed. Null ids and
     repeated rows are rows like any other; an empty table gives an empty result; other
-    columns are not read. A text is worked on in one task, with about 400 bytes a word."""
+    columns are not read. A text is worked on in one task, with about 300 bytes a word."""
     prepare(df)
     base = df.select("doc_id", *row_key(F.col("text")), "text")
     run = T.StructType([T.StructField(n, T.LongType(), False) for n in ("start", "length", "period")])
