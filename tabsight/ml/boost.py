@@ -124,10 +124,9 @@ class _Settings:
     rate: float
     missing: int  # the bin of missing values
 
-    def gains(self, g, h, c):
-        """(gain, missing_left) for histograms (nodes, bins): a split after each bin."""
-        if not self.newton:  # squared error of the residuals: counts take the hessians' place
-            h = c
+    def gains(self, g, h):
+        """(gain, missing_left) for histograms (nodes, bins): a split after each bin. For the
+        squared error of the residuals, counts take the hessians' place."""
         lam, least = (self.reg_lambda, self.min_child_weight) if self.newton else (0.0, 1.0)
         all_g, all_h = g.sum(axis=1, keepdims=True), h.sum(axis=1, keepdims=True)
         gone_g, gone_h = g[:, self.missing:], h[:, self.missing:]
@@ -301,24 +300,27 @@ class BoostedTrees:
                     for f in range(1 if last else d):
                         place = node * (s.missing + 1) + x[f][inside]
                         width = sizes[k] * (s.missing + 1)
-                        table = np.stack([np.bincount(place, w, width) for w in (gk, hk, None)])
+                        table = np.stack([np.bincount(place, w, width) for w in ((gk, hk) if s.newton else (gk, hk, None))])
                         sums[k, f] = sums[k, f] + table if (k, f) in sums else table
             return sums.items()
 
         def best(item):
             (k, f), table = item
-            g, h, c = table.reshape(3, sizes[k], s.missing + 1)
+            g, h, *c = table.reshape(-1, sizes[k], s.missing + 1)
             totals = np.stack([g.sum(axis=1), h.sum(axis=1)])
             if last:
                 return k, f, totals, None
-            gain, side = s.gains(g, h, c)
+            gain, side = s.gains(g, c[0] if c else h)
             at = gain.argmax(axis=1)
             rows = np.arange(sizes[k])
             return k, f, totals, (gain[rows, at], at, side[rows, at])
 
-        parts = max(1, min(blocks.getNumPartitions(), sum(1 for n in sizes if n) * (1 if last else d)))
+        tasks = blocks.getNumPartitions()
+        tables = blocks.mapPartitions(histograms)
+        if tasks > 1:  # else the task's tables are the sums already
+            tables = tables.reduceByKey(np.add, max(1, min(tasks, sum(1 for n in sizes if n) * (1 if last else d))))
         try:
-            out = sorted(blocks.mapPartitions(histograms).reduceByKey(np.add, parts).map(best).collect(), key=lambda r: r[:2])
+            out = sorted(tables.map(best).collect(), key=lambda r: r[:2])
         finally:
             shared.destroy()
         found: dict = {}
