@@ -79,21 +79,18 @@ class Tree:
 def cut_points(df: DataFrame, columns: str, d: int, max_bins: int) -> list[np.ndarray]:
     """Ascending thresholds of each feature (element of an array column): midpoints
     between all values where there are at most ``max_bins``, else quantiles."""
-    x = [F.get(columns, F.lit(i)) for i in range(d)]
-    x = [F.when(~F.isnan(c), c) for c in x]
-    rough = df.agg(*[F.approx_count_distinct(c, 0.02).alias(f"c{i}") for i, c in enumerate(x)]).first()
-    few = [i for i in range(d) if rough[i] <= 1.1 * max_bins]
-    many = [i for i in range(d) if i not in set(few)]
+    values = df.select(F.posexplode(columns).alias("i", "v")).where(~F.isnan("v"))  # drops NULL too
+    rough = {r["i"]: r["n"] for r in values.groupBy("i").agg(F.approx_count_distinct("v", 0.02).alias("n")).collect()}  # a row a feature
+    few = [i for i, n in rough.items() if n <= 1.1 * max_bins]
     grid = [k / max_bins for k in range(1, max_bins)]
-    found = df.agg(*[F.collect_set(x[i]).alias(f"s{i}") for i in few],  # about max_bins values
-                   *[F.percentile_approx(x[i], grid, 100 * max_bins).alias(f"q{i}") for i in many], F.lit(0)).first().asDict()
-    out = []
-    for i in range(d):
-        if f"s{i}" in found:
-            v = np.unique(np.array(found[f"s{i}"], float))
-            out.append((v[1:] + v[:-1]) / 2)
-        else:
-            out.append(np.unique(np.array(found[f"q{i}"] or [], float)))
+    out = [np.empty(0)] * d
+    for r in values.where(F.col("i").isin(few)).groupBy("i").agg(F.collect_set("v").alias("v")).collect():  # about max_bins values each
+        v = np.unique(np.array(r["v"], float))
+        out[r["i"]] = (v[1:] + v[:-1]) / 2
+    if len(few) < len(rough):
+        quantiles = values.where(~F.col("i").isin(few)).groupBy("i").agg(F.percentile_approx("v", grid, 100 * max_bins).alias("v"))
+        for r in quantiles.collect():
+            out[r["i"]] = np.unique(np.array(r["v"], float))
     return out
 
 
