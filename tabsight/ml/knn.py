@@ -6,7 +6,8 @@ each pivot's radius: enough near cells to hold k training rows bound its k-th
 distance, and by the triangle inequality only cells that this bound reaches can
 hold a neighbour. So each training row is shipped once, each test row to the
 blocks it may need. In a task a block's training rows stand first and its test
-rows stream past them, so memory is a block's, whatever the number of test rows.
+rows stream past them, some at a time, so that a task holds its block and a few arrays
+of ``NUMBERS`` numbers, whatever the number of test rows.
 Candidates are reduced with ``row_number() <= k`` (a partial WindowGroupLimit
 before the shuffle) and voted; nothing passes through the driver but the pivots.
 
@@ -21,6 +22,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,19 +37,66 @@ def _features(df: DataFrame, features: str | Sequence[str]):
     return F.array(*[F.col(c).cast("double") for c in features])
 
 
+#: Numbers that a temporary array of a task holds at most.
+NUMBERS = 1_000_000
+
+
+def _slices(batch: pa.RecordBatch, width: int):
+    """Parts of a batch whose rows, times ``width``, stay below ``NUMBERS``."""
+    step = max(1, NUMBERS // max(1, width))
+    for s in range(0, batch.num_rows, step):
+        yield batch.slice(s, step)
+
+
+def _pair_distances(a: np.ndarray, b: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
+    """Euclidean distances of the rows ``rows`` of ``a`` from the rows ``cols`` of ``b``."""
+    out = np.empty(len(rows))
+    step = max(1, NUMBERS // max(1, a.shape[1]))
+    for s in range(0, len(rows), step):
+        d = a[rows[s:s + step]] - b[cols[s:s + step]]
+        out[s:s + step] = np.sqrt((d * d).sum(axis=1))
+    return out
+
+
 def _distances(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Euclidean distances of all rows of ``a`` and ``b``, in slices whose
-    temporary arrays stay below about 4 million numbers."""
+    """Euclidean distances of all rows of ``a`` and ``b``, in slices."""
     out = np.empty((len(a), len(b)))
-    step = max(1, 4_000_000 // max(1, len(b) * a.shape[1]))
+    step = max(1, NUMBERS // max(1, len(b) * a.shape[1]))
     for s in range(0, len(a), step):
         d = a[s:s + step, None, :] - b[None, :, :]
         out[s:s + step] = np.sqrt((d * d).sum(axis=2))
     return out
 
 
+def _closest(a: np.ndarray, b: np.ndarray, squares: np.ndarray, ids: np.ndarray, k: int):
+    """(rows of ``a``, rows of ``b``, distances): the k nearest rows of ``b`` for each row of
+    ``a``, ties by ``ids``. The matrix product |a|² + |b|² - 2 a.b names the rows that may be
+    among them, its rounding allowed for; these are measured and sorted."""
+    own = (a * a).sum(axis=1)
+    rough = own[:, None] + squares - 2 * (a @ b.T)
+    if np.isfinite(rough).all():
+        bound = np.partition(rough, k - 1, axis=1)[:, k - 1] + 1e-9 * (own + squares.max())
+        rows, cols = np.nonzero(rough <= bound[:, None])
+    else:
+        rows, cols = np.nonzero(np.ones(rough.shape, bool))
+    del rough
+    dist = _pair_distances(a, b, rows, cols)
+    order = np.lexsort((ids[cols], dist, rows))
+    rows, cols, dist = rows[order], cols[order], dist[order]
+    first = np.searchsorted(rows, np.arange(len(a)))
+    keep = np.arange(len(rows)) - first[rows] < k
+    return rows[keep], cols[keep], dist[keep]
+
+
 def _vectors(column) -> np.ndarray:
-    return np.stack(column.to_pylist()).astype(np.float64) if len(column) else np.zeros((0, 0))
+    if not len(column):
+        return np.zeros((0, 0))
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    width = pc.unique(pc.list_value_length(column)).to_pylist()
+    if len(width) != 1 or width[0] is None:
+        raise ValueError("all feature vectors must have the same length")
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(column), width[0])
 
 
 def _near_pivots(points: np.ndarray):
@@ -66,20 +115,19 @@ def _near_pivots(points: np.ndarray):
 def _reached(points: np.ndarray, radius: np.ndarray, count: np.ndarray, k: int):
     """The cells of each test row that may hold one of its k nearest rows."""
     def run(batches):
-        for b in batches:
-            if not b.num_rows:
-                continue
-            d = _distances(_vectors(b.column("x")), points)
-            upper = d + radius
-            order = np.argsort(upper, axis=1, kind="stable")
-            enough = np.cumsum(count[order], axis=1) >= k
-            at = np.where(enough.any(axis=1), enough.argmax(axis=1), len(points) - 1)
-            bound = np.take_along_axis(upper, order, axis=1)[np.arange(len(d)), at]
-            slack = 1e-9 * (1 + np.abs(bound))
-            hit = (d - radius <= (bound + slack)[:, None]) & (count > 0)
-            rows, cells = np.nonzero(hit)
-            out = b.take(pa.array(rows))
-            yield out.append_column("cell", pa.array(cells, pa.int32()))
+        for batch in batches:
+            for b in _slices(batch, points.size):  # a row may go to every cell
+                d = _distances(_vectors(b.column("x")), points)
+                upper = d + radius
+                order = np.argsort(upper, axis=1, kind="stable")
+                enough = np.cumsum(count[order], axis=1) >= k
+                at = np.where(enough.any(axis=1), enough.argmax(axis=1), len(points) - 1)
+                bound = np.take_along_axis(upper, order, axis=1)[np.arange(len(d)), at]
+                slack = 1e-9 * (1 + np.abs(bound))
+                hit = (d - radius <= (bound + slack)[:, None]) & (count > 0)
+                rows, cells = np.nonzero(hit)
+                out = b.take(pa.array(rows))
+                yield out.append_column("cell", pa.array(cells, pa.int32()))
     return run
 
 
@@ -102,15 +150,15 @@ def _nearest(k: int):
                     if not held:
                         continue
                     t = pa.Table.from_batches(held)
-                    train = (_vectors(t.column("x")), t.column("id").to_numpy(), t.column("y").to_numpy())
-                x, ids, ys = train
-                d = _distances(_vectors(part.column("x")), x)
-                kk = min(k, len(ids))
-                best = np.lexsort((np.broadcast_to(ids, d.shape), d), axis=1)[:, :kk].reshape(-1)
-                rows = np.repeat(np.arange(len(d)), kk)
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("id").take(pa.array(rows)), pa.array(ids[best]), pa.array(ys[best]), pa.array(d[rows, best])],
-                    names=["test_id", "train_id", "y", "dist"])
+                    x = _vectors(t.column("x"))
+                    train = (x, (x * x).sum(axis=1), t.column("id").to_numpy(), t.column("y").to_numpy())
+                    held = []
+                x, squares, ids, ys = train
+                for some in _slices(part, len(ids)):
+                    rows, cols, dist = _closest(_vectors(some.column("x")), x, squares, ids, min(k, len(ids)))
+                    yield pa.RecordBatch.from_arrays(
+                        [some.column("id").take(pa.array(rows)), pa.array(ids[cols]), pa.array(ys[cols]), pa.array(dist)],
+                        names=["test_id", "train_id", "y", "dist"])
     return run
 
 

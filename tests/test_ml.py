@@ -261,3 +261,38 @@ def test_svr_sums_up_a_tree(spark, monkeypatch):
     monkeypatch.setattr(svr, "FAN_IN", 3)
     tree = svr.EpsilonSVR(1.0, 0.01).fit(df.repartition(11))
     assert np.allclose(flat.weights, tree.weights, atol=1e-3) and np.allclose(tree.weights, [1.5, -2.0], atol=0.05)
+
+
+def test_knn_holds_a_slice_of_the_pairs():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    from tabsight.ml.knn import _nearest
+    rng = np.random.default_rng(5)
+    xtr, xte = rng.normal(size=(4096, 8)), rng.normal(size=(3000, 8))
+    xtr[10:14] = xtr[10]  # ties go to the smaller id
+
+    def batch(side, ids, x):
+        n = len(x)
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.zeros(n, "i4")), pa.array(np.zeros(n, "i8")), pa.array(np.full(n, side, "i4")), pa.array(ids),
+             pa.array(list(x), pa.list_(pa.float64())), pa.array(ids % 3 * 1.0)], names=["cell", "sub", "side", "id", "x", "y"])
+    batches = [batch(0, np.arange(4096), xtr), batch(1, np.arange(3000), np.r_[xtr[10:11], xte[1:]])]
+    tracemalloc.start()
+    out = pa.Table.from_batches(_nearest(3)(iter(batches)))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 80e6  # all pairs of the batch take 98 MB an array
+    got = out.column("train_id").to_numpy().reshape(3000, 3)
+    assert got[0].tolist() == [10, 11, 12]
+    for i in range(1, 3000, 250):
+        d = np.sqrt(((xtr - xte[i]) ** 2).sum(axis=1))
+        assert got[i].tolist() == np.lexsort((np.arange(4096), d))[:3].tolist()
+
+
+def test_knn_with_infinite_and_huge_features():
+    from tabsight.ml.knn import _closest
+    b = np.array([[1.0], [np.inf], [1e200], [3.0], [np.nan]])
+    rows, cols, dist = _closest(np.array([[2.0], [1e200]]), b, (b * b).sum(axis=1), np.arange(5), 2)
+    assert rows.tolist() == [0, 0, 1, 1] and cols.tolist() == [0, 3, 2, 0] and dist[:3].tolist() == [1.0, 1.0, 0.0]
