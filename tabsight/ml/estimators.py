@@ -163,9 +163,13 @@ class PolynomialKernelFeatures(Transformer):
         self.scale = np.sqrt(np.array(counts) * gamma ** degree)
         self.input_col, self.output_col = input_col, output_col
 
-    def _transform(self, df: DataFrame) -> DataFrame:
+    def mapped(self):
+        """The map of a matrix of rows, without this object."""
         index, scale = self.index, self.scale
-        return _map_vectors(df, self.input_col, self.output_col, lambda x: x[:, index].prod(axis=2) * scale)
+        return lambda x: x[:, index].prod(axis=2) * scale
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        return _map_vectors(df, self.input_col, self.output_col, self.mapped())
 
 
 def _map_vectors(df: DataFrame, input_col: str, output_col: str, f) -> DataFrame:
@@ -196,9 +200,20 @@ class RandomFourierFeatures(Transformer):
         self.b = rng.uniform(0.0, 2.0 * math.pi, size=n_features)
         self.input_col, self.output_col, self.n = input_col, output_col, n_features
 
-    def _transform(self, df: DataFrame) -> DataFrame:
+    def mapped(self):
+        """The map of a matrix of rows, without this object."""
         w, b, n = self.w, self.b, self.n
-        return _map_vectors(df, self.input_col, self.output_col, lambda x: math.sqrt(2.0 / n) * np.cos(x @ w + b))
+
+        def run(x):
+            out = x @ w
+            out += b
+            np.cos(out, out=out)
+            out *= math.sqrt(2.0 / n)
+            return out
+        return run
+
+    def _transform(self, df: DataFrame) -> DataFrame:
+        return _map_vectors(df, self.input_col, self.output_col, self.mapped())
 
 
 def gamma_scale(train: DataFrame, features_col: str, d: int) -> float:

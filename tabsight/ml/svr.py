@@ -1,7 +1,8 @@
 """Support vector regression with the epsilon-insensitive loss.
 
 Minimises |w|^2 / (2 C n) + mean(max(0, |y - w.x - b| - epsilon)) over a feature
-column. Each step is one pass: tasks sum the loss and its gradient over Arrow
+column, or over a kernel's features, which tasks compute from that column and never
+store. Each step is one pass: tasks sum the loss and its gradient over Arrow
 batches, one row a partition; these are added up a tree of fan-in ``FAN_IN``, and the
 driver adds the last few and steps a limited memory quasi-Newton method over the
 weights (as many numbers as features). The
@@ -21,6 +22,12 @@ from ..session import checkpoint_dir, ship_package
 
 #: Partial sums that a task, or the driver, adds.
 FAN_IN = 32
+#: Values (rows by weights) that a task should have at most, and that it holds at once.
+TASK_VALUES, HELD_VALUES = 6_000_000, 64_000
+
+#: Step lengths tried in one pass.
+TRIED = 4
+
 
 def smooth_loss(e: np.ndarray, epsilon: float, width: float) -> tuple[np.ndarray, np.ndarray]:
     """Loss and its derivative at errors ``e``: 0 up to epsilon, a parabola over
@@ -32,32 +39,36 @@ def smooth_loss(e: np.ndarray, epsilon: float, width: float) -> tuple[np.ndarray
 
 
 class _Sums:
-    """Loss and gradient at a point, summed over the rows of a table."""
+    """Loss and gradient at each of some points, summed over the rows of a table in one pass."""
 
-    def __init__(self, rows: DataFrame, n: int, dim: int, c: float, epsilon: float):
-        self.rows, self.n, self.dim, self.c, self.epsilon = rows, n, dim, c, epsilon
+    def __init__(self, rows: DataFrame, n: int, dim: int, c: float, epsilon: float, mapped=None):
+        self.rows, self.n, self.dim, self.c, self.epsilon, self.mapped = rows, n, dim, c, epsilon, mapped
         self.partitions = rows.rdd.getNumPartitions()
 
-    def __call__(self, point: np.ndarray, width: float) -> tuple[float, np.ndarray]:
-        epsilon, dim = self.epsilon, self.dim
+    def __call__(self, points: np.ndarray, width: float) -> list[tuple[float, np.ndarray]]:
+        epsilon, dim, mapped = self.epsilon, self.dim, self.mapped
+        step, size = max(1, HELD_VALUES // max(1, dim)), len(points) * (dim + 2)
 
         def run(batches):
-            total, grad = 0.0, np.zeros(dim + 1)
-            for b in batches:
-                if b.num_rows:
-                    x = np.stack(b.column("x").to_pylist())
+            sums = np.zeros((len(points), dim + 2))
+            for batch in batches:
+                for at in range(0, batch.num_rows, step):
+                    b = batch.slice(at, step)
+                    x = b.column("x").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+                    x = x if mapped is None else mapped(x)
                     y = b.column("y").to_numpy()
-                    loss, slope = smooth_loss(x @ point[:-1] + point[-1] - y, epsilon, width)
-                    total += float(loss.sum())
-                    grad[:-1] += slope @ x
-                    grad[-1] += slope.sum()
-            yield pa.RecordBatch.from_arrays([pa.array([[total, *grad]], pa.list_(pa.float64()))], names=["s"])
+                    for total, point in zip(sums, points, strict=True):
+                        loss, slope = smooth_loss(x @ point[:-1] + point[-1] - y, epsilon, width)
+                        total[0] += loss.sum()
+                        total[1:-1] += slope @ x
+                        total[-1] += slope.sum()
+            yield pa.RecordBatch.from_arrays([pa.array([sums.ravel()], pa.list_(pa.float64()))], names=["s"])
 
         def add(batches):
-            total = np.zeros(dim + 2)
+            total = np.zeros(size)
             for b in batches:
                 if b.num_rows:
-                    total += b.column("s").flatten().to_numpy().reshape(b.num_rows, dim + 2).sum(axis=0)
+                    total += b.column("s").flatten().to_numpy().reshape(b.num_rows, size).sum(axis=0)
             yield pa.RecordBatch.from_arrays([pa.array([total], pa.list_(pa.float64()))], names=["s"])
 
         schema = T.StructType([T.StructField("s", T.ArrayType(T.DoubleType()))])
@@ -65,15 +76,18 @@ class _Sums:
         while n > FAN_IN:
             n = -(-n // FAN_IN)
             sums = sums.repartition(n).mapInArrow(add, schema)
-        s = np.sum([p["s"] for p in sums.collect()], axis=0) / self.n
-        w = point.copy()
-        w[-1] = 0.0  # the intercept is not penalised
-        return s[0] + w @ w / (2 * self.c * self.n), s[1:] + w / (self.c * self.n)
+        out = []
+        for s, point in zip(np.sum([p["s"] for p in sums.collect()], axis=0).reshape(len(points), -1) / self.n, points, strict=True):
+            w = point.copy()
+            w[-1] = 0.0  # the intercept is not penalised
+            out.append((s[0] + w @ w / (2 * self.c * self.n), s[1:] + w / (self.c * self.n)))
+        return out
 
 
 def _minimise(f, start: np.ndarray, steps: int, tol: float, memory: int = 10) -> np.ndarray:
-    """Two-loop quasi-Newton steps with backtracking."""
-    x, (value, grad), past = start, f(start), []
+    """Two-loop quasi-Newton steps with backtracking; where the whole step is too long, one
+    pass of ``f`` tries the next ``TRIED`` halves of it."""
+    x, (value, grad), past = start, f(start[None])[0], []
     for _ in range(steps):
         if np.abs(grad).max() <= tol:
             break
@@ -87,14 +101,16 @@ def _minimise(f, start: np.ndarray, steps: int, tol: float, memory: int = 10) ->
             d *= (s @ y) / (y @ y)
         for (s, y), a in zip(past, reversed(coefs)):
             d += (a - (y @ d) / (s @ y)) * s
-        t = 1.0
-        while True:
-            new, (v, g) = x - t * d, f(x - t * d)
-            if v <= value - 1e-4 * t * (grad @ d) or t < 1e-8:
-                break
-            t /= 2
+        t, found, tries = 1.0, None, [1.0]
+        while found is None:
+            for t, (v, g) in zip(tries, f(np.array([x - t * d for t in tries])), strict=True):
+                if v <= value - 1e-4 * t * (grad @ d) or t < 1e-8:
+                    found = x - t * d, v, g
+                    break
+            tries = [t / 2 ** i for i in range(1, TRIED + 1)]
         if t < 1e-8:
             break
+        new, v, g = found
         if (g - grad) @ (new - x) > 1e-12:
             past = [*past[1 - memory:], (new - x, g - grad)]
         x, value, grad = new, v, g
@@ -114,22 +130,29 @@ class SVRModel:
 
 
 class EpsilonSVR:
-    """``fit(df)`` on (features vector, label)."""
+    """``fit(df)`` on (features vector, label). With ``mapped`` (a matrix of rows to one of
+    features) the weights are those of ``mapped(df[of])``, and ``transform`` reads these features
+    from the features column."""
 
     def __init__(self, c: float = 1.0, epsilon: float = 0.1, max_iter: int = 100, tol: float = 1e-5,
                  features_col: str = "features", label_col: str = "label"):
         self.c, self.epsilon, self.max_iter, self.tol = c, epsilon, max_iter, tol
         self.features_col, self.label_col = features_col, label_col
 
-    def fit(self, df: DataFrame) -> SVRModel:
+    def fit(self, df: DataFrame, of: str | None = None, mapped=None) -> SVRModel:
         ship_package(df.sparkSession)
         checkpoint_dir(df.sparkSession)
-        rows = df.select(vector_to_array(self.features_col).alias("x"), F.col(self.label_col).cast("double").alias("y")) \
+        rows = df.select(vector_to_array(of or self.features_col).alias("x"), F.col(self.label_col).cast("double").alias("y")) \
             .checkpoint(eager=True)
         n, dim, mean = rows.agg(F.count(F.lit(1)), F.max(F.size("x")), F.avg("y")).first()
         if not n:
             raise ValueError("no rows to fit")
-        sums = _Sums(rows, n, dim, self.c, self.epsilon)
+        if mapped is not None:
+            dim = mapped(np.zeros((1, dim))).shape[1]
+        tasks = -(-n * dim // TASK_VALUES)
+        if rows.rdd.getNumPartitions() < tasks:
+            rows = rows.repartition(tasks).checkpoint(eager=True)
+        sums = _Sums(rows, n, dim, self.c, self.epsilon, mapped)
         point = np.r_[np.zeros(dim), mean]
         spread = rows.agg(F.stddev_pop("y")).first()[0] or 1.0
         for width in (spread, spread / 10, max(self.epsilon, 1e-3) / 1000):

@@ -296,3 +296,43 @@ def test_knn_with_infinite_and_huge_features():
     b = np.array([[1.0], [np.inf], [1e200], [3.0], [np.nan]])
     rows, cols, dist = _closest(np.array([[2.0], [1e200]]), b, (b * b).sum(axis=1), np.arange(5), 2)
     assert rows.tolist() == [0, 0, 1, 1] and cols.tolist() == [0, 3, 2, 0] and dist[:3].tolist() == [1.0, 1.0, 0.0]
+
+
+def test_svr_tasks_compute_the_kernel_features(spark):
+    from pyspark.ml.linalg import Vectors
+
+    from tabsight.ml import svr
+    from tabsight.ml.estimators import RandomFourierFeatures
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(200, 2))
+    df = spark.createDataFrame([(Vectors.dense(r), float(np.sin(r[0]))) for r in x], ["features", "label"])
+    kernel = RandomFourierFeatures("features", "kfeatures", 20, 2, 0.5)
+    stored = svr.EpsilonSVR(features_col="kfeatures").fit(kernel.transform(df))
+    mapped = svr.EpsilonSVR(features_col="kfeatures").fit(df, "features", kernel.mapped())
+    assert np.allclose(stored.weights, mapped.weights, atol=1e-6) and np.isclose(stored.intercept, mapped.intercept, atol=1e-6)
+
+
+def test_svr_rows_are_dealt_by_their_values(spark, monkeypatch):
+    from pyspark.ml.linalg import Vectors
+
+    from tabsight.ml import svr
+    df = spark.createDataFrame([(Vectors.dense([float(i)]), 2.0 * i) for i in range(40)], ["features", "label"]).coalesce(1)
+    seen = []
+    monkeypatch.setattr(svr, "TASK_VALUES", 10)
+    monkeypatch.setattr(svr, "_minimise", lambda f, start, *_: start)
+    monkeypatch.setattr(svr._Sums, "__call__", lambda self, *a: None)
+    sums = svr._Sums.__init__
+    monkeypatch.setattr(svr._Sums, "__init__", lambda self, rows, *a: (sums(self, rows, *a), seen.append(self.partitions))[0])
+    svr.EpsilonSVR().fit(df)
+    assert 4 in seen
+
+
+def test_svr_halves_are_tried_in_one_pass():
+    from tabsight.ml.svr import _minimise
+    passes = []
+
+    def f(points):
+        passes.append(len(points))
+        return [(float(50 * p @ p), 100 * p) for p in points]
+    assert np.allclose(_minimise(f, np.array([1.0]), 100, 1e-6), 0)
+    assert passes[:4] == [1, 1, 4, 4]  # the start, a whole step, its halves to 1/16, to 1/256
