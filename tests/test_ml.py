@@ -336,3 +336,11 @@ def test_svr_halves_are_tried_in_one_pass():
         return [(float(50 * p @ p), 100 * p) for p in points]
     assert np.allclose(_minimise(f, np.array([1.0]), 100, 1e-6), 0)
     assert passes[:4] == [1, 1, 4, 4]  # the start, a whole step, its halves to 1/16, to 1/256
+
+
+def test_forest_rows_are_dealt_by_their_values(spark):
+    from tabsight.ml import train as t
+    df = spark.range(40).coalesce(1)
+    assert t._dealt(df, 3 * t.FOREST_VALUES - 1).rdd.getNumPartitions() == 3
+    assert t._dealt(df, 100 * t.FOREST_VALUES).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert t._dealt(df, 5) is df
