@@ -1,8 +1,8 @@
 """Alignment of two tokenizers' output on the same text, by divide and conquer.
 
 Both token sequences cover the same bytes. An interval of them is split at a common end
-near its middle: the middle byte is looked up among A's ends by bisection, and each of
-A's ends from there outwards is looked up among B's ends. The nearest one that both have
+near its middle: the middle byte is looked up among A's ends (in a table of all bytes of a
+batch), and each of A's ends from there outwards is looked up among B's ends. The nearest one that both have
 splits the interval, and both halves are split in the same way. An interval without a
 common end inside is a leaf group. All intervals of a batch of texts are split together,
 level by level, so a level is a handful of array operations.
@@ -68,6 +68,26 @@ def pieces(path: str) -> Tokenizer:
     return Tokenizer(lambda texts: model.encode(texts, num_threads=1), table)
 
 
+def _counter(s, top: int):
+    """(below, upto): how many of the ascending byte places ``s`` are below, or at most, given
+    ones from 0 to ``top``; read from a table of all places, or searched where places repeat."""
+    import numpy as np
+    if not (s[1:] > s[:-1]).all():
+        return (lambda v: np.searchsorted(s, v)), (lambda v: np.searchsorted(s, v, side="right"))
+    table = np.zeros(top + 2, np.int32)
+    table[s + 1] = 1
+    np.cumsum(table, out=table)
+    return (lambda v: table[v]), (lambda v: table[v + 1])
+
+
+def _overlaps(sa, sb):
+    """For each token of A the first token of B that overlaps its bytes, and how many do."""
+    import numpy as np
+    below, upto = _counter(sb, int(max(sa[-1], sb[-1])))
+    first = upto(sa[:-1]).astype(np.int64) - 1  # less the 0 at the start
+    return first, np.minimum(below(sa[1:]), len(sb) - 1) - first
+
+
 def _nearest_cut(sa, sb, low: int, high: int, middle: int) -> int:
     """The c in (low, high) nearest to ``middle`` such that sa[c] is in sb, or -1."""
     import numpy as np
@@ -92,21 +112,26 @@ def leaf_groups(sa, sb, bounds_a, bounds_b):
     some = ah > al
     al, ah, bl, bh = al[some], ah[some], bl[some], bh[some]
     done_a, done_b = [], []
+    top = int(max(sa[-1], sb[-1]))
+    below_a = _counter(sa, top)[0]
+    place_b = np.minimum(_counter(sb, top)[0](sa), len(sb) - 1)  # of each of A's ends among B's
+    shared = sb[place_b] == sa
+    so_far = np.r_[0, np.cumsum(shared)]
     while len(al):
         leaf = (ah - al < 2) | (bh - bl < 2)
+        leaf |= so_far[ah] <= so_far[np.minimum(al + 1, ah)]  # no common end inside
         done_a.append(ah[leaf])
         done_b.append(bh[leaf])
         al, ah, bl, bh = al[~leaf], ah[~leaf], bl[~leaf], bh[~leaf]
-        middle = np.clip(np.searchsorted(sa, (sa[al] + sa[ah]) // 2), al + 1, ah - 1)
+        middle = np.clip(below_a((sa[al] + sa[ah]) // 2), al + 1, ah - 1)
         cut_a, cut_b = np.full(len(al), -1), np.zeros(len(al), np.int64)
         left = np.arange(len(al))
         for step in (0, 1, -1, 2, -2, 3, -3, 4, -4):  # most intervals have a cut this near
             c = middle[left] + step
             ok = (c > al[left]) & (c < ah[left])
             c, who = c[ok], left[ok]
-            j = np.searchsorted(sb, sa[c])
-            hit = sb[j] == sa[c]
-            cut_a[who[hit]], cut_b[who[hit]] = c[hit], j[hit]
+            hit = shared[c]
+            cut_a[who[hit]], cut_b[who[hit]] = c[hit], place_b[c[hit]]
             left = left[cut_a[left] < 0]
         left = left[(middle[left] - 4 > al[left] + 1) | (middle[left] + 5 < ah[left])]  # others have none
         for i in left.tolist():
@@ -128,8 +153,7 @@ def leaf_groups(sa, sb, bounds_a, bounds_b):
 def links(sa, sb):
     """(i, j) of all tokens of A and B whose bytes overlap, by i, then j."""
     import numpy as np
-    first = np.searchsorted(sb[1:], sa[:-1], side="right")
-    n = np.searchsorted(sb[:-1], sa[1:], side="left") - first
+    first, n = _overlaps(sa, sb)
     i = np.repeat(np.arange(len(n)), n)
     return i, np.arange(len(i)) - np.repeat(np.cumsum(n) - n - first, n)
 
@@ -179,7 +203,7 @@ class Aligner:
         sa, sb = _ends(self.len_a[ids_a]), _ends(self.len_b[ids_b])
         ends_a, ends_b = leaf_groups(sa, sb, bounds_a, bounds_b)
         linked = np.zeros(len(sa), np.int64)
-        linked[1:] = np.cumsum(np.searchsorted(sb[:-1], sa[1:], side="left") - np.searchsorted(sb[1:], sa[:-1], side="right"))
+        linked[1:] = np.cumsum(_overlaps(sa, sb)[1])
         # the tokens in writing order: of each group first A's, then B's
         sizes_a, sizes_b = np.diff(np.r_[0, ends_a]), np.diff(np.r_[0, ends_b])
         words = np.empty(len(ids_a) + len(ids_b), object)

@@ -122,3 +122,14 @@ def test_alignment_columns(spark):
     text = [b"".join(t.token_bytes[i] for i in some) for t, some in zip((a, b), ids, strict=True)]
     assert text == [" Hello wörld again".encode()] * 2 and row["n_groups"] == len(np.frombuffer(row["a_ends"], "<i4"))
     assert not empty["a_ids"] and empty["n_links"] == 0 and empty["groups_sha256"] == ""
+
+
+def test_places_from_a_table_or_by_search():
+    for b in ([0, 2, 3, 7, 9], [0, 2, 2, 3, 9]):  # a repeated place: a token without bytes
+        sb = np.array(b)
+        below, upto = token_align._counter(sb, 9)
+        at = np.arange(10)
+        assert below(at).tolist() == np.searchsorted(sb, at).tolist()
+        assert upto(at).tolist() == np.searchsorted(sb, at, side="right").tolist()
+    i, j = token_align.links(np.array([0, 3, 4, 9]), np.array([0, 2, 3, 7, 9]))
+    assert list(zip(i.tolist(), j.tolist())) == [(0, 0), (0, 1), (1, 2), (2, 2), (2, 3)]
