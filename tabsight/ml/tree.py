@@ -4,11 +4,12 @@ The measure of a set of rows is a vector of sums: the row count, then a count fo
 class, or the sum of the target. A split is best when it makes the sum over both sides of
 |sums|² / count greatest, which is the least Gini impurity, or the least squared error.
 
-Large nodes are split by Spark, a level at a time. Tasks sum their rows by (node, feature,
-value); these lists are sorted by value in range partitions, so a column of any size is
-spread out. Sums before each partition come from a window over one row a partition, node
-and feature; inside partitions running sums add to them, every place between two values is
-scored, and the driver receives the best split of each node. A node whose values fit in a
+Large nodes are split by Spark, a level at a time. Quantiles cut each feature into buckets,
+so a column of any size is spread out. A first scan adds up the sums of each (node, feature,
+bucket), so those before each bucket are known. A second one sums rows by (node, feature,
+value) and deals these lists to their buckets, in one shuffle; there running sums are added,
+every place between two values is scored, and the driver receives the best split of each
+node. Nothing is written between levels. A node whose values fit in a
 task (``VALUES``) is shipped there once with all its rows, and its subtree grown in full, to
 any depth.
 
@@ -18,11 +19,12 @@ targets, is a leaf; any other is split as long as a feature has two values."""
 
 from __future__ import annotations
 
+import itertools
 import math
 
 import numpy as np
 from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,6 +33,8 @@ from ..sources.ingest import scratch_path
 
 #: Values (rows by features) of a node that one task grows.
 VALUES = 4_000_000
+#: Values (rows by features) that a task sums up before it sends them, and numbers of a level's sums.
+CHUNK, SUMS = 1_000_000, 2_000_000
 
 
 def _stored(df: DataFrame) -> DataFrame:
@@ -183,71 +187,141 @@ class ExactTree:
         tree = Nodes()
         level, depth = [tree.add(total)], 0
         small: list[tuple[int, int]] = []  # nodes that a task grows, and their depth
+        cuts: list[np.ndarray] | None = None
         while level:
             open_ = [n for n in level if depth < self.depth and tree.total[n][0] >= self.least and not is_pure(tree.total[n], k)]
             small += [(n, depth) for n in open_ if tree.total[n][0] * d <= VALUES]
             large = [n for n in open_ if tree.total[n][0] * d > VALUES]
             level, depth = [], depth + 1
-            for node, f, cut, low in self._splits(rows, tree, large, k):
+            if large and cuts is None:
+                cuts = self._cuts(rows, d)
+            for node, f, cut, low in self._splits(rows, tree, large, k, cuts):
                 high = [a - b for a, b in zip(tree.total[node], low, strict=True)]
                 level += tree.split(node, f, cut, low, high, _decrease(tree.total[node], low, high, k))
         for node, sub in self._subtrees(rows, tree, small, k):
             tree.graft(node, sub)
         return ExactTreeModel(tree, labels, float(shift), d, self.features_col)
 
-    def _splits(self, rows: DataFrame, tree: Nodes, large: list[int], k: int):
+    @staticmethod
+    def _cuts(rows: DataFrame, d: int) -> list[np.ndarray]:
+        """Ascending borders of the buckets of each feature, about a partition each."""
+        parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        grid = [i / parts for i in range(1, parts)] or [0.5]
+        found = rows.agg(*[F.percentile_approx(F.col("x")[f], grid, 20 * len(grid)).alias(f"c{f}") for f in range(d)]).first()
+        return [np.unique(np.array(c, float)) for c in found]
+
+    def _splits(self, rows: DataFrame, tree: Nodes, large: list[int], k: int, cuts: list[np.ndarray]):
         """(node, feature, threshold, sums left) of the best split of each large node."""
         if not large:
             return
-        spark, width = rows.sparkSession, 1 + (k or 2)
+        width = 1 + (k or 2)
+        buckets = max(len(c) for c in cuts) + 1
+        step = max(1, SUMS // (len(cuts) * buckets * (width + 1)))  # nodes whose sums of all buckets fit in a task
+        for s in range(0, len(large), step):
+            yield from self._some_splits(rows, tree, np.array(large[s:s + step]), k, cuts, buckets)
+
+    def _some_splits(self, rows: DataFrame, tree: Nodes, large: np.ndarray, k: int, cuts: list[np.ndarray], buckets: int):
+        import pyarrow as pa
+        d, width, spark = len(cuts), 1 + (k or 2), rows.sparkSession
+        place = np.full(len(tree.total), -1)
+        place[large] = np.arange(len(large))
         names = [f"m{i}" for i in range(width)]
-        schema = T.StructType([T.StructField("node", T.IntegerType()), T.StructField("feature", T.IntegerType()), T.StructField("value", T.DoubleType()),
-                               *[T.StructField(n, T.DoubleType()) for n in names]])
 
-        def run(batches):
-            import pyarrow as pa
-            for b in batches:
-                if not b.num_rows:
-                    continue
-                x = b.column("x").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
-                node = tree.of(x)
-                keep = np.isin(node, large)
-                x, node, m = x[keep], node[keep], measures(b.column("y").to_numpy()[keep], k)
-                for f in range(x.shape[1] if len(x) else 0):
-                    order = np.lexsort((x[:, f], node))
-                    v, at = x[order, f], node[order]
-                    first = np.flatnonzero(np.r_[True, (v[1:] != v[:-1]) | (at[1:] != at[:-1])])
-                    sums = np.add.reduceat(m[order], first, axis=0)
-                    yield pa.RecordBatch.from_arrays([pa.array(at[first], pa.int32()), pa.array(np.full(len(first), f), pa.int32()), pa.array(v[first]),
-                                                      *[pa.array(sums[:, i]) for i in range(width)]], names=schema.names)
-
-        lists = _stored(rows.mapInArrow(run, schema))
-        place = ["node", "feature", "value"]
+        def lists(batches):
+            """(places, values, sums) for each feature of many rows: one line for each place and
+            value; a place is (feature, bucket, node) as one number."""
+            held, n = [], 0
+            for b in itertools.chain(batches, [None]):
+                if b is not None and b.num_rows:
+                    x = b.column("x").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, d)
+                    node = place[tree.of(x)]
+                    keep = node >= 0
+                    held.append((x[keep], node[keep], measures(b.column("y").to_numpy()[keep], k)))
+                    n += int(keep.sum()) * d
+                if n and (b is None or n >= CHUNK):
+                    x, node, m = (np.concatenate(v) for v in zip(*held, strict=True))
+                    held, n = [], 0
+                    for f in range(d):
+                        at = (f * buckets + np.searchsorted(cuts[f], x[:, f], side="left")) * len(large) + node
+                        order = np.lexsort((x[:, f], at))
+                        v, at = x[order, f], at[order]
+                        first = np.flatnonzero(np.r_[True, (v[1:] != v[:-1]) | (at[1:] != at[:-1])])
+                        yield at[first], v[first], np.add.reduceat(m[order], first, axis=0)
+
+        def bucket_sums(batches):
+            sums, heads = np.zeros((d * buckets * len(large), width)), np.full(d * buckets * len(large), np.nan)
+            for at, v, m in lists(batches):
+                first = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+                sums[at[first]] += np.add.reduceat(m, first, axis=0)
+                heads[at[first]] = np.fmin(heads[at[first]], v[first])
+            some = np.flatnonzero(sums[:, 0])
+            yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(heads[some]), *[pa.array(sums[some, i]) for i in range(width)]],
+                                             names=["at", "head", *names])
+
+        columns = ", ".join(f"{n} double" for n in names)
+        found = rows.mapInArrow(bucket_sums, f"at long, head double, {columns}").groupBy("at") \
+            .agg(F.min("head").alias("head"), *[F.sum(n).alias(n) for n in names]).collect()  # a row a node, feature and bucket
+        sums, heads = np.zeros((d, buckets, len(large), width)), np.full((d, buckets, len(large)), np.nan)
+        for r in found:
+            sums.reshape(-1, width)[r["at"]], heads.reshape(-1)[r["at"]] = [r[n] for n in names], r["head"]
+        before = np.cumsum(sums, axis=1) - sums
+        following = np.full(heads.shape, np.nan)  # the first value of the node in a later bucket
+        for i in range(buckets - 2, -1, -1):
+            following[:, i] = np.where(np.isnan(heads[:, i + 1]), following[:, i + 1], heads[:, i + 1])
+        total = np.array([tree.total[n] for n in large])
+        shared = spark.sparkContext.broadcast((before.reshape(-1, width), following.reshape(-1), total))
+
+        def dealt(batches):
+            for at, v, m in lists(batches):
+                yield pa.RecordBatch.from_arrays([pa.array(at // len(large)), pa.array(at), pa.array(v), *[pa.array(m[:, i]) for i in range(width)]],
+                                                 names=["bucket", "at", "value", *names])
+
+        def scored(batches):
+            """The best split of each place; lines come sorted by place and value."""
+            before, following, total = shared.value
+            last, parts = None, []
+
+            def best():
+                v, m = (np.concatenate(x) for x in zip(*parts, strict=True))
+                first = np.flatnonzero(np.r_[True, v[1:] != v[:-1]])
+                v, low = v[first], before[last] + np.cumsum(np.add.reduceat(m, first, axis=0), axis=0)
+                after = np.r_[v[1:], following[last]]
+                v, low, after = (x[~np.isnan(after)] for x in (v, low, after))
+                if not len(v):
+                    return None
+                used = slice(1, None) if k else slice(1, 2)
+                high = total[last % len(large)] - low
+                score = _rounded((low[:, used] ** 2).sum(axis=1) / low[:, 0] + (high[:, used] ** 2).sum(axis=1) / high[:, 0])
+                i = int(score.argmax())
+                out = [last % len(large), score[i], -(last // len(large) // buckets), -v[i], after[i], *low[i]]
+                return pa.RecordBatch.from_arrays([pa.array([x]) for x in out], names=["node", "score", "f", "v", "after", *names])
+
+            for b in itertools.chain(batches, [None]):
+                at = b.column("at").to_numpy() if b is not None else np.empty(0)
+                if b is not None and len(at):
+                    v, m = b.column("value").to_numpy(), np.stack([b.column(n).to_numpy() for n in names], axis=1)
+                edges = np.flatnonzero(np.r_[True, at[1:] != at[:-1], True]) if len(at) else []
+                for i, j in zip(edges[:-1], edges[1:], strict=True):
+                    if parts and at[i] != last:
+                        if (row := best()) is not None:
+                            yield row
+                        parts = []
+                    last = int(at[i])
+                    parts.append((v[i:j], m[i:j]))
+                if b is None and parts and (row := best()) is not None:
+                    yield row
+
         parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-        sorted_ = _stored(lists.repartitionByRange(parts, *place).groupBy(*place).agg(*[F.sum(n).alias(n) for n in names])
-                          .withColumn("pid", F.spark_partition_id()))
-        group, key = ["node", "feature"], ["pid", "node", "feature"]
-        before = Window.partitionBy(*group).orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)
-        offsets = sorted_.groupBy(*key).agg(F.min("value").alias("head"), *[F.sum(n).alias(n) for n in names]).select(
-            *key, F.lead("head").over(Window.partitionBy(*group).orderBy("pid")).alias("next_head"),
-            *[F.coalesce(F.sum(n).over(before), F.lit(0.0)).alias(f"o{n}") for n in names],
-            *[F.sum(n).over(Window.partitionBy(*group)).alias(f"t{n}") for n in names])
-        running = Window.partitionBy(*key).orderBy("value")
-        scored = sorted_.select(*key, "value", F.lead("value").over(running).alias("following"),
-                                *[F.sum(n).over(running.rowsBetween(Window.unboundedPreceding, 0)).alias(n) for n in names]).join(offsets, key) \
-            .withColumn("following", F.coalesce("following", "next_head")).where("following is not null") \
-            .withColumns({n: F.col(n) + F.col(f"o{n}") for n in names})
-        used = names[1:] if k else names[1:2]
-
-        def side(column):
-            return sum((column(n) ** 2 for n in used), F.lit(0.0)) / column("m0")
-        score = side(F.col) + side(lambda n: F.col(f"t{n}") - F.col(n))
-        unit = F.pow(F.lit(10.0), F.ceil(F.log10(F.greatest(score, F.lit(1e-290)))))
-        best = scored.withColumn("score", F.round(score / unit, 10) * unit).groupBy("node").agg(
-            F.max(F.struct("score", (-F.col("feature")).alias("f"), (-F.col("value")).alias("v"), "following", *names)).alias("s"))
-        for r in best.collect():  # a row a node
+        top = rows.mapInArrow(dealt, f"bucket long, at long, value double, {columns}").repartition(parts, "bucket").drop("bucket") \
+            .sortWithinPartitions("at", "value").mapInArrow(scored, f"node long, score double, f long, v double, after double, {columns}") \
+            .groupBy("node").agg(F.max(F.struct("score", "f", "v", "after", *names)).alias("s"))
+        try:
+            out = top.collect()  # a row a node
+        finally:
+            shared.destroy()
+        for r in out:
             s = r["s"]
-            yield r["node"], -s["f"], threshold(-s["v"], s["following"]), [s[n] for n in names]
+            yield int(large[r["node"]]), -s["f"], threshold(-s["v"], s["after"]), [s[n] for n in names]
 
     def _subtrees(self, rows: DataFrame, tree: Nodes, small: list[tuple[int, int]], k: int):
         """(node, subtree) for each small node, grown in a task."""

@@ -95,3 +95,24 @@ def test_least_rows_and_missing_values(spark):
         tree.ExactTree("regression").fit(frame(spark, x, y).limit(0))
     with pytest.raises(ValueError):
         tree.ExactTree("regression", 3, 1)
+
+
+def test_a_level_of_large_nodes_is_one_shuffle(spark, data, monkeypatch):
+    """A level writes nothing, and its lists are dealt once: by bucket, with equal values of many
+    rows as one line."""
+    monkeypatch.setattr(tree, "VALUES", 0)
+    stored = []
+    monkeypatch.setattr(tree, "_stored", lambda df, f=tree._stored: stored.append(df.columns) or f(df))
+    x, y = np.stack((np.repeat([0.0, 1, 2, 3], 500), np.arange(2000.0) % 7), axis=1), np.repeat([5.0, 1, 1, 9], 500)
+    model = tree.ExactTree("regression", 3).fit(frame(spark, x, y).repartition(5))
+    assert stored == [["x", "y"]] and np.allclose(model.predict(x), y)
+
+
+@pytest.mark.parametrize("sums", [1, 2_000_000])
+def test_nodes_in_parts_and_single_values(spark, data, monkeypatch, sums):
+    """Nodes whose sums don't fit at once, small chunks, and a feature with one value."""
+    for name, v in (("VALUES", 0), ("SUMS", sums), ("CHUNK", 40)):
+        monkeypatch.setattr(tree, name, v)
+    x, y = np.concatenate((np.ones((220, 1)), data[0]), axis=1), data[1]
+    model = tree.ExactTree("regression", 3, 9).fit(frame(spark, x, y).repartition(3))
+    assert np.allclose(model.predict(x), naive(x, y, 3, 9, 0), atol=1e-9)
