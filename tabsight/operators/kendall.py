@@ -5,8 +5,8 @@
 n0 = n(n-1)/2 and the tie terms n1, n2 come from ``groupBy(value).count()``.
 Rows first collapse to distinct (x, y) points with a count (hot values and
 duplicates cost one row). A group of points larger than the target is split
-in rank space: positions inside the group (``ranks.positions``, range
-partitioned) are cut into equal runs per axis; a value lying in more than one
+in rank space: positions inside the group (running counts of its distinct values,
+range partitioned) are cut into equal runs per axis; a value lying in more than one
 run gets a bucket of its own. Then
 
 * pairs in the same x-bucket      -> S of the points in that bucket
@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import clean_double, numeric_columns
 from ..session import broadcast_row_limit, checkpoint_dir, ship_package
-from .ranks import positions
+from .ranks import running_counts
 
 
 def weighted_s(a: np.ndarray, b: np.ndarray, w: np.ndarray) -> float:
@@ -94,18 +94,19 @@ def _group_s(points: DataFrame) -> DataFrame:
         .groupBy("g").applyInPandas(_s_udf, "g string, s double")
 
 
-def _rank_buckets(pts: DataFrame, sizes: DataFrame, a: str, b: str, m: int, out: str) -> DataFrame:
-    """Per group g: order points by (a, b), cut positions into m equal runs; a
+def _rank_buckets(pts: DataFrame, sizes: DataFrame, a: str, m: int, out: str) -> DataFrame:
+    """Per group g: order points by ``a``, cut positions into m equal runs; a
     value of ``a`` lying in more than one run gets a bucket of its own.
-    Bucket ids follow the order of ``a``: 2c for a range, 2c+1 for a single value."""
-    p = positions(pts, [a, b], by=["g"]).join(sizes, "g")
+    Bucket ids follow the order of ``a``: 2c for a range, 2c+1 for a single value.
+    A value's first and last position follow from the counts of the values, so that
+    only the distinct values are sorted, not the points."""
+    values = pts.groupBy("g", a).agg(F.count(F.lit(1)).alias("__k"))
     width = F.ceil(F.col("__s") / F.lit(m))
-    p = p.withColumn("__c", F.floor((F.col("pos") - 1) / width).cast("long"))
-    span = p.groupBy("g", a).agg(F.min("__c").alias("__cmin"), F.max("__c").alias("__cmax"))
-    return (p.join(span, ["g", a])
-            .withColumn(out, 2 * F.col("__cmin") + F.when(F.col("__cmax") > F.col("__cmin"), 1)
-                        .otherwise(0))
-            .drop("pos", "__s", "__c", "__cmin", "__cmax"))
+    first = F.floor(F.col("before") / width).cast("long")
+    last = F.floor((F.col("before") + F.col("__k") - 1) / width).cast("long")
+    of = running_counts(values, ["g"], [a], "__k").join(sizes, "g") \
+        .select("g", a, (2 * first + F.when(last > first, 1).otherwise(0)).alias(out))
+    return pts.join(of, ["g", a])
 
 
 def _total_s(points: DataFrame, target: int, m: int) -> dict[str, float]:
@@ -133,8 +134,7 @@ def _total_s(points: DataFrame, target: int, m: int) -> dict[str, float]:
             raise RuntimeError("a level of the Kendall decomposition made no group smaller")
         largest = top
         pts = points.join(big.select("g"), "g", "left_semi")
-        pts = _rank_buckets(pts, big, "a", "b", m, "ba")
-        pts = _rank_buckets(pts, big, "b", "a", m, "bb")
+        pts = _rank_buckets(_rank_buckets(pts, big, "a", m, "ba"), big, "b", m, "bb").checkpoint(eager=True)  # read three times
         g = F.col("g")
         # pairs in one x-range, pairs in one y-range across x-ranges, and the grid
         sx = pts.where(F.col("ba") % 2 == 0).select(
