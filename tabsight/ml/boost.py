@@ -32,8 +32,9 @@ from ..session import ship_package
 from ..sources.ingest import scratch_path
 
 BLOCK_ROWS, FOLD = 32_768, 10
-#: Values (rows by features) that a task should have at least.
-TASK_VALUES = 2_000_000
+#: Values (rows by features) that a task should have at least. Each task sends the histograms of
+#: all open nodes, so there is at most one a core: what a level shuffles doesn't grow with the rows.
+TASK_VALUES = 4_000_000
 
 
 @dataclass
@@ -194,7 +195,7 @@ class BoostedTrees:
         bins = max(2, *(len(c) + 1 for c in cuts))
         s = _Settings(loss, self.newton, self.reg_lambda, self.gamma, self.min_child_weight, self.rate, bins)
         base = self._base(rows, loss, classes, mean, n)
-        tasks = max(1, -(-n * d // TASK_VALUES))  # coalesce never adds partitions
+        tasks = max(1, min(spark.sparkContext.defaultParallelism, -(-n * d // TASK_VALUES)))  # coalesce never adds partitions
         blocks = self._blocks(rows.coalesce(tasks), d, cuts, classes, loss.k, base, bins)
         state = self._loaded(blocks, d, loss.k)
         rounds: list[list[Tree]] = []

@@ -140,3 +140,14 @@ def test_small_and_awkward_tables(spark):
         boost.BoostedTrees("regression").fit(frame(spark, np.ones((1, 1)), np.ones(1)).limit(0))
     with pytest.raises(ValueError):
         boost.BoostedTrees("ranking")
+
+
+def test_tasks_are_no_more_than_cores(spark, monkeypatch):
+    """What a level shuffles grows with the tasks, so they don't grow with the rows."""
+    monkeypatch.setattr(boost, "TASK_VALUES", 1)
+    seen, loaded = [], boost.BoostedTrees._loaded
+    monkeypatch.setattr(boost.BoostedTrees, "_loaded", staticmethod(lambda *a: seen.append((x := loaded(*a)).getNumPartitions()) or x))
+    cores = spark.sparkContext.defaultParallelism
+    df = spark.createDataFrame([(Vectors.dense([float(i)]), float(i % 3)) for i in range(40 * cores)], ["features", "label"]).repartition(3 * cores)
+    boost.BoostedTrees("regression", 1, 1).fit(df)
+    assert seen and max(seen) <= cores
