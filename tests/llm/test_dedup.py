@@ -158,3 +158,41 @@ def test_kept_rows_of_rows_that_differ_elsewhere(spark):
         near = exact_dedup.kept_rows(df, near_dedup.near_duplicates(df, words=2)).collect()
         assert sum(r["doc_id"] == 1 for r in near) == 1
     assert runs[0] == runs[1] == runs[2] and len(runs[0]) == 2
+
+
+def test_rounds_of_stars_have_other_tables_and_firsts(spark):
+    """A round of shifted tables takes the tables (i, i + shift) only, and a seed another first class a bucket."""
+    rng = np.random.default_rng(4)
+    bands = [rng.integers(0, 9, 6, dtype=np.uint64).tobytes() for _ in range(20)]
+    classes = spark.createDataFrame([(i, bytearray(b)) for i, b in enumerate(bands)], "cid long, __bands binary")
+    every = {tuple(r) for r in near_dedup._key_rows(classes, 3).collect()}
+    some = {tuple(r) for r in near_dedup._key_rows(classes, 3, (), 0, 2).collect()}
+    assert some == {r for r in every if (r[2] + 2) % 3 == r[3]} and len(some) == 60
+    keys = spark.range(400).selectExpr("id as cid", "id + 10 as n", "id as comp", "id % 8 as key", "cast(0 as byte) as i", "cast(1 as byte) as j")
+    for seed in (0, 1):
+        got = near_dedup._neighbours(keys, seed).collect()
+        assert len(got) >= 392 and all(r["u"] % 8 == r["v"] % 8 and r["nu"] == r["u"] + 10 and r["own"] == -1 for r in got)
+        assert {r["u"] for r in got} >= set(range(8)) if not seed else len({r["u"] for r in got} - set(range(8)))
+
+
+def test_texts_near_the_limit_are_joined_by_rounds(spark, monkeypatch):
+    """Many texts around 0.8 of one another: rounds of stars leave fewer pairs to the last step, with the same groups."""
+    rng = np.random.default_rng(8)
+    base = [f"w{i}" for i in range(120)]
+    texts = []
+    for _ in range(60):
+        words = list(base)
+        for at in rng.choice(120, 3, replace=False):
+            words[at] = f"x{rng.integers(1 << 30)}"
+        texts.append(" ".join(words))
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3).cache()
+    seen, across, groups = [], near_dedup._across, []
+    monkeypatch.setattr(near_dedup, "_across", lambda *a: seen.append((x := across(*a)).count()) or x)
+    for few in (1, 10 ** 9):  # at most one round; all of them
+        monkeypatch.setattr(near_dedup, "FEW", few)
+        groups.append(sorted((r["doc_id"], r["component_id"]) for r in near_dedup.near_duplicates(df, words=4).collect()))
+    sets = [set(zip(*[t.split()[k:] for k in range(4)], strict=False)) for t in texts]
+    low = list(range(60))
+    for _ in range(60):
+        low = [min(low[j] for j in range(60) if 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])) for i in range(60)]
+    assert groups[0] == groups[1] == list(enumerate(low)) and seen[1] <= seen[0]
