@@ -6,18 +6,18 @@ products around the means of a first pass, else the pairwise-complete covariance
 (``try_divide``, so a constant column yields NULL instead of an ANSI error);
 chunked so very wide tables stay inside code generation limits.
 
-Spearman: average ranks come from ``ranks.average_ranks`` (distinct values,
-range partitioned prefix sums - never one task per column); each column is
-replaced by its rank with an equi-join on the value, then Pearson runs on the
-ranks. Where columns have NULLs, a pair is ranked on its complete rows (the pandas
-definition): ``ranks.partner_ranks`` gives each value one rank for each partner column
-from one set of running counts, so all pairs come from one job.
+Spearman: ``rank_products`` ranks the values of all columns in buckets and adds up
+the products of a row's ranks; values travel, rows don't. Where columns have NULLs,
+a pair is ranked on its complete rows (the pandas definition): ``ranks.partner_ranks``
+gives each value one rank for each partner column from one set of running counts, so
+all pairs come from one job.
 
 Kendall: see ``kendall.tau_b``.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from itertools import combinations_with_replacement
 
@@ -26,7 +26,8 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import clean_double, numeric_columns
 from ..session import broadcast_row_limit
-from .ranks import average_ranks, partner_ranks
+from .rank_products import rank_products
+from .ranks import partner_ranks
 
 METHODS = ("pearson", "spearman", "kendall")
 
@@ -45,7 +46,7 @@ def _pair_exprs(x: Column, y: Column, tag: str) -> list[Column]:
 
 
 def pearson_long(df: DataFrame, columns: Sequence[str] | None = None,
-                 chunk: int = 150, known: dict | None = None) -> DataFrame:
+                 chunk: int = 150) -> DataFrame:
     """(column1, column2, i, j, n, correlation) for i <= j, pairwise complete.
 
     A cheap first pass (count, min, max, mean per column) classifies columns; pairs
@@ -57,14 +58,11 @@ def pearson_long(df: DataFrame, columns: Sequence[str] | None = None,
         raise ValueError("a correlation takes two numeric columns or more")
     base = df.select(*[clean_double(c).alias(f"__c{i}") for i, c in enumerate(columns)])
     k = len(columns)
-    if known is None:
-        pre = base.agg(F.count(F.lit(1)).alias("rows"),
-                       *[x for i in range(k) for x in (F.count(f"__c{i}").alias(f"n{i}"),
-                                                       F.avg(f"__c{i}").alias(f"mu{i}"),
-                                                       F.min(f"__c{i}").alias(f"lo{i}"),
-                                                       F.max(f"__c{i}").alias(f"hi{i}"))]).first()
-    else:  # caller already knows counts and constant columns (e.g. from ranking)
-        pre = known
+    pre = base.agg(F.count(F.lit(1)).alias("rows"),
+                   *[x for i in range(k) for x in (F.count(f"__c{i}").alias(f"n{i}"),
+                                                   F.avg(f"__c{i}").alias(f"mu{i}"),
+                                                   F.min(f"__c{i}").alias(f"lo{i}"),
+                                                   F.max(f"__c{i}").alias(f"hi{i}"))]).first()
     rows = pre["rows"]
     full = [pre[f"n{i}"] == rows for i in range(k)]
     const = [pre[f"n{i}"] == 0 or pre[f"lo{i}"] == pre[f"hi{i}"] for i in range(k)]
@@ -132,39 +130,23 @@ def _null_free(df: DataFrame, columns: Sequence[str]) -> tuple[bool, int]:
     return all(row[f"m{i}"] == 0 for i in range(len(columns))), row["__rows"]
 
 
-def ranked_columns(df: DataFrame, columns: Sequence[str], sizes_out: dict | None = None) -> DataFrame:
-    """Replace every column by its average rank (rows with NULL keep NULL)."""
-    spark = df.sparkSession
-    limit = broadcast_row_limit(spark)
-    base = df.select(*[clean_double(c).alias(c) for c in columns])
-    ranks = average_ranks(base, columns)
-    sizes = {r["column"]: r["n"] for r in ranks.groupBy("column").count()
-             .withColumnRenamed("count", "n").collect()}
-    if sizes_out is not None:
-        sizes_out.update(sizes)
-    out = base
-    for c in columns:
-        rc = ranks.where(F.col("column") == c).select(F.col("v").alias(c), F.col("rank").alias(f"__r_{c}"))
-        rc = F.broadcast(rc) if sizes.get(c, 0) <= limit else rc
-        out = out.join(rc, c, "left")
-    return out.select(*[F.col(f"__r_{c}").alias(c) for c in columns])
-
-
 def spearman_long(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     columns = list(columns) if columns is not None else numeric_columns(df)
     if len(columns) < 2:
         raise ValueError("a correlation takes two numeric columns or more")
     complete, rows = _null_free(df, columns)
-    if complete:
-        sizes: dict = {}
-        ranked = ranked_columns(df, columns, sizes)
-        known = {"rows": rows}
-        for i, c in enumerate(columns):
-            known[f"n{i}"], known[f"mu{i}"] = rows, (rows + 1) / 2  # the mean of all ranks
-            # a column with one distinct value is constant: lo == hi
-            known[f"lo{i}"], known[f"hi{i}"] = 0, (0 if sizes.get(c, 0) <= 1 else 1)
-        return pearson_long(ranked, columns, known=known)
-    return _spearman_with_nulls(df, columns)
+    if not complete:
+        return _spearman_with_nulls(df, columns)
+    base = df.select(*[clean_double(c).alias(f"__c{i}") for i, c in enumerate(columns)])
+    sums, constant = rank_products(base, rows) if rows else ({}, [True] * len(columns))
+    out = []
+    for i, j in combinations_with_replacement(range(len(columns)), 2):
+        if constant[i] or constant[j]:
+            r = None
+        else:
+            r = 1.0 if i == j else min(1.0, max(-1.0, sums[i, j] / math.sqrt(sums[i, i]) / math.sqrt(sums[j, j])))
+        out.append((columns[i], columns[j], i, j, rows, r))
+    return df.sparkSession.createDataFrame(out, "column1 string, column2 string, i int, j int, n long, correlation double")
 
 
 def _spearman_with_nulls(df: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -24,7 +24,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import checkpoint_dir, ship_package
-from .quantiles import long_values
 
 
 def _running(batches):
@@ -75,15 +74,6 @@ def running_counts(df: DataFrame, group: Sequence[str], order: Sequence[str], co
             .drop("__pid", "__g", "__cnt", "__off", "__local"))
 
 
-def average_ranks(df: DataFrame, columns: Sequence[str], partitions: int | None = None) -> DataFrame:
-    """(column, v, cnt, rank) for every distinct non-null value of each column;
-    ties get the mean of their positions, like pandas ``rank()``."""
-    distinct = (long_values(df, columns).groupBy("column", "v")
-                .agg(F.count(F.lit(1)).alias("cnt")))
-    return running_counts(distinct, ["column"], ["v"], "cnt", partitions) \
-        .select("column", "v", "cnt", (F.col("before") + (F.col("cnt") + 1) / 2.0).alias("rank"))
-
-
 def partner_ranks(df: DataFrame, columns: Sequence[str], partitions: int | None = None) -> DataFrame:
     """(i, v, ranks) for every distinct non-null value v of the i-th column: ``ranks[j]`` is
     its average rank among the rows where the j-th column isn't NULL either.

@@ -151,3 +151,34 @@ def test_shapiro_plan_has_no_single_task_over_rows(spark):
     lines = hypothesis.shapiro(df, ["v"])._jdf.queryExecution().executedPlan().toString().split("\n")
     below = [lines[k + 1] for k, x in enumerate(lines) if "SinglePartition" in x]
     assert all("partial_" in x for x in below) and not any("row_number" in x for x in lines)
+
+
+def test_spearman_brings_rows_together_once(spark, monkeypatch):
+    """Ranks of columns with many values come from buckets: no join of the rows a column."""
+    from pyspark.sql import DataFrame
+
+    from tabsight.operators import rank_products
+    rng = np.random.default_rng(3)
+    n = 2000
+    pdf = pd.DataFrame({"a": rng.normal(size=n), "b": rng.integers(0, 9, n).astype(float), "d": np.ones(n),
+                        "c": np.where(rng.random(n) < 0.4, 0.25, rng.normal(size=n)).round(2)})  # a hot value, ties
+    pdf["e"] = pdf.a * 3 + rng.normal(size=n)
+    pdf.loc[:2, "a"], pdf.loc[5, "e"], pdf.loc[6:9, "c"] = [-np.inf, -0.0, 0.0], np.inf, [-0.0, 0.0, -0.0, 0.0]
+    monkeypatch.setattr(rank_products, "RUN", 60)
+    monkeypatch.setattr(rank_products, "BLOCK", 128)
+    monkeypatch.setattr(rank_products, "VALUES", 1500)
+    df = spark.createDataFrame(pdf).repartition(3)
+    want = pdf.rank().corr()
+    spark.conf.set("tabsight.broadcastBytes", "320")
+    try:
+        with monkeypatch.context() as m:
+            m.setattr(DataFrame, "join", lambda *a, **k: pytest.fail("rows are joined"))
+            got = correlation.correlation_long(df, list(pdf.columns), "spearman").collect()
+    finally:
+        spark.conf.unset("tabsight.broadcastBytes")
+    assert len(got) == 15
+    for r in got:
+        if "d" in (r["column1"], r["column2"]):
+            assert r["correlation"] is None and r["n"] == n
+        else:
+            assert r["correlation"] == pytest.approx(want.loc[r["column1"], r["column2"]], abs=1e-12) and r["n"] == n
