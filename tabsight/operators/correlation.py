@@ -8,9 +8,8 @@ chunked so very wide tables stay inside code generation limits.
 
 Spearman: ``rank_products`` ranks the values of all columns in buckets and adds up
 the products of a row's ranks; values travel, rows don't. Where columns have NULLs,
-a pair is ranked on its complete rows (the pandas definition): ``ranks.partner_ranks``
-gives each value one rank for each partner column from one set of running counts, so
-all pairs come from one job.
+a pair is ranked on its complete rows (the pandas definition): a value has one rank more
+for each partner column with NULLs, and all pairs come from one job.
 
 Kendall: see ``kendall.tau_b``.
 """
@@ -25,9 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import clean_double, numeric_columns
-from ..session import broadcast_row_limit
 from .rank_products import rank_products
-from .ranks import partner_ranks
 
 METHODS = ("pearson", "spearman", "kendall")
 
@@ -123,61 +120,23 @@ def _clip(r: Column) -> Column:
     return F.when(r > 1.0, F.lit(1.0)).when(r < -1.0, F.lit(-1.0)).otherwise(r)
 
 
-def _null_free(df: DataFrame, columns: Sequence[str]) -> tuple[bool, int]:
-    row = df.agg(F.count(F.lit(1)).alias("__rows"),
-                 *[F.count_if(clean_double(c).isNull()).alias(f"m{i}")
-                   for i, c in enumerate(columns)]).first()
-    return all(row[f"m{i}"] == 0 for i in range(len(columns))), row["__rows"]
-
-
 def spearman_long(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     columns = list(columns) if columns is not None else numeric_columns(df)
     if len(columns) < 2:
         raise ValueError("a correlation takes two numeric columns or more")
-    complete, rows = _null_free(df, columns)
-    if not complete:
-        return _spearman_with_nulls(df, columns)
     base = df.select(*[clean_double(c).alias(f"__c{i}") for i, c in enumerate(columns)])
-    sums, constant = rank_products(base, rows) if rows else ({}, [True] * len(columns))
+    seen = base.agg(F.count(F.lit(1)).alias("rows"), *[F.count(c).alias(c) for c in base.columns]).first()
+    holes = [i for i, c in enumerate(base.columns) if seen[c] < seen["rows"]]
+    sums, constant = rank_products(base, seen["rows"], holes) if seen["rows"] else ({}, [True] * len(columns))
     out = []
     for i, j in combinations_with_replacement(range(len(columns)), 2):
-        if constant[i] or constant[j]:
-            r = None
-        else:
-            r = 1.0 if i == j else min(1.0, max(-1.0, sums[i, j] / math.sqrt(sums[i, i]) / math.sqrt(sums[j, j])))
-        out.append((columns[i], columns[j], i, j, rows, r))
-    return df.sparkSession.createDataFrame(out, "column1 string, column2 string, i int, j int, n long, correlation double")
-
-
-def _spearman_with_nulls(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Spearman of all pairs on their complete rows, in one aggregate."""
-    k, limit = len(columns), broadcast_row_limit(df.sparkSession)
-    base = df.select(*[clean_double(c).alias(f"__c{i}") for i, c in enumerate(columns)])
-    pairs = list(combinations_with_replacement(range(k), 2))
-    n = base.agg(*[F.count_if(F.col(f"__c{i}").isNotNull() & F.col(f"__c{j}").isNotNull()) for i, j in pairs]).first()
-    n = dict(zip(pairs, n, strict=True))
-    ranks = partner_ranks(base, [f"__c{i}" for i in range(k)])
-    distinct = {r["i"]: r["count"] for r in ranks.groupBy("i").count().collect()}
-    out = base
-    for i in range(k):
-        of = ranks.where(F.col("i") == i).select(F.col("v").alias(f"__c{i}"), F.col("ranks").alias(f"__r{i}"))
-        out = out.join(F.broadcast(of) if distinct.get(i, 0) * k <= limit else of, f"__c{i}", "left")
-    exprs = []
-    for i, j in pairs:
-        if i < j:
-            x, y = (F.get(f"__r{p}", F.lit(q)) - F.lit((n[i, j] + 1) / 2) for p, q in ((i, j), (j, i)))
-            both = F.col(f"__c{i}").isNotNull() & F.col(f"__c{j}").isNotNull()
-            exprs += [F.sum(F.when(both, a * b)).alias(f"{t}_{i}_{j}") for t, a, b in (("xy", x, y), ("xx", x, x), ("yy", y, y))]
-    sums = out.agg(*exprs)
-    structs = []
-    for i, j in pairs:
+        n, xy, xx, yy = sums.get((i, j), (0, 0.0, 0.0, 0.0))
         if i == j:
-            r = F.lit(1.0 if distinct.get(i, 0) > 1 else None).cast("double")
+            r = None if constant[i] else 1.0
         else:
-            r = F.try_divide(F.col(f"xy_{i}_{j}"), F.sqrt(f"xx_{i}_{j}") * F.sqrt(f"yy_{i}_{j}"))
-        structs.append(F.struct(F.lit(columns[i]).alias("column1"), F.lit(columns[j]).alias("column2"), F.lit(i).alias("i"),
-                                F.lit(j).alias("j"), F.lit(n[i, j]).cast("bigint").alias("n"), _clip(r).alias("correlation")))
-    return sums.select(F.explode(F.array(*structs)).alias("s")).select("s.*")
+            r = min(1.0, max(-1.0, xy / (math.sqrt(xx) * math.sqrt(yy)))) if xx and yy else None
+        out.append((columns[i], columns[j], i, j, n, r))
+    return df.sparkSession.createDataFrame(out, "column1 string, column2 string, i int, j int, n long, correlation double")
 
 
 def correlation_long(df: DataFrame, columns: Sequence[str] | None = None,

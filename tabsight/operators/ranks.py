@@ -74,30 +74,6 @@ def running_counts(df: DataFrame, group: Sequence[str], order: Sequence[str], co
             .drop("__pid", "__g", "__cnt", "__off", "__local"))
 
 
-def partner_ranks(df: DataFrame, columns: Sequence[str], partitions: int | None = None) -> DataFrame:
-    """(i, v, ranks) for every distinct non-null value v of the i-th column: ``ranks[j]`` is
-    its average rank among the rows where the j-th column isn't NULL either.
-
-    A value's rows are counted once for each partner column; running sums of these counts
-    over the sorted values give all ranks. Values are range partitioned; the sums before a
-    partition come from one row a partition and column."""
-    spark = df.sparkSession
-    marks = [f"m{j}" for j in range(len(columns))]
-    melted = df.select(F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(c).alias("v")) for i, c in enumerate(columns)])).alias("s"),
-                       *[F.col(c).isNotNull().cast("long").alias(m) for c, m in zip(columns, marks, strict=True)])
-    counts = melted.where("s.v is not null").groupBy("s.i", "s.v").agg(*[F.sum(m).alias(m) for m in marks])
-    checkpoint_dir(spark)
-    placed = counts.repartitionByRange(partitions or int(spark.conf.get("spark.sql.shuffle.partitions")), "i", "v") \
-        .withColumn("pid", F.spark_partition_id()).checkpoint(eager=True)
-    before = Window.partitionBy("i").orderBy("pid").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = placed.groupBy("pid", "i").agg(*[F.sum(m).alias(m) for m in marks]) \
-        .select("pid", "i", *[F.coalesce(F.sum(m).over(before), F.lit(0)).alias(f"o{m}") for m in marks])
-    inside = Window.partitionBy("pid", "i").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
-    running = placed.select("pid", "i", "v", *marks, *[F.coalesce(F.sum(m).over(inside), F.lit(0)).alias(f"b{m}") for m in marks])
-    return running.join(offsets, ["pid", "i"]).select(
-        "i", "v", F.array(*[F.col(f"o{m}") + F.col(f"b{m}") + (F.col(m) + 1) / 2.0 for m in marks]).alias("ranks")).checkpoint(eager=True)
-
-
 def positions(df: DataFrame, order: Sequence[str], by: Sequence[str] = (),
               partitions: int | None = None) -> DataFrame:
     """``df`` + ``pos``: the 1-based row position within ``by`` groups following

@@ -153,7 +153,8 @@ def test_shapiro_plan_has_no_single_task_over_rows(spark):
     assert all("partial_" in x for x in below) and not any("row_number" in x for x in lines)
 
 
-def test_spearman_brings_rows_together_once(spark, monkeypatch):
+@pytest.mark.parametrize("holes", [False, True])
+def test_spearman_brings_rows_together_once(spark, monkeypatch, holes):
     """Ranks of columns with many values come from buckets: no join of the rows a column."""
     from pyspark.sql import DataFrame
 
@@ -168,7 +169,9 @@ def test_spearman_brings_rows_together_once(spark, monkeypatch):
     monkeypatch.setattr(rank_products, "BLOCK", 128)
     monkeypatch.setattr(rank_products, "VALUES", 1500)
     df = spark.createDataFrame(pdf).repartition(3)
-    want = pdf.rank().corr()
+    if holes:
+        pdf.loc[::7, "a"], pdf.loc[rng.random(n) < 0.6, "c"], pdf["f"] = np.nan, np.nan, np.nan
+        df = spark.createDataFrame(pdf).repartition(3)
     spark.conf.set("tabsight.broadcastBytes", "320")
     try:
         with monkeypatch.context() as m:
@@ -176,9 +179,11 @@ def test_spearman_brings_rows_together_once(spark, monkeypatch):
             got = correlation.correlation_long(df, list(pdf.columns), "spearman").collect()
     finally:
         spark.conf.unset("tabsight.broadcastBytes")
-    assert len(got) == 15
+    assert len(got) == (21 if holes else 15)
     for r in got:
-        if "d" in (r["column1"], r["column2"]):
-            assert r["correlation"] is None and r["n"] == n
+        both = pdf[[r["column1"], r["column2"]]].dropna()
+        assert r["n"] == len(both)
+        if {"d", "f"} & {r["column1"], r["column2"]}:
+            assert r["correlation"] is None
         else:
-            assert r["correlation"] == pytest.approx(want.loc[r["column1"], r["column2"]], abs=1e-12) and r["n"] == n
+            assert r["correlation"] == pytest.approx(both.rank().corr().iloc[0, 1], abs=1e-12)
