@@ -32,6 +32,7 @@ from collections import Counter
 from itertools import combinations_with_replacement
 
 import numpy as np
+import pyarrow as pa
 from pyspark.ml import Transformer
 from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LinearSVC,
                                        LogisticRegression, OneVsRest, RandomForestClassifier)
@@ -173,24 +174,55 @@ class PolynomialKernelFeatures(Transformer):
 
 
 def _map_vectors(df: DataFrame, input_col: str, output_col: str, f) -> DataFrame:
-    """A vector column through ``f`` (a matrix of rows to a matrix) in Arrow batches."""
+    """A vector column through ``f`` (a matrix of rows to a matrix) in Arrow batches; where
+    nothing reads the new column, it is not computed."""
     from ..session import ship_package
     ship_package(df.sparkSession)
-    tmp = df.withColumn("__arr", vector_to_array(F.col(input_col)))
-    schema = T.StructType(tmp.schema.fields + [T.StructField("__out", T.ArrayType(T.DoubleType()))])
 
-    def run(batches):
-        for pdf in batches:
-            if len(pdf):
-                yield pdf.assign(__out=list(f(np.vstack(pdf["__arr"].to_numpy()))))
-
-    return tmp.mapInPandas(run, schema).withColumn(output_col, array_to_vector("__out")).select(*df.columns, output_col)
+    def run(v: pa.Array) -> pa.Array:
+        x = v.flatten().to_numpy(zero_copy_only=False)
+        out = f(x.reshape(len(v), len(x) // max(1, len(v)))) if len(v) else np.zeros((0, 0))
+        return pa.ListArray.from_arrays(np.arange(len(out) + 1, dtype=np.int32) * out.shape[1], pa.array(out.ravel()))
+
+    mapped = F.arrow_udf(run, T.ArrayType(T.DoubleType()))(vector_to_array(F.col(input_col)))
+    return df.withColumn(output_col, array_to_vector(mapped))
+
+
+#: sin(pi t) / t as a polynomial of t^2, to 5e-16 where |t| <= 1/2.
+SINE = np.array([(-1) ** k * math.pi ** (2 * k + 1) / math.factorial(2 * k + 1) for k in range(10)])
+
+
+def _cosines(w: np.ndarray, b: np.ndarray, size: float, held: int = 64_000):
+    """x -> size cos(x w + b), by size - 2 size sin(angle / 2)^2: a few array operations on the
+    fraction of a turn, ``held`` values at once; np.cos takes three times as long."""
+    turn, shift, n = w / (2 * math.pi), b / (2 * math.pi), len(b)
+    coefs, step = SINE * math.sqrt(2 * size), max(1, held // max(1, n))
+
+    def run(x):
+        out = np.empty((len(x), n))
+        for at in range(0, len(x), step):
+            s = out[at:at + step]
+            t = x[at:at + step] @ turn
+            t += shift
+            u = np.rint(t)
+            t -= u
+            np.multiply(t, t, out=u)
+            np.multiply(u, coefs[-1], out=s)
+            for c in coefs[-2:0:-1]:
+                s += c
+                s *= u
+            s += coefs[0]
+            s *= t
+            s *= s
+            np.subtract(size, s, out=s)
+        return out
+    return run
 
 
 class RandomFourierFeatures(Transformer):
     """x (vector) -> sqrt(2/D) cos(W x + b), W ~ N(0, 2 gamma), b ~ U(0, 2 pi).
 
-    Applied with ``mapInPandas`` on Arrow batches (numpy matrix product)."""
+    Applied on Arrow batches (numpy matrix product)."""
 
     def __init__(self, input_col: str, output_col: str, n_features: int, dim: int, gamma: float,
                  seed: int = 42):
@@ -202,15 +234,7 @@ class RandomFourierFeatures(Transformer):
 
     def mapped(self):
         """The map of a matrix of rows, without this object."""
-        w, b, n = self.w, self.b, self.n
-
-        def run(x):
-            out = x @ w
-            out += b
-            np.cos(out, out=out)
-            out *= math.sqrt(2.0 / n)
-            return out
-        return run
+        return _cosines(self.w, self.b, math.sqrt(2.0 / self.n))
 
     def _transform(self, df: DataFrame) -> DataFrame:
         return _map_vectors(df, self.input_col, self.output_col, self.mapped())

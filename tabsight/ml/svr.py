@@ -2,10 +2,10 @@
 
 Minimises |w|^2 / (2 C n) + mean(max(0, |y - w.x - b| - epsilon)) over a feature
 column, or over a kernel's features, which tasks compute from that column and never
-store. Each step is one pass: tasks sum the loss and its gradient over Arrow
-batches, one row a partition; these are added up a tree of fan-in ``FAN_IN``, and the
-driver adds the last few and steps a limited memory quasi-Newton method over the
-weights (as many numbers as features). The
+store. The rows are packed once, as the bytes of blocks of numbers. Each step is one
+pass: tasks sum the loss and its gradient over these blocks, one row a partition; these
+are added up a tree of fan-in ``FAN_IN``, and the driver adds the last few and steps a
+limited memory quasi-Newton method over the weights (as many numbers as features). The
 loss is rounded off over a width that shrinks to a thousandth of epsilon, so the
 result is the optimum of the stated problem up to that rounding."""
 
@@ -23,7 +23,9 @@ from ..session import checkpoint_dir, ship_package
 #: Partial sums that a task, or the driver, adds.
 FAN_IN = 32
 #: Values (rows by weights) that a task should have at most, and that it holds at once.
-TASK_VALUES, HELD_VALUES = 6_000_000, 64_000
+TASK_VALUES, HELD_VALUES = 20_000_000, 64_000
+#: Bytes of a block of rows; one Arrow batch has up to 10,000 blocks.
+BLOCK_BYTES = 4096
 
 #: Step lengths tried in one pass.
 TRIED = 4
@@ -38,30 +40,53 @@ def smooth_loss(e: np.ndarray, epsilon: float, width: float) -> tuple[np.ndarray
     return loss, np.sign(e) * inner / width
 
 
+def _packed(rows: DataFrame, columns: int) -> DataFrame:
+    """The numbers (x, y) of each block of rows, row after row, as bytes: a pass then reads
+    no list a row."""
+    block = _block(columns)
+
+    def pack(batches):
+        for b in batches:
+            if b.num_rows:
+                x = b.column("x").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
+                z = np.concatenate((x, b.column("y").to_numpy()[:, None]), axis=1)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([z[at:at + block].tobytes() for at in range(0, len(z), block)], pa.binary())], names=["z"])
+
+    return rows.mapInArrow(pack, "z binary")
+
+
+def _block(columns: int) -> int:
+    """Rows of a block."""
+    return max(1, BLOCK_BYTES // (8 * (columns + 1)))
+
+
 class _Sums:
-    """Loss and gradient at each of some points, summed over the rows of a table in one pass."""
+    """Loss and gradient at each of some points, summed over the packed rows of a table in one pass."""
 
-    def __init__(self, rows: DataFrame, n: int, dim: int, c: float, epsilon: float, mapped=None):
-        self.rows, self.n, self.dim, self.c, self.epsilon, self.mapped = rows, n, dim, c, epsilon, mapped
+    def __init__(self, rows: DataFrame, n: int, columns: int, dim: int, c: float, epsilon: float, mapped=None):
+        self.rows, self.n, self.columns, self.dim, self.c, self.epsilon, self.mapped = rows, n, columns, dim, c, epsilon, mapped
         self.partitions = rows.rdd.getNumPartitions()
 
     def __call__(self, points: np.ndarray, width: float) -> list[tuple[float, np.ndarray]]:
-        epsilon, dim, mapped = self.epsilon, self.dim, self.mapped
+        epsilon, columns, dim, mapped = self.epsilon, self.columns, self.dim, self.mapped
         step, size = max(1, HELD_VALUES // max(1, dim)), len(points) * (dim + 2)
+        blocks = max(1, step // _block(columns))
 
         def run(batches):
             sums = np.zeros((len(points), dim + 2))
             for batch in batches:
-                for at in range(0, batch.num_rows, step):
-                    b = batch.slice(at, step)
-                    x = b.column("x").flatten().to_numpy(zero_copy_only=False).reshape(b.num_rows, -1)
-                    x = x if mapped is None else mapped(x)
-                    y = b.column("y").to_numpy()
-                    for total, point in zip(sums, points, strict=True):
-                        loss, slope = smooth_loss(x @ point[:-1] + point[-1] - y, epsilon, width)
-                        total[0] += loss.sum()
-                        total[1:-1] += slope @ x
-                        total[-1] += slope.sum()
+                for at in range(0, batch.num_rows, blocks):
+                    held = b"".join(batch.column("z").slice(at, blocks).to_pylist())
+                    held = np.frombuffer(held).reshape(-1, columns + 1)
+                    for z in (held[i:i + step] for i in range(0, len(held), step)):
+                        x, y = z[:, :-1], z[:, -1]
+                        x = x if mapped is None else mapped(x)
+                        for total, point in zip(sums, points, strict=True):
+                            loss, slope = smooth_loss(x @ point[:-1] + point[-1] - y, epsilon, width)
+                            total[0] += loss.sum()
+                            total[1:-1] += slope @ x
+                            total[-1] += slope.sum()
             yield pa.RecordBatch.from_arrays([pa.array([sums.ravel()], pa.list_(pa.float64()))], names=["s"])
 
         def add(batches):
@@ -111,28 +136,45 @@ def _minimise(f, start: np.ndarray, steps: int, tol: float, memory: int = 10) ->
         if t < 1e-8:
             break
         new, v, g = found
-        if (g - grad) @ (new - x) > 1e-12:
+        if (g - grad) @ (new - x) > 1e-12 * (grad @ (x - new)):  # of the slope: means over many rows curve little
             past = [*past[1 - memory:], (new - x, g - grad)]
         x, value, grad = new, v, g
     return x
 
 
 class SVRModel:
-    """Weights and intercept; ``transform`` adds ``prediction``."""
+    """Weights and intercept; ``transform`` adds ``prediction``, from the features column or
+    from the features that ``mapped`` makes of the column ``of``."""
 
-    def __init__(self, weights: np.ndarray, intercept: float, features_col: str):
-        self.weights, self.intercept, self.features_col = weights, intercept, features_col
+    def __init__(self, weights: np.ndarray, intercept: float, features_col: str, of: str | None = None, mapped=None):
+        self.weights, self.intercept, self.features_col, self.of, self.mapped = weights, intercept, features_col, of, mapped
 
     def transform(self, df: DataFrame) -> DataFrame:
+        if self.mapped is not None:
+            ship_package(df.sparkSession)
+            dots = F.arrow_udf(_dots(self.weights, self.intercept, self.mapped), "double")
+            return df.withColumn("prediction", dots(vector_to_array(self.of)))
         w = F.array(*[F.lit(float(v)) for v in self.weights])
         dot = F.aggregate(F.zip_with(vector_to_array(self.features_col), w, lambda a, b: a * b), F.lit(0.0), lambda s, v: s + v)
         return df.withColumn("prediction", dot + F.lit(float(self.intercept)))
 
 
+def _dots(weights: np.ndarray, intercept: float, mapped):
+    """Arrow lists -> the predictions of their mapped rows."""
+    step = max(1, HELD_VALUES // max(1, len(weights)))
+
+    def run(v: pa.Array) -> pa.Array:
+        x = v.flatten().to_numpy(zero_copy_only=False)
+        x, out = x.reshape(len(v), len(x) // max(1, len(v))), np.empty(len(v))
+        for at in range(0, len(v), step):
+            out[at:at + step] = mapped(x[at:at + step]) @ weights + intercept
+        return pa.array(out)
+    return run
+
+
 class EpsilonSVR:
     """``fit(df)`` on (features vector, label). With ``mapped`` (a matrix of rows to one of
-    features) the weights are those of ``mapped(df[of])``, and ``transform`` reads these features
-    from the features column."""
+    features) the weights are those of ``mapped(df[of])``, and ``transform`` maps that column too."""
 
     def __init__(self, c: float = 1.0, epsilon: float = 0.1, max_iter: int = 100, tol: float = 1e-5,
                  features_col: str = "features", label_col: str = "label"):
@@ -144,17 +186,16 @@ class EpsilonSVR:
         checkpoint_dir(df.sparkSession)
         rows = df.select(vector_to_array(of or self.features_col).alias("x"), F.col(self.label_col).cast("double").alias("y")) \
             .checkpoint(eager=True)
-        n, dim, mean = rows.agg(F.count(F.lit(1)), F.max(F.size("x")), F.avg("y")).first()
+        n, columns, mean, spread = rows.agg(F.count(F.lit(1)), F.max(F.size("x")), F.avg("y"), F.stddev_pop("y")).first()
         if not n:
             raise ValueError("no rows to fit")
-        if mapped is not None:
-            dim = mapped(np.zeros((1, dim))).shape[1]
+        dim = columns if mapped is None else mapped(np.zeros((1, columns))).shape[1]
         tasks = -(-n * dim // TASK_VALUES)
         if rows.rdd.getNumPartitions() < tasks:
-            rows = rows.repartition(tasks).checkpoint(eager=True)
-        sums = _Sums(rows, n, dim, self.c, self.epsilon, mapped)
+            rows = rows.repartition(tasks)
+        sums = _Sums(_packed(rows, columns).checkpoint(eager=True), n, columns, dim, self.c, self.epsilon, mapped)
         point = np.r_[np.zeros(dim), mean]
-        spread = rows.agg(F.stddev_pop("y")).first()[0] or 1.0
+        spread = spread or 1.0
         for width in (spread, spread / 10, max(self.epsilon, 1e-3) / 1000):
             point = _minimise(lambda p, w=width: sums(p, w), point, self.max_iter, self.tol)
-        return SVRModel(point[:-1], point[-1], self.features_col)
+        return SVRModel(point[:-1], point[-1], self.features_col, of, mapped)

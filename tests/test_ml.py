@@ -338,6 +338,64 @@ def test_svr_halves_are_tried_in_one_pass():
     assert passes[:4] == [1, 1, 4, 4]  # the start, a whole step, its halves to 1/16, to 1/256
 
 
+def test_svr_steps_do_not_depend_on_the_scale_of_the_loss():
+    from tabsight.ml.svr import _minimise
+    curve, slope, passes = np.array([1e-6, 2e-7]), np.array([1e-4, -5e-5]), []
+
+    def f(points):
+        passes.append(len(points))
+        return [(float(p @ (curve * p) / 2 - slope @ p), curve * p - slope) for p in points]
+    x = _minimise(f, np.zeros(2), 100, 1e-7)
+    assert len(passes) < 20 and np.abs(curve * x - slope).max() <= 1e-7
+
+
+def test_svr_packs_rows_into_blocks(spark, monkeypatch):
+    from pyspark.ml.functions import vector_to_array
+    from pyspark.ml.linalg import Vectors
+
+    from tabsight.ml import svr
+    rng = np.random.default_rng(7)
+    x, y, points = rng.normal(size=(100, 3)), rng.normal(size=100), rng.normal(size=(2, 4))
+    rows = spark.createDataFrame([(Vectors.dense(r), float(t)) for r, t in zip(x, y, strict=True)], ["features", "y"]) \
+        .select(vector_to_array("features").alias("x"), "y").coalesce(1)
+    monkeypatch.setattr(svr, "BLOCK_BYTES", 7 * 32)
+    monkeypatch.setattr(svr, "HELD_VALUES", 3 * 16)
+    packed = svr._packed(rows, 3)
+    assert [len(r["z"]) // 32 for r in packed.collect()] == [7] * 14 + [2]
+    got = svr._Sums(packed, 100, 3, 3, 1.0, 0.1)(points, 0.5)
+    for p, (value, grad) in zip(points, got, strict=True):
+        loss, s = svr.smooth_loss(x @ p[:-1] + p[-1] - y, 0.1, 0.5)
+        assert value == pytest.approx(loss.mean() + p[:-1] @ p[:-1] / 200)
+        assert np.allclose(grad, np.r_[s @ x + p[:-1], s.sum()] / 100)
+
+
+def test_fourier_features_are_cosines():
+    kernel = est.RandomFourierFeatures("features", "k", 50, 3, 0.5)
+    x = np.random.default_rng(8).normal(size=(3000, 3)) * 10.0 ** np.arange(3)  # more than one block, angles to hundreds
+    assert np.abs(kernel.mapped()(x) - 0.2 * np.cos(x @ kernel.w + kernel.b)).max() < 1e-12
+    assert kernel.mapped()(x[:0]).shape == (0, 50)
+
+
+def test_svr_predicts_without_storing_features(spark):
+    from pyspark.ml.linalg import Vectors
+
+    from tabsight.ml.svr import SVRModel
+    rng = np.random.default_rng(9)
+    x, w = rng.normal(size=(30, 2)), rng.normal(size=20)
+    df = spark.createDataFrame([(Vectors.dense(r),) for r in x], ["features"])
+    kernel = est.RandomFourierFeatures("features", "kfeatures", 20, 2, 0.5)
+    wide = kernel.transform(df)
+    own = SVRModel(w, 0.5, "kfeatures", "features", kernel.mapped()).transform(wide)
+    stored = SVRModel(w, 0.5, "kfeatures").transform(wide)
+    want = kernel.mapped()(x) @ w + 0.5
+    for out in (own, stored):
+        assert np.allclose([r["prediction"] for r in out.collect()], want)
+    assert np.allclose([r["kfeatures"].toArray() for r in own.collect()], kernel.mapped()(x))
+    plan = own.select("prediction")._jdf.queryExecution().optimizedPlan().toString()
+    assert "kfeatures" not in plan and plan.count("EvalPython") == 1
+    assert "Python" not in wide.select("features")._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_forest_rows_are_dealt_by_their_values(spark):
     from tabsight.ml import train as t
     df = spark.range(40).coalesce(1)
