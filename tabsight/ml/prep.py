@@ -86,22 +86,23 @@ def with_row_key(df: DataFrame, name: str) -> DataFrame:
 
 
 def split(df: DataFrame, key: str, test_size: float = 0.2, seed: int = 42,
-          limit: int = 20_000) -> DataFrame:
+          limit: int = 20_000, keys_of: DataFrame | None = None) -> DataFrame:
     """M4: add ``is_test``: exactly ceil(test_size * n) rows, the smallest by
     (md5(seed:key), key), a null key after others. Where rows share a key, the last key
     that fits in part gives as many of its rows as are missing. The threshold pair is found
     by narrowing an md5 hex prefix (one bounded 65,536-row count per step) until at most
     ``limit`` rows, or rows of one hash, are left; these are counted by key - no global
-    sort, no single task, and no key's rows in one place."""
+    sort, no single task, and no key's rows in one place. The keys are read from ``keys_of``
+    (``df``), which has the same keys where reading ``df`` takes more work."""
     base = df.withColumn("__h", hash_key(key, seed))
-    n = base.count()
+    scope = base if keys_of is None else keys_of.select(key).withColumn("__h", hash_key(key, seed))
+    n = scope.count()
     t = int(math.ceil(test_size * n))
     if t <= 0:
         return base.withColumn("is_test", F.lit(False)).drop("__h")
     if t >= n:
         return base.withColumn("is_test", F.lit(True)).drop("__h")
     prefix, below = "", 0
-    scope = base
     while True:
         plen = len(prefix) + 4
         counts = (scope.groupBy(F.substring("__h", 1, plen).alias("p"))

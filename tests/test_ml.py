@@ -196,6 +196,16 @@ def test_split_and_knn_with_repeated_and_text_keys(spark):
     assert [(r["k"], r["prediction"]) for r in got] == [("q", 1.0)] * 2
 
 
+def test_split_reads_keys_where_they_cost_less(spark):
+    keys = spark.createDataFrame([(i % 70 if i % 9 else None,) for i in range(100)], "k int")
+    dear = keys.withColumn("x", F.assert_true(F.lit(False)).cast("string"))  # raises when read
+    want = sorted(map(str, prep.split(keys, "k").collect()))
+    got = prep.split(dear.where(F.col("x").isNull()), "k", keys_of=keys)
+    with pytest.raises(Exception, match="is not true"):
+        got.collect()
+    assert sorted(map(str, prep.split(keys.where("true"), "k", keys_of=keys).collect())) == want
+
+
 @pytest.mark.parametrize("nulls", [0, 10, 90, 100])
 def test_split_keeps_rows_with_null_keys(spark, nulls):
     df = spark.createDataFrame([(None if i < nulls else i % 60, float(i)) for i in range(100)], "k long, x double").repartition(3)
